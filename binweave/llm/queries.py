@@ -21,6 +21,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .languages import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_documents
 
@@ -41,6 +53,8 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_languages": op4_languages,
+    "op5_warc": op5_warc,
     "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,
     "op10_spotsigs": op10_spotsigs,
