@@ -33,6 +33,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join_documents
+
+    return join_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_documents
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_languages": op4_languages,
     "op5_warc": op5_warc,
+    "op6_jaccard": op6_jaccard,
     "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,
     "op10_spotsigs": op10_spotsigs,
