@@ -21,6 +21,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import dedup_documents
+
+    return dedup_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .languages import identify_documents
 
@@ -59,6 +65,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_suffixes": op2_suffixes,
     "op4_languages": op4_languages,
     "op5_warc": op5_warc,
     "op6_jaccard": op6_jaccard,
