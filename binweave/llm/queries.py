@@ -27,6 +27,12 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .languages import identify_documents
 
@@ -51,6 +57,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -66,10 +78,12 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_suffixes": op2_suffixes,
+    "op3_licenses": op3_licenses,
     "op4_languages": op4_languages,
     "op5_warc": op5_warc,
     "op6_jaccard": op6_jaccard,
     "op7_quality": op7_quality,
+    "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_spotsigs": op10_spotsigs,
 }
