@@ -1,0 +1,117 @@
+"""Paired significance: loss differentials, HAC variance, Diebold-Mariano, day blocks, block bootstrap, Holm.
+
+Per-row work is Spark; what is left for the driver is a handful of sums, or, for the
+bootstrap, one block sum per day, of which there are few.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def loss_differential(rows: DataFrame, actual: str, candidate: str, reference: str) -> DataFrame:
+    """d: absolute error of the candidate less that of the reference."""
+    return rows.withColumn("d", F.abs(F.col(actual) - F.col(candidate)) - F.abs(F.col(actual) - F.col(reference)))
+
+
+def hac_lag(n: int, horizon: int = 1, block: int = 0) -> int:
+    lag = max(horizon - 1, math.floor(4 * (n / 100) ** (2 / 9))) if n else 0
+    return min(max(lag, block), max(1, n // 3)) if block else lag
+
+
+def hac_variance(rows: DataFrame, group: str, order: str, lag: int) -> DataFrame:
+    """Newey-West variance of the mean of d, Bartlett weights, autocovariances within groups only, one global mean.
+
+    Rows are numbered within groups and each meets the `lag` before it by equality.
+    """
+    mean = rows.agg(F.avg("d").alias("m"), F.count("d").alias("n")).first()
+    c = rows.filter("d is not null").select(group, F.row_number().over(Window.partitionBy(group).orderBy(order)).alias("i"), (F.col("d") - F.lit(mean.m)).alias("e"))
+    ahead = c.select(group, "e", F.explode(F.sequence(F.lit(0), F.lit(lag))).alias("k"), "i").withColumn("j", F.col("i") + F.col("k"))
+    products = ahead.join(c.select(F.col(group).alias("_g"), F.col("i").alias("_i"), F.col("e").alias("f")), (F.col(group) == F.col("_g")) & (F.col("j") == F.col("_i")))
+    weight = F.when(F.col("k") == 0, 1.0).otherwise(2.0 * (1 - F.col("k") / (lag + 1)))
+    return products.agg((F.sum(F.col("e") * F.col("f") * weight) / (mean.n * mean.n)).alias("variance"), F.lit(mean.n).cast("long").alias("n"), F.lit(mean.m).alias("mean"))
+
+
+def t_cdf(t: float, df: float) -> float:
+    """Student's t distribution, by the continued fraction of the incomplete beta function."""
+    if math.isinf(t):
+        return 1.0 if t > 0 else 0.0
+    x = df / (df + t * t)
+    tail = 0.5 * _beta(x, df / 2, 0.5)
+    return 1 - tail if t > 0 else tail
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    c, d = 1.0, 1 / max(1e-300, abs(1 - (a + b) * x / (a + 1))) * math.copysign(1, 1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 500):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d)
+            c = 1 + num / c
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out / a
+
+
+def diebold_mariano(mean: float, variance: float, n: int, horizon: int = 1) -> tuple[float, float, float]:
+    """(statistic, p one-sided that the candidate is better, p two-sided), with the small-sample correction."""
+    if n < 3:
+        return math.nan, math.nan, math.nan
+    if variance <= 0:
+        return 0.0, 0.5, 0.5
+    scale = math.sqrt(max(0.0, (n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n))
+    stat = scale * mean / math.sqrt(variance)
+    low = t_cdf(stat, n - 1)
+    return stat, low, 2 * min(low, 1 - low)
+
+
+def day_block(rows: DataFrame, group: str, day: str) -> DataFrame:
+    """Median number of rows of a group's day, rounded half to even."""
+    per = rows.groupBy(group, day).agg(F.count("*").alias("c"))
+    return per.agg(F.bround(F.percentile("c", 0.5)).cast("long").alias("block"))
+
+
+def day_bootstrap(rows: DataFrame, day: str, draws: int = 4999, seed: int = 0, level: float = 0.95) -> tuple[float, float, float]:
+    """Mean of d with a percentile interval over resampled whole days."""
+    per = rows.groupBy(day).agg(F.sum("d").alias("s"), F.count("d").alias("c")).orderBy(day).collect()
+    s, c = np.array([r.s for r in per]), np.array([r.c for r in per])
+    pick = np.random.default_rng(seed).integers(0, len(per), (draws, len(per)))
+    means = s[pick].sum(axis=1) / c[pick].sum(axis=1)
+    low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
+    return float(s.sum() / c.sum()), float(low), float(high)
+
+
+def block_bootstrap(d: np.ndarray, groups: np.ndarray, block: int, draws: int = 4999, seed: int = 0, level: float = 0.95) -> tuple[float, float]:
+    """Interval of the mean from moving blocks within groups, the last block of a group cut to its length. d: in order, one group after another."""
+    rng = np.random.default_rng(seed)
+    total = np.zeros(draws)
+    cuts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    for own in np.split(d, cuts[1:]):
+        b = min(block, len(own))
+        prefix = np.concatenate([[0], np.cumsum(own)])
+        need = -(-len(own) // b)
+        start = rng.integers(0, len(own) - b + 1, (draws, need))
+        sizes = np.full(need, b)
+        sizes[-1] = len(own) - b * (need - 1)
+        total += (prefix[start + sizes] - prefix[start]).sum(axis=1)
+    low, high = np.quantile(total / len(d), [(1 - level) / 2, (1 + level) / 2])
+    return float(low), float(high)
+
+
+def holm(tests: DataFrame, family: list[str] | None = None, p: str = "p") -> DataFrame:
+    """adjusted: Holm's step-down over each family of tests; null and NaN p-values stand aside."""
+    part = Window.partitionBy(*(family or [F.lit(1)]))
+    there = F.col(p).isNotNull() & ~F.isnan(F.col(p))
+    out = tests.withColumn("_ok", there.cast("int")).withColumn("_m", F.sum("_ok").over(part)).withColumn("_k", F.row_number().over(part.orderBy(F.col("_ok").desc(), p, *[c for c in tests.columns if c != p])))
+    step = F.when(F.col("_ok") == 1, (F.col("_m") - F.col("_k") + 1) * F.col(p))
+    return out.withColumn("adjusted", F.when(F.col("_ok") == 1, F.least(F.lit(1.0), F.max(step).over(part.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))))).withColumn("family_size", F.col("_m").cast("long")).drop("_ok", "_m", "_k")

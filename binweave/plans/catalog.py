@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from . import series_queries  # noqa: E402, F401
+from . import series_queries, table_queries  # noqa: E402, F401
