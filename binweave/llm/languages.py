@@ -225,7 +225,8 @@ def label_documents(docs: DataFrame, model: Model, switch: float = SWITCH, spans
             rows = _label(b["text"].to_list(), model, switch, spans)
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [r[2] for r in rows]})
 
-    return docs.select("doc_id", "text").mapInPandas(label, f"doc_id long, lang_pred string, score double, spans {SPANS}")
+    # ids travel as strings, as pandas would round long ids where some are null
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(label, f"doc_id string, lang_pred string, score double, spans {SPANS}").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import narrow_batches
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
+SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 END = (1).to_bytes(4, "little")
 SLACK = 32
 #: Pieces are looked up here before the tokenizer is asked; the table is emptied at this many entries.
@@ -114,7 +114,7 @@ class Packer:
         self.next_id += 1
         return rows
 
-    def put(self, doc_id: int, ids: bytes) -> list[tuple]:
+    def put(self, doc_id: str | None, ids: bytes) -> list[tuple]:
         total, at, rows = len(ids) // 4, 0, []
         while at < total:
             left = total - at
@@ -170,4 +170,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, i
         if rows := packer.close():
             yield pd.DataFrame(rows, columns=columns)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(pack, SCHEMA)
+    # ids travel as strings, as pandas would round long ids where some are null
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(pack, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -36,7 +36,7 @@ def _only(words: list[str]) -> str:
 
 def signatures(text: Column) -> Column:
     """The sorted distinct signature hashes of a text, array<int>."""
-    rest = F.regexp_replace(F.lower(text), _only(COMMON), " ")
+    rest = F.concat(F.regexp_replace(F.lower(text), _only(COMMON), " "), F.lit(" "))
     glued = F.regexp_replace(rest, rf"({_only(ANCHORS)})[^{WORD}]+", "$1\u0001")
     words = F.filter(F.split(glued, rf"[^{WORD}\x01]+"), lambda w: F.length(w) > 0)
     return _chains(words)

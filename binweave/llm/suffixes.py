@@ -49,6 +49,8 @@ _ANCHOR = np.dtype([("core", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("at", "<u4
 _SPAN = np.dtype([("doc", "<i8"), ("first", "<u4"), ("last", "<u4")])
 _BLOCKS = "bucket long, kind int, block binary"
 _SPANS = "doc long, first long, last long"
+#: Columns beside those of the input, whatever names that has.
+_KEY, _SPANNED = "_binweave_key", "_binweave_spans"
 
 
 def anchors(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -417,12 +419,12 @@ def _kept(raw: bytes, spans: list, least: int) -> tuple[list[tuple[int, int]], b
 
 
 def _with_spans(docs: DataFrame, least: int) -> DataFrame:
-    """docs with column doc (a key of id and text) and spans (array, may be null)."""
+    """docs with the spans of each text (array, may be null) in column _SPANNED."""
     narrow_batches(docs.sparkSession, 500)
-    keyed = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
-    long = keyed.select("doc", whole("text").alias("text")).filter(F.octet_length("text") >= least)
-    spans = repeated_spans(long, least).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return keyed.join(spans, "doc", "left").drop("doc")
+    keyed = docs.withColumn(_KEY, F.xxhash64("doc_id", "text"))
+    long = keyed.select(F.col(_KEY).alias("doc"), whole("text").alias("text")).filter(F.octet_length("text") >= least)
+    spans = repeated_spans(long, least).groupBy(F.col("doc").alias(_KEY)).agg(F.collect_list(F.struct("first", "last")).alias(_SPANNED))
+    return keyed.join(spans, _KEY, "left").drop(_KEY)
 
 
 def dedup_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -437,16 +439,15 @@ def dedup_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 rows.append((doc_id, len(raw), len(raw) - len(kept), len(removed), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    spanned = _with_spans(docs.select("doc_id", "text"), least).select("doc_id", whole("text").alias("text"), "spans")
-    return spanned.mapInPandas(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spanned = _with_spans(docs.select("doc_id", "text"), least).select(F.col("doc_id").cast("string").alias("doc_id"), whole("text").alias("text"), F.col(_SPANNED).alias("spans"))
+    return spanned.mapInPandas(digests, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with repeated passages cut out of their texts; a character that a cut splits goes as a whole."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else _kept(t.encode("utf-8", "surrogatepass"), s, least)[1].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], index=texts.index, dtype=object)
 
-    out = _with_spans(docs, least).withColumn("text", cut("text", "spans")).drop("spans")
-    return out.select(*docs.columns)
+    return _with_spans(docs, least).withColumn("text", cut("text", _SPANNED)).select(*docs.columns)

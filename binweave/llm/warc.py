@@ -53,7 +53,7 @@ def _header(fields: list[tuple[str, str | None]]) -> bytes:
     return b"".join(f"{k}: {' '.join(v.split())}\r\n".encode() for k, v in fields if v is not None)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, original: bool, date: str) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, first: str | None, original: bool, date: str) -> bytes:
     """One record as a gzip member; a revisit keeps the HTTP header and names the response."""
     http = b"HTTP/1.1 200 OK\r\n" + _header([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]) + b"\r\n"
     block = http + payload if original else http
@@ -95,8 +95,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, roll: int = 1 << 2
                 if out is None:
                     path = f"{root}/part-{task.partitionId():06d}-{task.attemptNumber()}-{uuid.uuid4().hex}.warc.gz"
                     out, size, n = store.open_output_stream(path, compression=None), 0, 0
-                own = None if pd.isna(page_id) else int(page_id)
-                data = record(own, url, bytes(payload), None if pd.isna(first) else int(first), bool(original), date)
+                data = record(page_id, url, bytes(payload), first, bool(original), date)
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= roll:
@@ -105,7 +104,8 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, roll: int = 1 << 2
         if out is not None:
             yield done()
 
-    marked = mark_revisits(pages, least)
+    # ids travel as strings, as pandas would round long ids where some are null
+    marked = mark_revisits(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "first")})
     return durable(marked.mapInPandas(write, "path string, bytes long, records long"), "warc-files")
 
 
@@ -206,7 +206,7 @@ def read_warc(files: DataFrame, folder: str, split: int = 8 << 20, payloads: boo
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write every page to archives in the shared folder and read the records back: one row per page."""
     folder = f"{shared_dir(spark)}/binweave/warc-{uuid.uuid4().hex}"
-    files = write_warc(pages.select("page_id", "url", whole("html").cast("binary").alias("payload")), folder)
+    files = write_warc(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", whole("html").cast("binary").alias("payload")), folder)
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("long"))
     return read_warc(files, folder, payloads=False).select(as_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id(F.col("refers_to")).alias("refers_to"))
