@@ -37,8 +37,10 @@ from .common import durable, narrow_batches
 from .jaccard import mix
 
 HASHES = 1 << 16
-ITEM_WORDS, STEP, SPAN = 32, 12, 4  # words of an item's passage; words of a step, steps of a document's passage
-RANK, BLOCK, COSINE = 256, 400, 0.2
+ITEM_WORDS, STEP, SPAN = 32, 12, 4  # words of an item's passage; words of a step, most steps of a document's passage
+RANK, BLOCK, COSINE = 256, 400, 0.3
+#: Words in more than this share of the documents (and FREQUENT documents) have no weight.
+SHARE, FREQUENT = 0.1, 20
 COMMON, ANSWER = 0.7, 0.5
 # Typographic marks that part words.
 MARKS = "“”„‘’‚«»…–—·¡¿"
@@ -106,6 +108,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:HASHES], int(out[HASHES])
 
 
+def weights(n: np.ndarray, total: int) -> np.ndarray:
+    """Inverse document frequencies; none for frequent words."""
+    return np.where(n > SHARE * total + FREQUENT, 0, np.log((total + 1) / (n + 0.5)).clip(0.01)).astype(np.float32)
+
+
 def _chunks(words: np.ndarray) -> list[np.ndarray]:
     """An item's passages: all of it, or ITEM_WORDS words at every half of that, the last ones included."""
     if len(words) <= ITEM_WORDS:
@@ -114,8 +121,8 @@ def _chunks(words: np.ndarray) -> list[np.ndarray]:
     return [words[s : s + ITEM_WORDS] for s in starts]
 
 
-def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item number, unit TF-IDF row over HASHES) of the items' passages, as dense rows; a block of items at most."""
+def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item number, steps of the windows it is sought in, unit TF-IDF row over HASHES) of the items' passages, as dense rows; a block of items at most."""
     words, n = hashed([lowered(t) for t in texts])
     parts, items = [], []
     for k, own in enumerate(np.split(words, np.cumsum(n)[:-1])):
@@ -127,7 +134,9 @@ def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.nd
         np.add.at(r, c, 1)
         r *= idf
         r /= max(1e-9, float(np.sqrt((r**2).sum())))
-    return np.array(items, np.int64), rows
+    # a window of s steps holds every stretch of up to s * STEP - (STEP - 1) words
+    span = np.array([SPAN - 1 if len(c) <= (SPAN - 1) * STEP - STEP + 1 else SPAN for c in parts], np.int64)
+    return np.array(items, np.int64), span, rows
 
 
 def _summed(df: DataFrame, width: int) -> dict[int, np.ndarray]:
@@ -145,7 +154,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = np.random.default_rng(seed).standard_normal((HASHES, rank), dtype=np.float32)
         for b in batches:
-            _, a = _matrix(b["text"].to_list(), idf)
+            _, _, a = _matrix(b["text"].to_list(), idf)
             k = np.flatnonzero(a.any(axis=0))
             z = a[:, k].T @ (a[:, k] @ w[k])
             yield pd.DataFrame({"k": k, "x": list(z.astype(float))})
@@ -161,7 +170,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            y = _matrix(b["text"].to_list(), idf)[1] @ basis
+            y = _matrix(b["text"].to_list(), idf)[2] @ basis
             yield pd.DataFrame({"k": range(basis.shape[1]), "x": list((y.T @ y).astype(float))})
 
     g = _summed(items.mapInPandas(gram, "k long, x array<double>"), basis.shape[1])
@@ -206,36 +215,55 @@ class Index:
     idf: np.ndarray
     passages: np.ndarray
     items: np.ndarray
+    span: np.ndarray
     ids: list[int]
     words: list[list[bytes]]
 
     def candidates(self, words: np.ndarray, n: np.ndarray, cosine: float) -> Iterator[tuple[int, int, int, float]]:
-        """(text, first word, item, cosine) of passages near an item."""
+        """(text, first word, item, cosine) of passages near an item. Short passages of items are sought in windows a step shorter."""
         steps = -(-n // STEP)
         at = np.cumsum(n) - n
         text = np.repeat(np.arange(len(n)), steps)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(steps) - steps, steps)
         begin = at[text] + nth * STEP
-        if not len(begin):
+        if not len(begin) or not len(self.vectors):
             return
         weight = self.idf[words]
-        used = self.row[words] >= 0
-        whole, inside = np.add.reduceat(weight**2, begin), np.add.reduceat(np.where(used, weight**2, 0), begin)
-        end = np.minimum(begin + STEP * SPAN, (at + n)[text])
-        far = np.searchsorted(begin, end, "left")
-        sums = lambda x: np.concatenate([[0], np.cumsum(x)])
-        a, b, i = sums(whole), sums(inside), np.arange(len(begin))
-        size, part = a[far] - a[i], b[far] - b[i]
-        # repeated words only make `size` smaller, and so the bound larger
-        for p in np.flatnonzero(part >= cosine**2 * np.maximum(size, 1e-9) * 0.999):
-            own = words[begin[p] : end[p]]
-            own = own[used[begin[p] : end[p]]]
-            if not len(own):
+        row = self.row[words]
+        used = (row >= 0) & (weight > 0)
+        size, part = np.add.reduceat(weight**2, begin), np.add.reduceat(np.where(used, weight**2, 0), begin)
+        live = np.flatnonzero(part > 0)
+        if not len(live):
+            return
+        # the steps' vectors, of those that hold a word in use
+        where = np.flatnonzero(used)
+        step = np.searchsorted(begin, where, "right") - 1
+        first = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+        place = np.full(len(begin) + SPAN, len(live))
+        place[live] = np.arange(len(live))
+        sums = np.zeros((len(live) + 1, self.vectors.shape[1]), np.float32)
+        for k in range(0, len(first), 4096):
+            lo, hi = first[k], first[k + 4096] if k + 4096 < len(first) else len(where)
+            own = where[lo:hi]
+            sums[k : k + 4096][: len(first[k : k + 4096])] = np.add.reduceat(self.vectors[row[own]] * weight[own, None], first[k : k + 4096] - lo, axis=0)
+        padded_text = np.concatenate([text, np.full(SPAN, -1)])
+        grow = lambda x: np.concatenate([x, np.zeros(SPAN)])
+        size, part = grow(size), grow(part)
+        for span in (SPAN - 1, SPAN):
+            kind = np.flatnonzero(self.span == span)
+            if not len(kind):
                 continue
-            x = (self.vectors[self.row[own]] * self.idf[own, None]).sum(axis=0)
-            c = self.passages @ x / np.sqrt(size[p])
-            for k in np.flatnonzero(c >= cosine):
-                yield int(text[p]), int(nth[p]) * STEP, int(self.items[k]), min(1.0, float(c[k]))
+            near = [padded_text[j : j + len(text)] == text for j in range(span)]
+            whole = sum(size[j : j + len(text)] * near[j] for j in range(span))
+            inside = sum(part[j : j + len(text)] * near[j] for j in range(span))
+            # the weight inside bounds the cosine; repeated words only make `whole` smaller, and so the bound larger
+            chosen = np.flatnonzero((inside > 0) & (inside >= cosine**2 * whole * 0.999))
+            for k in range(0, len(chosen), 4096):
+                own = chosen[k : k + 4096]
+                x = sum(sums[np.where(near[j][own], place[own + j], len(live))] for j in range(span))
+                c = x @ self.passages[kind].T / np.sqrt(whole[own])[:, None]
+                for i, q in zip(*np.nonzero(c >= cosine), strict=True):
+                    yield int(text[own[i]]), int(nth[own[i]]) * STEP, int(self.items[kind[q]]), min(1.0, float(c[i, q]))
 
     def leaks(self, texts: list[str | None], cosine: float = COSINE) -> list[list[tuple]]:
         out: list[list[tuple]] = [[] for _ in texts]
@@ -246,12 +274,19 @@ class Index:
                 near.setdefault((t, item), []).append((c, at))
             split: dict[int, list[bytes]] = {}
             for (t, item), places in sorted(near.items()):
-                own = split.setdefault(t, _WORD.findall(raws[t]))
+                if t not in split:
+                    split[t] = _WORD.findall(raws[t])
+                own = split[t]
                 size = len(self.words[item])
                 found = None
                 for c, at in sorted(places, reverse=True):
                     low = max(0, at - size)
-                    if m := matched(self.words[item], own[low : at + STEP * SPAN + size]):
+                    stretch = own[low : at + STEP * SPAN + size]
+                    there = set(stretch)
+                    # no subsequence holds more of the item's words than stand there at all
+                    if sum(w in there for w in self.words[item]) < COMMON * size:
+                        continue
+                    if m := matched(self.words[item], stretch):
                         if found is None or m[0] > found[2]:
                             found = (self.ids[item], max(x for x, _ in places), m[0], low + m[1], low + m[2])
                         if m[0] == 1:
@@ -264,18 +299,18 @@ class Index:
 def build_index(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
     """The indexes of the benchmark's blocks, with the word frequencies of all documents."""
     n, total = document_frequencies(docs)
-    idf = np.log((total + 1) / (n + 0.5)).clip(0.01).astype(np.float32)
+    idf = weights(n, total)
     rows = benchmark.filter("text is not null").select("item_id", "text")
     out, block = [], durable(rows.withColumn("block", F.floor((F.row_number().over(_ordered()) - 1) / BLOCK)), "benchmark")
     for k in range((block.agg(F.max("block")).first()[0] if block.take(1) else -1) + 1):
         own = block.filter(F.col("block") == k).select("item_id", "text")
         space = latent_space(own, idf)
         items = own.orderBy("item_id", "text").collect()  # BLOCK rows
-        number, a = _matrix([r.text for r in items], idf)
+        number, span, a = _matrix([r.text for r in items], idf)
         used = np.flatnonzero(np.abs(space).max(axis=1) > 0) if space.shape[1] else np.zeros(0, np.int64)
         row = np.full(HASHES, -1, np.int32)
         row[used] = np.arange(len(used))
-        out.append(Index(row, space[used], idf, a @ space, number, [r.item_id for r in items], [_WORD.findall(lowered(r.text)) for r in items]))
+        out.append(Index(row, space[used], idf, a @ space, number, span, [r.item_id for r in items], [_WORD.findall(lowered(r.text)) for r in items]))
     return out
 
 

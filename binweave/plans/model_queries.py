@@ -90,7 +90,7 @@ def m1(spark, d):
     return rounded(g.select("route", "bin", F.col("y").alias("persistence"), "d1", "d7", "tod"), "persistence", "d1", "d7", "tod")
 
 
-@register("m2_ridge", f"with {SCORED}, m as (select route, count(*) as n, avg(y_persistence) as mx, stddev_pop(y_persistence) as sx, avg(y_30) as my, covar_pop(y_persistence, y_30) as c from sl group by 1), w as (select route, mx, my, (n*c/sx)/(n + 1.0)/sx as w from m) select sl.route, bin, round(my + w*(y_persistence - mx),6) as ridge from sl join w on w.route = sl.route")
+@register("m2_ridge", f"with {SCORED}, m as (select route, count(*) as n, avg(y_persistence) as mx, stddev_pop(y_persistence) as sx, avg(y_30) as my, covar_pop(y_persistence, y_30) as c from sl group by 1), w as (select route, mx, my, case when sx > 0 then (n*c/sx)/(n + 1.0)/sx else 0 end as w from m) select sl.route, bin, round(my + w*(y_persistence - mx),6) as ridge from sl join w on w.route = sl.route")
 def m2(spark, d):
     """Ridge of the label on persistence, alpha 1, per series."""
     s = scored(spark, d)
@@ -201,7 +201,7 @@ def m20(spark, d):
     return models.mlp_predict(s, models.fit_mlp(s, features, "y_30", "route", seeds=2, epochs=10), features, "route").select("route", "bin", "mlp")
 
 
-@register("m25_residual", f"with {SCORED}, r as (select route, bin, p1, p1 - y_persistence as x, y_30 - p1 as e from sl), m as (select route, count(*) as n, avg(x) as mx, stddev_pop(x) as sx, avg(e) as me, covar_pop(x, e) as c from r group by 1), w as (select route, mx, me, (n*c/sx)/(n + 1.0)/sx as w from m) select r.route, bin, round(p1 + me + w*(x - mx),6) as calibrated from r join w on w.route = r.route")
+@register("m25_residual", f"with {SCORED}, r as (select route, bin, p1, p1 - y_persistence as x, y_30 - p1 as e from sl), m as (select route, count(*) as n, avg(x) as mx, stddev_pop(x) as sx, avg(e) as me, covar_pop(x, e) as c from r group by 1), w as (select route, mx, me, case when sx > 0 then (n*c/sx)/(n + 1.0)/sx else 0 end as w from m) select r.route, bin, round(p1 + me + w*(x - mx),6) as calibrated from r join w on w.route = r.route")
 def m25(spark, d):
     s = scored(spark, d)
     return rounded(s.select("route", "bin", models.residual_ridge(s, "p1", "y_persistence", "y_30", "route").alias("calibrated")), "calibrated")
