@@ -45,7 +45,7 @@ OVER, UNDER = 75, 100
 #: Bands up to this size use the shingles themselves.
 SMALL = 32
 #: Bytes of text per bucket of signatures, and entries that a task holds before it sends them on.
-BUCKET_BYTES, HELD = 32 << 20, 1 << 22
+BUCKET_BYTES, HELD = 8 << 20, 1 << 21
 BITS = 1024
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
