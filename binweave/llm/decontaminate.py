@@ -121,22 +121,23 @@ def _chunks(words: np.ndarray) -> list[np.ndarray]:
     return [words[s : s + ITEM_WORDS] for s in starts]
 
 
-def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item number, steps of the windows it is sought in, unit TF-IDF row over HASHES) of the items' passages, as dense rows; a block of items at most."""
+def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item number, steps of the windows it is sought in, hashes in use, unit TF-IDF row over those) of the items' passages; a block of items at most."""
     words, n = hashed([lowered(t) for t in texts])
+    used = np.unique(words)
     parts, items = [], []
-    for k, own in enumerate(np.split(words, np.cumsum(n)[:-1])):
+    for k, own in enumerate(np.split(np.searchsorted(used, words), np.cumsum(n)[:-1])):
         for c in _chunks(own):
             parts.append(c)
             items.append(k)
-    rows = np.zeros((len(parts), HASHES), np.float32)
+    rows = np.zeros((len(parts), len(used)), np.float32)
     for r, c in zip(rows, parts, strict=True):
         np.add.at(r, c, 1)
-        r *= idf
+        r *= idf[used]
         r /= max(1e-9, float(np.sqrt((r**2).sum())))
     # a window of s steps holds every stretch of up to s * STEP - (STEP - 1) words
     span = np.array([SPAN - 1 if len(c) <= (SPAN - 1) * STEP - STEP + 1 else SPAN for c in parts], np.int64)
-    return np.array(items, np.int64), span, rows
+    return np.array(items, np.int64), span, used, rows
 
 
 def _summed(df: DataFrame, width: int) -> dict[int, np.ndarray]:
@@ -144,39 +145,39 @@ def _summed(df: DataFrame, width: int) -> dict[int, np.ndarray]:
     return {r.k: np.array(r.x) for r in rows}
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """Randomised SVD of the items' TF-IDF passages A: right singular vectors, HASHES x rank.
+def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Randomised SVD of the items' TF-IDF passages A: hashes in use, and their rows of the right singular vectors (hashes x rank).
 
-    One pass sums A'A W for a Gaussian W (drawn anew from the seed by each task), another
-    the small matrix of A in the basis found, whose eigenvectors turn it.
+    One pass sums A'A W for a Gaussian W (drawn by each task, a hash's row from its own seed),
+    another the small matrix of A in the basis found, whose eigenvectors turn it.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = np.random.default_rng(seed).standard_normal((HASHES, rank), dtype=np.float32)
         for b in batches:
-            _, _, a = _matrix(b["text"].to_list(), idf)
-            k = np.flatnonzero(a.any(axis=0))
-            z = a[:, k].T @ (a[:, k] @ w[k])
-            yield pd.DataFrame({"k": k, "x": list(z.astype(float))})
+            _, _, k, a = _matrix(b["text"].to_list(), idf)
+            w = np.stack([np.random.default_rng((seed, int(h))).standard_normal(rank, dtype=np.float32) for h in k]) if len(k) else np.zeros((0, rank), np.float32)
+            live = a.any(axis=0)
+            z = a[:, live].T @ (a[:, live] @ w[live])
+            yield pd.DataFrame({"k": k[live], "x": list(z.astype(float))})
 
     found = _summed(items.mapInPandas(sketch, "k long, x array<double>"), rank)
     if not found:
-        return np.zeros((HASHES, 0), np.float32)
+        return np.zeros(0, np.int64), np.zeros((0, 0), np.float32)
     keys = np.array(sorted(found))
     q, r = np.linalg.qr(np.array([found[k] for k in keys]))
-    q = q[:, np.abs(np.diag(r)) > 1e-6 * np.abs(np.diag(r)).max()]
-    basis = np.zeros((HASHES, q.shape[1]), np.float32)
-    basis[keys] = q
+    q = q[:, np.abs(np.diag(r)) > 1e-6 * np.abs(np.diag(r)).max()].astype(np.float32)
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            y = _matrix(b["text"].to_list(), idf)[2] @ basis
-            yield pd.DataFrame({"k": range(basis.shape[1]), "x": list((y.T @ y).astype(float))})
+            _, _, k, a = _matrix(b["text"].to_list(), idf)
+            there = np.isin(k, keys)
+            y = a[:, there] @ q[np.searchsorted(keys, k[there])]
+            yield pd.DataFrame({"k": range(q.shape[1]), "x": list((y.T @ y).astype(float))})
 
-    g = _summed(items.mapInPandas(gram, "k long, x array<double>"), basis.shape[1])
-    values, turn = np.linalg.eigh(np.array([g[k] for k in range(basis.shape[1])]))
+    g = _summed(items.mapInPandas(gram, "k long, x array<double>"), q.shape[1])
+    values, turn = np.linalg.eigh(np.array([g[k] for k in range(q.shape[1])]))
     keep = values > 1e-6 * values.max()
-    return (basis @ turn[:, keep]).astype(np.float32)
+    return keys, (q @ turn[:, keep]).astype(np.float32)
 
 
 def common_words(a: list, b: list) -> int:
@@ -304,13 +305,14 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
     out, block = [], durable(rows.withColumn("block", F.floor((F.row_number().over(_ordered()) - 1) / BLOCK)), "benchmark")
     for k in range((block.agg(F.max("block")).first()[0] if block.take(1) else -1) + 1):
         own = block.filter(F.col("block") == k).select("item_id", "text")
-        space = latent_space(own, idf)
+        keys, space = latent_space(own, idf)
         items = own.orderBy("item_id", "text").collect()  # BLOCK rows
-        number, span, a = _matrix([r.text for r in items], idf)
-        used = np.flatnonzero(np.abs(space).max(axis=1) > 0) if space.shape[1] else np.zeros(0, np.int64)
+        number, span, hashes, a = _matrix([r.text for r in items], idf)
         row = np.full(HASHES, -1, np.int32)
-        row[used] = np.arange(len(used))
-        out.append(Index(row, space[used], idf, a @ space, number, span, [r.item_id for r in items], [_WORD.findall(lowered(r.text)) for r in items]))
+        row[keys] = np.arange(len(keys))
+        there = row[hashes] >= 0
+        passages = a[:, there] @ space[row[hashes[there]]]
+        out.append(Index(row, space, idf, passages, number, span, [r.item_id for r in items], [_WORD.findall(lowered(r.text)) for r in items]))
     return out
 
 
