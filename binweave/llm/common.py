@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -47,3 +48,13 @@ def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of one Arrow batch, so that long texts don't fill a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def lean() -> None:
+    """In a Python worker: give back what is freed, arrays at once and Arrow's share now; idle workers keep their memory otherwise."""
+    import pyarrow
+
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger blocks go back to the system when freed
+    pyarrow.default_memory_pool().release_unused()

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, narrow_batches, parts
+from .common import durable, lean, narrow_batches, parts
 from .components import components
 
 WORDS = 5
@@ -179,6 +179,7 @@ def _emit(docs: DataFrame, buckets: int) -> DataFrame:
     """Blocks by bucket. Kind 0: signature entries, by signature. Kind 1: the agreements that sets need, by set. Kind 2: (doc_id, size, set), by task."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         held: list[np.ndarray] = []
         needs: list[tuple] = []
         size, seen = 0, set()
@@ -220,6 +221,7 @@ def _met(buckets: int):
     """By bucket of signatures: the entries whose signature several sets have go on to the buckets of their sets; other kinds pass."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         rest = pdf[pdf["kind"] != 0]
         blocks = pdf.loc[pdf["kind"] == 0, "block"]
         if not len(blocks):
@@ -252,6 +254,7 @@ def _probes(buckets: int):
     """By bucket of sets: for every set with enough shared signatures, those to probe, rarest first, dealt by signature."""
 
     def probe(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         met, need = (np.concatenate([np.zeros(0, d), *(np.frombuffer(b, d) for b in pdf.loc[pdf["kind"] == k, "block"])]) for k, d in ((3, _MET), (1, _NEED)))
         if not len(met):
             return pd.DataFrame({"bucket": [], "kind": [], "block": []})
@@ -286,6 +289,7 @@ def _groups(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs of each group's most popular set with the others."""
+    lean()
     x, new, count = _groups(pdf)
     centre = np.repeat(x["set"][new], count)
     pairs = np.unique(np.stack([centre, x["set"]], axis=1)[centre != x["set"]], axis=0) if len(x) else np.zeros((0, 2), np.int64)
@@ -293,6 +297,7 @@ def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _members(pdf: pd.DataFrame) -> pd.DataFrame:
+    lean()
     x, new, count = _groups(pdf)
     x = x[np.repeat(count > 1, count)]
     return pd.DataFrame({"sig": x["sig"].view(np.int64), "set": x["set"]})
@@ -332,6 +337,7 @@ def _unlike_roots(x: pd.DataFrame) -> pd.DataFrame:
 
 def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (sig, set, root, n, bits), whole groups of a sig in turn -> what _unlike_roots finds, some thousand rows at once."""
+    lean()
     held: list[pd.DataFrame] = []
     size = 0
     for b in batches:
@@ -362,6 +368,7 @@ def _counted(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """need(doc_id, set) rows' shingles and bitmaps."""
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         for b in batches:
             own = list(shingle_sets(b["text"].to_list()))
             yield pd.DataFrame({"set": b["set"], "n": [len(s) for s in own], "shingles": [s.view(np.int64) for s in own], "bits": [parity(s) for s in own]})
@@ -378,6 +385,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = durable(_emit(docs, buckets).groupBy("bucket").applyInPandas(_met(buckets), _BLOCKS), "jaccard-met")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         for b in batches:
             for block in b["block"]:
                 x = np.frombuffer(block, np.int64).reshape(-1, 3)
@@ -412,6 +420,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     out = sized.join(named.filter("set >= 0"), "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         for b in batches:
             yield pd.DataFrame({"doc_id": None, "n_shingles": [len(s) for s in shingle_sets(b["text"].to_list())], "component_id": None})
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, narrow_batches, parts, whole
+from .common import durable, lean, narrow_batches, parts, whole
 from .jaccard import mix
 
 LEAST = 400
@@ -126,6 +126,7 @@ def _emit(docs: DataFrame, buckets: int, least: int) -> DataFrame:
     core = least - WINDOW + 1
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         from xxhash import xxh3_64_intdigest as digest
 
         held: list[np.ndarray] = []
@@ -168,6 +169,7 @@ def _met(buckets: int):
     """By bucket of cores: kind 1, spans of runs that are repeated as a whole; kind 2, anchors whose core has several runs. Spans pass."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         rest = pdf[pdf["kind"] == 1]
         blocks = pdf.loc[pdf["kind"] == 0, "block"]
         if not len(blocks):
@@ -339,6 +341,7 @@ def _resolved(least: int):
     """By range of cores: merge the sorted runs, and find the repeated strings of each anchor."""
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
         runs = [_decoded(b) for b in pdf["block"]]
         found: list[tuple] = []
         group: list[tuple] = []
@@ -364,6 +367,7 @@ def _resolved(least: int):
 
 def _unpack(kind: int, dtype: np.dtype, schema: str, met: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         for b in batches:
             for block in b["block"]:
                 x = np.frombuffer(block, dtype)
@@ -385,6 +389,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     ranges = max(parts(docs.sparkSession), n // _ANCHOR.itemsize // RANGE + 1)
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         held: list[tuple] = []
         for b in batches:
             for doc, text, own in zip(b["doc"], b["text"], b["anchors"], strict=True):
@@ -431,6 +436,7 @@ def dedup_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what remains."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         for b in batches:
             rows = []
             for doc_id, text, spans in zip(b["doc_id"], b["text"], b["spans"], strict=True):
