@@ -13,8 +13,10 @@
    the document hardly longer holds at least COMMON of the item's words, and at least
    ANSWER of its last quarter, where the answer stands.
 
-The item table is taken in blocks of BLOCK items, each with its own space, so that what
-tasks receive is bounded.
+The items are dealt by hash into blocks of about RANK passages, each with its own space
+of as many dimensions as the block has passages: every passage lies in it whole, so the
+cosines are those of the TF-IDF vectors. GROUP blocks at most are sent to tasks at once;
+more take further passes over the documents, so that what tasks receive is bounded.
 
 Defined results: null and empty texts hold no leak; items without a word match
 nothing; repeated items are reported under each id; repeated rows are reported each;
@@ -38,7 +40,7 @@ from .jaccard import mix
 
 HASHES = 1 << 16
 ITEM_WORDS, STEP, SPAN = 32, 12, 4  # words of an item's passage; words of a step, most steps of a document's passage
-RANK, BLOCK, COSINE = 256, 400, 0.3
+RANK, GROUP, COSINE = 256, 16, 0.3  # passages of a block on average; blocks sent at once
 #: Words in more than this share of the documents (and FREQUENT documents) have no weight.
 SHARE, FREQUENT = 0.1, 20
 COMMON, ANSWER = 0.7, 0.5
@@ -121,6 +123,11 @@ def _chunks(words: np.ndarray) -> list[np.ndarray]:
     return [words[s : s + ITEM_WORDS] for s in starts]
 
 
+def _span(words: int) -> int:
+    """The steps of the windows in which a passage is sought: a window of s steps holds every stretch of up to s * STEP - (STEP - 1) words."""
+    return SPAN - 1 if words <= (SPAN - 1) * STEP - STEP + 1 else SPAN
+
+
 def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(item number, steps of the windows it is sought in, hashes in use, unit TF-IDF row over those) of the items' passages; a block of items at most."""
     words, n = hashed([lowered(t) for t in texts])
@@ -135,9 +142,7 @@ def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.nd
         np.add.at(r, c, 1)
         r *= idf[used]
         r /= max(1e-9, float(np.sqrt((r**2).sum())))
-    # a window of s steps holds every stretch of up to s * STEP - (STEP - 1) words
-    span = np.array([SPAN - 1 if len(c) <= (SPAN - 1) * STEP - STEP + 1 else SPAN for c in parts], np.int64)
-    return np.array(items, np.int64), span, used, rows
+    return np.array(items, np.int64), np.array([_span(len(c)) for c in parts], np.int64), used, rows
 
 
 def _summed(df: DataFrame, width: int) -> dict[int, np.ndarray]:
@@ -219,8 +224,10 @@ class Index:
     span: np.ndarray
     ids: list[int]
     words: list[list[bytes]]
+    #: The cosine from which each passage is a candidate.
+    least: np.ndarray
 
-    def candidates(self, words: np.ndarray, n: np.ndarray, cosine: float) -> Iterator[tuple[int, int, int, float]]:
+    def candidates(self, words: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(text, first word, item, cosine) of passages near an item. Short passages of items are sought in windows a step shorter."""
         steps = -(-n // STEP)
         at = np.cumsum(n) - n
@@ -258,90 +265,131 @@ class Index:
             whole = sum(size[j : j + len(text)] * near[j] for j in range(span))
             inside = sum(part[j : j + len(text)] * near[j] for j in range(span))
             # the weight inside bounds the cosine; repeated words only make `whole` smaller, and so the bound larger
-            chosen = np.flatnonzero((inside > 0) & (inside >= cosine**2 * whole * 0.999))
+            least = self.least[kind]
+            chosen = np.flatnonzero((inside > 0) & (inside >= least.min() ** 2 * whole * 0.999))
             for k in range(0, len(chosen), 4096):
                 own = chosen[k : k + 4096]
                 x = sum(sums[np.where(near[j][own], place[own + j], len(live))] for j in range(span))
                 c = x @ self.passages[kind].T / np.sqrt(whole[own])[:, None]
-                for i, q in zip(*np.nonzero(c >= cosine), strict=True):
+                for i, q in zip(*np.nonzero(c >= least), strict=True):
                     yield int(text[own[i]]), int(nth[own[i]]) * STEP, int(self.items[kind[q]]), min(1.0, float(c[i, q]))
 
-    def leaks(self, texts: list[str | None], cosine: float = COSINE) -> list[list[tuple]]:
-        out: list[list[tuple]] = [[] for _ in texts]
-        for first, raws in _batches(texts):
-            words, n = hashed(raws)
-            near: dict[tuple[int, int], list[tuple[float, int]]] = {}
-            for t, at, item, c in self.candidates(words, n, cosine):
-                near.setdefault((t, item), []).append((c, at))
-            split: dict[int, list[bytes]] = {}
-            for (t, item), places in sorted(near.items()):
-                if t not in split:
-                    split[t] = _WORD.findall(raws[t])
-                own = split[t]
-                size = len(self.words[item])
-                found = None
-                for c, at in sorted(places, reverse=True):
-                    low = max(0, at - size)
-                    stretch = own[low : at + STEP * SPAN + size]
-                    there = set(stretch)
-                    # no subsequence holds more of the item's words than stand there at all
-                    if sum(w in there for w in self.words[item]) < COMMON * size:
-                        continue
-                    if m := matched(self.words[item], stretch):
-                        if found is None or m[0] > found[2]:
-                            found = (self.ids[item], max(x for x, _ in places), m[0], low + m[1], low + m[2])
-                        if m[0] == 1:
-                            break
-                if found:
-                    out[first + t].append(found)
-        return out
-
-
-def build_index(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
-    """The indexes of the benchmark's blocks, with the word frequencies of all documents."""
-    n, total = document_frequencies(docs)
-    idf = weights(n, total)
-    rows = benchmark.filter("text is not null").select("item_id", "text")
-    out, block = [], durable(rows.withColumn("block", F.floor((F.row_number().over(_ordered()) - 1) / BLOCK)), "benchmark")
-    for k in range((block.agg(F.max("block")).first()[0] if block.take(1) else -1) + 1):
-        own = block.filter(F.col("block") == k).select("item_id", "text")
-        keys, space = latent_space(own, idf)
-        items = own.orderBy("item_id", "text").collect()  # BLOCK rows
-        number, span, hashes, a = _matrix([r.text for r in items], idf)
-        row = np.full(HASHES, -1, np.int32)
-        row[keys] = np.arange(len(keys))
-        there = row[hashes] >= 0
-        passages = a[:, there] @ space[row[hashes[there]]]
-        out.append(Index(row, space, idf, passages, number, span, [r.item_id for r in items], [_WORD.findall(lowered(r.text)) for r in items]))
+    def leaks(self, raws: list[bytes], words: np.ndarray, n: np.ndarray, split: dict[int, list[bytes]]) -> Iterator[tuple[int, tuple]]:
+        """(text, leak) of the texts, of which `split` keeps the words."""
+        near: dict[tuple[int, int], list[tuple[float, int]]] = {}
+        for t, at, item, c in self.candidates(words, n):
+            near.setdefault((t, item), []).append((c, at))
+        for (t, item), places in sorted(near.items()):
+            if t not in split:
+                split[t] = _WORD.findall(raws[t])
+            own = split[t]
+            size = len(self.words[item])
+            found = None
+            for c, at in sorted(places, reverse=True):
+                low = max(0, at - size)
+                stretch = own[low : at + STEP * SPAN + size]
+                there = set(stretch)
+                # no subsequence holds more of the item's words than stand there at all
+                if sum(w in there for w in self.words[item]) < COMMON * size:
+                    continue
+                if m := matched(self.words[item], stretch):
+                    if found is None or m[0] > found[2]:
+                        found = (self.ids[item], max(x for x, _ in places), m[0], low + m[1], low + m[2])
+                    if m[0] == 1:
+                        break
+            if found:
+                yield t, found
+
+
+def leaks_in(texts: list[str | None], indexes: list[Index]) -> list[list[tuple]]:
+    out: list[list[tuple]] = [[] for _ in texts]
+    for first, raws in _batches(texts):
+        words, n = hashed(raws)
+        split: dict[int, list[bytes]] = {}
+        for index in indexes:
+            for t, found in index.leaks(raws, words, n, split):
+                out[first + t].append(found)
     return out
 
 
-def _ordered():
-    from pyspark.sql import Window
+def _dealt_items(benchmark: DataFrame, idf: np.ndarray, total: int) -> DataFrame:
+    """The items that have words, with `kind` (1: weak) and the number of their block within it."""
 
-    return Window.orderBy("item_id", "text")
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b["item_id"].tolist(), b["text"].to_list(), strict=True):
+                words, _ = hashed([lowered(text)])
+                if len(words):
+                    rows.append((item, text, len(_chunks(words)), 0))
+            yield pd.DataFrame(rows, columns=["item_id", "text", "passages", "kind"])
+
+    rows = benchmark.filter("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = durable(rows.mapInPandas(counted, "item_id string, text string, passages long, kind int").withColumn("item_id", F.col("item_id").cast("long")), "benchmark")
+    blocks = {r.kind: max(1, round(r.n / RANK)) for r in items.groupBy("kind").agg(F.sum("passages").alias("n")).collect()}
+    number = F.pmod(F.xxhash64("item_id", "text"), F.when(F.col("kind") == 1, blocks.get(1, 1)).otherwise(blocks.get(0, 1)))
+    return items.withColumn("block", number)
+
+
+def build_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The indexes of the benchmark's blocks, GROUP at a time, with the word frequencies of all documents."""
+    n, total = document_frequencies(docs)
+    idf, flat = weights(n, total), np.ones(HASHES, np.float32)
+    items = durable(_dealt_items(benchmark, idf, total), "benchmark-blocks")
+    group = []
+    for b in items.groupBy("kind", "block").agg(F.sum("passages").alias("n")).orderBy("kind", "block").collect():
+        own = items.filter((F.col("kind") == b.kind) & (F.col("block") == b.block)).select("item_id", "text")
+        group.append(_index(own, flat if b.kind else idf, int(b.n), bool(b.kind)))
+        if len(group) == GROUP:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
+def _index(own: DataFrame, idf: np.ndarray, passages: int, flat: bool) -> Index:
+    keys, space = latent_space(own, idf, passages)
+    items = own.orderBy("item_id", "text").collect()  # about RANK passages
+    texts = [r.text for r in items]
+    number, span, hashes, a = _matrix(texts, idf)
+    row = np.full(HASHES, -1, np.int32)
+    row[keys] = np.arange(len(keys))
+    there = row[hashes] >= 0
+    latent = a[:, there] @ space[row[hashes[there]]]
+    # of unit length again, whatever the rounding of the space took
+    latent /= np.maximum(1e-9, np.sqrt((latent**2).sum(axis=1, keepdims=True)))
+    words, n = hashed([lowered(t) for t in texts])
+    chunks = [c for w in np.split(words, np.cumsum(n)[:-1]) for c in _chunks(w)]
+    least = np.full(len(chunks), COSINE)
+    return Index(row, space, idf, latent, number, span, [r.item_id for r in items], [_WORD.findall(lowered(t)) for t in texts], least)
 
 
 def leaks_of(text: Column, indexes: list[Index]) -> Column:
     @F.pandas_udf(LEAKS)
     def find(texts: pd.Series) -> pd.Series:
-        own = texts.to_list()
-        found = [x.leaks(own) for x in indexes]
         names = LEAKS.elementType.names
-        return pd.Series([[dict(zip(names, t, strict=True)) for x in found for t in x[i]] for i in range(len(own))], index=texts.index, dtype=object)
+        return pd.Series([[dict(zip(names, t, strict=True)) for t in found] for found in leaks_in(texts.to_list(), indexes)], index=texts.index, dtype=object)
 
     return find(text)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, cosine, common, first_word, last_word."""
-    indexes = build_index(docs, benchmark)
+    groups = build_indexes(docs, benchmark)
     narrow_batches(docs.sparkSession)
-    return docs.select("doc_id", F.explode(leaks_of(F.col("text"), indexes)).alias("x")).select("doc_id", "x.*")
+    found = lambda indexes: docs.select("doc_id", F.explode(leaks_of(F.col("text"), indexes)).alias("x")).select("doc_id", "x.*")
+    out = found(next(groups, []))
+    for indexes in groups:
+        out = durable(out, "leaks").unionAll(found(indexes))
+    return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all columns."""
-    indexes = build_index(docs, benchmark)
+    groups = build_indexes(docs, benchmark)
     narrow_batches(docs.sparkSession)
-    return docs.filter(F.size(leaks_of(F.col("text"), indexes)) <= 0)
+    clean = lambda rows, indexes: rows.filter(F.size(leaks_of(F.col("text"), indexes)) <= 0)
+    out = clean(docs, next(groups, []))
+    for indexes in groups:
+        out = clean(durable(out, "clean"), indexes)
+    return out

@@ -385,6 +385,21 @@ def test_decontamination(spark, docs, empty):
     assert find_leaks(empty, bench).count() == 0 and find_leaks(d, bench.filter("false")).count() == 0
 
 
+def unlike(rng, n):
+    return " ".join("".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+
+
+def test_decontamination_full_block(spark):
+    """Exact copies of 400 unlike items, about 900 passages, are all found."""
+    from binweave.llm.decontaminate import find_leaks
+
+    rng = random.Random(8)
+    items = [(k, unlike(rng, rng.randrange(15, 60))) for k in range(400)]
+    rows = [(k, f"{unlike(rng, 60)} {t} {unlike(rng, 60)}") for k, t in items]
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(400)}
+
+
 def test_longest_common_subsequence():
     from binweave.llm.decontaminate import common_words
 
