@@ -18,6 +18,12 @@ of as many dimensions as the block has passages: every passage lies in it whole,
 cosines are those of the TF-IDF vectors. GROUP blocks at most are sent to tasks at once;
 more take further passes over the documents, so that what tasks receive is bounded.
 
+Words of many documents have no weight, and a copied item may itself make its words
+frequent. An item of which even an exact copy might stay below COSINE, in windows filled
+up with the rarest words, goes to blocks of its own, which are also searched with equal
+weights of all words; each passage's threshold is then at most the least cosine of a
+window that holds COMMON of it.
+
 Defined results: null and empty texts hold no leak; items without a word match
 nothing; repeated items are reported under each id; repeated rows are reported each;
 empty tables give no rows; other columns are ignored.
@@ -28,6 +34,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -111,7 +118,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def weights(n: np.ndarray, total: int) -> np.ndarray:
-    """Inverse document frequencies; none for frequent words."""
+    """Inverse document frequencies; none for frequent words. Items that lose by that are found by `weak`."""
     return np.where(n > SHARE * total + FREQUENT, 0, np.log((total + 1) / (n + 0.5)).clip(0.01)).astype(np.float32)
 
 
@@ -128,6 +135,23 @@ def _span(words: int) -> int:
     return SPAN - 1 if words <= (SPAN - 1) * STEP - STEP + 1 else SPAN
 
 
+def weak(words: np.ndarray, idf: np.ndarray, total: int) -> bool:
+    """Whether no passage of the item is sure to reach COSINE where it stands unchanged, whatever surrounds it."""
+    rarest = max(0.01, float(np.log((total + 1) / 1.5)))
+    for c in _chunks(words):
+        own = float(((np.unique(c, return_counts=True)[1] * idf[np.unique(c)]) ** 2).sum())
+        if own > 0 and own >= 1.01 * COSINE**2 * (own + (_span(len(c)) * STEP - len(c)) * rarest**2):
+            return False
+    return True
+
+
+def _least_cosine(passage: np.ndarray) -> float:
+    """With equal weights: the least cosine of a passage and a window that holds COMMON of its words."""
+    _, inverse, count = np.unique(passage, return_inverse=True, return_counts=True)
+    times = np.sort(count[inverse])
+    return 0.999 * float(times[: max(1, int(np.ceil(COMMON * len(times) - 1e-9)))].sum() / np.sqrt((count**2).sum() * _span(len(passage)) * STEP))
+
+
 def _matrix(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(item number, steps of the windows it is sought in, hashes in use, unit TF-IDF row over those) of the items' passages; a block of items at most."""
     words, n = hashed([lowered(t) for t in texts])
@@ -163,7 +187,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
             w = np.stack([np.random.default_rng((seed, int(h))).standard_normal(rank, dtype=np.float32) for h in k]) if len(k) else np.zeros((0, rank), np.float32)
             live = a.any(axis=0)
             z = a[:, live].T @ (a[:, live] @ w[live])
-            yield pd.DataFrame({"k": k[live], "x": list(z.astype(float))})
+            yield pd.DataFrame({"k": k[live], "x": pd.Series(list(z.astype(float)), dtype=object)})
 
     found = _summed(items.mapInPandas(sketch, "k long, x array<double>"), rank)
     if not found:
@@ -177,7 +201,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
             _, _, k, a = _matrix(b["text"].to_list(), idf)
             there = np.isin(k, keys)
             y = a[:, there] @ q[np.searchsorted(keys, k[there])]
-            yield pd.DataFrame({"k": range(q.shape[1]), "x": list((y.T @ y).astype(float))})
+            yield pd.DataFrame({"k": range(q.shape[1]), "x": pd.Series(list((y.T @ y).astype(float)), dtype=object)})
 
     g = _summed(items.mapInPandas(gram, "k long, x array<double>"), q.shape[1])
     values, turn = np.linalg.eigh(np.array([g[k] for k in range(q.shape[1])]))
@@ -226,6 +250,8 @@ class Index:
     words: list[list[bytes]]
     #: The cosine from which each passage is a candidate.
     least: np.ndarray
+    #: The same items with equal weights, for candidates beside these.
+    flat: Index | None = None
 
     def candidates(self, words: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(text, first word, item, cosine) of passages near an item. Short passages of items are sought in windows a step shorter."""
@@ -277,7 +303,7 @@ class Index:
     def leaks(self, raws: list[bytes], words: np.ndarray, n: np.ndarray, split: dict[int, list[bytes]]) -> Iterator[tuple[int, tuple]]:
         """(text, leak) of the texts, of which `split` keeps the words."""
         near: dict[tuple[int, int], list[tuple[float, int]]] = {}
-        for t, at, item, c in self.candidates(words, n):
+        for t, at, item, c in chain(self.candidates(words, n), self.flat.candidates(words, n) if self.flat else ()):
             near.setdefault((t, item), []).append((c, at))
         for (t, item), places in sorted(near.items()):
             if t not in split:
@@ -321,7 +347,7 @@ def _dealt_items(benchmark: DataFrame, idf: np.ndarray, total: int) -> DataFrame
             for item, text in zip(b["item_id"].tolist(), b["text"].to_list(), strict=True):
                 words, _ = hashed([lowered(text)])
                 if len(words):
-                    rows.append((item, text, len(_chunks(words)), 0))
+                    rows.append((item, text, len(_chunks(words)), int(weak(words, idf, total))))
             yield pd.DataFrame(rows, columns=["item_id", "text", "passages", "kind"])
 
     rows = benchmark.filter("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -339,7 +365,9 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]
     group = []
     for b in items.groupBy("kind", "block").agg(F.sum("passages").alias("n")).orderBy("kind", "block").collect():
         own = items.filter((F.col("kind") == b.kind) & (F.col("block") == b.block)).select("item_id", "text")
-        group.append(_index(own, flat if b.kind else idf, int(b.n), bool(b.kind)))
+        index = _index(own, idf, int(b.n))
+        index.flat = _index(own, flat, int(b.n), True) if b.kind else None
+        group.append(index)
         if len(group) == GROUP:
             yield group
             group = []
@@ -347,7 +375,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list[Index]
         yield group
 
 
-def _index(own: DataFrame, idf: np.ndarray, passages: int, flat: bool) -> Index:
+def _index(own: DataFrame, idf: np.ndarray, passages: int, flat: bool = False) -> Index:
     keys, space = latent_space(own, idf, passages)
     items = own.orderBy("item_id", "text").collect()  # about RANK passages
     texts = [r.text for r in items]
@@ -360,7 +388,7 @@ def _index(own: DataFrame, idf: np.ndarray, passages: int, flat: bool) -> Index:
     latent /= np.maximum(1e-9, np.sqrt((latent**2).sum(axis=1, keepdims=True)))
     words, n = hashed([lowered(t) for t in texts])
     chunks = [c for w in np.split(words, np.cumsum(n)[:-1]) for c in _chunks(w)]
-    least = np.full(len(chunks), COSINE)
+    least = np.array([min(COSINE, _least_cosine(c)) if flat else COSINE for c in chunks])
     return Index(row, space, idf, latent, number, span, [r.item_id for r in items], [_WORD.findall(lowered(t)) for t in texts], least)
 
 

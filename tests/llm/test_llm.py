@@ -400,6 +400,30 @@ def test_decontamination_full_block(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(400)}
 
 
+def test_decontamination_frequent_items(spark):
+    """Items that stand in a third of all documents, and items of frequent words alone, are found; also where a third of the words is changed."""
+    from binweave.llm.decontaminate import drop_leaks, find_leaks
+
+    rng = random.Random(9)
+    often = "the of and to in that it with for as was on be at by this".split()
+    items = [(0, unlike(rng, 40)), (1, " ".join(rng.choice(often) for _ in range(24))), (2, unlike(rng, 20)), (3, "of the and")]
+    rows, want = [], set()
+    for k in range(900):
+        middle = ""
+        if k % 3 == 0 or k < 20:
+            i = 0 if k % 3 == 0 else 1 + k % 2
+            words = items[i][1].split()
+            if k % 4 == 0 and i != 1:
+                words = [x if j % 4 else unlike(rng, 1) for j, x in enumerate(words)]
+            middle = " ".join(words)
+            want.add((k, i))
+        rows.append((k, f"{unlike(rng, 40)} {' '.join(rng.sample(often, len(often)))} {unlike(rng, 40)} {middle} {unlike(rng, 80)}"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()}
+    assert want <= got and all(i == 3 for _, i in got - want)
+    assert {r.doc_id for r in drop_leaks(docs, bench).collect()} == {k for k, _ in rows} - {k for k, _ in got}
+
+
 def test_longest_common_subsequence():
     from binweave.llm.decontaminate import common_words
 
