@@ -27,11 +27,12 @@ clashing ids do no harm; an empty table gives no rows; other columns are ignored
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, lean, narrow_batches, parts, whole
@@ -40,6 +41,8 @@ from .jaccard import mix
 LEAST = 400
 WINDOW = 256
 GRAM = 8
+#: Words of a repeated passage (over 50), and the bytes that stand for one word.
+WORDS, CODE = 51, 8
 #: Anchors that a task holds before it sends them on; suffixes of one sorted run; anchors per bucket and suffixes per range.
 HELD, RUN, BUCKET, RANGE = 1 << 20, 30_000, 400_000, 40_000
 #: Groups up to this size are compared as a matrix, larger ones by one pass for each offset of the anchor.
@@ -50,7 +53,36 @@ _SPAN = np.dtype([("doc", "<i8"), ("first", "<u4"), ("last", "<u4")])
 _BLOCKS = "bucket long, kind int, block binary"
 _SPANS = "doc long, first long, last long"
 #: Columns beside those of the input, whatever names that has.
-_KEY, _SPANNED = "_binweave_key", "_binweave_spans"
+_KEY, _SPANNED, _WORDED = "_binweave_key", "_binweave_spans", "_binweave_words"
+_WORD = re.compile(r"\S+")
+
+
+def _raw(text: str | bytes) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)
+
+
+class _Codes(dict):
+    """CODE bytes for each word, without the punctuation at its ends (all of it, if it has nothing else)."""
+
+    def __missing__(self, word: str) -> bytes:
+        from xxhash import xxh3_64_digest as digest
+
+        inner = re.sub(r"^[\W_]+|[\W_]+$", "", word)
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = out = digest((inner or word).encode("utf-8", "surrogatepass"))
+        return out
+
+
+def coded(text: Column | str) -> Column:
+    """Texts as the codes of their words, one after another."""
+
+    @F.pandas_udf("binary")
+    def code(texts: pd.Series) -> pd.Series:
+        codes = _Codes()
+        return pd.Series([b"".join([codes[w] for w in _WORD.findall(t)]) for t in texts], index=texts.index, dtype=object)
+
+    return code(text)
 
 
 def anchors(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +173,7 @@ def _emit(docs: DataFrame, buckets: int, least: int) -> DataFrame:
                 yield _dealt(_joined(spans), np.zeros(1, np.int64).repeat(len(_joined(spans))) + int(x["doc"][0]) % buckets, 1)
 
         for b in batches:
-            ids, texts = b["doc"].to_numpy(), [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            ids, texts = b["doc"].to_numpy(), [_raw(t) for t in b["text"]]
             i = 0
             while i < len(texts):
                 j, size = i, 0
@@ -376,10 +408,11 @@ def _unpack(kind: int, dtype: np.dtype, schema: str, met: DataFrame) -> DataFram
     return met.filter(F.col("kind") == kind).select("block").mapInPandas(rows, schema)
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs(doc, text) -> (doc, first, last): ranges of starts of strings that start elsewhere too."""
+def repeated_spans(docs: DataFrame, least: int = LEAST, total: int | None = None) -> DataFrame:
+    """docs(doc, text) -> (doc, first, last): ranges of starts of strings that start elsewhere too. Texts may be binary; `total` is about their bytes."""
     core = least - WINDOW + 1
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts(docs.sparkSession), total * 2 // WINDOW // BUCKET + 1)
     met = durable(_emit(docs, buckets, least).groupBy("bucket").applyInPandas(_met(buckets), _BLOCKS), "suffix-anchors")
     spans = _unpack(1, _SPAN, _SPANS, met)
@@ -393,7 +426,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
         held: list[tuple] = []
         for b in batches:
             for doc, text, own in zip(b["doc"], b["text"], b["anchors"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+                raw = _raw(text)
                 for x in own:
                     at, low, high = x["at"], x["low"], x["high"]
                     held.append(((x["core"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + raw[at : at - low + least], raw[at - high : at], doc, at, low, high, x["known"]))
@@ -449,11 +482,43 @@ def dedup_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return spanned.mapInPandas(digests, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The documents with repeated passages cut out of their texts; a character that a cut splits goes as a whole."""
+def repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs(doc, text) -> (doc, first, last): ranges of numbers of words at which a passage of that many words starts that stands elsewhere too.
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or t is None else _kept(t.encode("utf-8", "surrogatepass"), s, least)[1].decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], index=texts.index, dtype=object)
+    The same search over the codes of the words, of which whole ones count.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a text of n words has 2 n - 1 bytes at least
+    long = docs.filter(F.octet_length("text") >= 2 * words - 1)
+    spans = repeated_spans(long.select("doc", coded("text").alias("text")), words * CODE, total * 5 // 4)
+    whole_words = spans.select("doc", F.ceil(F.col("first") / CODE).alias("first"), F.floor(F.col("last") / CODE).alias("last"))
+    return whole_words.filter("first <= last")
 
-    return _with_spans(docs, least).withColumn("text", cut("text", _SPANNED)).select(*docs.columns)
+
+def _bytes_of_words(text: str, spans: list, words: int) -> list[tuple[int, int]]:
+    """Byte ranges of the passages that start at the words of the spans."""
+    if spans is None or not len(spans):
+        return []
+    at = [m.span() for m in _WORD.finditer(text)]
+    size = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])]) if not text.isascii() else range(len(text) + 1)
+    return [(int(size[at[x["first"]][0]]), int(size[at[x["last"] + words - 1][1]])) for x in spans]
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
+    """The documents with repeated passages cut out of their texts, those of `least` bytes and those of `words` words; a character that a cut splits goes as a whole."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series, worded: pd.Series) -> pd.Series:
+        out = []
+        for t, s, w in zip(texts, spans, worded, strict=True):
+            if t is None or (s is None and w is None):
+                out.append(t)
+                continue
+            ranges = [{"first": a, "last": b - least} for a, b in _bytes_of_words(t, w, words)]
+            out.append(_kept(_raw(t), [*([] if s is None else s), *ranges], least)[1].decode("utf-8", "ignore"))
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    spanned = _with_spans(docs, least).withColumn(_KEY, F.xxhash64("doc_id", "text"))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc"), whole("text").alias("text"))
+    passages = repeated_words(keyed, words).groupBy(F.col("doc").alias(_KEY)).agg(F.collect_list(F.struct("first", "last")).alias(_WORDED))
+    return spanned.join(passages, _KEY, "left").withColumn("text", cut("text", _SPANNED, _WORDED)).select(*docs.columns)

@@ -174,6 +174,40 @@ def test_repeated_offsets(limit, monkeypatch):
             assert [d for a, b in got[i] for d in range(a, b + 1)] == want
 
 
+def brute_words(texts, least):
+    """The texts without the passages of that many words that start at another word too."""
+    inner = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w) or w
+    words = [[inner(w) for w in t.split()] for t in texts]
+    seen = collections.Counter(tuple(w[p : p + least]) for w in words for p in range(len(w) - least + 1))
+    out = []
+    for t, w in zip(texts, words, strict=True):
+        gone = np.zeros(len(t), bool)
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        for p in range(len(w) - least + 1):
+            if seen[tuple(w[p : p + least])] > 1:
+                gone[at[p][0] : at[p + least - 1][1]] = True
+        out.append("".join(c for c, g in zip(t, gone, strict=True) if not g))
+    return out
+
+
+def test_pipeline_cuts_repeats_of_51_words(spark):
+    """Passages of 51 words, many under 400 bytes, are cut; those of 50 words, of fewer bytes, are left."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    rng = random.Random(12)
+    short = lambda n: " ".join("".join(rng.choice("abcdéß") for _ in range(rng.randrange(1, 6))) + rng.choice(["", ",", "."]) for _ in range(n))
+    texts = []
+    for k in range(40):
+        passage = short((50, 51, 51, 60)[k % 4])
+        texts += [f"{short(rng.randrange(90))} {a}{passage}{b} {short(rng.randrange(90))}".strip() for a, b in (("", ""), ("(", ").") if k % 2 else ("", ""))]
+    texts += ["na " * 70, "x " * 60 + "y", ""]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    want = brute_words(texts, 51)
+    assert sum(a != b for a, b in zip(texts, want, strict=True)) >= 60
+    assert got == {k: (t, len(t)) for k, t in enumerate(want)}
+
+
 # 3: licences
 
 
