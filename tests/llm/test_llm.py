@@ -221,6 +221,21 @@ def test_licenses(spark, docs, plain):
     assert digests == {i: hashlib.sha256(canonical_text(t or "").encode()).hexdigest() for i, t in plain}
 
 
+def test_full_license_texts(spark):
+    """Full texts, not only notices, are known: BSD and, where the system has them, those of its common licences."""
+    import os
+
+    from binweave.llm.licenses import NOTICES, scan_documents
+
+    rows, want = [(1, "BSD 2-Clause License\n\nCopyright (c) 2001, Someone\n" + NOTICES["BSD-2-Clause"][-1]), (2, NOTICES["BSD-3-Clause"][-1])], {1: "BSD-2-Clause", 2: "BSD-3-Clause"}
+    for k, (f, name) in enumerate([("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-2.1", "LGPL-2.1"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")], 3):
+        if os.path.exists(path := f"/usr/share/common-licenses/{f}"):
+            with open(path) as own:
+                rows.append((k, own.read()))
+            want[k] = name
+    assert {r.doc_id: r.license for r in scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 # 4: languages
 
 
