@@ -129,6 +129,15 @@ def m6_rows(spark, d):
     return models.fold_days(scored(spark, d), 19740, 3).groupBy(F.col("fold").cast("long").alias("fold"), "part").agg(F.count("*").alias("n"))
 
 
+@register("m6_fold_rows_all", f"with {SCORED}, x as (select route, bin, cast(floor((bin*600+28800)/86400) as bigint) as day, cast(floor((bin*600+2400+28799)/86400) as bigint) as known from sl), f as (select unnest(range(min(day), max(day) + 1)) as fold from x) select fold, case when day = fold then 'test' else 'train' end as part, count(*) as n from x, f where day = fold or known < fold group by 1, 2")
+def m6_rows_all(spark, d):
+    """The rows of the folds of every day from the table's first to its last, from daily sums."""
+    days = scored(spark, d).groupBy("local_day", F.floor((F.col("bin") * 600 + 2400 + 28800 - 1) / 86400).alias("known")).agg(F.count("*").alias("n"))
+    folds = days.agg(F.explode(F.sequence(F.min("local_day"), F.max("local_day"))).alias("fold"))
+    part = F.when(F.col("local_day") == F.col("fold"), "test").when(F.col("known") < F.col("fold"), "train")
+    return days.crossJoin(F.broadcast(folds)).withColumn("part", part).filter("part is not null").groupBy(F.col("fold").cast("long").alias("fold"), "part").agg(F.sum("n").alias("n"))
+
+
 _SEL = f"with {SCORED}, x as (select route, bin, y_30, y_persistence as a, p1 as b, cast(floor((bin*600+28800)/86400) as bigint) as day from sl), e as (select route, day, sum(abs(a-y_30)) as a, sum(abs(b-y_30)) as b, row_number() over (partition by route order by day) as i from x group by 1, 2), s as (select t.route, t.day, case when sum(p.a) is null then 'y_persistence' when sum(p.b) < sum(p.a) then 'p1' else 'y_persistence' end as selected from e t left join e p on p.route = t.route and p.i between t.i - 3 and t.i - 1 group by 1, 2)"
 
 
@@ -191,14 +200,14 @@ def m4(spark, d):
     columns = ["lag_10", "lag_20", "roll_mean_30"]
     s = models.imputed(scored(spark, d), columns)
     features = ["y_persistence", "tod_min", "is_weekend", *columns]
-    return models.boosted(s, features, "y_30", maxIter=5).transform(s).select("route", "bin", "gbt")
+    return models.boosted(s, features, "y_30").transform(s).select("route", "bin", "gbt")
 
 
 @register("m20_mlp")
 def m20(spark, d):
     s = scored(spark, d)
     features = ["y_persistence", "tod_sin", "tod_cos"]
-    return models.mlp_predict(s, models.fit_mlp(s, features, "y_30", "route", seeds=2, epochs=10), features, "route").select("route", "bin", "mlp")
+    return models.mlp_predict(s, models.fit_mlp(s, features, "y_30", "route"), features, "route").select("route", "bin", "mlp")
 
 
 @register("m25_residual", f"with {SCORED}, r as (select route, bin, p1, p1 - y_persistence as x, y_30 - p1 as e from sl), m as (select route, count(*) as n, avg(x) as mx, stddev_pop(x) as sx, avg(e) as me, covar_pop(x, e) as c from r group by 1), w as (select route, mx, me, case when sx > 0 then (n*c/sx)/(n + 1.0)/sx else 0 end as w from m) select r.route, bin, round(p1 + me + w*(x - mx),6) as calibrated from r join w on w.route = r.route")

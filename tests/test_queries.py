@@ -37,3 +37,20 @@ def test_query_matches_oracle(spark, con, name):
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-6) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_model_queries_run_their_operators_defaults(spark, monkeypatch):
+    """m4_boosted and m20_mlp pass no smaller job than the operators' own parameters."""
+    from binweave.operators import models
+
+    class Seen(Exception):
+        pass
+
+    def settings(*args, **named):
+        raise Seen(named)
+
+    for name, operator in (("m4_boosted", "boosted"), ("m20_mlp", "fit_mlp")):
+        monkeypatch.setattr(models, operator, settings)
+        with pytest.raises(Seen) as seen:
+            QUERIES[name](spark, SF)
+        assert seen.value.args == ({},)
