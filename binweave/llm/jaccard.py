@@ -6,12 +6,19 @@ of shingles is hashed into m_k > H_k segments; two linked sets agree on at least
 m_k - H_k of them. A set's signatures are the hashes of its segments' contents, for
 each band in which the smaller set of a pair with it may lie.
 
-Cost-based allocation: segments that no other set shares cost nothing, and of the
-others a set needs to be probed in all but (agreements needed - 1), so the most
-frequent ones are left out; sets that share too few are out altogether. Where too
-many segments are empty to say anything, and in small bands, the shingles themselves
-are the segments (a set with one shingle deleted shares all the others, so these are
-the one-deletion neighbourhoods at their cheapest: n entries, not n * n).
+In small bands, and for sets that leave too many segments empty, H + 1 coarser segments
+are indexed by their contents and by their one-deletion neighbourhoods (the contents
+less one shingle). A set spends 0, 1 (equal) or 2 (at most one shingle apart) on each
+segment, H + 1 in all: if every segment differed by what is spent on it, the sets would
+differ in H + 1. Empty segments, and neighbourhoods of single shingles, would be the
+same for everyone; they are neither indexed nor spent on. The few sets that then can't
+spend enough find one another by prefixes of their shingles.
+
+Cost-based allocation: a signature costs as many comparisons as sets have it, known
+from a first exchange. Signatures that no other set shares cost nothing. A set asks for
+the rarest ones that suffice: of its segments all but (agreements needed - 1), of the
+coarse ones what remains when the dearest units beyond H + 1 are struck off. It is found
+by all that it has.
 
 Signatures travel packed: a task sends one block to each bucket of signatures. Sets
 that share a signature are candidates. First each group's most popular member is
@@ -19,11 +26,14 @@ compared with the others; then only pairs whose sets aren't yet connected, and
 whose parity bitmaps differ in at most H bits, a lower bound of their difference.
 All candidates are verified on the whole sets; links become components.
 
-Sets with equal 64-bit digests and sizes are taken as equal.
+Sets are told apart by 128 bits: 64 name them; where two sets of different other 64 bits
+have one name, the work is done anew with those named by the other half.
 
 Defined results: null and empty texts, and texts of white space, have the empty set,
 linked with nothing; repeated rows are equal sets; a row without an id is counted
-but linked with nothing, its component is null; texts of under five words are one shingle; an empty table gives no rows.
+but linked with nothing, its component is null; texts of under five words are one
+shingle; very long texts are taken whole; an empty table gives no rows; other columns
+are ignored, whatever their names (keep_one returns them as they are).
 """
 
 from __future__ import annotations
@@ -42,8 +52,10 @@ from .components import components
 WORDS = 5
 #: Linked if UNDER * intersection >= OVER * union.
 OVER, UNDER = 75, 100
-#: Bands up to this size use the shingles themselves.
+#: Bands up to this size use neighbourhoods.
 SMALL = 32
+#: Sets that a task knows it has sent, and sets that may be named anew.
+SEEN, RENAMED = 1 << 20, 100_000
 #: Bytes of text per bucket of signatures, and entries that a task holds before it sends them on.
 BUCKET_BYTES, HELD = 8 << 20, 1 << 21
 BITS = 1024
@@ -115,53 +127,92 @@ def band_of(n: int) -> int:
     return int(np.searchsorted(bands()[0], n, "right")) - 1
 
 
-def digest(s: np.ndarray) -> int:
-    return int((mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]) ^ mix(np.bitwise_xor.reduce(s)[None]))[0] >> np.uint64(1)).astype(np.int64)) if len(s) else -1
-
-
-def signatures(s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(family, agreements needed, signatures) of a set, for every band that matters. Families 2k: segments of band k; 2k + 1: its shingles."""
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set; (-1, -1) for the empty one."""
+    if not len(s):
+        return -1, -1
+    n = np.array([len(s)], np.uint64)
+    out = []
+    for seed in (np.uint64(0), _PRIME):
+        own = mix(s + seed) if seed else s
+        out.append(int(mix((own.sum(dtype=np.uint64)[None] + (n + seed)) ^ mix(np.bitwise_xor.reduce(own)[None]))[0].astype(np.int64)))
+    return out[0] if out[0] != -1 else 0, out[1]
+
+
+def _sums(own: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles in order of their segments -> (segment of each, its mixed hash, where segments begin, their sums)."""
+    order = np.argsort(seg, kind="stable")
+    seg, mixed = seg[order], mix(own[order])
+    first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+    return seg, mixed, first, np.add.reduceat(mixed, first)
+
+
+def neighbourhoods(s: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(units to spare, or less than 0; signatures; parts) of the coarse segments of band k.
+
+    A part is 1 + 4 * segment + 2 if the segment may take two units + 1 for a neighbour.
+    """
+    count = bands()[1][k] + 1
+    own = mix(s + np.uint64((k + 1) * int(_PRIME) % (1 << 64)))
+    seg, mixed, first, sums = _sums(own, own % np.uint64(count))
+    size = np.diff(np.concatenate([first, [len(seg)]]))
+    salt = mix(seg[first] + np.uint64((k << 32) + (1 << 63)))
+    two = size > 1
+    each = np.repeat(np.arange(len(first)), size)
+    near = np.flatnonzero(two[each])
+    sigs = np.concatenate([mix(sums + salt), mix(sums[each[near]] - mixed[near] + salt[each[near]])])
+    head = 1 + 4 * seg[first].astype(np.int64) + 2 * two
+    return int((1 + two).sum()) - count, sigs, np.concatenate([head, head[each[near]] + 1])
+
+
+def signatures(s: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | int]]:
+    """(family, need, signatures, parts) of a set, for every band that matters.
+
+    Families 3k: segments of band k; 3k + 2: shingles; need is the agreements needed, part 0.
+    3k + 1: neighbourhoods; need is 1 + the units to spare, 0 where a set can't spend enough.
+    """
     n = len(s)
     _, differ, segments = bands()
     for k in range(band_of(-(-n * OVER // UNDER)), band_of(n) + 1):
         needed = 0
         if bands()[0][k + 1] - 1 > SMALL:
             own = mix(s + np.uint64((k + 1) * int(_PRIME) % (1 << 64)))
-            seg = own % np.uint64(segments[k])
-            order = np.argsort(seg, kind="stable")
-            seg, own = seg[order], own[order]
-            first = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-            contents = mix(np.add.reduceat(mix(own), first) + mix(seg[first] + np.uint64(k << 32)))
-            needed = segments[k] - differ[k] - (segments[k] - len(first))
-            yield 2 * k, max(1, needed), contents
+            seg, _, first, sums = _sums(own, own % np.uint64(segments[k]))
+            needed = len(first) - differ[k]
+            yield 3 * k, max(1, needed), mix(sums + mix(seg[first] + np.uint64(k << 32))), 0
         if needed < 1:
-            yield 2 * k + 1, -(-n * OVER // UNDER), mix(s + np.uint64(k << 32))
+            spare, sigs, parts_ = neighbourhoods(s, k)
+            yield 3 * k + 1, max(0, spare + 1), sigs, parts_
+            if spare < 0:
+                yield 3 * k + 2, -(-n * OVER // UNDER), mix(s + np.uint64(k << 32)), 0
 
 
-_ENTRY = np.dtype([("sig", "<u8"), ("set", "<i8"), ("family", "<u2")])
-_MET = np.dtype([("sig", "<u8"), ("set", "<i8"), ("family", "<u2"), ("group", "<u4")])
+_ENTRY = np.dtype([("sig", "<u8"), ("set", "<i8"), ("family", "<u2"), ("part", "<u4")])
+_MET = np.dtype([("sig", "<u8"), ("set", "<i8"), ("family", "<u2"), ("part", "<u4"), ("group", "<u4")])
 _NEED = np.dtype([("set", "<i8"), ("family", "<u2"), ("need", "<u4")])
-_PROBE = np.dtype([("sig", "<u8"), ("set", "<i8"), ("popular", "<f4")])
-_FIVE = np.uint64((1 << 40) - 1)
+_PROBE = np.dtype([("sig", "<u8"), ("set", "<i8"), ("popular", "<f4"), ("ask", "u1")])
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Entries grouped by (set, family): its head, the number of signatures, and their low 40 bits."""
+    """Entries grouped by (set, family): its head, the number of signatures, and their low 40 bits; then the parts, if there are any."""
     x = x[np.lexsort((x["sig"], x["family"], x["set"]))]
     new = np.flatnonzero(np.concatenate([[True], (x["set"][1:] != x["set"][:-1]) | (x["family"][1:] != x["family"][:-1])]))
     count = np.diff(np.concatenate([new, [len(x)]])).astype("<u4")
     five = np.ascontiguousarray(x["sig"]).view(np.uint8).reshape(-1, 8)[:, :5]
-    return b"".join([len(new).to_bytes(4, "little"), x["set"][new].tobytes(), x["family"][new].tobytes(), count.tobytes(), five.tobytes()])
+    head = np.array([len(new), len(x)], "<u4").tobytes()
+    return b"".join([head, x["set"][new].tobytes(), x["family"][new].tobytes(), count.tobytes(), five.tobytes(), x["part"].tobytes() if x["part"].any() else b""])
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:4], "little")
-    sets, families, count = np.frombuffer(b, "<i8", n, 4), np.frombuffer(b, "<u2", n, 4 + 8 * n), np.frombuffer(b, "<u4", n, 4 + 10 * n)
-    five = np.frombuffer(b, np.uint8, -1, 4 + 14 * n).reshape(-1, 5)
-    out = np.zeros(len(five), _ENTRY)
-    wide = np.zeros((len(five), 8), np.uint8)
-    wide[:, :5] = five
+    n, size = np.frombuffer(b, "<u4", 2).tolist()
+    sets, families, count = np.frombuffer(b, "<i8", n, 8), np.frombuffer(b, "<u2", n, 8 + 8 * n), np.frombuffer(b, "<u4", n, 8 + 10 * n)
+    at = 8 + 14 * n
+    out = np.zeros(size, _ENTRY)
+    wide = np.zeros((size, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(b, np.uint8, 5 * size, at).reshape(-1, 5)
     out["sig"], out["set"], out["family"] = wide.view("<u8")[:, 0], np.repeat(sets, count), np.repeat(families, count)
+    if len(b) > at + 5 * size:
+        out["part"] = np.frombuffer(b, "<u4", size, at + 5 * size)
     return out
 
 
@@ -175,37 +226,43 @@ def _dealt(x: np.ndarray, bucket: np.ndarray, kind: int, pack) -> pd.DataFrame:
 _BLOCKS = "bucket long, kind int, block binary"
 
 
-def _emit(docs: DataFrame, buckets: int) -> DataFrame:
-    """Blocks by bucket. Kind 0: signature entries, by signature. Kind 1: the agreements that sets need, by set. Kind 2: (doc_id, size, set), by task."""
+def _emit(docs: DataFrame, buckets: int, renamed: frozenset[int]) -> DataFrame:
+    """Blocks by bucket. Kind 0: signature entries, by signature. Kind 1: what sets need, by set. Kind 2: (doc_id, size, set, other half), by task."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean()
-        held: list[np.ndarray] = []
+        held: tuple[list[np.ndarray], list[np.ndarray]] = [], []  # entries without and with parts
         needs: list[tuple] = []
         size, seen = 0, set()
 
         def send() -> Iterator[pd.DataFrame]:
-            nonlocal held, needs, size
-            if held:
-                x = np.concatenate(held)
-                yield _dealt(x, (x["sig"] >> np.uint64(40)) % np.uint64(buckets), 0, _packed)
+            nonlocal needs, size
+            for own in held:
+                if own:
+                    x = np.concatenate(own)
+                    yield _dealt(x, (x["sig"] >> np.uint64(40)) % np.uint64(buckets), 0, _packed)
+                    own.clear()
             if needs:
                 y = np.array(needs, _NEED)
                 yield _dealt(y, y["set"] % buckets, 1, lambda p: p.tobytes())
-            held, needs, size = [], [], 0
+            needs, size = [], 0
 
         for b in batches:
-            own = np.zeros((len(b), 3), np.int64)
+            own = np.zeros((len(b), 4), np.int64)
             for i, (doc_id, s) in enumerate(zip(b["doc_id"].to_numpy(), shingle_sets(b["text"].to_list()), strict=True)):
-                key = digest(s)
-                own[i] = doc_id, len(s), key
+                key, other = digests(s)
+                if key in renamed:
+                    key = other
+                own[i] = doc_id, len(s), key, other
                 if not len(s) or key in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(key)
-                for family, need, sigs in signatures(s):
+                for family, need, sigs, parts_ in signatures(s):
                     x = np.zeros(len(sigs), _ENTRY)
-                    x["sig"], x["set"], x["family"] = sigs, key, family
-                    held.append(x)
+                    x["sig"], x["set"], x["family"], x["part"] = sigs, key, family, parts_
+                    held[family % 3 == 1].append(x)
                     needs.append((key, family, need))
                     size += len(x)
                 if size > HELD:
@@ -238,7 +295,7 @@ def _met(buckets: int):
         group = np.repeat(count, count)
         keep = group > 1
         out = np.zeros(int(keep.sum()), _MET)
-        for name in ("set", "family"):
+        for name in ("set", "family", "part"):
             out[name] = x[name][keep]
         # the bucket's number comes back in, as only 40 bits of the signature travelled
         out["sig"] = mix(x["sig"][keep] * _PRIME + np.uint64(int(pdf["bucket"].iloc[0])))
@@ -250,14 +307,53 @@ def _met(buckets: int):
     return meet
 
 
+def _asked(met: np.ndarray, new: np.ndarray, count: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether each signature of a set's family 3k or 3k + 2, rarest first, is among those that suffice."""
+    rank = np.arange(len(met)) - np.repeat(new, count)
+    return (rank < np.repeat(count - least + 1, count)) & np.repeat(count >= least, count)
+
+
+def _spent(met: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Whether a set asks for each signature of a family 3k + 1. spare: the units it may strike off, less than 0 if it asks for none.
+
+    A unit is a segment's content, or (the second one) its neighbourhood, at the sum of its groups; the second is struck off first.
+    """
+    order = np.lexsort((met["part"], met["family"], met["set"]))
+    x = met[order]
+    unit = x["part"] - 1
+    other = lambda *names: np.concatenate([[True], np.logical_or.reduce([x[n][1:] != x[n][:-1] for n in names])])
+    new = np.flatnonzero(other("set", "family", "part"))
+    cost = np.add.reduceat(x["group"].astype(np.float64), new)
+    segment = np.cumsum(np.concatenate([[True], (unit[new][1:] >> 2 != unit[new][:-1] >> 2) | other("set", "family")[new][1:]])) - 1
+    dearest = np.zeros(segment[-1] + 1)
+    np.maximum.at(dearest, segment, cost)
+    second = unit[new] & 1
+    # a content that may take two units stands for both, if its neighbourhood is shared by none
+    alone = ((unit[new] & 2) > 0) & (second == 0) & (np.bincount(segment, second)[segment] == 0)
+    weight = np.where(alone, 2, 1)
+    cost = np.where(second == 1, dearest[segment], cost)
+    family = np.cumsum(other("set", "family"))[new] - 1
+    by = np.lexsort((-second, -cost, family))
+    begin = np.flatnonzero(np.concatenate([[True], family[by][1:] != family[by][:-1]]))
+    upto = np.cumsum(weight[by])
+    upto -= np.repeat(upto[begin] - weight[by][begin], np.diff(np.concatenate([begin, [len(by)]])))
+    ask = np.zeros(len(new), bool)
+    own = spare[order][new][by]
+    ask[by] = (upto > own) & (own >= 0)
+    out = np.zeros(len(met), bool)
+    out[order] = np.repeat(ask, np.diff(np.concatenate([new, [len(x)]])))
+    return out
+
+
 def _probes(buckets: int):
-    """By bucket of sets: for every set with enough shared signatures, those to probe, rarest first, dealt by signature."""
+    """By bucket of sets: for every set its shared signatures that it asks for, and those by which it may be found, dealt by signature."""
 
     def probe(pdf: pd.DataFrame) -> pd.DataFrame:
         lean()
+        none = pd.DataFrame({"bucket": [], "kind": [], "block": []})
         met, need = (np.concatenate([np.zeros(0, d), *(np.frombuffer(b, d) for b in pdf.loc[pdf["kind"] == k, "block"])]) for k, d in ((3, _MET), (1, _NEED)))
         if not len(met):
-            return pd.DataFrame({"bucket": [], "kind": [], "block": []})
+            return none
         need = np.unique(need)
         met = met[np.lexsort((met["sig"], met["group"], met["family"], met["set"]))]
         new = np.flatnonzero(np.concatenate([[True], (met["set"][1:] != met["set"][:-1]) | (met["family"][1:] != met["family"][:-1])]))
@@ -267,24 +363,31 @@ def _probes(buckets: int):
         known = np.zeros(len(need), heads.dtype)
         known["set"], known["family"] = need["set"], need["family"]
         least = need["need"][np.searchsorted(known, heads)].astype(np.int64)
-        rank = np.arange(len(met)) - np.repeat(new, count)
-        take = (rank < np.repeat(count - least + 1, count)) & np.repeat(count >= least, count)
+        ask = _asked(met, new, count, least)
+        near = met["family"] % 3 == 1
+        if near.any():
+            ask[near] = _spent(met[near], np.repeat(least, count)[near] - 1)
+        take = ask | near
         out = np.zeros(int(take.sum()), _PROBE)
-        out["sig"], out["set"] = met["sig"][take], met["set"][take]
+        out["sig"], out["set"], out["ask"] = met["sig"][take], met["set"][take], ask[take]
         out["popular"] = np.repeat(np.add.reduceat(met["group"].astype(np.float64), new) / count, count)[take]
         if not len(out):
-            return pd.DataFrame({"bucket": [], "kind": [], "block": []})
+            return none
         return _dealt(out, (out["sig"] % np.uint64(buckets)).astype(np.int64), 4, lambda p: p.tobytes())
 
     return probe
 
 
 def _groups(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The probes of one bucket in groups of a signature; the first of a group is its most popular set."""
+    """The probes of one bucket in groups of a signature that some set asks for; those that ask stand first, the most popular set before all."""
     x = np.concatenate([np.zeros(0, _PROBE), *(np.frombuffer(b, _PROBE) for b in pdf["block"])])
-    x = x[np.lexsort((x["set"], -x["popular"], x["sig"]))]
-    new = np.flatnonzero(np.concatenate([[True], x["sig"][1:] != x["sig"][:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x, new, np.diff(np.concatenate([new, [len(x)]]))
+    x = x[np.lexsort((x["set"], -x["popular"], 1 - x["ask"], x["sig"]))]
+    for wanted in (False, True):
+        new = np.flatnonzero(np.concatenate([[True], x["sig"][1:] != x["sig"][:-1]])) if len(x) else np.zeros(0, np.int64)
+        count = np.diff(np.concatenate([new, [len(x)]]))
+        if not wanted:
+            x = x[np.repeat((x["ask"][new] > 0) & (count > 1), count)] if len(x) else x
+    return x, new, count
 
 
 def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -298,9 +401,8 @@ def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _members(pdf: pd.DataFrame) -> pd.DataFrame:
     lean()
-    x, new, count = _groups(pdf)
-    x = x[np.repeat(count > 1, count)]
-    return pd.DataFrame({"sig": x["sig"].view(np.int64), "set": x["set"]})
+    x, _, _ = _groups(pdf)
+    return pd.DataFrame({"sig": x["sig"].view(np.int64), "set": x["set"], "ask": x["ask"].astype(bool)})
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -310,12 +412,12 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def _unlike_roots(x: pd.DataFrame) -> pd.DataFrame:
-    """Whole groups of a sig in turn -> pairs of different roots in a group that their sizes and bitmaps don't rule out."""
-    sig, sets, roots, n = (x[c].to_numpy() for c in ("sig", "set", "root", "n"))
+    """Whole groups of a sig in turn, those that ask first -> pairs of different roots in a group, one of which asks, that their sizes and bitmaps don't rule out."""
+    sig, sets, roots, n, ask = (x[c].to_numpy() for c in ("sig", "set", "root", "n", "ask"))
     bits = np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), -1)
     new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     end = np.repeat(np.concatenate([new[1:], [len(x)]]), np.diff(np.concatenate([new, [len(x)]])))
-    later = end - np.arange(len(x)) - 1  # rows of its group that follow
+    later = np.where(ask, end - np.arange(len(x)) - 1, 0)  # rows of its group that follow
     upto = np.cumsum(later)
     us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     a = 0
@@ -336,7 +438,7 @@ def _unlike_roots(x: pd.DataFrame) -> pd.DataFrame:
 
 
 def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (sig, set, root, n, bits), whole groups of a sig in turn -> what _unlike_roots finds, some thousand rows at once."""
+    """Rows (sig, set, ask, root, n, bits), whole groups of a sig in turn -> what _unlike_roots finds, some thousand rows at once."""
     lean()
     held: list[pd.DataFrame] = []
     size = 0
@@ -382,16 +484,24 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     narrow_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts(spark), -(-total // BUCKET_BYTES))
-    met = durable(_emit(docs, buckets).groupBy("bucket").applyInPandas(_met(buckets), _BLOCKS), "jaccard-met")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean()
         for b in batches:
             for block in b["block"]:
-                x = np.frombuffer(block, np.int64).reshape(-1, 3)
-                yield pd.DataFrame({"doc_id": x[:, 0], "n_shingles": x[:, 1], "set": x[:, 2]})
-
-    sized = met.filter("kind = 2").select("block").mapInPandas(rows, "doc_id long, n_shingles long, set long")
+                x = np.frombuffer(block, np.int64).reshape(-1, 4)
+                yield pd.DataFrame({"doc_id": x[:, 0], "n_shingles": x[:, 1], "set": x[:, 2], "other": x[:, 3]})
+
+    renamed: frozenset[int] = frozenset()
+    while True:
+        met = durable(_emit(docs, buckets, renamed).groupBy("bucket").applyInPandas(_met(buckets), _BLOCKS), "jaccard-met")
+        sized = met.filter("kind = 2").select("block").mapInPandas(rows, "doc_id long, n_shingles long, set long, other long")
+        # of n sets n * n / 2^65 pairs can be expected here: none or a handful
+        clash = sized.groupBy("set").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b").select("set").limit(RENAMED).collect()
+        if not clash:
+            break
+        renamed |= {r["set"] for r in clash}
+    sized = sized.drop("other")
     probes = durable(met.filter("kind in (1, 3)").groupBy("bucket").applyInPandas(_probes(buckets), _BLOCKS), "jaccard-probes")
     stars = durable(probes.groupBy("bucket").applyInPandas(_stars, "u long, v long").distinct(), "jaccard-stars")
     wanted = stars.select(F.col("u").alias("set")).unionAll(stars.select(F.col("v").alias("set"))).distinct()
@@ -401,11 +511,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = durable(near, "jaccard-links")
     roots = components(near)
     named = sets.select("set", "n", "bits").join(roots.withColumnRenamed("u", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    members = probes.groupBy("bucket").applyInPandas(_members, "sig long, set long").join(named.select("set", "root"), "set")
+    members = probes.groupBy("bucket").applyInPandas(_members, "sig long, set long, ask boolean").join(named.select("set", "root"), "set")
     # groups of one component are settled
     members = durable(members, "jaccard-members")
     mixed = members.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("sig")
-    apart = members.join(mixed, "sig", "left_semi").join(named.select("set", "n", "bits"), "set").repartition(buckets, "sig").sortWithinPartitions("sig").mapInPandas(_apart, "u long, v long").distinct()
+    apart = members.join(mixed, "sig", "left_semi").join(named.select("set", "n", "bits"), "set").repartition(buckets, "sig").sortWithinPartitions("sig", F.desc("ask")).mapInPandas(_apart, "u long, v long").distinct()
     more = durable(_verified(durable(apart, "jaccard-apart"), sets), "jaccard-links")
     return sized, components(near.unionAll(more))
 
@@ -417,7 +527,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     rooted = sized.groupBy("set").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("u", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("set", "component_id")
-    out = sized.join(named.filter("set >= 0"), "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sized.join(named.filter("set <> -1"), "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean()

@@ -8,9 +8,15 @@ language, labels spans; a document's language is the one with most letters.
 Learning: every task sums hashed counts over its rows, Spark adds them up, and the
 driver holds one table of BUCKETS counts per language, whatever the input.
 
+A letter is a character of a Unicode letter category; combining marks belong to the word
+they follow, and a run of marks alone (as after emoji) is no word.
+
 Defined results: null texts and texts without a letter are `und` with score 0;
 rows with a null language are not learned from; ties go to the language that sorts
-first; with nothing learned all is `und`; repeated rows are labelled each.
+first; with nothing learned all is `und`; repeated rows, and rows with null or
+repeated ids, are labelled each; an empty table gives no rows; very long texts are
+labelled whole, a text alone at a time if need be; other columns are ignored. Any
+number of languages may be learned.
 """
 
 from __future__ import annotations
@@ -46,9 +52,9 @@ _AT_ONCE = 1 << 20
 
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: part of a word, lower-case form, script (0: other)."""
-    top = 0x30000
-    inside = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(top)), bool, top)
+    """By code point: 2 for letters, 1 for marks; lower-case form; script (0: other)."""
+    top = 0x40000  # the planes beyond hold no letters
+    inside = np.fromiter(("ML".find(unicodedata.category(chr(i))[0]) + 1 for i in range(top)), np.int8, top)
     lower = np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(top)), np.uint32, top)
     script = np.zeros(top, np.int8)
     for k, (a, b) in enumerate(SCRIPTS, 1):
@@ -82,11 +88,17 @@ def words_of(texts: list[str | None]) -> Words:
     joined = [(t or "") + "\n" for t in texts]
     at = np.concatenate([[0], np.cumsum([len(x) for x in joined])])
     codes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.minimum(codes, len(lower) - 1)
-    letter = inside[codes]
-    c = np.where(letter, lower[codes], 0).astype(np.uint64)
+    codes = np.where(codes < len(lower), codes, 0)
+    kind = inside[codes]
+    letter = kind > 0
     edge = np.diff(np.concatenate([[0], letter.view(np.int8), [0]]))
     begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(begin):
+        bare = np.maximum.reduceat(kind, begin) < 2  # runs of marks alone
+        for a, b in zip(begin[bare], stop[bare], strict=True):
+            letter[a:b] = False
+        begin, stop = begin[~bare], stop[~bare]
+    c = np.where(letter, lower[codes], 0).astype(np.uint64)
     where = np.flatnonzero(letter)
     if not len(where):
         none = np.zeros(0, np.int64)
@@ -161,17 +173,21 @@ def learn(docs: DataFrame) -> Model:
 
 def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: float) -> np.ndarray:
     """The best label of each word. scores: words x labels of all texts in turn; text i has count[i] words from first[i] on."""
-    labels = np.zeros(len(scores), np.int8)
+    kind = np.min_scalar_type(-max(1, scores.shape[1]))
+    labels = np.zeros(len(scores), kind)
     order = np.argsort(-count, kind="stable")
     order = order[count[order] > 0]
-    for a in range(0, len(order), 128):
-        texts = order[a : a + 128]
+    a = 0
+    while a < len(order):
+        # texts side by side, the longer the fewer
+        texts = order[a : a + min(128, max(1, _AT_ONCE // int(count[order[a]])))]
+        a += len(texts)
         n, most = count[texts], int(count[texts[0]])
         at = first[texts]
         alive = np.searchsorted(-n, -np.arange(1, most + 1), "right")  # texts that have a t-th word; they stand first
         v = scores[at].astype(np.float64)
-        came = np.zeros((most, len(texts), scores.shape[1]), np.int8)
-        keep = np.arange(scores.shape[1], dtype=np.int8)
+        came = np.zeros((most, len(texts), scores.shape[1]), kind)
+        keep = np.arange(scores.shape[1], dtype=kind)
         for t in range(1, most):
             m = alive[t]
             own = v[:m]
@@ -180,7 +196,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch: fl
             stay = own >= jump[:, None]
             came[t, :m] = np.where(stay, keep, best[:, None])
             v[:m] = np.where(stay, own, jump[:, None]) + scores[at[:m] + t]
-        now = v.argmax(axis=1).astype(np.int8)
+        now = v.argmax(axis=1).astype(kind)
         for t in range(most - 1, -1, -1):
             m = alive[t]
             labels[at[:m] + t] = now[:m]

@@ -1,36 +1,36 @@
-"""Canonical SHA-256 digests and lengths (see licenses) of full licence texts and their headers, with and without what follows their terms."""
+"""Canonical SHA-256 digests, lengths and openings (see licenses) of full licence texts and their headers, with and without what follows their terms."""
 
 # Fixed values.
 FULL = [
-    ("Apache-2.0", "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e", 9700),
-    ("Apache-2.0", "7a46cf4a5d56898d746584f4fe57bdf571d600a8f39d21063431d88929f803c7", 501),
-    ("Apache-2.0", "b7bb6b2416cb5fc4e3acd34d1283c66e6228adab995f1c959405a3978193462c", 8656),
-    ("Apache-2.0", "cf7c26411074d941b42afe8baac32788531f003acea32d25ead49048c329c78d", 8684),
-    ("Artistic-1.0-Perl", "1357a9bd62a6cd762ce57365ccec76b0e1e966641d8088b1ac242233896ef822", 5619),
-    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e", 6691),
-    ("GFDL-1.2", "5da9685c1a9eca6682cc2efb4235fa1ec1edaa00b6e92210851153930b7e8935", 19513),
-    ("GFDL-1.3", "3156d6cec2ca17f0bde829c9aed26c5283eeab0a308fd161098d3586242b54b0", 21877),
-    ("GPL-1.0", "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9", 9412),
-    ("GPL-1.0", "4575f8cf583cfe5694de121df7d28ae3c2043234ee2357a6bc38c20fc1856cf0", 9384),
-    ("GPL-1.0", "88c0d32b6685976f91edcbb228c50498a7324b47880b82b90b4b86377ca82e38", 11699),
-    ("GPL-2.0", "07e0b5c718d976c65f203a7845a29604148aacfa04a467c2612e4256ab18d701", 659),
-    ("GPL-2.0", "0c9a4542e96ca81ae42edc69e3e782e55ec1b884d16f19b40168948fcff18a02", 14389),
-    ("GPL-2.0", "0f12b6e9d9db967dc3f2cbb3a9420a4ad6ee4c15995c361a3d46fdbfb2097edb", 14417),
-    ("GPL-2.0", "77ca59718b6c61b8c75a53778f78ed6cc9f68bbb5f05504d124dccb8086107de", 17053),
-    ("GPL-3.0", "17f3371a219747672b4f442509249c6db87dbaad9547717c6194b560b6f84c7e", 33197),
-    ("GPL-3.0", "269d068058687f765d68282dcf5a4d0df2ebffa5be660a5748351d1aaeb192fa", 30728),
-    ("GPL-3.0", "3e0639e2a9692446a12737e1e8a22455de0cf05c81a22cf39ea6cc1d2e85581b", 590),
-    ("GPL-3.0", "e7be52dd11d32bcd4f9b2533565f279d2a271123489364950a2eb799a9545bd9", 30756),
-    ("LGPL-2.0", "403058673bba6943aef7142b1e23be583b1e8eb31d1a6a4b2430940751c8ed1f", 22088),
-    ("LGPL-2.0", "8418f3ed947559a8c159208266e6754060e36c810c52eca4ce3e23d0ccac15bb", 22060),
-    ("LGPL-2.0", "ae0b624b5e39cc3c82e97cf833ce31f3ebe295fdffe873d0e08413706d751d25", 23880),
-    ("LGPL-2.1", "132a8b67129a2caea7725235add9db870f0c00d053bdb50246d909d7cf3b2fdd", 23176),
-    ("LGPL-2.1", "17a92dcda2ef04e3b861a9027c6eef3be90af1f183303057f1bc44a287830fd9", 682),
-    ("LGPL-2.1", "aae27d7d3275779fe7f258c7b5110f8328605c350e110daa41414e03200e700c", 23148),
-    ("LGPL-2.1", "e9c4bab48de7f3aa9f6bdbacb754c591d1a47a05e2af08d489f9ddb569dce4e3", 24967),
-    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
-    ("MPL-1.1", "b9bf31631c5507a61a12135caae28ea8331bca410b3b32782e9a4b417a4a2d15", 22342),
-    ("MPL-2.0", "7f85722c8e0b5fb80d8d232b4a8f283a123c0651670fa3168718286a8dc8ff1f", 14275),
-    ("MPL-2.0", "a490b6b7725a1fd4dc1caca8e8e9823eac3f401b58f67dd06d1d837925759eba", 13595),
-    ("Unlicense", "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd", 1171),
+    ("d35894668a0cfa5c2613ef8629bd82652ebe3c5e844d895f0a70de6d92526893", "Apache-2.0", 9696, "apache license version 2"),
+    ("9fc9703e9f4c780abb419bca43131c49399bd4bc3a2e040e5b889bc8650d1af7", "Apache-2.0", 499, "licensed under the apach"),
+    ("821eb22530a8002f8722cfd61f16f24a793cd7970654e303d3e492e14ae43d0e", "Apache-2.0", 8654, "apache license version 2"),
+    ("d49c70a96104d52f89cc0d81024f9ed2483e01688ddd0b7bd4decb4b08c647ad", "Apache-2.0", 8682, "apache license version 2"),
+    ("1357a9bd62a6cd762ce57365ccec76b0e1e966641d8088b1ac242233896ef822", "Artistic-1.0-Perl", 5619, "the artistic license pre"),
+    ("cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e", "CC0-1.0", 6691, "creative commons legal c"),
+    ("5da9685c1a9eca6682cc2efb4235fa1ec1edaa00b6e92210851153930b7e8935", "GFDL-1.2", 19513, "gnu free documentation l"),
+    ("3156d6cec2ca17f0bde829c9aed26c5283eeab0a308fd161098d3586242b54b0", "GFDL-1.3", 21877, "gnu free documentation l"),
+    ("3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9", "GPL-1.0", 9412, "gnu general public licen"),
+    ("4575f8cf583cfe5694de121df7d28ae3c2043234ee2357a6bc38c20fc1856cf0", "GPL-1.0", 9384, "gnu general public licen"),
+    ("88c0d32b6685976f91edcbb228c50498a7324b47880b82b90b4b86377ca82e38", "GPL-1.0", 11699, "gnu general public licen"),
+    ("3606e919f92e4862a5628788f284c07f5a0ca41b819f88414d7e825dca4facc4", "GPL-2.0", 657, "this program is free sof"),
+    ("86098a2eb6cf32b7d85f76517aa2010296c2522588f6d7676bde1230c5ac9041", "GPL-2.0", 14387, "gnu general public licen"),
+    ("5e9874a182b8e50f136aed39c11d5b872aaa6c94c59b0780c37559869ffd0faa", "GPL-2.0", 14415, "gnu general public licen"),
+    ("5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a", "GPL-2.0", 17049, "gnu general public licen"),
+    ("17f3371a219747672b4f442509249c6db87dbaad9547717c6194b560b6f84c7e", "GPL-3.0", 33197, "gnu general public licen"),
+    ("269d068058687f765d68282dcf5a4d0df2ebffa5be660a5748351d1aaeb192fa", "GPL-3.0", 30728, "gnu general public licen"),
+    ("3e0639e2a9692446a12737e1e8a22455de0cf05c81a22cf39ea6cc1d2e85581b", "GPL-3.0", 590, "this program is free sof"),
+    ("e7be52dd11d32bcd4f9b2533565f279d2a271123489364950a2eb799a9545bd9", "GPL-3.0", 30756, "gnu general public licen"),
+    ("c2cefe189596f86dbbdab4ca8b161c6262f8b0d574184ce87144b676eb4e7d0a", "LGPL-2.0", 22080, "gnu library general publ"),
+    ("3bb3f2f987ac797968f7655d8946e3fb45c8ed8e489b8090b8c2957416070991", "LGPL-2.0", 22052, "gnu library general publ"),
+    ("a0bf38390cb2f2420aab34355ffae4e3a040e7648b7ba67f1e34044403228cf9", "LGPL-2.0", 23870, "gnu library general publ"),
+    ("0948f7f91046d0736fbe4b1285c1418c43656d51b8a98c2690fd48e68a51284e", "LGPL-2.1", 23168, "gnu lesser general publi"),
+    ("38fd334a43235dc3cc9b4054ff7eda2187759f1748f276e846fe99c0d3225c0f", "LGPL-2.1", 680, "this library is free sof"),
+    ("14d2766e74523a520125045c7df201c048aea2169d95faf662634c49a477ae7d", "LGPL-2.1", 23140, "gnu lesser general publi"),
+    ("775b78fea7d86d7b01dfe3028892476b10fc3f78b22fd69513911710f16d8da6", "LGPL-2.1", 24957, "gnu lesser general publi"),
+    ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", "LGPL-3.0", 7104, "gnu lesser general publi"),
+    ("fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354", "MPL-1.1", 22340, "mozilla public license v"),
+    ("286472137d294ea77b0227a1e87e8deee2d306d79979038576468736f728f9f2", "MPL-2.0", 14267, "mozilla public license v"),
+    ("f9d9ce979cb6edc9514f8b231bdaeeb65001818ea6059a437735939e61cae279", "MPL-2.0", 13587, "mozilla public license v"),
+    ("7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd", "Unlicense", 1171, "this is free and unencum"),
 ]

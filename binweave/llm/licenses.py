@@ -2,14 +2,19 @@
 
 Canonical form: lower case; lines of copyright and rights notices dropped; everything
 but letters and digits becomes one space; equivalent spellings become one. The whole
-text of a document, and each of its lines as a text of its own, are looked up by the
-SHA-256 of that form in a hash join with the known digests (a fixed table of a few
-dozen rows, so it may be broadcast: NOTICES, and license_digests for the long texts). A line is only digested if its canonical length
-is that of a known text, which loses none.
+text of a document is looked up by the SHA-256 of that form in a hash join with the
+known digests (a fixed table of some dozens of rows, so it may be broadcast: NOTICES,
+license_texts, and license_digests for the long texts).
+
+Two more looks find licences within a document, in the row itself: each line as a text
+of its own, if its canonical length is that of a known text; and blocks of any lines,
+wherever the opening of a known full text stands in the canonical form, cut to the
+lengths of the texts that open so. Both are checked by the same digests.
 
 Defined results: null and empty texts match nothing and have the digest of the empty
-text; repeated rows give repeated rows; an empty table gives no rows; rows sharing an
-id share the licences found in their lines.
+text; repeated rows give repeated rows, and rows with null or equal ids each their own;
+an empty table gives no rows; very long texts are taken whole; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import whole
+from .license_texts import TEXTS
 
 # Spellings taken as equal (the second is kept), and the texts of known licences and notices.
-SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("version 2", "version 2 0"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("fulfil", "fulfill"), ("analyse", "analyze"), ("favour", "favor"), ("modelled", "modeled"), ("programme", "program")]
+SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("version 2 0", "version 2"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("fulfil", "fulfill"), ("analyse", "analyze"), ("favour", "favor"), ("modelled", "modeled"), ("programme", "program")]
 COPYRIGHT = r"^\W*(copyright|\(c\)|©|all rights reserved|portions copyright)"
 NOTICES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -74,48 +80,80 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "BSD-3-Clause": ["BSD 3-Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"]}
 
 
+#: Words of which every known text has one, lines without are passed over; characters of a full text's opening, and from which length a text counts as full.
+TELLING = r"licen[cs]e|permi"
+OPENING, FULL_LENGTH = 24, 150
+
+
+def _spelled(padded: Column) -> Column:
+    for a, b in SPELLINGS:
+        for _ in range(2):  # neighbours share a space
+            padded = F.replace(padded, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.trim(padded)
+
+
+def _plain(lowered: Column) -> Column:
+    return _spelled(F.concat(F.lit(" "), F.regexp_replace(lowered, r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a whole text."""
     lines = F.filter(F.split(F.lower(text), "\r\n|\n|\r"), lambda x: ~x.rlike(COPYRIGHT))
     return _plain(F.array_join(lines, " "))
 
 
-def _plain(lowered: Column) -> Column:
-    plain = F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}]+", " "))
-    spelled = plain
-    for a, b in SPELLINGS:
-        spelled = F.regexp_replace(spelled, rf"\b{a}\b(?! 0\b)", b)
-    return F.when(plain.rlike(rf"\b(?:{'|'.join(a for a, _ in SPELLINGS)})\b"), spelled).otherwise(plain)
-
-
 def canonical_text(text: str) -> str:
     """The same form in Python, for the known texts and for tests."""
-    lines = [x for x in re.split(r"\r\n|\n|\r", text.lower()) if not re.search(COPYRIGHT, x)]
-    out = re.sub(r"[\W_]+", " ", " ".join(lines)).strip()
+    lines = [x for x in re.split(r"\r\n|\n|\r", text.lower()) if not re.search(COPYRIGHT, x, re.ASCII)]
+    out = " " + re.sub(r"[\W_]+", " ", " ".join(lines)) + " "
     for a, b in SPELLINGS:
-        out = re.sub(rf"\b{a}\b(?! 0\b)", b, out)
-    return out
+        for _ in range(2):
+            out = out.replace(f" {a} ", f" {b} ")
+    return out.strip(" ")
 
 
-def known(spark: SparkSession, texts: dict[str, list[str]] = NOTICES) -> tuple[DataFrame, list[int]]:
-    """(digest, license) of the known texts, and their canonical lengths."""
+def known_rows(texts: dict[str, list[str]] = NOTICES) -> list[tuple[str, str, int, str | None]]:
+    """(digest, license, canonical length, opening) of all known texts; short notices have no opening."""
     from .license_digests import FULL
 
-    forms = {(name, c) for name, own in texts.items() for x in own for c in [canonical_text(x), *(canonical_text(f"{t}\n{x}") for t in TITLES.get(name, []) if len(x) > 500)]}
-    rows = sorted({(hashlib.sha256(c.encode()).hexdigest(), name) for name, c in forms} | {(digest, name) for name, digest, _ in FULL})
-    return spark.createDataFrame(rows, "digest string, license string"), sorted({len(c) for _, c in forms} | {length for *_, length in FULL})
+    rows = set()
+    for name, own in [*texts.items(), *((k, [v]) for k, v in TEXTS.items())]:
+        for x in own:
+            titled = [f"{t}\n{x}" for t in TITLES.get(name, [])] if len(x) > 500 else []
+            for c in map(canonical_text, [x, *titled]):
+                rows.add((hashlib.sha256(c.encode()).hexdigest(), name, len(c), c[:OPENING] if len(c) >= FULL_LENGTH else None))
+    return sorted(rows | set(FULL), key=str)
+
+
+def _blocks(form: Column, openings: dict[str, list[int]]) -> Column:
+    """Digests of the blocks of a canonical form that open as a full text does and are as long."""
+    table = F.array(*(F.struct(F.lit(o).alias("opening"), F.array(*map(F.lit, lengths)).alias("lengths")) for o, lengths in sorted(openings.items())))
+
+    def of(o: Column) -> Column:
+        parts = F.split(form, o["opening"])
+        starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(1), lambda n, x: n + F.length(x)) + (i - 1) * OPENING)
+        return F.flatten(F.transform(starts, lambda at: F.transform(o["lengths"], lambda n: F.sha2(F.substring(form, at, n).cast("binary"), 256))))
+
+    return F.flatten(F.transform(F.filter(table, lambda o: F.contains(form, o["opening"])), of))
 
 
 def scan_documents(docs: DataFrame, texts: dict[str, list[str]] = NOTICES) -> DataFrame:
-    """One row per document: doc_id, text_digest, license (of the whole text, else null) and line_licenses (sorted)."""
-    table, lengths = known(docs.sparkSession, texts)
-    table = F.broadcast(table)
-    base = docs.select("doc_id", whole("text").alias("text"))
-    whole_text = base.select("doc_id", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest")).join(table, "digest", "left")
+    """One row per document: doc_id, text_digest, license (of the whole text, else null), line_licenses and block_licenses (sorted)."""
+    rows = known_rows(texts)
+    table = F.broadcast(docs.sparkSession.createDataFrame(sorted({r[:2] for r in rows}), "digest string, license string"))
+    names = F.create_map(*(F.lit(x) for d, name in sorted({r[:2] for r in rows}) for x in (d, name)))
+    lengths, openings = sorted({r[2] for r in rows}), {}
+    for _, _, n, opening in rows:
+        if opening:
+            openings.setdefault(opening, set()).add(n)
     # spellings can only change a line's length by so much, which spares the others the replacements
     change = 2 * max(len(b) - len(a) for a, b in SPELLINGS) + 8
-    lines = F.filter(F.split(F.lower("text"), "\r\n|\n|\r"), lambda x: (F.length(x) >= min(lengths) - change) & x.rlike(r"licen[cs]e|permission|licensed"))
+    lines = F.filter(F.split(F.lower("text"), "\r\n|\n|\r"), lambda x: (F.length(x) >= min(lengths) - change) & x.rlike(TELLING))
     forms = F.filter(F.transform(F.array_distinct(lines), _plain), lambda x: F.length(x).isin(lengths))
-    found = base.select("doc_id", F.explode(F.transform(forms, lambda x: F.sha2(x.cast("binary"), 256))).alias("digest")).join(table, "digest").groupBy("doc_id").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"))
-    out = whole_text.join(found, "doc_id", "left")
-    return out.select("doc_id", F.col("digest").alias("text_digest"), "license", F.array_join(F.coalesce("line_licenses", F.array().cast("array<string>")), ",").alias("line_licenses"))
+    named = lambda digests: F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.transform(digests, lambda d: F.try_element_at(names, d))))), ",")
+    base = docs.select("doc_id", whole("text").alias("text")).withColumn("form", canonical(F.col("text")))
+    found = base.select(
+        "doc_id", F.sha2(F.col("form").cast("binary"), 256).alias("digest"), named(F.transform(forms, lambda x: F.sha2(x.cast("binary"), 256))).alias("line_licenses"),
+        named(_blocks(F.col("form"), {o: sorted(n) for o, n in openings.items()})).alias("block_licenses"),
+    )
+    return found.join(table, "digest", "left").select("doc_id", F.col("digest").alias("text_digest"), "license", "line_licenses", "block_licenses")

@@ -12,8 +12,10 @@ of classes that aren't full are joined and cut at full sequences; the last of th
 is cut at powers of two, which need no padding.
 
 Defined results: null and empty texts are the end id alone; repeated rows are
-packed as often as they stand; an empty table gives no rows; ids are those of the
-whole text, special tokens' strings being ordinary text.
+packed as often as they stand; null and repeated ids are packed like others; an empty
+table gives no rows; other columns are ignored, whatever their names; very long texts
+are tokenised whole and cut into whole sequences first. Ids are those of the library's
+encode(text, add_special_tokens=False): the string of a special token gives its id.
 """
 
 from __future__ import annotations
@@ -72,19 +74,20 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     shown = pre_tokenizers.ByteLevel.alphabet()  # the characters that stand for the 256 bytes
     stands = {c: b for b, c in _byte_characters(shown)}
     ranks = {bytes(stands[c] for c in token): i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in stands for c in token)}
-    specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    for t in specials:
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    for t in added:
         ranks.pop(t.encode(), None)
+    # a text that holds an added token's string goes to the library, which knows how it splits the rest
+    extra = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
     pieces = _Pieces(tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece)
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
-        if text.isascii() or PLAIN.fullmatch(text):
+        if (text.isascii() or PLAIN.fullmatch(text)) and not (extra and extra.search(text)):
             return b"".join(map(pieces.__getitem__, SPLIT.findall(text)))
         return as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
 

@@ -10,8 +10,10 @@ of them; the driver only sees those (a few hundred numbers).
 
 Defined results: null and empty texts have the statistics of the empty text and
 get a score like any other; labels that are null, or other than 0 and 1, are not
-learned from; repeated labels count as often as they stand; with one class, or
-none, every score is the prior of class 1 (0.5 with no labels).
+learned from; repeated labels count as often as they stand, repeated documents too;
+with one class, or none, every score is the prior of class 1 (0.5 with no labels).
+Rows with null ids are scored but never learned from; an empty table gives no rows;
+very long texts are counted whole; other columns are ignored, or kept by keep_good.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from .common import durable, held_out
 _BYTES = np.zeros((6, 256))
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:?!'\"()-", b"#$%&*|<>{}[]=+_~^\\/@`", b"\n")):
     _BYTES[_k, list(_chars)] = 1
+STATS = "_binweave_stats"
 NAMES = ["words", "word_chars", "upper", "digits", "punctuation", "symbols", "bangs", "newlines", "distinct", "repeats", "top_word", "shouts", "pipes", "distinct_lines"]
 
 
@@ -105,11 +108,14 @@ def fit(labelled: DataFrame, shrinkage: float = 0.1, diagonal: float = 0.05) ->
     return Discriminant(np.array(means), np.array(whiten), np.array(offset))
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[Discriminant, DataFrame]:
-    """The discriminant of all labelled documents that aren't held out, and the statistics of every document (doc_id, stats)."""
-    stats = durable(docs.select("doc_id", statistics_udf("text").alias("stats")), "quality-stats")
+def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: list[str] | None = None) -> tuple[Discriminant, DataFrame]:
+    """The discriminant of all labelled documents that aren't held out, and the kept columns of every document with its statistics (STATS).
+
+    The statistics are computed once and written; the fit reads those of labelled rows, the scorer all.
+    """
+    stats = durable(docs.select(*(keep or ["doc_id"]), statistics_udf("text").alias(STATS)), "quality-stats")
     learn = labels.filter(~held_out()).select("doc_id", F.col(label).alias("label"))
-    return fit(stats.join(learn, "doc_id")), stats
+    return fit(stats.select("doc_id", F.col(STATS).alias("stats")).join(learn, "doc_id")), stats
 
 
 def score_stats(stats: Column, model: Discriminant) -> Column:
@@ -123,11 +129,11 @@ def score_stats(stats: Column, model: Discriminant) -> Column:
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score and predicted."""
     model, stats = fit_documents(docs, labels)
-    scored = stats.select("doc_id", held_out().alias("held_out"), score_stats(F.col("stats"), model).alias("score"))
+    scored = stats.select("doc_id", held_out().alias("held_out"), score_stats(F.col(STATS), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    model, _ = fit_documents(docs, labels)
-    return docs.filter(score_stats(statistics_udf("text"), model) >= threshold)
+    model, beside = fit_documents(docs, labels, keep=docs.columns)
+    return beside.filter(score_stats(F.col(STATS), model) >= threshold).drop(STATS)

@@ -19,8 +19,9 @@ least - WINDOW + 1 bytes from the anchor that all of them hold.
    the anchors, tell for each string of a run whether another one equals it.
 
 Defined results: null and empty texts, and texts under `least` bytes, keep all;
-repeated rows repeat each other; documents are told apart by id and text, so null or
-clashing ids do no harm; an empty table gives no rows; other columns are ignored
+repeated rows repeat each other; documents are told apart by their id together with a
+64-bit hash of the text, so null or clashing ids do no harm; an empty table gives no
+rows; very long texts are taken whole; other columns are ignored, whatever their names
 (remove_repeats returns them as they are).
 """
 
@@ -28,11 +29,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, lean, narrow_batches, parts, whole
@@ -48,17 +49,17 @@ HELD, RUN, BUCKET, RANGE = 1 << 20, 30_000, 400_000, 40_000
 #: Groups up to this size are compared as a matrix, larger ones by one pass for each offset of the anchor.
 MATRIX = 256
 
-_ANCHOR = np.dtype([("core", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("low", "<u2"), ("high", "<u2"), ("known", "u1")])
-_SPAN = np.dtype([("doc", "<i8"), ("first", "<u4"), ("last", "<u4")])
+_ANCHOR = np.dtype([("core", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("low", "<u2"), ("high", "<u2"), ("known", "u1")])
+_SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("first", "<u4"), ("last", "<u4")])
 _BLOCKS = "bucket long, kind int, block binary"
-_SPANS = "doc long, first long, last long"
+_SPANS = "doc long, tag long, first long, last long"
 #: Columns beside those of the input, whatever names that has.
-_KEY, _SPANNED, _WORDED = "_binweave_key", "_binweave_spans", "_binweave_words"
+_KEY, _SPANNED = ["_binweave_doc", "_binweave_tag"], "_binweave_spans"
 _WORD = re.compile(r"\S+")
 
 
-def _raw(text: str | bytes) -> bytes:
-    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)
+def _raw(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 class _Codes(dict):
@@ -74,15 +75,12 @@ class _Codes(dict):
         return out
 
 
-def coded(text: Column | str) -> Column:
-    """Texts as the codes of their words, one after another."""
-
-    @F.pandas_udf("binary")
-    def code(texts: pd.Series) -> pd.Series:
-        codes = _Codes()
-        return pd.Series([b"".join([codes[w] for w in _WORD.findall(t)]) for t in texts], index=texts.index, dtype=object)
-
-    return code(text)
+def _encoder(worded: bool) -> Callable[[str], bytes]:
+    """Texts as their UTF-8 bytes, or as the codes of their words, one after another."""
+    if not worded:
+        return _raw
+    codes = _Codes()
+    return lambda text: b"".join([codes[w] for w in _WORD.findall(text)])
 
 
 def anchors(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +121,7 @@ def _same_run(x: np.ndarray) -> np.ndarray:
 
 def _spans(x: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x), _SPAN)
-    out["doc"], out["first"], out["last"] = x["doc"], x["at"] - x["high"], x["at"] - x["low"]
+    out["doc"], out["tag"], out["first"], out["last"] = x["doc"], x["tag"], x["at"] - x["high"], x["at"] - x["low"]
     return out
 
 
@@ -132,7 +130,7 @@ def _joined(x: np.ndarray) -> np.ndarray:
     if not len(x):
         return x
     x = np.sort(x)
-    new = np.flatnonzero(np.concatenate([[True], (x["doc"][1:] != x["doc"][:-1]) | (x["first"][1:] > x["last"][:-1] + 1)]))
+    new = np.flatnonzero(np.concatenate([[True], (x["doc"][1:] != x["doc"][:-1]) | (x["tag"][1:] != x["tag"][:-1]) | (x["first"][1:] > x["last"][:-1] + 1)]))
     out = x[new].copy()
     out["last"] = np.maximum.reduceat(x["last"], new)
     return out
@@ -153,7 +151,7 @@ def _split_known(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, _spans(covered)
 
 
-def _emit(docs: DataFrame, buckets: int, least: int) -> DataFrame:
+def _emit(docs: DataFrame, buckets: int, least: int, worded: bool) -> DataFrame:
     """Blocks: kind 0 of anchors, by core; kind 1 of spans whose repetition shows within the task."""
     core = least - WINDOW + 1
 
@@ -162,10 +160,11 @@ def _emit(docs: DataFrame, buckets: int, least: int) -> DataFrame:
         from xxhash import xxh3_64_intdigest as digest
 
         held: list[np.ndarray] = []
+        encode = _encoder(worded)
 
         def send() -> Iterator[pd.DataFrame]:
             nonlocal held
-            x = np.sort(np.concatenate(held), order=["core", "run", "doc", "at"])
+            x = np.sort(np.concatenate(held), order=["core", "run", "doc", "tag", "at"])
             held = []
             x, spans = _split_known(x)
             yield _dealt(x, x["core"] % np.uint64(buckets), 0)
@@ -173,17 +172,18 @@ def _emit(docs: DataFrame, buckets: int, least: int) -> DataFrame:
                 yield _dealt(_joined(spans), np.zeros(1, np.int64).repeat(len(_joined(spans))) + int(x["doc"][0]) % buckets, 1)
 
         for b in batches:
-            ids, texts = b["doc"].to_numpy(), [_raw(t) for t in b["text"]]
+            ids, tags, rows = b["doc"].to_numpy(), b["tag"].to_numpy(), b["text"].to_list()
             i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and size < 1 << 20:
-                    size += len(texts[j])
+            while i < len(rows):
+                j, size, texts = i, 0, []
+                while j < len(rows) and size < 1 << 20:
+                    texts.append(encode(rows[j]))
+                    size += len(texts[-1])
                     j += 1
-                text, at, first, last = anchors(texts[i:j], least)
+                text, at, first, last = anchors(texts, least)
                 x = np.zeros(len(text), _ANCHOR)
-                x["doc"], x["at"], x["low"], x["high"] = ids[i:j][text], at, at - last, at - first
-                views = [memoryview(t) for t in texts[i:j]]
+                x["doc"], x["tag"], x["at"], x["low"], x["high"] = ids[i:j][text], tags[i:j][text], at, at - last, at - first
+                views = [memoryview(t) for t in texts]
                 x["core"] = [digest(views[t][a : a + core]) for t, a in zip(text.tolist(), at.tolist(), strict=True)]
                 x["run"] = [digest(views[t][f : e + least]) for t, f, e in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
                 if len(x):
@@ -207,7 +207,7 @@ def _met(buckets: int):
         if not len(blocks):
             return rest
         x = np.concatenate([np.frombuffer(b, _ANCHOR) for b in blocks])
-        x = np.sort(x, order=["core", "run", "doc", "at"])
+        x = np.sort(x, order=["core", "run", "doc", "tag", "at"])
         x, spans = _split_known(x)
         same = x["core"][1:] == x["core"][:-1]
         several = x[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
@@ -294,11 +294,11 @@ def merge(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int, int,
             node //= 2
 
 
-_META = np.dtype([("doc", "<i8"), ("at", "<u4"), ("low", "<u2"), ("high", "<u2"), ("known", "u1"), ("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2")])
+_META = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("low", "<u2"), ("high", "<u2"), ("known", "u1"), ("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2")])
 
 
 def _sorted_run(entries: list[tuple], ranges: int) -> Iterator[pd.DataFrame]:
-    """entries (core bytes + suffix, left context, doc, at, low, high, known) -> front-coded blocks by range of cores."""
+    """entries (core bytes + suffix, left context, doc, tag, at, low, high, known) -> front-coded blocks by range of cores."""
     entries.sort(key=lambda e: e[0])
     by: dict[int, list[tuple]] = {}
     for e in entries:
@@ -307,7 +307,7 @@ def _sorted_run(entries: list[tuple], ranges: int) -> Iterator[pd.DataFrame]:
     for r, own in by.items():
         lcp, rest = front_code([e[0] for e in own])
         meta = np.zeros(len(own), _META)
-        for k, name in enumerate(("doc", "at", "low", "high", "known"), 2):
+        for k, name in enumerate(("doc", "tag", "at", "low", "high", "known"), 2):
             meta[name] = [e[k] for e in own]
         meta["lcp"], meta["rest"], meta["left"] = lcp, [len(x) for x in rest], [len(e[1]) for e in own]
         rows.append((r, len(own).to_bytes(4, "little") + meta.tobytes() + b"".join(rest) + b"".join(e[1] for e in own)))
@@ -383,16 +383,16 @@ def _resolved(least: int):
                 return
             right, lefts, low, high, known = ([e[k] for e in group] for k in range(5))
             for e, offsets in zip(group, repeated_offsets(right, lefts, low, high, known, least), strict=True):
-                found.extend((e[5], e[6] - y, e[6] - x) for x, y in offsets)
+                found.extend((e[5], e[6], e[7] - y, e[7] - x) for x, y in offsets)
 
-        cores = [[(int(x["low"]), int(x["high"]), int(x["known"]), int(x["doc"]), int(x["at"])) for x in meta] for meta, *_ in runs]
+        cores = [[(int(x["low"]), int(x["high"]), int(x["known"]), int(x["doc"]), int(x["tag"]), int(x["at"])) for x in meta] for meta, *_ in runs]
         for r, i, _, lcp in merge([(lcp, rest) for _, lcp, rest, _ in runs]):
             if lcp < 8 and group:
                 done()
                 group = []
             group.append((max(0, lcp - 8), runs[r][3][i][::-1], *cores[r][i]))
         done()
-        return pd.DataFrame(found, columns=["doc", "first", "last"]).astype("int64")
+        return pd.DataFrame(found, columns=["doc", "tag", "first", "last"]).astype("int64")
 
     return resolve
 
@@ -408,28 +408,28 @@ def _unpack(kind: int, dtype: np.dtype, schema: str, met: DataFrame) -> DataFram
     return met.filter(F.col("kind") == kind).select("block").mapInPandas(rows, schema)
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, total: int | None = None) -> DataFrame:
-    """docs(doc, text) -> (doc, first, last): ranges of starts of strings that start elsewhere too. Texts may be binary; `total` is about their bytes."""
+def repeated_spans(docs: DataFrame, least: int = LEAST, worded: bool = False) -> DataFrame:
+    """docs(doc, tag, text) -> (doc, tag, first, last): ranges of starts of strings that start elsewhere too; worded: in the codes of the texts' words."""
     core = least - WINDOW + 1
-    if total is None:
-        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts(docs.sparkSession), total * 2 // WINDOW // BUCKET + 1)
-    met = durable(_emit(docs, buckets, least).groupBy("bucket").applyInPandas(_met(buckets), _BLOCKS), "suffix-anchors")
+    met = durable(_emit(docs, buckets, least, worded).groupBy("bucket").applyInPandas(_met(buckets), _BLOCKS), "suffix-anchors")
     spans = _unpack(1, _SPAN, _SPANS, met)
-    several = _unpack(2, _ANCHOR, "core long, run long, doc long, at long, low long, high long, known long", met)
-    wanted = several.groupBy("doc").agg(F.collect_list(F.struct("core", "at", "low", "high", "known")).alias("anchors"))
+    several = _unpack(2, _ANCHOR, "core long, run long, doc long, tag long, at long, low long, high long, known long", met)
+    wanted = several.groupBy("doc", "tag").agg(F.collect_list(F.struct("core", "at", "low", "high", "known")).alias("anchors"))
     n = met.filter("kind = 2").agg(F.sum(F.octet_length("block"))).first()[0] or 0
     ranges = max(parts(docs.sparkSession), n // _ANCHOR.itemsize // RANGE + 1)
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean()
         held: list[tuple] = []
+        encode = _encoder(worded)
         for b in batches:
-            for doc, text, own in zip(b["doc"], b["text"], b["anchors"], strict=True):
-                raw = _raw(text)
+            for doc, tag, text, own in zip(b["doc"], b["tag"], b["text"], b["anchors"], strict=True):
+                raw = encode(text)
                 for x in own:
                     at, low, high = x["at"], x["low"], x["high"]
-                    held.append(((x["core"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + raw[at : at - low + least], raw[at - high : at], doc, at, low, high, x["known"]))
+                    held.append(((x["core"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + raw[at : at - low + least], raw[at - high : at], doc, tag, at, low, high, x["known"]))
                 if len(held) > RUN:
                     yield from _sorted_run(held, ranges)
                     held = []
@@ -437,7 +437,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, total: int | None = None
             yield from _sorted_run(held, ranges)
 
     assert core > GRAM
-    runs = docs.dropDuplicates(["doc"]).join(wanted, "doc").mapInPandas(fetch, "range long, block binary")
+    # a row that stands twice comes twice; its runs are known to be repeated, and only serve others
+    runs = docs.join(wanted, ["doc", "tag"]).mapInPandas(fetch, "range long, block binary")
     return spans.unionAll(runs.groupBy("range").applyInPandas(_resolved(least), _SPANS))
 
 
@@ -456,13 +457,25 @@ def _kept(raw: bytes, spans: list, least: int) -> tuple[list[tuple[int, int]], b
     return [(a, b) for a, b in removed], b"".join([*parts_, raw[at:]])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the columns _KEY: a row's id, and a hash of its text (and of the id being null)."""
+    return docs.withColumns({_KEY[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), _KEY[1]: F.xxhash64(F.col("doc_id").isNull(), "text")})
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col(_KEY[0]).alias("doc"), F.col(_KEY[1]).alias("tag"), whole("text").alias("text"))
+
+
+def _collected(spans: DataFrame, to: str) -> DataFrame:
+    return spans.groupBy(F.col("doc").alias(_KEY[0]), F.col("tag").alias(_KEY[1])).agg(F.collect_list(F.struct("first", "last")).alias(to))
+
+
 def _with_spans(docs: DataFrame, least: int) -> DataFrame:
-    """docs with the spans of each text (array, may be null) in column _SPANNED."""
+    """docs with the columns _KEY and the spans of each text (array, may be null) in column _SPANNED."""
     narrow_batches(docs.sparkSession, 500)
-    keyed = docs.withColumn(_KEY, F.xxhash64("doc_id", "text"))
-    long = keyed.select(F.col(_KEY).alias("doc"), whole("text").alias("text")).filter(F.octet_length("text") >= least)
-    spans = repeated_spans(long, least).groupBy(F.col("doc").alias(_KEY)).agg(F.collect_list(F.struct("first", "last")).alias(_SPANNED))
-    return keyed.join(spans, _KEY, "left").drop(_KEY)
+    keyed = _keyed(docs)
+    spans = _collected(repeated_spans(_texts(keyed).filter(F.octet_length("text") >= least), least), _SPANNED)
+    return keyed.join(spans, _KEY, "left")
 
 
 def dedup_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -483,15 +496,14 @@ def dedup_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs(doc, text) -> (doc, first, last): ranges of numbers of words at which a passage of that many words starts that stands elsewhere too.
+    """docs(doc, tag, text) -> (doc, tag, first, last): ranges of numbers of words at which a passage of that many words starts that stands elsewhere too.
 
     The same search over the codes of the words, of which whole ones count.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a text of n words has 2 n - 1 bytes at least
     long = docs.filter(F.octet_length("text") >= 2 * words - 1)
-    spans = repeated_spans(long.select("doc", coded("text").alias("text")), words * CODE, total * 5 // 4)
-    whole_words = spans.select("doc", F.ceil(F.col("first") / CODE).alias("first"), F.floor(F.col("last") / CODE).alias("last"))
+    spans = repeated_spans(long, words * CODE, worded=True)
+    whole_words = spans.select("doc", "tag", F.ceil(F.col("first") / CODE).alias("first"), F.floor(F.col("last") / CODE).alias("last"))
     return whole_words.filter("first <= last")
 
 
@@ -504,21 +516,18 @@ def _bytes_of_words(text: str, spans: list, words: int) -> list[tuple[int, int]]
     return [(int(size[at[x["first"]][0]]), int(size[at[x["last"] + words - 1][1]])) for x in spans]
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
-    """The documents with repeated passages cut out of their texts, those of `least` bytes and those of `words` words; a character that a cut splits goes as a whole."""
+def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents with every passage of that many words that stands elsewhere too, here or there, cut out of their texts; all copies go."""
+    narrow_batches(docs.sparkSession, 500)
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series, worded: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
-        for t, s, w in zip(texts, spans, worded, strict=True):
-            if t is None or (s is None and w is None):
-                out.append(t)
-                continue
-            ranges = [{"first": a, "last": b - least} for a, b in _bytes_of_words(t, w, words)]
-            out.append(_kept(_raw(t), [*([] if s is None else s), *ranges], least)[1].decode("utf-8", "ignore"))
+        for t, s in zip(texts, spans, strict=True):
+            ranges = [{"first": a, "last": b} for a, b in _bytes_of_words(t, s, words)] if t is not None else []
+            out.append(_kept(_raw(t), ranges, 0)[1].decode("utf-8", "surrogatepass") if ranges else t)
         return pd.Series(out, index=texts.index, dtype=object)
 
-    spanned = _with_spans(docs, least).withColumn(_KEY, F.xxhash64("doc_id", "text"))
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc"), whole("text").alias("text"))
-    passages = repeated_words(keyed, words).groupBy(F.col("doc").alias(_KEY)).agg(F.collect_list(F.struct("first", "last")).alias(_WORDED))
-    return spanned.join(passages, _KEY, "left").withColumn("text", cut("text", _SPANNED, _WORDED)).select(*docs.columns)
+    keyed = _keyed(docs)
+    passages = _collected(repeated_words(_texts(keyed), words), _SPANNED)
+    return keyed.join(passages, _KEY, "left").withColumn("text", cut("text", _SPANNED)).select(*docs.columns)
