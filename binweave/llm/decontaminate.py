@@ -25,8 +25,11 @@ weights of all words; each passage's threshold is then at most the least cosine
 window that holds COMMON of it.
 
 Defined results: null and empty texts hold no leak; items without a word match
-nothing; repeated items are reported under each id; repeated rows are reported each;
-empty tables give no rows; other columns are ignored.
+nothing; repeated items are reported under each id; repeated rows are reported each, under null
+or equal ids too; of several places the one with the longest common subsequence counts,
+of equal ones that of the larger cosine, then the later; empty tables give no rows; very
+long texts are searched whole; other columns are ignored, whatever their names (drop_leaks
+returns them as they are).
 """
 
 from __future__ import annotations
@@ -222,10 +225,15 @@ def common_words(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def stretch_length(n: int) -> int:
+    """Words of a stretch that may hold an item of n words."""
+    return n + n // 4 + 2
+
+
 def matched(item: list[bytes], words: list[bytes], least: float = COMMON, answer: float = ANSWER) -> tuple[float, int, int] | None:
     """The share of the item's words in the best stretch of the words, and that stretch, if it makes a leak."""
     n = len(item)
-    size = n + n // 4 + 2
+    size = stretch_length(n)
     best, at = 0, 0
     for s in range(0, max(1, len(words) - n // 2), max(1, n // 8)):
         if (c := common_words(item, words[s : s + size])) > best:
@@ -238,7 +246,7 @@ def matched(item: list[bytes], words: list[bytes], least: float = COMMON, answer
 
 @dataclass
 class Index:
-    """What tasks need of one block of items: for hashes in use the row of their latent vector, weights, passages and words."""
+    """What tasks need of one block of items: for hashes in use the row of their latent vector (times the weight), weights, passages and words."""
 
     row: np.ndarray
     vectors: np.ndarray
@@ -250,6 +258,9 @@ class Index:
     words: list[list[bytes]]
     #: The cosine from which each passage is a candidate.
     least: np.ndarray
+    #: Place of each hash among the items' words, and which places each item has (the last one: no word of theirs).
+    slot: np.ndarray
+    holds: np.ndarray
     #: The same items with equal weights, for candidates beside these.
     flat: Index | None = None
 
@@ -269,17 +280,19 @@ class Index:
         live = np.flatnonzero(part > 0)
         if not len(live):
             return
-        # the steps' vectors, of those that hold a word in use
+        # the steps' vectors, of those that hold a word in use: the first such words of all steps at once, then the second, ...
         where = np.flatnonzero(used)
-        step = np.searchsorted(begin, where, "right") - 1
-        first = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
         place = np.full(len(begin) + SPAN, len(live))
         place[live] = np.arange(len(live))
+        own = place[np.searchsorted(begin, where, "right") - 1]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        rank = np.arange(len(where)) - np.repeat(first, np.diff(np.concatenate([first, [len(where)]])))
         sums = np.zeros((len(live) + 1, self.vectors.shape[1]), np.float32)
-        for k in range(0, len(first), 4096):
-            lo, hi = first[k], first[k + 4096] if k + 4096 < len(first) else len(where)
-            own = where[lo:hi]
-            sums[k : k + 4096][: len(first[k : k + 4096])] = np.add.reduceat(self.vectors[row[own]] * weight[own, None], first[k : k + 4096] - lo, axis=0)
+        for k in range(int(rank.max()) + 1):
+            now = np.flatnonzero(rank == k)
+            for j in range(0, len(now), 4096):
+                part_ = now[j : j + 4096]
+                sums[own[part_]] += self.vectors[row[where[part_]]]
         padded_text = np.concatenate([text, np.full(SPAN, -1)])
         grow = lambda x: np.concatenate([x, np.zeros(SPAN)])
         size, part = grow(size), grow(part)
@@ -295,21 +308,30 @@ class Index:
             chosen = np.flatnonzero((inside > 0) & (inside >= least.min() ** 2 * whole * 0.999))
             for k in range(0, len(chosen), 4096):
                 own = chosen[k : k + 4096]
-                x = sum(sums[np.where(near[j][own], place[own + j], len(live))] for j in range(span))
+                x = sums[place[own]]
+                for j in range(1, span):
+                    x += sums[np.where(near[j][own], place[own + j], len(live))]
                 c = x @ self.passages[kind].T / np.sqrt(whole[own])[:, None]
-                for i, q in zip(*np.nonzero(c >= least), strict=True):
-                    yield int(text[own[i]]), int(nth[own[i]]) * STEP, int(self.items[kind[q]]), min(1.0, float(c[i, q]))
+                i, q = np.nonzero(c >= least)
+                yield from zip(text[own[i]].tolist(), (nth[own[i]] * STEP).tolist(), self.items[kind[q]].tolist(), c[i, q].clip(max=1.0).tolist(), strict=True)
 
     def leaks(self, raws: list[bytes], words: np.ndarray, n: np.ndarray, split: dict[int, list[bytes]]) -> Iterator[tuple[int, tuple]]:
         """(text, leak) of the texts, of which `split` keeps the words."""
         near: dict[tuple[int, int], list[tuple[float, int]]] = {}
         for t, at, item, c in chain(self.candidates(words, n), self.flat.candidates(words, n) if self.flat else ()):
             near.setdefault((t, item), []).append((c, at))
+        slots, begin = self.slot[words], (np.cumsum(n) - n).tolist()
         for (t, item), places in sorted(near.items()):
+            size = len(self.words[item])
+            # no subsequence is longer than the words of its stretch that the item has
+            a, b = max(0, min(at for _, at in places) - size), min(int(n[t]), max(at for _, at in places) + STEP * SPAN + size)
+            upto = np.concatenate([[0], np.cumsum(self.holds[item][slots[begin[t] + a : begin[t] + b]])])
+            most = min(stretch_length(size), b - a)
+            if (upto[most:] - upto[: len(upto) - most]).max() < COMMON * size:
+                continue
             if t not in split:
                 split[t] = _WORD.findall(raws[t])
             own = split[t]
-            size = len(self.words[item])
             found = None
             for c, at in sorted(places, reverse=True):
                 low = max(0, at - size)
@@ -389,7 +411,12 @@ def _index(own: DataFrame, idf: np.ndarray, passages: int, flat: bool = False) -
     words, n = hashed([lowered(t) for t in texts])
     chunks = [c for w in np.split(words, np.cumsum(n)[:-1]) for c in _chunks(w)]
     least = np.array([min(COSINE, _least_cosine(c)) if flat else COSINE for c in chunks])
-    return Index(row, space, idf, latent, number, span, [r.item_id for r in items], [_WORD.findall(lowered(t)) for t in texts], least)
+    each = np.unique(words)
+    slot = np.full(HASHES, len(each), np.int32)
+    slot[each] = np.arange(len(each))
+    holds = np.zeros((len(items), len(each) + 1), bool)
+    holds[np.repeat(np.arange(len(items)), n), slot[words]] = True
+    return Index(row, space * idf[keys, None], idf, latent, number, span, [r.item_id for r in items], [_WORD.findall(lowered(t)) for t in texts], least, slot, holds)
 
 
 def leaks_of(text: Column, indexes: list[Index]) -> Column:
