@@ -45,12 +45,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, narrow_batches
+from .common import durable, lean, narrow_batches
 from .jaccard import mix
 
 HASHES = 1 << 16
 ITEM_WORDS, STEP, SPAN = 32, 12, 4  # words of an item's passage; words of a step, most steps of a document's passage
 RANK, GROUP, COSINE = 256, 16, 0.3  # passages of a block on average; blocks sent at once
+#: Bytes of text, and steps or windows, looked at together.
+BATCH, AT_ONCE = 1 << 18, 2048
 #: Words in more than this share of the documents (and FREQUENT documents) have no weight.
 SHARE, FREQUENT = 0.1, 20
 COMMON, ANSWER = 0.7, 0.5
@@ -92,7 +94,7 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     i = 0
     while i < len(texts):
         own, size, at = [], 0, i
-        while i < len(texts) and size < 1 << 20:
+        while i < len(texts) and size < BATCH:
             own.append(lowered(texts[i]))
             size += len(own[-1])
             i += 1
@@ -104,6 +106,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     narrow_batches(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         total = np.zeros(HASHES + 1, np.int64)
         for b in batches:
             total[HASHES] += len(b)
@@ -290,8 +293,8 @@ class Index:
         sums = np.zeros((len(live) + 1, self.vectors.shape[1]), np.float32)
         for k in range(int(rank.max()) + 1):
             now = np.flatnonzero(rank == k)
-            for j in range(0, len(now), 4096):
-                part_ = now[j : j + 4096]
+            for j in range(0, len(now), AT_ONCE):
+                part_ = now[j : j + AT_ONCE]
                 sums[own[part_]] += self.vectors[row[where[part_]]]
         padded_text = np.concatenate([text, np.full(SPAN, -1)])
         grow = lambda x: np.concatenate([x, np.zeros(SPAN)])
@@ -306,8 +309,8 @@ class Index:
             # the weight inside bounds the cosine; repeated words only make `whole` smaller, and so the bound larger
             least = self.least[kind]
             chosen = np.flatnonzero((inside > 0) & (inside >= least.min() ** 2 * whole * 0.999))
-            for k in range(0, len(chosen), 4096):
-                own = chosen[k : k + 4096]
+            for k in range(0, len(chosen), AT_ONCE):
+                own = chosen[k : k + AT_ONCE]
                 x = sums[place[own]]
                 for j in range(1, span):
                     x += sums[np.where(near[j][own], place[own + j], len(live))]
@@ -422,6 +425,7 @@ def _index(own: DataFrame, idf: np.ndarray, passages: int, flat: bool = False) -
 def leaks_of(text: Column, indexes: list[Index]) -> Column:
     @F.pandas_udf(LEAKS)
     def find(texts: pd.Series) -> pd.Series:
+        lean()
         names = LEAKS.elementType.names
         return pd.Series([[dict(zip(names, t, strict=True)) for t in found] for found in leaks_in(texts.to_list(), indexes)], index=texts.index, dtype=object)
 
