@@ -67,3 +67,10 @@ def trailing_sum(points: DataFrame, readings: DataFrame, window_s: int, key: str
     both = points.select(key, t, F.lit(None).cast("double").alias("r"), F.lit(1).alias("p")).unionAll(readings.select(key, t, F.col("value").cast("double"), F.lit(0)))
     w = Window.partitionBy(key).orderBy(t).rangeBetween(-window_s + 1, 0)
     return both.withColumn("total", F.sum("r").over(w)).filter("p = 1").select(key, t, "total")
+
+
+def latest_fresh(df: DataFrame, key: str, t: str, value: str, now: int, most_s: int, tie: str) -> DataFrame:
+    """Per key the age of the newest reading, and its value unless it is older than most_s; of equal times that of the largest tie."""
+    newest = df.groupBy(key).agg(F.max(F.struct(t, F.col(tie).alias("_tie"), value)).alias("_m"))
+    age = F.lit(now) - F.col(f"_m.{t}")
+    return newest.select(key, age.alias("age"), F.when(age <= most_s, F.col(f"_m.{value}")).alias("value"))

@@ -96,6 +96,12 @@ def frame_counts(boxes: DataFrame) -> DataFrame:
     return out.withColumn("level", F.when(F.col("total") < 20, "low").when(F.col("total") < 40, "moderate").when(F.col("total") < 71, "high").otherwise("severe"))
 
 
+def count_errors(boxes: DataFrame, directions: list[str]) -> DataFrame:
+    """boxes(frame, direction, predicted, true): predicted less true boxes of each frame and direction."""
+    diff = lambda d: (F.count_if((F.col("direction") == d) & F.col("predicted")) - F.count_if((F.col("direction") == d) & F.col("true"))).alias(f"{d.lower()}_error")
+    return boxes.groupBy("frame").agg(*(diff(d) for d in directions))
+
+
 def matched(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """predictions with hit: greedy one-to-one matching within frame and class, by confidence, each to its best free box."""
     box = ["x", "y", "w", "h"]
@@ -115,6 +121,15 @@ def matched(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) ->
     return _frames(t.unionAll(p), ["frame", "cls"], match, "frame long, cls string, id long, confidence double, hit boolean")
 
 
+def coco_precision(truth: DataFrame, predictions: DataFrame, overlaps: tuple[float, ...] = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)) -> DataFrame:
+    """Per class the average precision at overlap 0.5 and the mean over all overlaps; matching is done anew for each."""
+    out = None
+    for t in overlaps:
+        own = average_precision(matched(truth, predictions, t).select("cls", "confidence", "hit"), truth).withColumn("overlap", F.lit(t))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("cls").agg(F.max(F.when(F.col("overlap") == 0.5, F.col("ap"))).alias("ap_50"), F.avg("ap").alias("ap"))
+
+
 def average_precision(matches: DataFrame, truths: DataFrame) -> DataFrame:
     """Per class the mean over 101 recalls of the best precision at that recall or beyond.
 
@@ -126,3 +141,22 @@ def average_precision(matches: DataFrame, truths: DataFrame) -> DataFrame:
     curve = steps.withColumns({"tp": F.sum("t").over(w), "k": F.sum("n").over(w)}).join(total, "cls").select("cls", (F.col("tp") / F.col("total")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
     at = curve.withColumn("r", F.explode(F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int")))).groupBy("cls", "r").agg(F.max("precision").alias("p"))
     return total.select("cls").join(at.groupBy("cls").agg(F.sum("p").alias("s")), "cls", "left").select("cls", (F.coalesce("s", F.lit(0.0)) / 101).alias("ap"))
+
+
+def rescaled(line: list[tuple[float, float]], own: tuple[float, float], to: tuple[float, float]) -> list[tuple[float, float]]:
+    """A polyline drawn on a picture of one size, for frames of another."""
+    return [(x * to[0] / own[0], y * to[1] / own[1]) for x, y in line]
+
+
+def decoded(rows: DataFrame, floor: float, most: int = 30_000, scores: str = "scores") -> DataFrame:
+    """rows(frame, anchor, scores array) -> the class of the largest score (of equal ones the first), where it reaches the floor; of a frame the `most` best."""
+    best = F.array_max(scores)
+    own = rows.withColumn("score", best).filter(F.col("score") >= floor).withColumn("cls", F.array_position(scores, F.col("score")) - 1)
+    w = Window.partitionBy("frame").orderBy(F.desc("score"), "anchor")
+    return own.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n", scores)
+
+
+def frame_plan(frames: DataFrame, camera: str, stamp: str, name: str, first_s: int, end_s: int) -> tuple[DataFrame, DataFrame]:
+    """The frames of a window, one per camera and capture time (the first by name), and the names without a time."""
+    there = frames.filter((F.col(stamp) >= first_s) & (F.col(stamp) < end_s))
+    return there.groupBy(camera, stamp).agg(F.min(name).alias(name)), frames.filter(F.col(stamp).isNull()).select(name)

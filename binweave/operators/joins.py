@@ -74,3 +74,27 @@ def coalesced(*columns: tuple[str, Column]) -> tuple[Column, Column]:
     """The first non-null of named columns, and the name it came from."""
     value = F.coalesce(*(c for _, c in columns))
     return value, F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in columns))
+
+
+def pooled(a: DataFrame, b: DataFrame, keys: list[str], label: str, tolerance: float = 1e-6) -> DataFrame:
+    """Inner join of two candidates' rows, one to one; an error if their labels differ by more than the tolerance."""
+    both = require_unique(a, keys, "left").join(require_unique(b, keys, "right").withColumnRenamed(label, "_label"), keys)
+    apart = F.coalesce(F.abs(F.col(label) - F.col("_label")) > tolerance, F.col(label).isNull() != F.col("_label").isNull())
+    if n := both.filter(apart).count():
+        raise ValueError(f"labels differ in {n} rows")
+    return both.drop("_label")
+
+
+def either(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer join of two feeds, under the key of whichever is there."""
+    return a.join(b, keys, "full")
+
+
+def attached(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of another feed at the same key, null where it has none."""
+    return rows.join(require_unique(values, keys, "attached"), keys, "left")
+
+
+def transplanted(features: DataFrame, labels: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """features under another feed's label in place of their own."""
+    return features.drop(label).join(require_unique(labels.select(*keys, label), keys, "labels"), keys, "left")

@@ -26,13 +26,28 @@ def cube_scores(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def slice_scores(rows: DataFrame, key: str, dimensions: list[str], candidates: list[str], actual: str = "actual") -> DataFrame:
-    """Every candidate over key (and all keys) by all rows and by each value of one dimension: one expand, one shuffle."""
+    """Every candidate over key (and all keys) by all rows and by each value of one dimension: one expand, one shuffle. Null keys and values stand as such."""
     long = rows.unpivot([key, *dimensions, actual], candidates, "candidate", "predicted")
     e = F.col("predicted") - F.col(actual)
     sets = [["candidate", *k, *d] for k in ([key], []) for d in ([], *([x] for x in dimensions))]
-    out = long.groupingSets([[F.col(c) for c in s] for s in sets], "candidate", key, *dimensions).agg(F.count("*").alias("n"), mae(e).alias("mae"), rmse(e).alias("rmse"))
-    slice_ = F.coalesce(*(F.when(F.col(d).isNotNull(), F.concat_ws("=", F.lit(d), F.col(d))) for d in dimensions), F.lit("all"))
-    return out.select("candidate", F.coalesce(F.col(key), F.lit("both")).alias(key), slice_.alias("slice"), "n", "mae", "rmse")
+    up = [F.grouping(c).alias(f"_up_{c}") for c in (key, *dimensions)]
+    out = long.groupingSets([[F.col(c) for c in s] for s in sets], "candidate", key, *dimensions).agg(F.count("*").alias("n"), mae(e).alias("mae"), rmse(e).alias("rmse"), *up)
+    slice_ = F.coalesce(*(F.when(F.col(f"_up_{d}") == 0, F.concat_ws("=", F.lit(d), F.col(d))) for d in dimensions), F.lit("all"))
+    return out.select("candidate", F.when(F.col(f"_up_{key}") == 1, "both").otherwise(F.col(key)).alias(key), slice_.alias("slice"), "n", "mae", "rmse")
+
+
+def step_scores(rows: DataFrame, steps: dict[int, str], models: list[str], dimensions: list[str], half_width: float) -> DataFrame:
+    """Every model at every step over all rows and by each value of one dimension: (model, step, grp, n, mae, rmse, coverage). steps: minutes -> actual column.
+
+    coverage: the share of actuals within half_width of the prediction. One expand to (step, model), one of grouping sets, one shuffle.
+    """
+    pairs = F.array(*(F.struct(F.lit(k).alias("step"), F.col(c).alias("actual"), F.lit(m).alias("model"), F.col(m).alias("p")) for k, c in steps.items() for m in models))
+    long = rows.select(*dimensions, F.explode(pairs).alias("_x")).select(*dimensions, "_x.*").filter("actual is not null and p is not null")
+    e = F.col("p") - F.col("actual")
+    sets = [["model", "step", *d] for d in ([], *([x] for x in dimensions))]
+    out = long.groupingSets([[F.col(c) for c in s] for s in sets], "model", "step", *dimensions).agg(F.count("*").alias("n"), mae(e).alias("mae"), rmse(e).alias("rmse"), F.avg((F.abs(e) <= half_width).cast("double")).alias("coverage"), *(F.grouping(c).alias(f"_up_{c}") for c in dimensions))
+    grp = F.coalesce(*(F.when(F.col(f"_up_{d}") == 0, F.concat_ws("=", F.lit(d), F.col(d))) for d in dimensions), F.lit("all"))
+    return out.select("model", "step", grp.alias("grp"), "n", "mae", "rmse", "coverage")
 
 
 def error_metrics(rows: DataFrame, keys: list[str], within: float = 15.0) -> DataFrame:
@@ -85,3 +100,63 @@ def correlations(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     rank = lambda c: (F.rank().over(Window.partitionBy(key).orderBy(c)) + (F.count("*").over(Window.partitionBy(key, c)) - 1) / 2)
     both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": rank(x), "_ry": rank(y)})
     return both.groupBy(key).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+
+
+def kendall(rows: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
+    """Kendall's tau-b by key with its normal score. All pairs of a key's rows meet, so this is for aggregates, of which a key has few."""
+    own = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, order, x, y)
+    pairs = own.alias("a").join(own.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
+    sx, sy = F.signum(F.col(f"b.{x}") - F.col(f"a.{x}")), F.signum(F.col(f"b.{y}") - F.col(f"a.{y}"))
+    t = pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(sx * sy).alias("_s"), F.count_if(sx != 0).alias("_x"), F.count_if(sy != 0).alias("_y"))
+    tau = F.try_divide("_s", F.sqrt(F.col("_x").cast("double") * F.col("_y")))
+    n = F.col("n")
+    return t.join(own.groupBy(key).agg(F.count("*").alias("n")), key).select(key, "n", tau.alias("tau"), (3 * tau * F.sqrt(n * (n - 1.0)) / F.sqrt(2 * (2 * n + 5.0))).alias("z"))
+
+
+def recalls(counts: DataFrame, y: str, p: str) -> DataFrame:
+    """Rows and recall of each class, from a confusion table."""
+    return counts.groupBy(F.col(y).alias("class")).agg(F.sum("n").alias("n"), (F.sum(F.when(F.col(y) == F.col(p), F.col("n")).otherwise(0)) / F.sum("n")).alias("recall"))
+
+
+def count_errors(rows: DataFrame, part: str, y: str, p: str) -> DataFrame:
+    """Errors of counts over each part and all: n, MAE and bias to two decimals, exact, within two."""
+    e = F.col(p) - F.col(y)
+    both = rows.select(F.explode(F.array(F.col(part), F.lit("all"))).alias(part), e.alias("e"))
+    return both.groupBy(part).agg(F.count("*").alias("n"), F.round(F.avg(F.abs("e")), 2).alias("mae"), F.round(F.avg("e"), 2).alias("bias"), F.avg((F.col("e") == 0).cast("double")).alias("exact"), F.avg((F.abs("e") <= 2).cast("double")).alias("within_2"))
+
+
+def day_summary(bins: DataFrame, key: str, day: str, least: int) -> DataFrame:
+    """Per key: days, days of at least that many bins, and the bins of those."""
+    per = bins.groupBy(key, day).agg(F.count("*").alias("c"))
+    full = F.col("c") >= least
+    return per.groupBy(key).agg(F.count("*").alias("days"), F.count_if(full).alias("kept_days"), F.coalesce(F.sum(F.when(full, F.col("c"))), F.lit(0)).alias("kept_bins"))
+
+
+def day_coverage(rows: DataFrame, order: list[str], offset_s: int = 28800) -> DataFrame:
+    """rows(bin, status): per local day the recorded bins, and those whose latest status by the order is ok."""
+    newest = rows.groupBy("bin").agg(F.max_by("status", F.struct(*order)).alias("status"))
+    return newest.groupBy(F.floor((F.col("bin") * 600 + offset_s) / 86400).cast("long").alias("local_day")).agg(F.count("*").alias("recorded"), F.count_if(F.col("status") == "ok").alias("ok"))
+
+
+def mean_of_days(rows: DataFrame, day: str, actual: str, methods: list[str]) -> DataFrame:
+    """Per method the mean of its daily mean absolute errors."""
+    per = rows.groupBy(day).agg(*(F.avg(F.abs(F.col(m) - F.col(actual))).alias(m) for m in methods))
+    return per.unpivot([day], methods, "method", "_e").groupBy("method").agg(F.count("_e").alias("days"), F.avg("_e").alias("mae"))
+
+
+def threshold_sweep(matches: DataFrame, truths: DataFrame, thresholds: list[float]) -> DataFrame:
+    """matches(cls, confidence, hit) at every least confidence: kept, hits, precision, recall, F1 and the ratio of counts; counts by confidence are made first."""
+    steps = matches.groupBy("cls", "confidence").agg(F.count("*").alias("n"), F.count_if("hit").alias("h"))
+    each = steps.withColumn("least", F.explode(F.array(*map(F.lit, thresholds))))
+    ok = F.col("confidence") >= F.col("least")
+    sums = each.groupBy("cls", "least").agg(F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("kept"), F.sum(F.when(ok, F.col("h")).otherwise(0)).alias("hits"))
+    both = sums.join(truths.groupBy("cls").agg(F.count("*").alias("truths")), "cls")
+    return both.select("cls", "least", "kept", "hits", F.try_divide("hits", "kept").alias("precision"), F.try_divide("hits", "truths").alias("recall"), F.try_divide(2 * F.col("hits"), F.col("kept") + F.col("truths")).alias("f1"), F.try_divide("kept", "truths").alias("ratio"))
+
+
+def fold_deltas(rows: DataFrame, key: str, day: str, actual: str, candidate: str, reference: str, covered: str, least: float) -> DataFrame:
+    """Per key: daily folds, those with at least that share of `covered` non-null, the mean of their error differences and its t statistic."""
+    err = lambda c: F.avg(F.abs(F.col(actual) - F.col(c)))
+    folds = rows.groupBy(key, day).agg(F.avg(F.col(covered).isNotNull().cast("double")).alias("_c"), (err(candidate) - err(reference)).alias("_d"))
+    d = F.when(F.col("_c") >= least, F.col("_d"))
+    return folds.groupBy(key).agg(F.count("*").alias("folds"), F.count(d).alias("covered"), F.avg(d).alias("mean"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(d))).alias("t"))

@@ -330,3 +330,12 @@ def fallback_chain(rows: DataFrame, chain: list[str]) -> DataFrame:
     """served and served_by: the first candidate of the chain that isn't null."""
     return rows.withColumns({"served": F.coalesce(*chain), "served_by": F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in chain))})
 
+
+
+def seed_mean(rows: DataFrame, features: list[str], label: str, seeds: tuple[int, ...], **settings) -> DataFrame:
+    """rows with gbt: the mean prediction of one boosted fit per seed."""
+    out = rows
+    for s in seeds:
+        out = boosted(rows, features, label, seed=s, **settings).transform(out).withColumnRenamed("gbt", f"_gbt_{s}").drop("features")
+    mean = sum((F.col(f"_gbt_{s}") for s in seeds[1:]), F.col(f"_gbt_{seeds[0]}")) / len(seeds)
+    return out.withColumn("gbt", mean).drop(*(f"_gbt_{s}" for s in seeds))

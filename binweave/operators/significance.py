@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,7 +69,8 @@ def diebold_mariano(mean: float, variance: float, n: int, horizon: int = 1) -> t
         return math.nan, math.nan, math.nan
     if variance <= 0:
         return 0.0, 0.5, 0.5
-    scale = math.sqrt(max(0.0, (n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n))
+    factor = (n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n
+    scale = math.sqrt(factor) if factor > 0 else 1.0  # long horizons on few rows go uncorrected
     stat = scale * mean / math.sqrt(variance)
     low = t_cdf(stat, n - 1)
     return stat, low, 2 * min(low, 1 - low)
@@ -91,21 +92,17 @@ def day_bootstrap(rows: DataFrame, day: str, draws: int = 4999, seed: int = 0, l
     return float(s.sum() / c.sum()), float(low), float(high)
 
 
-def block_bootstrap(d: np.ndarray, groups: np.ndarray, block: int, draws: int = 4999, seed: int = 0, level: float = 0.95) -> tuple[float, float]:
-    """Interval of the mean from moving blocks within groups, the last block of a group cut to its length. d: in order, one group after another."""
-    rng = np.random.default_rng(seed)
-    total = np.zeros(draws)
-    cuts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-    for own in np.split(d, cuts[1:]):
-        b = min(block, len(own))
-        prefix = np.concatenate([[0], np.cumsum(own)])
-        need = -(-len(own) // b)
-        start = rng.integers(0, len(own) - b + 1, (draws, need))
-        sizes = np.full(need, b)
-        sizes[-1] = len(own) - b * (need - 1)
-        total += (prefix[start + sizes] - prefix[start]).sum(axis=1)
-    low, high = np.quantile(total / len(d), [(1 - level) / 2, (1 + level) / 2])
-    return float(low), float(high)
+def hac_lag_column(n: Column, horizon: int = 1, block: int = 0) -> Column:
+    """hac_lag as a column."""
+    lag = F.greatest(F.lit(horizon - 1), F.floor(4 * F.pow(n / 100, 2 / 9)))
+    return (F.least(F.greatest(lag, F.lit(block)), F.greatest(F.lit(1), F.floor(n / 3))) if block else lag).cast("long")
+
+
+def diebold_mariano_column(mean: Column, variance: Column, n: Column, horizon: int = 1) -> Column:
+    """The statistic of diebold_mariano as a column."""
+    factor = (n + 1 - 2 * horizon + horizon * (horizon - 1) / n) / n
+    scale = F.when(factor > 0, F.sqrt(factor)).otherwise(1.0)
+    return F.when(n < 3, float("nan")).when(variance <= 0, 0.0).otherwise(scale * mean / F.sqrt(variance))
 
 
 def holm(tests: DataFrame, family: list[str] | None = None, p: str = "p") -> DataFrame:

@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from . import model_queries, series_queries, table_queries  # noqa: E402, F401
+from . import model_queries, row_queries, score_queries, series_queries, serving_queries, table_queries  # noqa: E402, F401

@@ -67,6 +67,30 @@ def pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return values, stations
 
 
+def forecast_pages(pages: DataFrame, json: str) -> DataFrame:
+    """JSON pages of issues -> one row per item and area; a forecast is text, or an object that holds it."""
+    parsed = F.from_json(json, "items array<struct<forecasts:array<struct<area:string,forecast:string>>>>")
+    rest = [c for c in pages.columns if c != json]
+    items = pages.select(*rest, F.explode(parsed["items"]).alias("_i")).select(*rest, F.explode("_i.forecasts").alias("_f"))
+    text = F.coalesce(F.get_json_object("_f.forecast", "$.text"), F.col("_f.forecast"))
+    return items.select(*rest, F.col("_f.area").alias("area"), text.alias("text"))
+
+
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Boxes of prediction files, one JSON object a frame: (frame, cls, x, y, w, h, confidence), centres."""
+    raw = spark.read.schema("frame string, predictions array<struct<class:string,confidence:double,x:double,y:double,width:double,height:double>>").option("multiLine", True).json(path)
+    p = raw.select("frame", F.explode("predictions").alias("p"))
+    return p.select("frame", F.col("p.class").alias("cls"), "p.x", "p.y", F.col("p.width").alias("w"), F.col("p.height").alias("h"), "p.confidence")
+
+
+def frame_files(spark: SparkSession, root: str, cameras: list[str] | None = None, months: list[str] | None = None, suffix: str = "*.jpg") -> DataFrame:
+    """Files below root/camera_id=.../month=.../, of which only the wanted folders are listed and only the wanted columns read."""
+    out = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", False).load(root)
+    if cameras is not None:
+        out = out.filter(F.col("camera_id").isin(*cameras))
+    return out.filter(F.col("month").isin(*months)) if months is not None else out
+
+
 def coco(spark: SparkSession, path: str) -> DataFrame:
     """Ground-truth boxes of a COCO file: (frame, cls, x, y, w, h), centres."""
     raw = spark.read.schema("images array<struct<id:long,file_name:string>>, annotations array<struct<image_id:long,category_id:long,bbox:array<double>>>, categories array<struct<id:long,name:string>>").option("multiLine", True).json(path)
