@@ -6,9 +6,9 @@
    of their TF-IDF matrix, with the corpus' frequencies, gives a latent space: two
    distributed passes over the passages, of which the driver sees sums of RANK columns.
 3. All documents are cut into overlapping passages and folded into that space; one
-   whose cosine with an item's passage is at least COSINE is a candidate. A passage's
-   weight outside the benchmark's words bounds its cosine, so most are dismissed
-   without the product; none is dismissed that could reach the threshold.
+   whose cosine with an item's passage is at least COSINE is a candidate. The most that
+   any item's passage has of each word bounds the cosine, so most are dismissed without
+   the product; none is dismissed that could reach the threshold.
 4. A candidate is a leak if the longest common subsequence of the item and a stretch of
    the document hardly longer holds at least COMMON of the item's words, and at least
    ANSWER of its last quarter, where the answer stands.
@@ -264,6 +264,8 @@ class Index:
     #: Place of each hash among the items' words, and which places each item has (the last one: no word of theirs).
     slot: np.ndarray
     holds: np.ndarray
+    #: By steps of a window: of each hash its weight times the most that a passage sought there has of it.
+    peaks: dict[int, np.ndarray]
     #: The same items with equal weights, for candidates beside these.
     flat: Index | None = None
 
@@ -279,15 +281,32 @@ class Index:
         weight = self.idf[words]
         row = self.row[words]
         used = (row >= 0) & (weight > 0)
-        size, part = np.add.reduceat(weight**2, begin), np.add.reduceat(np.where(used, weight**2, 0), begin)
-        live = np.flatnonzero(part > 0)
+        size, part = np.add.reduceat(weight**2, begin), np.add.reduceat(used.astype(np.int32), begin)
+        padded_text = np.concatenate([text, np.full(SPAN, -1)])
+        near = [padded_text[j : j + len(text)] == text for j in range(SPAN)]
+        over = lambda x, span: sum(np.concatenate([x, np.zeros(SPAN)])[j : j + len(text)] * near[j] for j in range(span))
+        chosen: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        needed = np.zeros(len(begin) + SPAN, bool)
+        for span in (SPAN - 1, SPAN):
+            kind = np.flatnonzero(self.span == span)
+            if not len(kind):
+                continue
+            # no passage has more of a word than the largest of them; repeated words only make `whole` smaller, and so the bound larger
+            whole = over(size, span)
+            own = np.flatnonzero(over(np.add.reduceat(self.peaks[span][words], begin), span) >= self.least[kind].min() * np.sqrt(whole) * 0.99)
+            own = own[whole[own] > 0]
+            chosen.append((span, kind, own, whole))
+            for j in range(span):
+                needed[own[near[j][own]] + j] = True
+        # the needed steps' vectors: the first words in use of all steps at once, then the second, ...
+        live = np.flatnonzero(needed[: len(begin)] & (part > 0))
         if not len(live):
             return
-        # the steps' vectors, of those that hold a word in use: the first such words of all steps at once, then the second, ...
-        where = np.flatnonzero(used)
         place = np.full(len(begin) + SPAN, len(live))
         place[live] = np.arange(len(live))
-        own = place[np.searchsorted(begin, where, "right") - 1]
+        own = place[np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(words)]])))]
+        where = np.flatnonzero(used & (own < len(live)))
+        own = own[where]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         rank = np.arange(len(where)) - np.repeat(first, np.diff(np.concatenate([first, [len(where)]])))
         sums = np.zeros((len(live) + 1, self.vectors.shape[1]), np.float32)
@@ -296,21 +315,10 @@ class Index:
             for j in range(0, len(now), AT_ONCE):
                 part_ = now[j : j + AT_ONCE]
                 sums[own[part_]] += self.vectors[row[where[part_]]]
-        padded_text = np.concatenate([text, np.full(SPAN, -1)])
-        grow = lambda x: np.concatenate([x, np.zeros(SPAN)])
-        size, part = grow(size), grow(part)
-        for span in (SPAN - 1, SPAN):
-            kind = np.flatnonzero(self.span == span)
-            if not len(kind):
-                continue
-            near = [padded_text[j : j + len(text)] == text for j in range(span)]
-            whole = sum(size[j : j + len(text)] * near[j] for j in range(span))
-            inside = sum(part[j : j + len(text)] * near[j] for j in range(span))
-            # the weight inside bounds the cosine; repeated words only make `whole` smaller, and so the bound larger
+        for span, kind, windows, whole in chosen:
             least = self.least[kind]
-            chosen = np.flatnonzero((inside > 0) & (inside >= least.min() ** 2 * whole * 0.999))
-            for k in range(0, len(chosen), AT_ONCE):
-                own = chosen[k : k + AT_ONCE]
+            for k in range(0, len(windows), AT_ONCE):
+                own = windows[k : k + AT_ONCE]
                 x = sums[place[own]]
                 for j in range(1, span):
                     x += sums[np.where(near[j][own], place[own + j], len(live))]
@@ -414,12 +422,16 @@ def _index(own: DataFrame, idf: np.ndarray, passages: int, flat: bool = False) -
     words, n = hashed([lowered(t) for t in texts])
     chunks = [c for w in np.split(words, np.cumsum(n)[:-1]) for c in _chunks(w)]
     least = np.array([min(COSINE, _least_cosine(c)) if flat else COSINE for c in chunks])
+    peaks = {}
+    for k in np.unique(span).tolist():
+        peaks[k] = np.zeros(HASHES, np.float32)
+        peaks[k][hashes] = a[span == k].max(axis=0) * idf[hashes]
     each = np.unique(words)
     slot = np.full(HASHES, len(each), np.int32)
     slot[each] = np.arange(len(each))
     holds = np.zeros((len(items), len(each) + 1), bool)
     holds[np.repeat(np.arange(len(items)), n), slot[words]] = True
-    return Index(row, space * idf[keys, None], idf, latent, number, span, [r.item_id for r in items], [_WORD.findall(lowered(t)) for t in texts], least, slot, holds)
+    return Index(row, space * idf[keys, None], idf, latent, number, span, [r.item_id for r in items], [_WORD.findall(lowered(t)) for t in texts], least, slot, holds, peaks)
 
 
 def leaks_of(text: Column, indexes: list[Index]) -> Column:
