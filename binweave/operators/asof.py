@@ -46,9 +46,9 @@ def asof_valid(left: DataFrame, right: DataFrame, key: str, asof_t: str, target_
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """The newest row of each key; ties by the later columns of the order."""
-    w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The newest row of each key; ties by the later columns of the order. One aggregation with map-side maxima, no sort of whole keys."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
 def look_back(origins: DataFrame, frames: DataFrame, key: str = "route", ages: int = 2) -> DataFrame:
@@ -62,10 +62,18 @@ def look_back(origins: DataFrame, frames: DataFrame, key: str = "route", ages: i
     return got.select(key, "bin", "value", F.when(F.coalesce("_any", F.lit(False)), "ok").when(F.col("_n") > 0, "rejected").otherwise("missing").alias("status"))
 
 
-def trailing_sum(points: DataFrame, readings: DataFrame, window_s: int, key: str, t: str = "t") -> DataFrame:
-    """points with the sum of the readings in (t - window_s, t] of the key, null if there is none: one range frame over the union."""
-    both = points.select(key, t, F.lit(None).cast("double").alias("r"), F.lit(1).alias("p")).unionAll(readings.select(key, t, F.col("value").cast("double"), F.lit(0)))
-    w = Window.partitionBy(key).orderBy(t).rangeBetween(-window_s + 1, 0)
+def trailing_sum(points: DataFrame, readings: DataFrame, window_s: int, key: str, t: str = "t", bucket: int = 86400) -> DataFrame:
+    """points with the sum of the readings in (t - window_s, t] of the key, null if there is none: a range frame over the union.
+
+    Time is cut into buckets no shorter than the window, so that a busy key is many tasks; a reading also visits the bucket after its own
+    if a point there can see it.
+    """
+    size = max(bucket, window_s)
+    home = F.floor(F.col(t) / size)
+    both = points.select(key, t, F.lit(None).cast("double").alias("r"), F.lit(1).alias("p"), home.alias("_b")).unionAll(
+        readings.select(key, t, F.col("value").cast("double").alias("r"), F.lit(0).alias("p"), F.explode(F.array_distinct(F.array(home, F.floor((F.col(t) + window_s - 1) / size)))).alias("_b"))
+    )
+    w = Window.partitionBy(key, "_b").orderBy(t).rangeBetween(-window_s + 1, 0)
     return both.withColumn("total", F.sum("r").over(w)).filter("p = 1").select(key, t, "total")
 
 

@@ -58,6 +58,12 @@ def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({f"missing_{c}": F.col(c).isNull().cast("double") for c in columns} | {c: F.coalesce(F.col(c), F.lit(medians[c])) for c in columns})
 
 
+def mean_imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls replaced by the column's mean; 0 where it has no value at all."""
+    means = rows.agg(*(F.avg(c).alias(c) for c in columns)).first()
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(means[c] if means[c] is not None else 0.0)) for c in columns})
+
+
 def fit_ridge(rows: DataFrame, features: list[str], label: str, key: str, alpha: float = 1.0) -> Column:
     """A prediction column: one ridge per key."""
     x = [F.col(c) for c in features]
@@ -228,7 +234,7 @@ def c_means(rows: DataFrame, features: list[str], k: int, m: float = 2.0, rounds
     """Fuzzy c-means centres, ordered by the first feature: one aggregation per round; begins at quantiles of the first feature."""
     stats = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features))).first()
     mean, sd = np.array([stats[f"m{i}"] for i in range(len(features))]), np.array([stats[f"s{i}"] or 1.0 for i in range(len(features))])
-    z = rows.select(*(((F.col(c) - float(mean[i])) / float(sd[i])).alias(f"z{i}") for i, c in enumerate(features))).na.drop()
+    z = rows.select(*(((F.col(c) - float(mean[i])) / float(sd[i])).alias(f"z{i}") for i, c in enumerate(features))).na.drop().persist()
     cuts = z.agg(F.percentile("z0", [(i + 0.5) / k for i in range(k)]).alias("q")).first()["q"]
     centres = np.array([[q] + [0.0] * (len(features) - 1) for q in cuts])
     for _ in range(rounds):
@@ -238,6 +244,7 @@ def c_means(rows: DataFrame, features: list[str], k: int, m: float = 2.0, rounds
         moved, centres = float(np.abs(new - centres).max()), new
         if moved < tolerance:
             break
+    z.unpersist()
     out = centres * sd + mean
     return out[np.argsort(out[:, 0])]
 
@@ -284,28 +291,27 @@ def fit_mlp(train: DataFrame, features: list[str], label: str, key: str, seeds:
 
 
 def mlp_predict(rows: DataFrame, models: DataFrame, features: list[str], key: str, hidden: int = 16) -> DataFrame:
-    """rows with the mean prediction of their key's networks."""
+    """rows with the mean prediction of their key's networks, null where a feature is; a batch's rows of a key go through each network at once."""
     grouped = models.groupBy(key).agg(F.collect_list("weights").alias("_w"))  # one row per key
     d = len(features)
 
     @F.pandas_udf("double")
-    def forward(x: pd.Series, w: pd.Series) -> pd.Series:
-        out = []
-        for v, nets in zip(x, w, strict=True):
-            if nets is None or any(q is None or q != q for q in v):
-                out.append(None)
+    def forward(k: pd.Series, x: pd.Series, w: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=x.index)
+        for _, at in k.groupby(k, sort=False).groups.items():
+            nets = w.loc[at[0]]
+            if nets is None:
                 continue
-            own = []
-            for n in nets:
-                n = np.asarray(n)
-                z = (np.asarray(v, float) - n[:d]) / n[d : 2 * d]
-                at = 2 * d + 1
-                a = np.maximum(z @ n[at : at + d * hidden].reshape(d, hidden) + n[at + d * hidden : at + d * hidden + hidden], 0)
-                own.append(a @ n[at + d * hidden + hidden : -1] + n[-1] + n[2 * d])
-            out.append(float(np.mean(own)))
-        return pd.Series(out, index=x.index, dtype="Float64").astype(float)
-
-    return rows.join(grouped, key, "left").withColumn("mlp", forward(F.array(*features), "_w")).drop("_w")
+            v = np.array([[np.nan if q is None else q for q in r] for r in x.loc[at]], float)
+            total = np.zeros(len(v))
+            for n in map(np.asarray, nets):
+                i, j = 2 * d + 1, 2 * d + 1 + d * hidden
+                a = np.maximum(((v - n[:d]) / n[d : 2 * d]) @ n[i:j].reshape(d, hidden) + n[j : j + hidden], 0)
+                total += a @ n[j + hidden : -1] + n[-1] + n[2 * d]
+            out.loc[at] = total / len(nets)
+        return out
+
+    return rows.join(grouped, key, "left").withColumn("mlp", forward(F.col(key), F.array(*features), "_w")).drop("_w")
 
 
 def residual_ridge(rows: DataFrame, forecast: str, persistence: str, label: str, keys: str, alpha: float = 1.0) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +15,25 @@ from .bins import ordered
 def slew_limited(grid: DataFrame, cap: float, key: str = "route", column: str = "y") -> DataFrame:
     """limited: follows the series by at most `cap` a step, anew after each null.
 
-    Recursive, so no window function: a fold over each stretch between nulls, which is what one task holds.
+    Recursive, so no window function: series are dealt out and sorted, and each task walks through its rows with one value in hand.
     """
-    w = ordered(key)
-    stretch = F.sum(F.col(column).isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    some = grid.withColumn("_s", stretch).filter(F.col(column).isNotNull())
-    items = some.groupBy(key, "_s").agg(F.array_sort(F.collect_list(F.struct("bin", F.col(column).alias("x")))).alias("i"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<bin:bigint,limited:double>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(acc["last"].isNull(), x["x"]).otherwise(acc["last"] + F.greatest(F.least(x["x"] - acc["last"], F.lit(float(cap))), F.lit(-float(cap))))
-        return F.struct(now.alias("last"), F.concat(acc["out"], F.array(F.struct(x["bin"].alias("bin"), now.alias("limited")))).alias("out"))
-
-    limited = items.select(key, F.explode(F.aggregate("i", start, step)["out"]).alias("o")).select(key, "o.*")
-    return grid.join(limited, [key, "bin"], "left")
+    kind = grid.schema[key].dataType.simpleString()
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for b in batches:
+            out = []
+            for k, x in zip(b[key].tolist(), b["x"].tolist(), strict=True):
+                if k != now or x != x:
+                    now, last = k, None
+                if x == x:
+                    last = x if last is None else last + max(-cap, min(cap, x - last))
+                out.append(last)
+            yield pd.DataFrame({key: b[key], "bin": b["bin"], "limited": pd.Series(out, index=b.index, dtype=float)})
+
+    rows = grid.filter(F.col(key).isNotNull()).select(key, "bin", F.coalesce(F.col(column).cast("double"), F.lit(float("nan"))).alias("x"))
+    limited = rows.repartition(key).sortWithinPartitions(key, "bin").mapInPandas(walk, f"{key} {kind}, bin long, limited double")
+    return grid.join(limited.withColumn("limited", F.when(~F.isnan("limited"), F.col("limited"))), [key, "bin"], "left")
 
 
 def trends(grid: DataFrame, span: int = 12, key: str = "route") -> DataFrame:

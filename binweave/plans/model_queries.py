@@ -301,8 +301,11 @@ def k9(spark, d):
 @register("u7_stratified", "with r as (select event_id, row_number() over (partition by cast(hour(ts) as bigint) order by event_id) as k from events) select event_id from r where k <= 5")
 def u7(spark, d):
     """An equal quota per hour of day, by id."""
-    e = raw(spark, d).withColumn("hour", F.floor(F.col("t") / 3600) % 24)
-    return e.withColumn("k", F.row_number().over(Window.partitionBy("hour").orderBy("event_id"))).filter("k <= 5").select("event_id")
+    e = raw(spark, d).select("event_id", (F.floor(F.col("t") / 3600) % 24).alias("hour"), F.pmod(F.xxhash64("event_id"), F.lit(256)).alias("part"))
+    # the first five of each of 256 parts of an hour, then the first five of those
+    for keys in (["hour", "part"], ["hour"]):
+        e = e.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("event_id"))).filter("k <= 5")
+    return e.select("event_id")
 
 
 @register("s13_json_explode", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
@@ -325,15 +328,13 @@ def p17(spark, d):
 
 @register("p19_scalar_subquery", "select event_id from events where ts >= (select min(ts) + interval 10 days from events where event_type = 'error')")
 def p19(spark, d):
-    e = raw(spark, d)
-    e.createOrReplaceTempView("bw_events")
-    return spark.sql("select event_id from bw_events where t >= (select min(t) + 864000 from bw_events where event_type = 'error')")
+    return spark.sql("select event_id from {e} where t >= (select min(t) + 864000 from {e} where event_type = 'error')", e=raw(spark, d))
 
 
 @register("s4_parameters", "select event_id from events where event_type in ('click','view') and value > 50 and epoch(ts) >= 1705000000")
 def s4(spark, d):
-    raw(spark, d).createOrReplaceTempView("bw_events")
-    return spark.sql("select event_id from bw_events where array_contains(:types, event_type) and value > :least and t >= :since", args={"types": F.array(F.lit("click"), F.lit("view")), "least": 50.0, "since": 1705000000})
+    args = {"types": F.array(F.lit("click"), F.lit("view")), "least": 50.0, "since": 1705000000}
+    return spark.sql("select event_id from {e} where array_contains(:types, event_type) and value > :least and t >= :since", args=args, e=raw(spark, d))
 
 
 @register("m10_profile_cv")

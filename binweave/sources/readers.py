@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OBSERVATION = "observed_at string, route_id string, direction string, status string, distance_m long, duration_sec long, duration_in_traffic_sec long, error_message string"
@@ -109,7 +111,8 @@ def yolo(spark: SparkSession, path: str, width: float, height: float) -> DataFra
 
 def deduplicated(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key by the order column."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
 def payloads(df: DataFrame, json: str) -> tuple[DataFrame, DataFrame]:
@@ -123,3 +126,14 @@ def payloads(df: DataFrame, json: str) -> tuple[DataFrame, DataFrame]:
     reason = reason.when(c[0] + c[1] + c[2] != c[3], "total")
     out = out.withColumn("reason", reason)
     return out.filter("reason is null").select(*df.columns, "p.camera_id", "p.a", "p.b", "p.unknown", "p.total"), out.filter("reason is not null").select(*df.columns, "reason")
+
+
+def cached_table(spark: SparkSession, path: str, load: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """The table kept at path; loaded and written there where it is missing or to be refreshed. Readers of the old files are not disturbed: a refresh writes beside them first."""
+    from .sinks import exists, replace
+
+    if refresh or not exists(spark, path):
+        df = load()
+        df.write.mode("overwrite").parquet(f"{path}.new")
+        replace(spark, f"{path}.new", path)
+    return spark.read.parquet(path)

@@ -55,3 +55,51 @@ def plot_series(df: DataFrame, path: str, columns: list[str]) -> None:
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(path, SHA-256) of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename source to target, in place of what is there."""
+    jvm = spark._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(b):
+        fs.delete(b, True)
+    if not fs.rename(a, b):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def ensure_tables(spark: SparkSession, tables: dict[str, tuple[str, list[str]]]) -> None:
+    """Create the tables that are missing. tables: name -> (columns, partition columns)."""
+    for name, (columns, partitions) in tables.items():
+        by = f" partitioned by ({', '.join(partitions)})" if partitions else ""
+        spark.sql(f"create table if not exists {name} ({columns}) using parquet{by}")
+
+
+def one_csv(df: DataFrame, path: str, order: list[str]) -> None:
+    """One sorted CSV file with a header at path, there all at once; for small keyed tables."""
+    spark = df.sparkSession
+    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(f"{path}.tmp")
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    replace(spark, part, path)
+    fs.delete(folder, True)
+
+
+def upsert_csv(df: DataFrame, path: str, keys: list[str], schema: str) -> None:
+    """A small keyed CSV file with the rows of df in place of those of equal key, or added, sorted by key."""
+    spark = df.sparkSession
+    now = upserted(spark.read.schema(schema).option("header", True).csv(path), df, keys) if exists(spark, path) else df
+    one_csv(now, path, keys)
+
+
+def done_keys(spark: SparkSession, path: str, key: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
+    """Keys a resumable sink has: of a Parquet table, a CSV file, or a folder of files (their names without ending)."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{key} string")
+    if kind == "folder":
+        name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+        return spark.read.format("binaryFile").load(path).select(name.alias(key)).distinct()
+    reader = spark.read.schema(schema).option("header", True).csv if kind == "csv" else spark.read.parquet
+    return reader(path).select(key).distinct()

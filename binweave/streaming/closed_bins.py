@@ -30,6 +30,8 @@ def monitored(forecasts: DataFrame, actuals: DataFrame, delay: str = "2 hours")
     """Stream-stream join of forecasts (route, target_ts, forecast) with the bins they were for (route, bin_ts, y)."""
     f, a = forecasts.withWatermark("target_ts", delay).alias("f"), actuals.withWatermark("bin_ts", delay).alias("a")
     on = (F.col("f.route") == F.col("a.route")) & (F.col("f.target_ts") == F.col("a.bin_ts"))
+    if "observed_ts" in actuals.columns:  # a label is observed when its bin has closed, not before and not long after
+        on = on & F.col("a.observed_ts").between(F.col("f.target_ts") + F.expr("interval 10 minutes"), F.col("f.target_ts") + F.expr(f"interval {delay}"))
     return f.join(a, on).select("f.route", "f.target_ts", "f.forecast", F.col("a.y").alias("actual"))
 
 
@@ -39,9 +41,9 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def live_cycle(stream: DataFrame, score, path: str, checkpoint: str) -> StreamingQuery:
-    """For each micro-batch: score(batch) -> forecasts, appended to Parquet."""
+    """For each micro-batch: score(batch) -> forecasts, in a folder of the batch's number, so that a batch that is tried again writes no row twice."""
 
-    def cycle(batch: DataFrame, _: int) -> None:
-        score(batch).write.mode("append").parquet(path)
+    def cycle(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
