@@ -57,7 +57,7 @@ SMALL = 32
 #: Sets that a task knows it has sent, and sets that may be named anew.
 SEEN, RENAMED = 1 << 20, 100_000
 #: Bytes of text per bucket of signatures, and entries that a task holds before it sends them on.
-BUCKET_BYTES, HELD = 8 << 20, 1 << 21
+BUCKET_BYTES, HELD = 8 << 20, 1 << 20
 BITS = 1024
 #: Pairs looked at in one step, and rows gathered before whole groups are looked at.
 AT_ONCE, GATHERED = 1 << 16, 20_000
@@ -203,16 +203,26 @@ def _packed(x: np.ndarray) -> bytes:
     return b"".join([head, x["set"][new].tobytes(), x["family"][new].tobytes(), count.tobytes(), five.tobytes(), x["part"].tobytes() if x["part"].any() else b""])
 
 
-def _unpacked(b: bytes) -> np.ndarray:
+def _signatures_of(b: bytes) -> np.ndarray:
+    """The signatures of a packed block."""
     n, size = np.frombuffer(b, "<u4", 2).tolist()
-    sets, families, count = np.frombuffer(b, "<i8", n, 8), np.frombuffer(b, "<u2", n, 8 + 8 * n), np.frombuffer(b, "<u4", n, 8 + 10 * n)
-    at = 8 + 14 * n
-    out = np.zeros(size, _ENTRY)
     wide = np.zeros((size, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(b, np.uint8, 5 * size, at).reshape(-1, 5)
-    out["sig"], out["set"], out["family"] = wide.view("<u8")[:, 0], np.repeat(sets, count), np.repeat(families, count)
-    if len(b) > at + 5 * size:
-        out["part"] = np.frombuffer(b, "<u4", size, at + 5 * size)
+    wide[:, :5] = np.frombuffer(b, np.uint8, 5 * size, 8 + 14 * n).reshape(-1, 5)
+    return wide.view("<u8")[:, 0]
+
+
+def _unpacked(b: bytes, wanted: np.ndarray) -> np.ndarray:
+    """The entries of a packed block whose signatures are among the wanted ones (sorted)."""
+    n, size = np.frombuffer(b, "<u4", 2).tolist()
+    sets, families, count = np.frombuffer(b, "<i8", n, 8), np.frombuffer(b, "<u2", n, 8 + 8 * n), np.frombuffer(b, "<u4", n, 8 + 10 * n)
+    sigs = _signatures_of(b)
+    keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, sigs), len(wanted) - 1)] == sigs) if len(wanted) else np.zeros(0, np.int64)
+    head = np.repeat(np.arange(n), count)[keep]
+    out = np.zeros(len(keep), _ENTRY)
+    out["sig"], out["set"], out["family"] = sigs[keep], sets[head], families[head]
+    at = 8 + 14 * n + 5 * size
+    if len(b) > at:
+        out["part"] = np.frombuffer(b, "<u4", size, at)[keep]
     return out
 
 
@@ -283,10 +293,11 @@ def _met(buckets: int):
         blocks = pdf.loc[pdf["kind"] == 0, "block"]
         if not len(blocks):
             return rest
-        x = np.concatenate([_unpacked(b) for b in blocks])
-        x = x[np.argsort(x["sig"], kind="stable")]
-        same = x["sig"][1:] == x["sig"][:-1]
-        x = x[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        # signatures that come once are most; only the others' entries are unpacked
+        sigs = np.sort(np.concatenate([_signatures_of(b) for b in blocks]))
+        again = np.unique(sigs[1:][sigs[1:] == sigs[:-1]])
+        del sigs
+        x = np.concatenate([_unpacked(b, again) for b in blocks])
         x = np.unique(x)  # by signature, then set
         if not len(x):
             return rest
