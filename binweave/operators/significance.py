@@ -63,6 +63,23 @@ def _beta(x: float, a: float, b: float) -> float:
     return front * out / a
 
 
+def t_p(t: float, df: float) -> float:
+    """Two-sided p-value of a t statistic."""
+    return 2 * t_cdf(-abs(t), df)
+
+
+def pearson_p(r: float, n: int) -> float:
+    """Two-sided p-value of a correlation of n pairs (of ranks, too)."""
+    if n < 3 or abs(r) >= 1:
+        return math.nan if n < 3 else 0.0
+    return t_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
+def normal_p(z: float) -> float:
+    """Two-sided p-value of a normal score."""
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
 def diebold_mariano(mean: float, variance: float, n: int, horizon: int = 1) -> tuple[float, float, float]:
     """(statistic, p one-sided that the candidate is better, p two-sided), with the small-sample correction."""
     if n < 3:

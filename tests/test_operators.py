@@ -114,10 +114,13 @@ def test_holm(spark):
 
 
 def test_bootstraps(spark):
-    d = np.array([1.0, 2.0, 3.0, 4.0] * 10)
-    low, high = significance.block_bootstrap(d, np.zeros(40), 4, 500)
-    assert low <= d.mean() <= high
-    assert significance.block_bootstrap(np.ones(9), np.array([0] * 5 + [1] * 4), 2, 50) == (1.0, 1.0)
+    from binweave.operators import comparison
+
+    rows = spark.createDataFrame([("a", i, float(i % 4 + 1)) for i in range(40)], "g string, i int, d double")
+    r = comparison.block_bootstrap(rows, "g", "i", 3, draws=300).first()
+    assert r.n == 40 and r.low < r["mean"] == 2.5 < r.high
+    flat = spark.createDataFrame([(g, i, 1.0) for g, n in (("a", 5), ("b", 4)) for i in range(n)], "g string, i int, d double")
+    assert tuple(comparison.block_bootstrap(flat, "g", "i", 2, draws=50).first())[1:] == (1.0, 1.0, 1.0)
     mean, low, high = significance.day_bootstrap(spark.createDataFrame([(k, float(k % 3)) for k in range(30)], "day int, d double"), "day", 300)
     assert low <= mean <= high
 
