@@ -132,7 +132,7 @@ def _blocks(form: Column, openings: dict[str, list[int]]) -> Column:
     def of(o: Column) -> Column:
         parts = F.split(form, o["opening"])
         starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(1), lambda n, x: n + F.length(x)) + (i - 1) * OPENING)
-        return F.flatten(F.transform(starts, lambda at: F.transform(o["lengths"], lambda n: F.sha2(F.substring(form, at, n).cast("binary"), 256))))
+        return F.flatten(F.transform(starts, lambda at: F.transform(o["lengths"], lambda n: F.when(at + n - 1 <= F.length(form), F.sha2(F.substring(form, at, n).cast("binary"), 256)))))
 
     return F.flatten(F.transform(F.filter(table, lambda o: F.contains(form, o["opening"])), of))
 

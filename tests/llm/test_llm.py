@@ -668,6 +668,23 @@ def test_spotsigs_pairs(docs, plain):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("name", ["op3_licenses", "op5_warc", "op10_spotsigs"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from binweave.llm.queries import ORACLE_SQL, QUERIES
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    df, rel = QUERIES[name](spark, d), con.sql(ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(rel.columns) == columns
+    at = [rel.columns.index(c) for c in columns]
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=str)
+
+
 # the pipeline
 
 
