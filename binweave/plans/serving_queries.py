@@ -494,3 +494,52 @@ def ax18(spark, d):
 
     kept = detect.suppressed(unique_boxes(spark, d).filter("confidence >= 0.02"), 0.6, by_class=False, smaller=True)
     return detect.frame_counts(detect.directed(kept, [(5, 10), (20, 20), (35, 15)]))
+
+
+_RES = f"{SCORED}, r as (select route, bin, p1, p1 - y_persistence as x, y_30 - p1 as e from sl), m as (select route, count(*) as n, avg(x) as mx, stddev_pop(x) as sx, avg(e) as me, covar_pop(x, e) as c from r where route in ('click', 'view') group by 1), w as (select route, mx, me, case when sx > 0 then (n*c/sx)/(n + 1.0)/sx else 0 end as w from m)"
+
+
+@register("ax16_residuals_applied", f"with {_RES} select r.route, bin, round(p1 + coalesce(me + w*(x - mx), 0),6) as calibrated, case when w.route is null then 'uncorrected' else 'corrected' end as status from r left join w on w.route = r.route")
+def ax16(spark, d):
+    """Residual corrections kept as a table of coefficients, applied by a join; series without one go uncorrected."""
+    s = scored(spark, d)
+    table = models.residual_table(s.filter("route in ('click', 'view')"), "p1", "y_persistence", "y_30", "route")
+    return rounded(models.with_residuals(s, table, "p1", "y_persistence", "route").select("route", "bin", "calibrated", "status"), "calibrated")
+
+
+@register("ax17_model_json", f"with {_RES} select route, round(w,6) as slope, round(me - w*mx,6) as intercept, 1 as features from w")
+def ax17(spark, d):
+    """Coefficients through JSON and back, with the number of features and their names checked."""
+    s = scored(spark, d)
+    table = models.residual_table(s.filter("route in ('click', 'view')"), "p1", "y_persistence", "y_30", "route")
+    back = models.from_json_model(models.to_json_model(table, ["change"], "route"), ["change"])
+    return rounded(back.select("route", F.col("weights")[0].alias("slope"), F.col("weights")[1].alias("intercept"), F.size("features").alias("features")), "slope", "intercept")
+
+
+@register("ax22_counts_as_series", "with b as (select event_type as route, cast(floor(epoch(ts)/3600) as bigint) as bin, count(*)::double as y from events where ts >= timestamp '2024-01-08 00:00:00' and ts < timestamp '2024-01-22 00:00:00' group by 1, 2) select a.route, a.bin, a.y, l.y as lag_1, p.y as label from b a left join b l on l.route = a.route and l.bin = a.bin - 1 left join b p on p.route = a.route and p.bin = a.bin + 3")
+def ax22(spark, d):
+    """Counts of a span of days in place of durations, with the same lags and labels."""
+    e = raw(spark, d).filter((F.col("t") >= 1704672000) & (F.col("t") < 1705881600))
+    b = e.groupBy(F.col("event_type").alias("route"), F.floor(F.col("t") / 3600).cast("long").alias("bin")).agg(F.count("*").cast("double").alias("y"))
+    return b.withColumns({"lag_1": lags.at_offset("y", -1), "label": lags.at_offset("y", 3)})
+
+
+@register("ax25_bridge", f"with {TIMED}, l as (select route, max(bin) as bin from timed group by 1) select t.route, t.bin, t.after_gap, round(lag_10,6) as lag_10, round(roll_mean_60,6) as roll_mean_60, round(slope_30,6) as slope_30, round(y_persistence,6) as y_persistence from timed t join l on l.route = t.route and l.bin = t.bin")
+def ax25(spark, d):
+    """Features of the newest bin, rebuilt from a history and what came after it."""
+    b = ten_minutes(spark, d).select("route", "bin", "y", "n")
+    cut = b.agg(F.max("bin").alias("b")).first().b - 3
+    both = b.filter(F.col("bin") <= cut).unionByName(b.filter(F.col("bin") > cut))
+    t = lags.timed_features(bins.with_after_gap(bins.with_gap(both)))
+    newest = t.groupBy("route").agg(F.max("bin").alias("bin"))
+    return rounded(t.join(newest, ["route", "bin"]).select("route", "bin", "after_gap", "lag_10", "roll_mean_60", "slope_30", "y_persistence"), "lag_10", "roll_mean_60", "slope_30", "y_persistence")
+
+
+@register("m30_nowcast", f"with {_HGRID}, c as (select cast(floor(epoch(ts)/3600) as bigint) as bin, count(*)::double as cars from events where event_type = 'error' group by 1), x as (select g.route, cast(g.bin as bigint) as bin, g.y, coalesce(c.cars, 0) as v from grid g left join c on c.bin = g.bin where g.y is not null and g.route <> 'error'), m as (select route, count(*) as n, avg(v) as mv, stddev_pop(v) as sv, avg(y) as my, covar_pop(v, y) as cv from x group by 1), w as (select *, case when sv > 0 then (n*cv/sv)/(n + 1.0)/sv else 0 end as w from m) select x.route, bin, round(my + w*(v - mv),6) as nowcast from x join w on w.route = x.route")
+def m30(spark, d):
+    """The present value from another feed's counts of the same bin."""
+    from ..operators import joins
+
+    cars = raw(spark, d).filter("event_type = 'error'").groupBy(F.floor(F.col("t") / 3600).cast("long").alias("bin")).agg(F.count("*").cast("double").alias("cars"))
+    x = joins.attached(hourly_grid(spark, d).filter("y is not null and route <> 'error'"), cars, ["bin"]).withColumn("cars", F.coalesce("cars", F.lit(0.0)))
+    return rounded(x.select("route", "bin", models.fit_ridge(x, ["cars"], "y", "route").alias("nowcast")), "nowcast")

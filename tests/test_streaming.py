@@ -36,3 +36,47 @@ def test_once_and_monitor(spark, tmp_path):
     a = spark.readStream.schema(SCHEMA).parquet(path).select("route", F.col("ts").alias("bin_ts"), F.col("value").alias("y"))
     run_available(monitored(f, a), str(tmp_path / "m"), str(tmp_path / "mc")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "m")).filter("route = 'b'").first().actual == 3.0
+
+
+def test_running_state_equals_batch(spark, tmp_path):
+    """Gap, after_gap and the slew-limited value of a stream in three batches are those of the whole series; a bin that comes again is no news."""
+    from binweave.operators import bins, shaping
+    from binweave.streaming.state import with_running_state
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("a", b, float((b * 37) % 50)) for b in (1, 2, 3, 9, 10, 11, 12, 13, 14, 15, 16, 17, 30)] + [("b", b, float(b)) for b in (5, 6, 40)]
+    path, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    try:
+        for part in (rows[:4], rows[4:9] + [rows[13]], rows[9:13] + rows[14:] + [("a", 12, 999.0)]):
+            spark.createDataFrame(part, "route string, bin long, y double").coalesce(1).write.mode("append").parquet(path)
+            stream = spark.readStream.schema("route string, bin long, y double").parquet(path)
+            run_available(with_running_state(stream), out, check).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    batch = spark.createDataFrame(rows, "route string, bin long, y double")
+    want = shaping.slew_limited(bins.with_after_gap(bins.with_gap(batch)), 10.0)
+    key = lambda df: sorted((r.route, r.bin, r.y, r.gap_min, r.after_gap, r.limited) for r in df.collect())
+    assert key(spark.read.parquet(out)) == key(want)
+
+
+def test_live_cycle_writes_a_retried_batch_once(spark, tmp_path):
+    from binweave.streaming.closed_bins import live_cycle
+
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(spark, [("a", 600, 1.0)], path)
+    stream = lambda: spark.readStream.schema(SCHEMA).parquet(path)
+    for check in ("c1", "c2"):  # a second query starts from batch 0 again, as after a lost commit
+        live_cycle(stream(), lambda b: b.select("route", "value"), out, str(tmp_path / check)).awaitTermination()
+    assert spark.read.parquet(out).count() == 1
+
+
+def test_monitor_waits_for_the_label(spark, tmp_path):
+    path = str(tmp_path / "in")
+    write(spark, [("a", 600, 1.0), ("b", 1200, 3.0)], path)
+    s = spark.readStream.schema(SCHEMA).parquet(path)
+    f = s.select("route", F.col("ts").alias("target_ts"), F.col("value").alias("forecast"))
+    late = F.when(F.col("route") == "a", F.expr("interval 12 minutes")).otherwise(F.expr("interval 3 hours"))
+    a = spark.readStream.schema(SCHEMA).parquet(path).select("route", F.col("ts").alias("bin_ts"), F.col("value").alias("y"), (F.col("ts") + late).alias("observed_ts"))
+    run_available(monitored(f, a), str(tmp_path / "m"), str(tmp_path / "mc")).awaitTermination()
+    assert [r.route for r in spark.read.parquet(str(tmp_path / "m")).collect()] == ["a"]
