@@ -464,13 +464,13 @@ def v5_rescaled(spark, d):
     return detect.directed(boxes(spark, d), line).select("id", "direction")
 
 
-@register("v2_decoded", "with s as (select l_orderkey as frame, l_linenumber, l_discount, l_tax, l_quantity/50.0 as q from lineitem), k as (select frame, cast(l_linenumber as bigint) as anchor, greatest(l_discount, l_tax*1.5, q*0.05) as score, case when l_discount >= l_tax*1.5 and l_discount >= q*0.05 then 0 when l_tax*1.5 >= q*0.05 then 1 else 2 end as cls from s), r as (select *, row_number() over (partition by frame order by score desc, anchor) as rn from k where score >= 0.04) select frame, anchor, cast(cls as bigint) as cls, round(score,6) as score from r where rn <= 4")
+@register("v2_decoded", "with s as (select l_orderkey as frame, cast(l_linenumber as bigint)*1000000000 + l_partkey*10000 + l_suppkey as anchor, l_discount, l_tax, l_quantity/50.0 as q from lineitem), k as (select frame, anchor, greatest(l_discount, l_tax*1.5, q*0.05) as score, case when l_discount >= l_tax*1.5 and l_discount >= q*0.05 then 0 when l_tax*1.5 >= q*0.05 then 1 else 2 end as cls from s), r as (select *, row_number() over (partition by frame order by score desc, anchor) as rn from k where score >= 0.04) select frame, anchor, cast(cls as bigint) as cls, round(score,6) as score from r where rn <= 4")
 def v2(spark, d):
     """Rows of class scores decoded: the best class, a floor, and the best rows of a frame."""
     from ..operators import detect
 
     line = spark.read.parquet(f"{d}/lineitem.parquet")
-    s = line.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("anchor"), F.array(F.col("l_discount").cast("double"), F.col("l_tax").cast("double") * 1.5, F.col("l_quantity").cast("double") / 50.0 * 0.05).alias("scores"))
+    s = line.select(F.col("l_orderkey").alias("frame"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("anchor"), F.array(F.col("l_discount").cast("double"), F.col("l_tax").cast("double") * 1.5, F.col("l_quantity").cast("double") / 50.0 * 0.05).alias("scores"))
     return rounded(detect.decoded(s, 0.04, 4).select("frame", "anchor", F.col("cls").cast("long").alias("cls"), "score"), "score")
 
 
