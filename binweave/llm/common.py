@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset one of our own in local mode (tests), an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("binweave.shared.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="binweave-")
         spark.conf.set("binweave.shared.dir", base)
     return base

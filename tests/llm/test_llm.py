@@ -740,3 +740,43 @@ def test_pipeline_stages(spark):
     before, after = seen["packing"]
     tokenizer = Tokenizer.from_file(tokenizer_path())
     assert check_packed(after, [(r.doc_id, r.text) for r in before], tokenizer) > 0.97
+
+
+def test_pipeline_stages_awkward(spark, docs, empty):
+    """Nulls, empties, repeated rows, rows without an id and clashing columns in every stage; empty tables."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    twice = docs.unionAll(docs.filter(F.col("doc_id").isNotNull()).orderBy("doc_id").limit(4))
+    plain = [(r.doc_id, r.text) for r in twice.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, d).count() == 0, name
+        got = stage(spark, twice, d)
+        rows = got.collect()
+        if name == "packing":
+            assert check_packed_rows(rows) == len(plain)
+            continue
+        assert got.columns == corpus_pipeline.COLUMNS
+        left = collections.Counter((r.doc_id, r.text) for r in rows)
+        if name == "near_duplicates":
+            first = {i for i, (_, c) in brute_components([p for p in plain if p[0] is not None]).items() if i == c}
+            assert left == collections.Counter(p for p in plain if p[0] is None or p[0] in first)
+        elif name == "repeated_passages":
+            cut = brute_words([t or "" for _, t in plain], 51)
+            assert left == collections.Counter((i, None if t is None else c) for (i, t), c in zip(plain, cut, strict=True))
+        elif name == "decontamination":
+            assert left == collections.Counter(plain)
+        else:
+            assert not left - collections.Counter(plain) and (None, "a row without an id") in left
+
+
+def check_packed_rows(rows):
+    """Whole documents, told apart by where their first piece lies, and sequences without gaps; the number of documents."""
+    seqs = collections.defaultdict(list)
+    for r in rows:
+        seqs[r.sequence_id].append(r)
+    for own in seqs.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [0, *np.cumsum([r.length for r in own])[:-1].tolist()]
+    firsts = [r for r in rows if r.start == 0]
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in firsts)
+    return len(firsts)
