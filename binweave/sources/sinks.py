@@ -103,3 +103,18 @@ def done_keys(spark: SparkSession, path: str, key: str, kind: str = "parquet", s
         return spark.read.format("binaryFile").load(path).select(name.alias(key)).distinct()
     reader = spark.read.schema(schema).option("header", True).csv if kind == "csv" else spark.read.parquet
     return reader(path).select(key).distinct()
+
+
+def guarded_load(loads: dict[str, tuple[DataFrame, str]], snapshots: str | None = None) -> None:
+    """Append several tables (path -> rows, time column), or none: all ranges are checked before the first write; old tables are copied beside, if wanted."""
+    for path, (df, time) in loads.items():
+        spark = df.sparkSession
+        if exists(spark, path):
+            span = df.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
+            if spark.read.parquet(path).filter(F.col(time).between(span.a, span.b)).limit(1).count():
+                raise ValueError(f"{path} already has rows from {span.a} to {span.b}")
+    for path, (df, _) in loads.items():
+        if snapshots and exists(df.sparkSession, path):
+            df.sparkSession.read.parquet(path).write.parquet(f"{snapshots}/{path.rstrip('/').rsplit('/', 1)[-1]}")
+    for path, (df, _) in loads.items():
+        append(df, path, df.columns)

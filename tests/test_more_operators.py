@@ -275,3 +275,31 @@ def test_backfill_stops():
     assert [o for _, o in run([1, 2], fails)] == ["planned"] * 2
     assert len(run(list(range(9)), fails, dry_run=False)) == 5
     assert [o for _, o in run([1, 2, 3], lambda k: "quota" if k == 2 else "ok", dry_run=False)] == ["ok", "quota"]
+
+
+def test_observations_frames_and_series_files(spark, tmp_path):
+    from binweave.sources import readers, sinks
+
+    (tmp_path / "o.csv").write_text("observed_at,route_id,direction,status,distance_m,duration_sec,duration_in_traffic_sec,error_message\n2026-01-01T00:00:00Z,r1,A,OK,1,2,3,\nno time,r1,A,OK,1,2,3,\n2026-01-01T00:10:00+08:00,r2,B,OK,1,2,3,carried_forward\n")
+    assert {r.route_id: r.ts.timestamp() % 86400 for r in readers.observations(spark, str(tmp_path / "o.csv")).collect()} == {"r1": 0, "r2": 16 * 3600 + 600}
+    assert readers.observations(spark, str(tmp_path / "o.csv"), "r2").count() == 1
+    (tmp_path / "c.csv").write_text("frame_ts,status,a,b\n2026-01-01 08:00:00,ok,1,2\n2026-01-01 08:00:00,ok,3,4\n2026-01-01 08:10:00,bad,5,6\n")
+    assert [(r.ts.timestamp() % 86400, r.a, r.b) for r in readers.frames(spark, str(tmp_path / "c.csv")).collect()] == [(0, 3.0, 4.0)]
+    sinks.plot_series(spark.createDataFrame([(1, 1.5), (2, float("nan")), (3, float("inf"))], "k int, v double"), str(tmp_path / "s"), ["k", "v"])
+    assert {(r.k, r.v) for r in spark.read.option("header", True).csv(str(tmp_path / "s")).collect()} == {("1", "1.5"), ("2", None), ("3", None)}
+    df = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, x int")
+    sinks.append(df, str(tmp_path / "p"), ["k", "v"], "v")
+    assert sorted(spark.read.parquet(str(tmp_path / "p")).columns) == ["k", "v"] and (tmp_path / "p" / "v=a").exists()
+
+
+def test_guarded_load_is_all_or_nothing(spark, tmp_path):
+    from binweave.sources import sinks
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = lambda *t: spark.createDataFrame([(x,) for x in t], "t int")
+    sinks.guarded_load({a: (rows(1, 2), "t"), b: (rows(1), "t")})
+    with pytest.raises(ValueError):
+        sinks.guarded_load({a: (rows(3), "t"), b: (rows(1), "t")})
+    assert spark.read.parquet(a).count() == 2
+    sinks.guarded_load({a: (rows(3), "t")}, str(tmp_path / "old"))
+    assert spark.read.parquet(a).count() == 3 and spark.read.parquet(str(tmp_path / "old" / "a")).count() == 2
