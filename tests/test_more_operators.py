@@ -303,3 +303,13 @@ def test_guarded_load_is_all_or_nothing(spark, tmp_path):
     assert spark.read.parquet(a).count() == 2
     sinks.guarded_load({a: (rows(3), "t")}, str(tmp_path / "old"))
     assert spark.read.parquet(a).count() == 3 and spark.read.parquet(str(tmp_path / "old" / "a")).count() == 2
+
+
+def test_simplex_weights_of_two_are_exact():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        p = rng.normal(20, 5, (25, 2))
+        y = p @ [0.4, 0.6] + rng.normal(0, 2, 25)
+        w = models.simplex_weights(p, y)
+        grid = min(float(np.abs(v * p[:, 0] + (1 - v) * p[:, 1] - y).mean()) for v in np.linspace(0, 1, 5001))
+        assert math.isclose(w.sum(), 1) and w.min() >= 0 and np.abs(p @ w - y).mean() <= grid + 1e-12
