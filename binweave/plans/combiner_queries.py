@@ -102,3 +102,30 @@ def m2_two(spark, d):
     """Ridge of two features, missing values by the mean, alpha 0.1, per series."""
     t = models.mean_imputed(timed(spark, d).filter("y_30 is not null"), ["roll_mean_60"])
     return rounded(t.select("route", "bin", models.fit_ridge(t, ["y_persistence", "roll_mean_60"], "y_30", "route", 0.1).alias("ridge")), "ridge", digits=5)
+
+
+def _matrix_rows() -> str:
+    from ..operators.shaping import wavelet_matrix
+
+    return ", ".join(f"({k}, {i + 1}, {v!r}::double)" for k, row in enumerate(wavelet_matrix(12).tolist()) for i, v in enumerate(row))
+
+
+@register("w18_coefficients", f"with {_HGRID}, m(k, i, v) as (values {_matrix_rows()}), w as (select a.route, a.bin, b.bin - a.bin + 12 as i, b.y, count(b.y) over (partition by a.route, a.bin) as c from grid a join grid b on b.route = a.route and b.bin between a.bin - 11 and a.bin) select route, cast(bin as bigint) as bin, cast(m.k as bigint) as k, round(sum(w.y * m.v),5) as value from w join m on m.i = w.i where c = 12 group by 1, 2, 3")
+def w18_coefficients(spark, d):
+    """The wavelet coefficients of each complete half day, one to a row; the map is linear and given as a matrix."""
+    from ..operators import shaping
+
+    x = shaping.windows(hourly_grid(spark, d), 12)
+    out = x.select("route", "bin", F.posexplode(shaping.mapped(F.col("x"), shaping.wavelet_matrix(12))).alias("k", "value"))
+    return rounded(out.withColumn("k", F.col("k").cast("long")), "value", digits=5)
+
+
+@register("w20_fallback", f"with {_HGRID}, z as (select *, case when bin % 3 = 0 then y * 2 end as z from grid), s as (select a.route, a.bin, count(b.y) as c, sum(b.y) as first, sum(coalesce(b.z, b.y) * (b.bin - a.bin + 6)) as second from z a join z b on b.route = a.route and b.bin between a.bin - 5 and a.bin group by 1, 2) select route, cast(bin as bigint) as bin, round(first,6) as first, round(second,6) as second from s where c = 6")
+def w20_fallback(spark, d):
+    """Sequence tensors of two channels, the second with gaps that the first fills; shown by a sum of each."""
+    from ..operators import shaping
+
+    g = hourly_grid(spark, d).withColumn("z", F.when(F.col("bin") % 3 == 0, F.col("y") * 2))
+    t = shaping.tensors(g, 6, ["y", "z"])
+    total = lambda c, w: F.aggregate(F.zip_with("tensor", F.array(*map(F.lit, w)), lambda r, v: r[c] * v), F.lit(0.0), lambda a, v: a + v)
+    return rounded(t.select("route", "bin", total(0, [1.0] * 6).alias("first"), total(1, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]).alias("second")), "first", "second")
