@@ -1,8 +1,10 @@
-"""DuckDB SQL of the numbered queries that SQL can state: licences, WARC records and fingerprints."""
+"""DuckDB SQL of the numbered queries that SQL can state: licences, WARC records, fingerprints, repaired and formatted conversations, resampling."""
 
 from __future__ import annotations
 
+from .chat import ADDED, CONTROL
 from .licenses import COPYRIGHT, OPENING, SPELLINGS, TELLING, known_rows
+from .resampling import BETWEEN, LOWER, UPPER
 from .spotsigs import ALIKE, ANCHORS, COMMON
 
 
@@ -80,3 +82,89 @@ f as (select *, len(list_filter(a, lambda x: contains(x, chr(1)))) > 0 as a_any,
 s as (select *, {sigs('a')} as sa, {sigs('b')} as sb, {sigs('c')} as sc from f),
 l as (select *, {like('sa', 'sb')} as near_edited, {like('sa', 'sc')} as near_next from s)
 select doc_id, length(t) as n_chars, sha256(edited) as edited_sha256, array_to_string(sa, ',') as fingerprint, array_to_string(sb, ',') as edited_fingerprint, near_edited, near_next, near_edited >= {ALIKE} as edited_alike, near_next >= {ALIKE} as next_alike from l"""
+
+
+#: CRC-32 by its rule: the table of 256 entries, and the running value over a string's bytes.
+_CRC_TABLE = "crc as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)::bigint[]), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as entries)"
+
+
+def _crc32(x: str) -> str:
+    """The CRC-32 of a string, where the table's row stands beside it."""
+    octets = f"list_transform(range(octet_length(encode({x}))), lambda i: cast('0x' || substr(hex(encode({x})), 2 * i + 1, 2) as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _words(x: str) -> str:
+    return rf"list_filter(string_split_regex(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{BETWEEN}'), lambda w: w <> '')"
+
+
+def resampling(percent: int = 10, least_words: int = 20, buckets: int = 10_000, seed: int = 2024) -> str:
+    return f"""
+with {_CRC_TABLE},
+d as (select row_number() over () as k, doc_id, {_words('text')} as ws from documents),
+b as (select {_words('text')} as ws from benchmark),
+own as (select k, unnest(ws) as w from d), target as (select unnest(ws) as w from b),
+known as (select w, {_crc32('w')} % {buckets} as bucket from (select distinct w from (select w from own union all select w from target)), crc),
+s as (select bucket, count(*) as n from own join known using (w) group by 1), t as (select bucket, count(*) as n from target join known using (w) group by 1),
+gain as (select i as bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + {buckets})::double / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + {buckets})::double))) as bigint) as gain
+  from range({buckets}) r(i) left join s on s.bucket = i left join t on t.bucket = i),
+sums as (select k, count(*) as n, cast(sum(gain) as bigint) as total from own join known using (w) join gain using (bucket) group by 1),
+weighed as (select d.k, doc_id, len(ws) as n_words, coalesce(n, 0) as n_features, coalesce(cast((total - ((total % n) + n) % n) / n as bigint), 0) as weight, cast('0x' || substr(sha256('{seed}:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h
+  from d left join sums on sums.k = d.k),
+scored as (select k, doc_id, n_words, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from weighed),
+ranked as (select k, row_number() over (order by score desc, doc_id nulls first) as rank, count(*) over () as n from scored where n_words >= {least_words})
+select doc_id, cast(n_features as bigint) as n_features, weight, score, case when rank <= {percent} * n // 100 then rank end as rank from scored left join ranked using (k)"""
+
+
+def _step(x: str, cost: str, letter: str, row: str | None) -> str:
+    kept = f"list_append({x}.t, {row})" if row else f"{x}.t"
+    return f"case when {x} is not null then {{'k': lpad(cast(cast(substr({x}.k, 1, 12) as bigint) + {cost} as varchar), 12, '0') || substr({x}.k, 13) || '{letter}', 't': {kept}}} end"
+
+
+def _best(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda o: o is not null))[1]"
+
+
+#: The least cost and audit of every state by a plain forward walk, row by row.
+def repair() -> str:
+    user, assistant = "'user:'", "'assistant:'"
+    inserts = lambda u: (_best(u, *(_step(x, "5", "I", user) for x in "esa")), lambda now: _best("a", _step(now, "5", "I", assistant)))
+    to_user, to_assistant = inserts("u")
+    delete = lambda x: _step(x, "2", "D", None)
+    keep = lambda x, initial: f"case when not gone and initial = '{initial}' then {_step(x, 'extra', 'K', 'shown')} end"
+    rerole = lambda x, role: f"case when not gone then {_step(x, '1 + extra', 'R', role)} end"
+    as_user, as_assistant = "'user:' || text", "'assistant:' || text"
+    return rf"""
+with recursive {_CRC_TABLE},
+shown as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+kinds as (select *, {_crc32('key')} % 20 as kind from shown, crc),
+damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as copy from kinds where kind <> 0),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i, substr(role, 1, 1) as initial, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as trimmed from damaged),
+seen as (select *, trimmed = '' as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again, lag(initial) over (partition by conv_id order by i) as before from numbered),
+faults as (select *, trimmed <> '' and again as duplicate, trimmed <> '' and not again and right(trimmed, 1) not in ('.', '!', '?') as cut from seen),
+rows as (select conv_id, i, initial, text, role || ':' || text as shown, blank or duplicate as gone, case when cut then 5 else 0 end as extra from faults),
+counted as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (cut) as truncated,
+  count(*) filter (i > 1 and before || initial not in ('su', 'ua', 'au')) as illegal, max(i) as n from faults group by 1),
+walk as (
+  select conv_id, 0::bigint as i, {{'k': '000000000000', 't': []::varchar[]}} as e, null::struct(k varchar, t varchar[]) as s, null::struct(k varchar, t varchar[]) as u, null::struct(k varchar, t varchar[]) as a from (select distinct conv_id from conversations)
+  union all
+  select conv_id, i, {delete('e')} as e, {_best(delete('s'), keep('e', 's'))} as s,
+    {_best(delete('u'), *(keep(x, 'u') for x in 'esa'), *(rerole(x, as_user) for x in 'esa'))} as u, {_best(delete('a'), keep('u', 'a'), rerole('u', as_assistant))} as a
+  from (
+    select rows.conv_id, rows.i, initial, text, shown, gone, extra, e, s, u, {to_assistant('u')} as a
+    from (select conv_id, i, e, s, a, {to_user} as u from walk) as w join rows on rows.conv_id is not distinct from w.conv_id and rows.i = w.i + 1)),
+ends as (select conv_id, i, e, u, {to_assistant('u')} as a from (select conv_id, i, e, a, {to_user} as u from walk)),
+done as (select conv_id, i, {_best('e', 'a')} as best from ends)
+select done.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+cast(substr(best.k, 1, 12) as bigint) as cost, substr(best.k, 13) as audit, sha256(array_to_string(best.t, chr(10))) as repaired_sha256
+from done left join counted on counted.conv_id is not distinct from done.conv_id where done.i = coalesce(counted.n, 0)"""
+
+
+def chats() -> str:
+    role = r"replace(replace(replace(role, '\', '\\'), '|', '\!'), chr(10), '\n')"
+    return rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all values (-1, 0, 'user', {_text(ADDED)}), (-1, 1, 'assistant', {_text(ADDED)})),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, length({role}) + length(regexp_replace(text, {_text(CONTROL)}, '\1\\\2\3', 'g')) + 10 as chars from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars
+from n group by 1"""

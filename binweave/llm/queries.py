@@ -76,6 +76,24 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations
+
+    return format_conversations(table(spark, sf_dir, "conversations"), tokenizer_path())
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_suffixes": op2_suffixes,
@@ -87,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_spotsigs": op10_spotsigs,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_chat": op12_chat,
+    "op13_resampling": op13_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_licenses": oracles.licenses(), "op5_warc": oracles.WARC, "op10_spotsigs": oracles.fingerprints()}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": oracles.licenses(), "op5_warc": oracles.WARC, "op10_spotsigs": oracles.fingerprints(), "op11_conversation_repair": oracles.repair(), "op12_chat": oracles.chats(), "op13_resampling": oracles.resampling()}
