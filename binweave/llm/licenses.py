@@ -1,7 +1,11 @@
 """Licence scan: canonical digests of entire texts, looked up among those of known licences.
 
-Canonical form: lower case; lines of copyright and rights notices dropped; everything
-but letters and digits becomes one space; equivalent spellings become one. The whole
+Canonical form: lower case; copyright and rights notices dropped; everything but letters
+and digits becomes one space; equivalent spellings become one. The form doesn't depend on
+where lines break: a notice is known by its own shape, a copyright sign with a year (or the
+word and the sign together) and the holder after it, up to the sentence's end, the next
+notice or a word with which licences begin, within HOLDER characters; where none of these
+comes, the sign and years alone go. Text that merely speaks of copyright stays. The whole
 text of a document is looked up by the SHA-256 of that form in a hash join with the
 known digests (a fixed table of some dozens of rows, so it may be broadcast: NOTICES,
 license_texts, and license_digests for the long texts).
@@ -30,7 +34,19 @@ from .license_texts import TEXTS
 
 # Spellings taken as equal (the second is kept), and the texts of known licences and notices.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("version 2 0", "version 2"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("fulfil", "fulfill"), ("analyse", "analyze"), ("favour", "favor"), ("modelled", "modeled"), ("programme", "program")]
-COPYRIGHT = r"^\W*(copyright|\(c\)|©|all rights reserved|portions copyright)"
+_YEAR = r"(?:(?:19|20)[0-9][0-9]|19yy|<year>|\[year\]|\[yyyy\]|\{yyyy\}|yyyy)"
+_YEARS = rf"{_YEAR}(?:[ ,/–-]+(?:{_YEAR}|present|[0-9][0-9]))*"
+#: How a notice begins, in lower case with single spaces.
+NOTICE = rf"(?:portions )?(?:(?:\(c\)|©) ?)?(?:copyright[ :,]*(?:\(c\)|©)(?:[ :,]*{_YEARS})?|(?:copyright|\(c\)|©)[ :,]*{_YEARS})"
+#: Abbreviations in holders' names that end no sentence, and words with which a licence begins, or goes on after a notice.
+SHORT = r"([ ,])(inc|ltd|corp|co|llc|jr|sr|dr|st)\."
+BEGINS = "this permission redistribution everyone licensed released license licence copying preamble version distributed unless".split() + [
+    "all rights reserved", "apache license", "gnu general", "gnu lesser", "gnu library", "gnu affero", "gnu free", "mozilla public", "creative commons", "boost software", "the artistic", "the mit", "mit license", "isc license", "bsd license", "do what", "statement of purpose",
+]
+HOLDER = 200
+#: The holder: up to a sentence's end (initials end none) or a beginning, which stays.
+HELD = rf"^.{{0,{HOLDER}}}?(?:[^ .][^ .]\.(?: |$)|( (?:{'|'.join(BEGINS)})[ ,.:]))"
+RIGHTS = "all rights reserved"
 NOTICES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -98,14 +114,18 @@ def _plain(lowered: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The canonical form of a whole text."""
-    lines = F.filter(F.split(F.lower(text), "\r\n|\n|\r"), lambda x: ~x.rlike(COPYRIGHT))
-    return _plain(F.array_join(lines, " "))
+    flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "), SHORT, "$1$2")
+    cut = lambda x: F.when(x.rlike(HELD), F.regexp_replace(x, HELD, "$1")).when(F.length(x) <= HOLDER, "").otherwise(x)
+    kept = F.transform(F.split(flat, NOTICE), lambda x, i: F.when(i == 0, x).otherwise(cut(x)))
+    return _plain(F.replace(F.array_join(kept, " "), F.lit(RIGHTS), F.lit(" ")))
 
 
 def canonical_text(text: str) -> str:
     """The same form in Python, for the known texts and for tests."""
-    lines = [x for x in re.split(r"\r\n|\n|\r", text.lower()) if not re.search(COPYRIGHT, x, re.ASCII)]
-    out = " " + re.sub(r"[\W_]+", " ", " ".join(lines)) + " "
+    flat = re.sub(SHORT, r"\1\2", re.sub(r"[ \t\n\x0B\f\r]+", " ", text.lower()))
+    first, *rest = re.split(NOTICE, flat)
+    kept = [re.sub(HELD, r"\1", x) if re.search(HELD, x) else "" if len(x) <= HOLDER else x for x in rest]
+    out = " " + re.sub(r"[\W_]+", " ", " ".join([first, *kept]).replace(RIGHTS, " ")) + " "
     for a, b in SPELLINGS:
         for _ in range(2):
             out = out.replace(f" {a} ", f" {b} ")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import ADDED, CONTROL
-from .licenses import COPYRIGHT, OPENING, SPELLINGS, TELLING, known_rows
+from .licenses import HELD, HOLDER, NOTICE, OPENING, RIGHTS, SHORT, SPELLINGS, TELLING, known_rows
 from .resampling import BETWEEN, LOWER, UPPER
 from .spotsigs import ALIKE, ANCHORS, COMMON
 
@@ -39,8 +39,10 @@ def licenses() -> str:
     change = 2 * max(len(b) - len(a) for a, b in SPELLINGS) + 8
     return rf"""
 with known(digest, license) as (values {known}), opened(opening, lengths) as (values {opened}),
-base as (select row_number() over () as k, doc_id, string_split_regex(lower(coalesce(text, '')), '\r\n|\n|\r') as lines from documents),
-formed as (select k, doc_id, lines, array_to_string(list_filter(lines, lambda x: not regexp_matches(x, {_text(COPYRIGHT)})), ' ') as kept from base),
+base as (select row_number() over () as k, doc_id, coalesce(text, '') as t, string_split_regex(lower(coalesce(text, '')), '\r\n|\n|\r') as lines from documents),
+flat as (select k, doc_id, lines, string_split_regex(regexp_replace(regexp_replace(lower(t), '[ \t\n\x0B\f\r]+', ' ', 'g'), {_text(SHORT)}, '\1\2', 'g'), {_text(NOTICE)}) as pieces from base),
+cuts as (select k, doc_id, lines, pieces[1] || ' ' || array_to_string(list_transform(pieces[2:], lambda x: case when regexp_matches(x, {_text(HELD)}) then regexp_replace(x, {_text(HELD)}, '\1') when length(x) <= {HOLDER} then '' else x end), ' ') as held from flat),
+formed as (select k, doc_id, lines, replace(held, {_text(RIGHTS)}, ' ') as kept from cuts),
 form as (select k, doc_id, lines, {_plain('kept')} as form from formed),
 lined as (select distinct k, unnest(list_filter(lines, lambda x: length(x) >= {min(lengths) - change} and regexp_matches(x, {_text(TELLING)}))) as line from form),
 plained as (select k, {_plain('line')} as line from lined),
