@@ -149,66 +149,6 @@ def rolling_select(rows: DataFrame, candidates: list[str], label: str, key: str,
     return chosen.withColumn("prediction", F.coalesce(*(F.when(F.col("selected") == c, F.col(c)) for c in candidates)))
 
 
-def _best_shift(r: np.ndarray, x: np.ndarray, low: float, high: float) -> float:
-    """The t in [low, high] that minimises the sum of |r - t x|: a weighted median, exactly."""
-    there = x != 0
-    if not there.any():
-        return 0.0
-    points, weight = r[there] / x[there], np.abs(x[there])
-    order = np.argsort(points)
-    run = np.cumsum(weight[order])
-    return float(np.clip(points[order][np.searchsorted(run, run[-1] / 2)], low, high))
-
-
-def simplex_weights(p: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Convex weights that minimise the mean absolute error: exactly for two members; for more, exponentiated subgradients whose best
-    iterate is then improved by exact exchanges between pairs of members until none helps. Equal weights without rows."""
-    n, k = p.shape
-    w = np.full(k, 1 / k)
-    if not n:
-        return w
-    loss = lambda v: float(np.abs(p @ v - y).mean())
-    starts = [w, *(0.98 * np.eye(k)[i] + 0.02 / k for i in range(k))]
-    best, low = w, loss(w)
-    for i in range(k):
-        if loss(np.eye(k)[i]) < low:
-            best, low = np.eye(k)[i], loss(np.eye(k)[i])
-    scale = max(1e-9, float(np.abs(p - p.mean(axis=1, keepdims=True)).mean()))
-    for v in starts:
-        for t in range(1, rounds + 1):
-            g = p.T @ np.sign(p @ v - y) / n
-            v = v * np.exp(-(g - g.mean()) / scale / math.sqrt(t))
-            v = v / v.sum()
-            if (e := loss(v)) < low:
-                best, low = v, e
-    for _ in range(100):
-        before = low
-        for i in range(k):
-            for j in range(i):
-                t = _best_shift(y - p @ best, p[:, i] - p[:, j], -best[i], best[j])
-                v = best.copy()
-                v[i], v[j] = v[i] + t, v[j] - t
-                if (e := loss(v)) < low:
-                    best, low = v, e
-        if low > before - 1e-12:
-            break
-    return best
-
-
-def rolling_stack(rows: DataFrame, candidates: list[str], label: str, key: str, day: str, back: int = 7) -> DataFrame:
-    """Every row with the convex stack fitted on its key's `back` previous days: one small task per key and day."""
-    near = rows.select(key, F.col(day).alias("_d"), label, *candidates).withColumn("_for", F.explode(F.sequence(F.col("_d") + 1, F.col("_d") + back)))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = simplex_weights(pdf[candidates].to_numpy(float), pdf[label].to_numpy(float))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], day: [pdf["_for"].iloc[0]], "weights": [w.tolist()]})
-
-    kind = rows.schema[key].dataType.simpleString()
-    weights = near.groupBy(key, "_for").applyInPandas(fit, f"{key} {kind}, {day} long, weights array<double>")
-    w = F.coalesce(F.col("weights"), F.array(*(F.lit(1 / len(candidates)) for _ in candidates)))
-    return rows.join(weights, [key, day], "left").withColumn("stack", sum((F.col(c) * w[i] for i, c in enumerate(candidates)), F.lit(0.0))).drop("weights")
-
-
 def trapezoid(x: Column, a: float, b: float, c: float, d: float) -> Column:
     """Membership rising from a to b and falling from c to d; an infinite edge never ends."""
     up = F.lit(1.0) if math.isinf(a) else (x - a) / (b - a)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy, lags, models
+from ..operators import fuzzy, lags, models, stacks
 from .catalog import register
 from .series_queries import _HGRID, TIMED, hourly_grid, rounded, timed
 from .table_queries import SCORED, scored
@@ -51,7 +51,7 @@ def m18_classes(spark, d):
     return rounded(out.withColumn("predicted", F.col("predicted").cast("long")), "score")
 
 
-def _stack(gates: dict[str, str]) -> str:
+def _stack(gates: dict[str, str], digits: int = 6) -> str:
     """SQL of the pair stack of p1 and y_persistence with gates (name -> expression)."""
     g = ", ".join(f"{{'g': '{k}', 'd': {v}}}" for k, v in gates.items())
     w = lambda k: f"case when days >= 2 then coalesce(max(w) filter (gate = '{k}'), 0.5) else 0.5 end as w_{k}"
@@ -59,7 +59,7 @@ def _stack(gates: dict[str, str]) -> str:
     return (
         f"with {SCORED}, x as (select *, cast(floor((bin*600+28800)/86400) as bigint) as day from sl), n as (select route, day, day + k as f, p1 - y_persistence as dx, y_30 - y_persistence as dy, unnest([{g}]) as g from x, (select unnest(range(1, 8)) as k)), dd as (select route, f, count(distinct day) as days from n group by 1, 2), "
         "pt as (select route, f, g.g as gate, dy/dx as r, abs(dx)*g.d as v from n where dx <> 0 and g.d > 0), run as (select *, sum(v) over (partition by route, f, gate order by r) as c, sum(v) over (partition by route, f, gate) as t from pt), b as (select route, f, gate, greatest(0.0, least(1.0, min(r))) as w from run where c >= t/2 group by 1, 2, 3), "
-        f"ft as (select dd.route, dd.f, {', '.join(w(k) for k in gates)} from dd left join b on b.route = dd.route and b.f = dd.f group by dd.route, dd.f, days) select x.route, x.bin, round({value},6) as stack from x left join ft on ft.route = x.route and ft.f = x.day"
+        f"ft as (select dd.route, dd.f, {', '.join(w(k) for k in gates)} from dd left join b on b.route = dd.route and b.f = dd.f group by dd.route, dd.f, days) select x.route, x.bin, round({value},{digits}) as stack from x left join ft on ft.route = x.route and ft.f = x.day"
     )
 
 
@@ -69,11 +69,57 @@ def m13_pair(spark, d):
     return rounded(fuzzy.pair_stack(scored(spark, d), "p1", "y_persistence", "y_30", "route", "local_day").select("route", "bin", "stack"), "stack")
 
 
-@register("m13_gated_stack", _stack({"light": "greatest(0.0, least(1.0, (25 - y_persistence)/10))", "moderate": "greatest(0.0, least(1.0, (y_persistence - 15)/10, (40 - y_persistence)/10))", "heavy": "greatest(0.0, least(1.0, (y_persistence - 30)/10))"}))
+@register("m13_gated_stack", _stack({"light": "greatest(0.0, least(1.0, (25 - y_persistence)/10))", "moderate": "greatest(0.0, least(1.0, (y_persistence - 15)/10, (40 - y_persistence)/10))", "heavy": "greatest(0.0, least(1.0, (y_persistence - 30)/10))"}, 9))
 def m13_gated(spark, d):
     """The same with a weight for each level, mixed by its degrees."""
     s = scored(spark, d).withColumns(models.levels(F.col("y_persistence")))
-    return rounded(fuzzy.pair_stack(s, "p1", "y_persistence", "y_30", "route", "local_day", gates=["light", "moderate", "heavy"]).select("route", "bin", "stack"), "stack")
+    return rounded(fuzzy.pair_stack(s, "p1", "y_persistence", "y_30", "route", "local_day", gates=["light", "moderate", "heavy"]).select("route", "bin", "stack"), "stack", digits=9)
+
+
+def four_members(spark, d) -> tuple[DataFrame, list[str]]:
+    """Labelled bins with four causal members: persistence, its mean with the value an hour before, the last hour's mean, and the mean of all labels known."""
+    s = scored(spark, d).withColumns({"known": stacks.known_day(F.col("bin")), "hour_mean": F.coalesce("roll_mean_60", "y_persistence")})
+    s = models.fold_means(s, "route", "y_30").withColumn("train_mean", F.coalesce("train_mean", "y_persistence"))
+    return s, ["y_persistence", "p1", "hour_mean", "train_mean"]
+
+
+_KNOWN = "cast(floor((bin*600+2400+28799)/86400) as bigint)"
+
+
+@register(
+    "m13_stack_losses",
+    f"with {SCORED}, x as (select route, y_30 as y, y_persistence as a, p1 as b, cast(floor((bin*600+28800)/86400) as bigint) as day, {_KNOWN} as known from sl), f as (select distinct route, day from x), n as (select f.route, f.day, x.day as own, y, a, b from f join x on x.route = f.route and x.known < f.day), c as (select route, day, count(distinct own) as fit_days from n group by 1, 2 having count(distinct own) >= 2), "
+    "pt as (select route, day, (y - b)/(a - b) as r, abs(a - b) as v from n where a <> b), run as (select *, sum(v) over (partition by route, day order by r) as c, sum(v) over (partition by route, day) as t from pt), w as (select route, day, greatest(0.0, least(1.0, min(r))) as w from run where c >= t/2 group by 1, 2) "
+    "select n.route, n.day, fit_days, round(sum(abs(y - a*coalesce(w, 0.5) - b*(1 - coalesce(w, 0.5)))),4) as loss from n join c on c.route = n.route and c.day = n.day left join w on w.route = n.route and w.day = n.day group by 1, 2, 3",
+)
+def m13_losses(spark, d):
+    """The least absolute error that any convex mix of two members reaches on all that was known before each day; SQL has it as a weighted median."""
+    s = scored(spark, d).withColumn("known", stacks.known_day(F.col("bin")))
+    fits = stacks.fitted_days(s, ["y_persistence", "p1"], "y_30", "route", "local_day", "known")
+    return rounded(fits.filter("fit_days >= 2").select("route", F.col("local_day").alias("day"), "fit_days", "loss"), "loss", digits=4)
+
+
+@register("m13_stack")
+def m13(spark, d):
+    """The rolling convex stack of four members over all that was known before each day; exact, tests certify the optimum."""
+    s, members = four_members(spark, d)
+    return stacks.stacked(s, members, "y_30", "route", "local_day", "known").select("route", "bin", "stack")
+
+
+@register("m13_stack_gated")
+def m13_four_gated(spark, d):
+    """The same with weights for each of three levels of the present value, mixed by its degrees."""
+    s, members = four_members(spark, d)
+    s = s.withColumns(models.levels(F.col("y_persistence")))
+    return stacks.stacked(s, members, "y_30", "route", "local_day", "known", ["light", "moderate", "heavy"]).select("route", "bin", "stack")
+
+
+@register("m12_certificates")
+def m12_certificates(spark, d):
+    """Weights, loss and certified lower bound of every fit of the gated stack, in thousandths of the loss."""
+    s, members = four_members(spark, d)
+    fits = stacks.fitted_days(s.withColumns(models.levels(F.col("y_persistence"))), members, "y_30", "route", "local_day", "known", ["light", "moderate", "heavy"])
+    return fits.withColumn("certified", F.col("loss") - F.col("bound") <= 1e-6 * (1 + F.abs("loss")))
 
 
 @register("m19_validity", f"with {SCORED}, c as (select [[10.0, 10.0], [30.0, 30.0], [60.0, 60.0]] as c), q as (select list_transform(c, lambda p: 1e-12 + (y_30 - p[1])*(y_30 - p[1]) + (y_persistence - p[2])*(y_persistence - p[2])) as d from sl, c), u as (select d, list_transform(d, lambda v: (1/v)/list_sum(list_transform(d, lambda w: 1/w))) as u from q) select count(*) as n, round(avg(list_sum(list_transform(u, lambda v: v*v))),6) as coefficient, round(-avg(list_sum(list_transform(u, lambda v: v*ln(v)))),6) as entropy, round(sum(u[1]*u[1]*d[1] + u[2]*u[2]*d[2] + u[3]*u[3]*d[3])/count(*)/800,6) as xie_beni from u")

@@ -124,12 +124,13 @@ def m6(spark, d):
     return rounded(models.fold_means(scored(spark, d).select("route", "bin", "y_30", "local_day"), "route", "y_30").select("route", "bin", "train_mean"), "train_mean", digits=9)
 
 
-@register("m6_fold_rows", f"with {SCORED}, x as (select route, bin, cast(floor((bin*600+28800)/86400) as bigint) as day, cast(floor((bin*600+2400+28799)/86400) as bigint) as known from sl), f as (select unnest(range(19740, 19743)) as fold) select fold, case when day = fold then 'test' else 'train' end as part, count(*) as n from x, f where day = fold or known < fold group by 1, 2")
-def m6_rows(spark, d):
-    return models.fold_days(scored(spark, d), 19740, 3).groupBy(F.col("fold").cast("long").alias("fold"), "part").agg(F.count("*").alias("n"))
+_FOLD_ROWS = (
+    f"with {SCORED}, x as (select route, bin, cast(floor((bin*600+28800)/86400) as bigint) as day, cast(floor((bin*600+2400+28799)/86400) as bigint) as known from sl), f as (select unnest(range(min(day), max(day) + 1)) as fold from x) select fold, case when day = fold then 'test' else 'train' end as part, count(*) as n from x, f where day = fold or known < fold group by 1, 2"
+)
 
 
-@register("m6_fold_rows_all", f"with {SCORED}, x as (select route, bin, cast(floor((bin*600+28800)/86400) as bigint) as day, cast(floor((bin*600+2400+28799)/86400) as bigint) as known from sl), f as (select unnest(range(min(day), max(day) + 1)) as fold from x) select fold, case when day = fold then 'test' else 'train' end as part, count(*) as n from x, f where day = fold or known < fold group by 1, 2")
+@register("m6_fold_rows", _FOLD_ROWS)
+@register("m6_fold_rows_all", _FOLD_ROWS)
 def m6_rows_all(spark, d):
     """The rows of the folds of every day from the table's first to its last, from daily sums."""
     days = scored(spark, d).groupBy("local_day", F.floor((F.col("bin") * 600 + 2400 + 28800 - 1) / 86400).alias("known")).agg(F.count("*").alias("n"))
@@ -151,12 +152,6 @@ def m15(spark, d):
     return rounded(scored(spark, d).select("route", "bin", ((F.col("y_persistence") + F.col("p1")) / 2).alias("mix")), "mix")
 
 
-@register("m13_stack")
-def m13(spark, d):
-    """Rolling convex stack by least absolute deviations; tests hold the weights against a fine grid."""
-    return models.rolling_stack(scored(spark, d), ["y_persistence", "p1"], "y_30", "route", "local_day").select("route", "bin", "stack")
-
-
 @register("m17_membership", f"with {SCORED} select route, bin, round(greatest(0.0, least(1.0, (25 - y_30)/10)),6) as light, round(greatest(0.0, least(1.0, (y_30 - 15)/10, (40 - y_30)/10)),6) as moderate, round(greatest(0.0, least(1.0, (y_30 - 30)/10)),6) as heavy from sl")
 def m17(spark, d):
     return rounded(scored(spark, d).select("route", "bin", *(v.alias(k) for k, v in models.levels(F.col("y_30")).items())), "light", "moderate", "heavy")

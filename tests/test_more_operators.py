@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from binweave.operators import comparison, detect, fuzzy, horizons, joins, metrics, models, rows, serving, significance
+from binweave.operators import comparison, detect, fuzzy, horizons, joins, metrics, models, stacks, rows, serving, significance
 
 
 def test_guards(spark):
@@ -310,6 +310,6 @@ def test_simplex_weights_of_two_are_exact():
     for _ in range(20):
         p = rng.normal(20, 5, (25, 2))
         y = p @ [0.4, 0.6] + rng.normal(0, 2, 25)
-        w = models.simplex_weights(p, y)
+        w = stacks.convex_weights(p, y)[0]
         grid = min(float(np.abs(v * p[:, 0] + (1 - v) * p[:, 1] - y).mean()) for v in np.linspace(0, 1, 5001))
         assert math.isclose(w.sum(), 1) and w.min() >= 0 and np.abs(p @ w - y).mean() <= grid + 1e-12

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from binweave.operators import asof, bins, calendar, detect, joins, lags, metrics, models, shaping, significance
+from binweave.operators import asof, bins, calendar, detect, joins, lags, metrics, models, stacks, shaping, significance
 from binweave.sources import readers, sinks
 
 
@@ -141,11 +141,11 @@ def test_simplex_weights_are_near_the_best():
     for k in (2, 3):
         p = rng.normal(0, 1, (80, k))
         y = p @ rng.dirichlet(np.ones(k)) + rng.normal(0, 0.3, 80)
-        w = models.simplex_weights(p, y)
+        w = stacks.convex_weights(p, y)[0]
         grid = [v for v in itertools.product(np.linspace(0, 1, 51), repeat=k) if abs(sum(v) - 1) < 1e-9]
         best = min(np.abs(p @ np.array(v) - y).mean() for v in grid)
         assert w.min() >= 0 and abs(w.sum() - 1) < 1e-9 and np.abs(p @ w - y).mean() <= best * 1.01
-    assert np.allclose(models.simplex_weights(np.zeros((0, 4)), np.zeros(0)), 0.25)
+    assert np.allclose(stacks.convex_weights(np.zeros((0, 4)), np.zeros(0))[0], 0.25)
 
 
 def test_memberships_add_up(spark):
