@@ -34,7 +34,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -215,9 +214,9 @@ def read_back(nodes: DataFrame, members: DataFrame, spine: DataFrame, tokenizer_
     """One row per conversation, from the emitted ids alone: READ."""
 
     def decode_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
+        from .packing import decoder
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        decode = decoder(tokenizer_path)
         columns, part, path = [x.split()[0] for x in READ.split(", ")], None, []
         for b in batches:
             out = []
@@ -228,8 +227,8 @@ def read_back(nodes: DataFrame, members: DataFrame, spine: DataFrame, tokenizer_
                 if raw is None:  # a conversation ends here
                     out.append((conv_id, depth, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
                     continue
-                ids = array("I", bytes(raw)).tolist()
-                head, masked, tail = tokenizer.decode_batch([ids[:first], ids[first:last], ids[last:]], skip_special_tokens=False)
+                raw = bytes(raw)
+                head, masked, tail = decode(raw[: 4 * first]), decode(raw[4 * first : 4 * last]), decode(raw[4 * last :])
                 shown = head + masked + tail
                 found, masked = TURN.fullmatch(shown), unescaped(masked)
                 turns, loss = turns.copy(), loss.copy()

@@ -94,6 +94,17 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
     return encode
 
 
+def decoder(path: str) -> Callable[[bytes], str]:
+    """The way back: a text from its ids, as bytes."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    stands = {c: b for b, c in _byte_characters(pre_tokenizers.ByteLevel.alphabet())}
+    table = {i: bytes(stands[c] for c in token) for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in stands for c in token)}
+    table |= {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
+    return lambda raw: b"".join([table[i] for i in array("I", raw)]).decode()
+
+
 def _byte_characters(shown: list[str]) -> list[tuple[int, str]]:
     """Byte-level vocabularies show printable bytes as themselves and the others, in order, as characters from 256 on."""
     own = {ord(c) for c in shown if ord(c) < 256}
