@@ -114,10 +114,12 @@ def _plain(lowered: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The canonical form of a whole text."""
-    flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "), SHORT, "$1$2")
+    lowered = F.lower(text)
+    flat = F.regexp_replace(F.regexp_replace(lowered, r"[ \t\n\x0B\f\r]+", " "), SHORT, "$1$2")
     cut = lambda x: F.when(x.rlike(HELD), F.regexp_replace(x, HELD, "$1")).when(F.length(x) <= HOLDER, "").otherwise(x)
     kept = F.transform(F.split(flat, NOTICE), lambda x, i: F.when(i == 0, x).otherwise(cut(x)))
-    return _plain(F.replace(F.array_join(kept, " "), F.lit(RIGHTS), F.lit(" ")))
+    marked = F.contains(lowered, F.lit("copyright")) | F.contains(lowered, F.lit("(c)")) | F.contains(lowered, F.lit("©")) | F.contains(lowered, F.lit("reserved"))
+    return _plain(F.when(marked, F.replace(F.array_join(kept, " "), F.lit(RIGHTS), F.lit(" "))).otherwise(lowered))
 
 
 def canonical_text(text: str) -> str:
