@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lags import at_offset
-from .models import normal_equations, ridge
+from .models import ridge
 
 
 def check_horizon(minutes: int) -> int:
@@ -34,27 +35,40 @@ def rolling_ridge(rows: DataFrame, features: list[str], label: str, key: str, da
     One aggregation makes the sums of products of each key and day; fits are running sums of those, solved one small system per key and day.
     A day with fewer than `least` rows before it has no prediction.
     """
-    x = [F.col(c) for c in features]
+    table = ridge_days(rows, features, label, key, day, minutes, alpha, least)
+    w = F.col("weights")
+    value = sum((F.col(c) * w[i] for i, c in enumerate(features)), w[len(features)])
+    return rows.join(table, [key, day], "left").withColumn("ridge", value).drop("weights")
+
+
+def ridge_days(rows: DataFrame, features: list[str], label: str, key: str, day: str = "local_day", minutes: int = 30, alpha: float = 1.0, least: int = 500) -> DataFrame:
+    """(key, day, weights): the coefficients and intercept of each day's ridge, as a table; a series' task sees one row of sums per day."""
+    x = [*(F.col(c).cast("double") for c in features), F.lit(1.0)]
+    k = len(x)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     ready = rows.filter(F.col(label).isNotNull())
     for c in features:
         ready = ready.filter(F.col(c).isNotNull())
-    sums = normal_equations(ready.withColumn("_known", known_day(minutes)), x, label, [key, "_known"])
-    days = sorted((r[0], r[1]) for r in rows.select(key, day).distinct().collect())  # one row per series and day
-    fits = []
-    for k in {k for k, _ in days}:
-        past = sorted((d, v) for (name, d), v in sums.items() if name == k)
-        n, a, q, at = 0, np.zeros((len(x) + 1, len(x) + 1)), np.zeros(len(x) + 1), 0
-        for _, d in (r for r in days if r[0] == k):
-            while at < len(past) and past[at][0] <= d:
-                n, a, q = n + past[at][1][0], a + past[at][1][1], q + past[at][1][2]
-                at += 1
-            if n >= least:
-                fits.append((k, d, [float(v) for v in ridge(n, a, q, alpha)]))
-    kind = rows.schema[key].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(fits, f"{key} {kind}, {day} long, _w array<double>")
-    w = F.col("_w")
-    value = sum((v * w[i] for i, v in enumerate(x)), w[len(x)])
-    return rows.join(table, [key, day], "left").withColumn("ridge", value).drop("_w")
+    sums = ready.groupBy(key, known_day(minutes).alias("_d")).agg(F.count("*").alias("_n"), F.array(*(F.sum(x[i] * x[j]) for i, j in pairs)).alias("_p"), F.array(*(F.sum(v * F.col(label)) for v in x)).alias("_q"))
+    days = rows.select(key, F.col(day).cast("long").alias("_d")).distinct().withColumn("_test", F.lit(True))
+    both = days.join(sums, [key, "_d"], "full")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, n, a, q = [], 0, np.zeros((k, k)), np.zeros(k)
+        for r in pdf.sort_values("_d").itertuples(index=False):
+            d, test, own, p, own_q = r[1:]
+            if p is not None:
+                n += int(own)
+                for (i, j), v in zip(pairs, p, strict=True):
+                    a[i, j] += v
+                    a[j, i] = a[i, j]
+                q = q + np.asarray(own_q)
+            if test == 1 and n >= least:
+                out.append((r[0], d, ridge(n, a, q, alpha).tolist()))
+        return pd.DataFrame(out, columns=[key, day, "weights"])
+
+    ordered = both.select(key, "_d", "_test", "_n", "_p", "_q")
+    return ordered.groupBy(key).applyInPandas(fit, f"{key} {rows.schema[key].dataType.simpleString()}, {day} long, weights array<double>")
 
 
 def split_days(rows: DataFrame, day: str = "local_day", cuts: tuple[float, float, float] = (0.6, 0.7, 0.85), parts: tuple[str, ...] = ("fit", "inner", "validation", "test")) -> DataFrame:

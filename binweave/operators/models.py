@@ -323,31 +323,11 @@ def residual_ridge(rows: DataFrame, forecast: str, persistence: str, label: str,
     return F.col(forecast) + F.coalesce(by_key(models, keys), F.lit(0.0))
 
 
-def boosted(train: DataFrame, features: list[str], label: str, **settings):
-    """A fitted Spark ML pipeline of gradient-boosted trees; nulls imputed with flags beforehand (see imputed)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    trees = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="gbt", **({"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 0} | settings))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(train)
-
-
 def fallback_chain(rows: DataFrame, chain: list[str]) -> DataFrame:
     """served and served_by: the first candidate of the chain that isn't null."""
     return rows.withColumns({"served": F.coalesce(*chain), "served_by": F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in chain))})
 
 
-
-def seed_mean(rows: DataFrame, features: list[str], label: str, seeds: tuple[int, ...], **settings) -> DataFrame:
-    """rows with gbt: the mean prediction of one boosted fit per seed."""
-    out = rows
-    for s in seeds:
-        out = boosted(rows, features, label, seed=s, **settings).transform(out).withColumnRenamed("gbt", f"_gbt_{s}").drop("features")
-    mean = sum((F.col(f"_gbt_{s}") for s in seeds[1:]), F.col(f"_gbt_{seeds[0]}")) / len(seeds)
-    return out.withColumn("gbt", mean).drop(*(f"_gbt_{s}" for s in seeds))
-
-
 def residual_table(rows: DataFrame, forecast: str, persistence: str, label: str, key: str, alpha: float = 1.0) -> DataFrame:
     """(key, weights): slope and intercept of each key's residual on forecast less persistence."""
     x = [F.col(forecast) - F.col(persistence)]

@@ -119,7 +119,8 @@ def fitted_days(rows: DataFrame, members: list[str], label: str, key: str, day:
                 out.append((pdf[key].iloc[0], today, g, n, w.tolist(), loss, bound))
         return pd.DataFrame(out, columns=[key, day, "gate", "fit_days", "weights", "loss", "bound"])
 
-    return slim.groupBy(key).applyInPandas(fit, f"{key} {kind}, {day} long, gate string, fit_days long, weights array<double>, loss double, bound double")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes for much work: adaptive execution must not join the partitions
+    return slim.repartition(tasks, key).groupBy(key).applyInPandas(fit, f"{key} {kind}, {day} long, gate string, fit_days long, weights array<double>, loss double, bound double")
 
 
 def stacked(rows: DataFrame, members: list[str], label: str, key: str, day: str, known: str, gates: list[str] | None = None, least_days: int = 2, back: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import detect, lags, models, seasonal, shaping
+from ..operators import boosting, detect, horizons, lags, models, seasonal, shaping, stacks
 from .catalog import register
 from .series_queries import _HGRID, TIMED, hourly_grid, raw, rounded, timed
 from .table_queries import SCORED, scored
@@ -189,13 +189,46 @@ def m19(spark, d):
     return s.select("route", "bin", *(x.alias(f"u{i}") for i, x in enumerate(u)))
 
 
+TREE_FEATURES = ["y_persistence", "lag_10", "lag_20", "lag_30", "lag_60", "roll_mean_30", "roll_mean_60", "slope_30", "tod_min", "is_weekend"]
+
+
+def known_rows(spark, d) -> DataFrame:
+    """Labelled bins with the day on which their label is known."""
+    return scored(spark, d).withColumn("known", stacks.known_day(F.col("bin")))
+
+
 @register("m4_boosted")
 def m4(spark, d):
-    """Gradient-boosted trees of Spark ML over the lag features."""
-    columns = ["lag_10", "lag_20", "roll_mean_30"]
-    s = models.imputed(scored(spark, d), columns)
-    features = ["y_persistence", "tod_min", "is_weekend", *columns]
-    return models.boosted(s, features, "y_30").transform(s).select("route", "bin", "gbt")
+    """Boosted trees over the lag and calendar features, refitted for every day and series on what was known, predicted out of sample; held against a plain booster in the tests."""
+    return boosting.rolling_trees(known_rows(spark, d), TREE_FEATURES, "y_30", "local_day", "known", ["route"], ["route", "bin"]).select("route", "bin", F.col("trees").alias("gbt"))
+
+
+@register("m5_seed_mean")
+def m5(spark, d):
+    """The mean of three such models of 200 rounds that differ in their seed alone."""
+    return boosting.rolling_trees(known_rows(spark, d), TREE_FEATURES, "y_30", "local_day", "known", ["route"], ["route", "bin"], rounds=200, seeds=(0, 1, 2)).select("route", "bin", F.col("trees").alias("gbt"))
+
+
+def member_rows(spark, d) -> DataFrame:
+    """Labelled bins with both members of the day's fit, ridge and trees, and their mean."""
+    s = known_rows(spark, d)
+    filled = [f"f_{c}" for c in TREE_FEATURES]
+    s = s.withColumns({f"f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0) if c == "slope_30" else F.col("y_persistence")) for c in TREE_FEATURES})
+    s = horizons.rolling_ridge(s, filled, "y_30", "route", least=200).drop(*filled)
+    s = boosting.rolling_trees(s, TREE_FEATURES, "y_30", "local_day", "known", ["route"], ["route", "bin"])
+    return s.withColumn("ensemble", (F.col("ridge") + F.col("trees")) / 2)
+
+
+@register("ax13_members")
+def ax13(spark, d):
+    """Every labelled bin with the forecasts of its day's fits: ridge and trees over the same features, and their mean."""
+    return member_rows(spark, d).select("route", "bin", "ridge", "trees", "ensemble")
+
+
+@register("ax15_backtest")
+def ax15(spark, d):
+    """Per series, day and model: rows and error of persistence, both members and their mean, all on the rows that have all of them."""
+    return horizons.day_backtest(member_rows(spark, d), ["y_persistence", "ridge", "trees", "ensemble"], "y_30", "route", "local_day")
 
 
 @register("m20_mlp")

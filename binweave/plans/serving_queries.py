@@ -109,14 +109,6 @@ def m24(spark, d):
     return horizons.ablation(s, sets, "y_30", "route")
 
 
-@register("m5_seed_mean")
-def m5(spark, d):
-    """The mean of three boosted fits that differ in their seed alone, each on four fifths of the rows a tree."""
-    s = scored(spark, d)
-    features = ["y_persistence", "tod_min", "is_weekend"]
-    return models.seed_mean(s, features, "y_30", (0, 1, 2), subsamplingRate=0.8).select("route", "bin", "gbt")
-
-
 _RULES = "sc as (select event_type as route, cast(hour(ts) % 3 as bigint) as step, avg(value) as mae, avg(value) filter (event_id % 2 = 0) as persistence_mae, avg(value) filter (event_id % 3 = 0) as fallback_mae, avg(value) filter (event_id % 5 = 0) as counts_mae, avg(value) filter (event_id % 7 = 0) as counts_twin_mae, avg((value > 20)::int) as coverage from events group by 1, 2), dr as (select *, coalesce(coverage >= 0.5 and counts_mae < counts_twin_mae and counts_mae < fallback_mae, false) as use_counts from sc), rules as (select *, case when coalesce(case when use_counts then counts_mae else mae end < persistence_mae, false) then case when use_counts then 'counts' else 'model' end else 'persistence' end as serve from dr)"
 
 
