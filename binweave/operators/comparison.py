@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 DRAWS = 4999
 #: Distinct days from which a pooled comparison may be decided.
 DAYS = 10
@@ -116,7 +118,9 @@ def agreement(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Per key: n, mean and 95th percentile of the absolute difference of two predictions, mean signed difference and correlation."""
     e = F.col(a) - F.col(b)
     both = rows.filter(e.isNotNull())
-    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mean_abs"), F.percentile(F.abs(e), 0.95).alias("p95_abs"), F.avg(e).alias("signed"), F.corr(a, b).alias("correlation"))
+    sums = both.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mean_abs"), F.avg(e).alias("signed"), F.corr(a, b).alias("correlation"))
+    high = quantiles(both.withColumn("_ae", F.abs(e)), keys, {"p95_abs": ("_ae", 0.95)})
+    return sums.alias("s").join(high.alias("q"), [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys]).select(*(f"s.{k}" for k in keys), "n", "mean_abs", "p95_abs", "signed", "correlation")
 
 
 def substitution(results: DataFrame, bar: float = 0.5) -> DataFrame:

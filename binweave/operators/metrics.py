@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import mean_ranks, quantiles
+
 
 def error(actual: str = "actual", predicted: str = "predicted") -> Column:
     return F.col(predicted) - F.col(actual)
@@ -54,7 +56,10 @@ def error_metrics(rows: DataFrame, keys: list[str], within: float = 15.0) -> Dat
     """Count, MAE, median and 90th percentile of the absolute error (interpolated), RMSE, bias, share within the bound."""
     e = error()
     x = F.abs(e)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), mae(e).alias("mae"), F.percentile(x, 0.5).alias("median_ae"), F.percentile(x, 0.9).alias("p90_ae"), rmse(e).alias("rmse"), F.avg(e).alias("bias"), F.avg((x <= within).cast("double")).alias("share_within"))
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), mae(e).alias("mae"), rmse(e).alias("rmse"), F.avg(e).alias("bias"), F.avg((x <= within).cast("double")).alias("share_within"))
+    parts = quantiles(rows.withColumn("_ae", x), keys, {"median_ae": ("_ae", 0.5), "p90_ae": ("_ae", 0.9)})
+    both = sums.alias("s").join(parts.alias("q"), [F.col(f"s.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys] or F.lit(True))
+    return both.select(*(f"s.{k}" for k in keys), "n", "mae", "median_ae", "p90_ae", "rmse", "bias", "share_within")
 
 
 def regime_shares(rows: DataFrame, regime: str = "regime") -> DataFrame:
@@ -97,20 +102,11 @@ def ranked_probability(probabilities: list[str], level: str) -> Column:
 
 def correlations(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Pearson and Spearman (correlation of mean ranks) by key."""
-    rank = lambda c: (F.rank().over(Window.partitionBy(key).orderBy(c)) + (F.count("*").over(Window.partitionBy(key, c)) - 1) / 2)
-    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": rank(x), "_ry": rank(y)})
-    return both.groupBy(key).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
-
-
-def kendall(rows: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b by key with its normal score. All pairs of a key's rows meet, so this is for aggregates, of which a key has few."""
-    own = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, order, x, y)
-    pairs = own.alias("a").join(own.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
-    sx, sy = F.signum(F.col(f"b.{x}") - F.col(f"a.{x}")), F.signum(F.col(f"b.{y}") - F.col(f"a.{y}"))
-    t = pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(sx * sy).alias("_s"), F.count_if(sx != 0).alias("_x"), F.count_if(sy != 0).alias("_y"))
-    tau = F.try_divide("_s", F.sqrt(F.col("_x").cast("double") * F.col("_y")))
-    n = F.col("n")
-    return t.join(own.groupBy(key).agg(F.count("*").alias("n")), key).select(key, "n", tau.alias("tau"), (3 * tau * F.sqrt(n * (n - 1.0)) / F.sqrt(2 * (2 * n + 5.0))).alias("z"))
+    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
+    rank = lambda c: mean_ranks(both, [key], c).select(F.col(key).alias("_k"), F.col(c).alias("_v"), F.col("rank").alias(f"_r{c}"))
+    for c in (x, y):
+        both = both.join(rank(c), F.col(key).eqNullSafe(F.col("_k")) & (F.col(c).cast("double") == F.col("_v"))).drop("_k", "_v")
+    return both.groupBy(key).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr(f"_r{x}", f"_r{y}").alias("spearman"))
 
 
 def recalls(counts: DataFrame, y: str, p: str) -> DataFrame:

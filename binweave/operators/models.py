@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def normal_equations(rows: DataFrame, features: list[Column], label: str, keys: list[str]) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
     """Per key: n, the matrix of sums of feature products (with a constant last), and with the label."""
@@ -54,7 +56,7 @@ def by_key(models: dict[tuple, Column], key: str) -> Column:
 
 def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls replaced by the column's median, with missing_<column> flags."""
-    medians = rows.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()
+    medians = quantiles(rows, [], {c: (c, 0.5) for c in columns}).first()
     return rows.withColumns({f"missing_{c}": F.col(c).isNull().cast("double") for c in columns} | {c: F.coalesce(F.col(c), F.lit(medians[c])) for c in columns})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bins, comparison, detect, metrics, models, significance
+from ..operators import bins, comparison, detect, metrics, models, ranks, significance
 from ..spec import SeriesSpec
 from .catalog import register
 from .model_queries import _BOX, boxes
@@ -65,12 +65,14 @@ _DAYM = f"{SCORED}, dm as (select route, floor((bin*600+28800)/86400) as day, av
 
 @register(
     "a18_kendall",
-    f"with {_DAYM}, q as (select a.route, sign(b.x - a.x) as sx, sign(b.y - a.y) as sy from dm a join dm b on a.route = b.route and a.day < b.day), t as (select route, sum(sx*sy) as s, count(*) filter (sx <> 0) as nx, count(*) filter (sy <> 0) as ny from q group by 1), n as (select route, count(*) as n from dm group by 1) select t.route, n.n, round(s/sqrt(nx::double*ny),6) as tau, round(3*(s/sqrt(nx::double*ny))*sqrt(n.n*(n.n-1.0))/sqrt(2*(2*n.n+5.0)),6) as z from t join n on n.route = t.route",
+    f"with {SCORED}, q as (select a.route, sign(b.y_30 - a.y_30) as sx, sign(b.y_persistence - a.y_persistence) as sy from sl a join sl b on a.route = b.route and a.bin < b.bin), t as (select route, sum(sx*sy) as s, count(*) filter (sx <> 0) as nx, count(*) filter (sy <> 0) as ny from q group by 1), n as (select route, count(*)::double as n from sl group by 1), "
+    "cx as (select route, count(*)::double as t from sl group by route, y_30), cy as (select route, count(*)::double as t from sl group by route, y_persistence), tx as (select route, sum(t*(t-1)) as a, sum(t*(t-1)*(t-2)) as b, sum(t*(t-1)*(2*t+5)) as v from cx group by 1), ty as (select route, sum(t*(t-1)) as a, sum(t*(t-1)*(t-2)) as b, sum(t*(t-1)*(2*t+5)) as v from cy group by 1), "
+    "z as (select t.route, n, s/sqrt(nx::double*ny) as tau, s/sqrt((n*(n-1)*(2*n+5) - tx.v - ty.v)/18 + tx.a*ty.a/(2*n*(n-1)) + tx.b*ty.b/(9*n*(n-1)*(n-2))) as z from t join n on n.route = t.route join tx on tx.route = t.route join ty on ty.route = t.route) "
+    "select route, cast(n as bigint) as n, round(tau,6) as tau, round(z,6) as z, round(2*0.005/3*list_sum(list_transform(range(2001), lambda k: (case when k in (0, 2000) then 1 when k % 2 = 1 then 4 else 2 end)*exp(-(abs(z) + 0.005*k)*(abs(z) + 0.005*k)/2)/sqrt(2*pi()))),6) as p from z",
 )
 def a18_kendall(spark, d):
-    """Kendall's tau-b of daily means per series, with its normal score."""
-    s = scored(spark, d).groupBy("route", "local_day").agg(F.avg("y_30").alias("x"), F.avg("y_persistence").alias("y"))
-    return rounded(metrics.kendall(s, "route", "local_day", "x", "y"), "tau", "z")
+    """Kendall's tau-b over all bins of a series, with its normal score and p; SQL joins all pairs."""
+    return rounded(ranks.kendall(scored(spark, d), ["route"], "y_30", "y_persistence"), "tau", "z", "p")
 
 
 @register("a19_count_error", "with e as (select case when hour(ts) between 7 and 18 then 'day' else 'night' end as part, cast(round(value) as bigint) as y, cast(round(value) + event_id % 7 - 3 as bigint) as p from events), u as (select part, p - y as e from e union all select 'all', p - y from e) select part, count(*) as n, round(avg(abs(e)),2) as mae, round(avg(e),2) + 0.0 as bias, round(avg((e = 0)::int),6) as exact, round(avg((abs(e) <= 2)::int),6) as within_2 from u group by 1")
