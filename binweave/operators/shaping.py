@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,16 +47,20 @@ def windows(grid: DataFrame, size: int, key: str = "route") -> DataFrame:
     return grid.withColumn("_n", F.count("y").over(w)).withColumn("x", F.collect_list("y").over(w)).filter(F.col("_n") == size).drop("_n")
 
 
+def once(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x worked out once: inside a lambda an expression would be evaluated for every element."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def z_scored(x: Column) -> Column:
     """An array less its mean over its population deviation; zeros if it is constant."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    sd = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
-    return F.transform(x, lambda v: F.when(sd > 0, (v - mean) / sd).otherwise(0.0))
+    total = lambda v, f: F.aggregate(v, F.lit(0.0), lambda a, e: a + f(e)) / F.size(v)
+    scaled = lambda v, mean, sd: F.transform(v, lambda e: F.when(sd > 0, (e - mean) / sd).otherwise(0.0))
+    return once(x, lambda v: once(total(v, lambda e: e), lambda mean: once(F.sqrt(total(v, lambda e: (e - mean) * (e - mean))), lambda sd: scaled(v, mean, sd))))
 
 
 def wavelet_matrix(size: int, level: int = 2) -> np.ndarray:
-    """The linear map of a periodised db2 transform: approximation first, then details from coarse to fine."""
+    """The linear map of a periodised db2 transform: approximation first, then details from coarse to fine. The k-th filter begins at 2 k - 1, around the end."""
     # the db2 scaling filter, from its closed form
     r = np.sqrt(3)
     h = np.array([1 + r, 3 + r, 3 - r, 1 - r]) / (4 * np.sqrt(2))
@@ -67,16 +71,32 @@ def wavelet_matrix(size: int, level: int = 2) -> np.ndarray:
         if n % 2:
             basis = np.vstack([basis, basis[-1:]])
             n += 1
-        at = [(2 * k + np.arange(4)) % n for k in range(n // 2)]
+        at = [(2 * k - 1 + np.arange(4)) % n for k in range(n // 2)]
         rows.insert(0, np.array([g @ basis[i] for i in at]))
         basis = np.array([h @ basis[i] for i in at])
     return np.vstack([basis, *rows])
 
 
+def wavelet_names(size: int, level: int = 2) -> list[str]:
+    """Names of the coefficients in the order of wavelet_matrix."""
+    sizes = [size]
+    for _ in range(level):
+        sizes.append(-(-sizes[-1] // 2))
+    return [f"dwt_a_{i}" for i in range(sizes[-1])] + [f"dwt_d{k}_{i}" for k in range(level, 0, -1) for i in range(sizes[k])]
+
+
+def wavelet_features(grid: DataFrame, size: int = 36, level: int = 2, key: str = "route") -> DataFrame:
+    """Every complete window's mean, population deviation and wavelet coefficients of its z-scores: dwt_mean, dwt_std, coefficients."""
+    x = windows(grid, size, key)
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / size
+    sd = F.sqrt(once(mean, lambda m: F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / size))
+    return x.withColumns({"dwt_mean": mean, "dwt_std": sd, "coefficients": mapped(z_scored(F.col("x")), wavelet_matrix(size, level))})
+
+
 def mapped(x: Column, matrix: np.ndarray) -> Column:
     """matrix @ x as a column expression."""
     rows = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in matrix))
-    return F.transform(rows, lambda row: F.aggregate(F.zip_with(row, x, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
+    return once(x, lambda own: F.transform(rows, lambda row: F.aggregate(F.zip_with(row, own, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)))
 
 
 def supervised(grid: DataFrame, size: int, ahead: int, lags: int, key: str = "route") -> DataFrame:

@@ -150,20 +150,30 @@ def m2_two(spark, d):
     return rounded(t.select("route", "bin", models.fit_ridge(t, ["y_persistence", "roll_mean_60"], "y_30", "route", 0.1).alias("ridge")), "ridge", digits=5)
 
 
-def _matrix_rows() -> str:
-    from ..operators.shaping import wavelet_matrix
+def _filtered(x: str, size: int, taps: list[str]) -> str:
+    """SQL of one periodised filter step over a list: four taps from 2 k - 1 on."""
+    return f"list_transform(range({size // 2}), lambda k: " + " + ".join(f"{t}*{x}[((2*k + {size - 1 + i}) % {size}) + 1]" for i, t in enumerate(taps)) + ")"
 
-    return ", ".join(f"({k}, {i + 1}, {v!r}::double)" for k, row in enumerate(wavelet_matrix(12).tolist()) for i, v in enumerate(row))
 
+#: The db2 filter by its closed form, and its mirror.
+_LOW = [f"({v})/(4*sqrt(2.0))" for v in ("1 + sqrt(3.0)", "3 + sqrt(3.0)", "3 - sqrt(3.0)", "1 - sqrt(3.0)")]
+_HIGH = [v if i % 2 == 0 else f"-{v}" for i, v in enumerate(_LOW[::-1])]
 
-@register("w18_coefficients", f"with {_HGRID}, m(k, i, v) as (values {_matrix_rows()}), w as (select a.route, a.bin, b.bin - a.bin + 12 as i, b.y, count(b.y) over (partition by a.route, a.bin) as c from grid a join grid b on b.route = a.route and b.bin between a.bin - 11 and a.bin) select route, cast(bin as bigint) as bin, cast(m.k as bigint) as k, round(sum(w.y * m.v),5) as value from w join m on m.i = w.i where c = 12 group by 1, 2, 3")
+
+@register(
+    "w18_coefficients",
+    f"with {_HGRID}, w as (select a.route, a.bin, list(b.y order by b.bin) as x from grid a join grid b on b.route = a.route and b.bin between a.bin - 35 and a.bin where b.y is not null group by 1, 2 having count(b.y) = 36), m as (select *, list_avg(x) as mean, list_stddev_pop(x) as sd from w), "
+    f"z as (select *, list_transform(x, lambda v: case when sd > 0 then (v - mean)/sd else 0 end) as z from m), one as (select *, {_filtered('z', 36, _LOW)} as a1, {_filtered('z', 36, _HIGH)} as d1 from z), two as (select *, {_filtered('a1', 18, _LOW)} as a2, {_filtered('a1', 18, _HIGH)} as d2 from one), "
+    "long as (select route, bin, unnest(list_concat(['dwt_mean', 'dwt_std'], list_transform(range(9), lambda i: 'dwt_a_' || i), list_transform(range(9), lambda i: 'dwt_d2_' || i), list_transform(range(18), lambda i: 'dwt_d1_' || i))) as name, unnest(list_concat([mean, sd], a2, d2, d1)) as value from two) select route, cast(bin as bigint) as bin, name, round(value,6) + 0.0 as value from long",
+)
 def w18_coefficients(spark, d):
-    """The wavelet coefficients of each complete half day, one to a row; the map is linear and given as a matrix."""
+    """Mean, deviation and wavelet coefficients of each complete window of 36 bins, one to a row; SQL filters the windows step by step."""
     from ..operators import shaping
 
-    x = shaping.windows(hourly_grid(spark, d), 12)
-    out = x.select("route", "bin", F.posexplode(shaping.mapped(F.col("x"), shaping.wavelet_matrix(12))).alias("k", "value"))
-    return rounded(out.withColumn("k", F.col("k").cast("long")), "value", digits=5)
+    x = shaping.wavelet_features(hourly_grid(spark, d))
+    names = F.array(*map(F.lit, ["dwt_mean", "dwt_std", *shaping.wavelet_names(36)]))
+    out = x.select("route", "bin", F.explode(F.arrays_zip(names.alias("name"), F.concat(F.array("dwt_mean", "dwt_std"), "coefficients").alias("value"))).alias("_x")).select("route", "bin", "_x.*")
+    return rounded(out, "value").withColumn("value", F.col("value") + 0.0)
 
 
 @register("w20_fallback", f"with {_HGRID}, z as (select *, case when bin % 3 = 0 then y * 2 end as z from grid), s as (select a.route, a.bin, count(b.y) as c, sum(b.y) as first, sum(coalesce(b.z, b.y) * (b.bin - a.bin + 6)) as second from z a join z b on b.route = a.route and b.bin between a.bin - 5 and a.bin group by 1, 2) select route, cast(bin as bigint) as bin, round(first,6) as first, round(second,6) as second from s where c = 6")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import boosting, detect, horizons, lags, models, seasonal, shaping, stacks
+from ..operators import boosting, detect, horizons, lags, models, sampling, seasonal, shaping, stacks
 from .catalog import register
 from .series_queries import _HGRID, TIMED, hourly_grid, raw, rounded, timed
 from .table_queries import SCORED, scored
@@ -29,8 +29,8 @@ def w17(spark, d):
 
 @register("w18_wavelet")
 def w18(spark, d):
-    """db2 coefficients of each complete 12-hour window; tests hold the map against orthogonality and constants."""
-    return shaping.windows(hourly_grid(spark, d), 12).select("route", "bin", shaping.mapped(F.col("x"), shaping.wavelet_matrix(12)).alias("coefficients"))
+    """Mean, deviation and db2 coefficients of each complete window of 36 bins, as arrays; w18_coefficients has them with SQL."""
+    return shaping.wavelet_features(hourly_grid(spark, d)).select("route", "bin", "dwt_mean", "dwt_std", "coefficients")
 
 
 @register("w19_supervised", f"with {_HGRID}, s as (select route, bin, y, count(y) over (partition by route order by bin rows between 5 preceding and current row) as c, lead(y,3) over w as label, y as lag_1, lag(y,1) over w as lag_2, lag(y,2) over w as lag_3 from grid window w as (partition by route order by bin)) select route, cast(bin as bigint) as bin, round(label,6) as label, round(lag_1,6) as lag_1, round(lag_2,6) as lag_2, round(lag_3,6) as lag_3 from s where c = 6 and label is not null")
@@ -326,14 +326,19 @@ def k9(spark, d):
     return s.select(F.col("event_type").alias("route"), F.size("points").cast("long").alias("points"), F.element_at("points", 1)["t"].alias("first"), F.element_at("points", -1)["t"].alias("last"))
 
 
-@register("u7_stratified", "with r as (select event_id, row_number() over (partition by cast(hour(ts) as bigint) order by event_id) as k from events) select event_id from r where k <= 5")
+_MD5 = lambda *of: "md5(concat_ws('/', '7', " + ", ".join(of) + "))"
+
+
+@register(
+    "u7_stratified",
+    "with r as (select event_id, cast(case when hour(ts) < 2 then hour(ts) when hour(ts) < 6 then 2 else hour(ts) - 3 end as bigint) as bucket, cast(floor(epoch(ts)/604800) as bigint) as week from events), "
+    f"k as (select *, row_number() over (partition by bucket, week order by {_MD5('bucket', 'week', 'event_id')}, event_id) as round from r), t as (select *, row_number() over (partition by bucket order by round, {_MD5('bucket', 'round', 'week')}, week, event_id) as turn from k), "
+    f"q as (select b as bucket, 14 + (row_number() over (order by {_MD5('b')}) <= 6)::int as quota from range(21) x(b)) select event_id, t.bucket, week, turn from t join q on q.bucket = t.bucket where turn <= quota",
+)
 def u7(spark, d):
-    """An equal quota per hour of day, by id."""
-    e = raw(spark, d).select("event_id", (F.floor(F.col("t") / 3600) % 24).alias("hour"), F.pmod(F.xxhash64("event_id"), F.lit(256)).alias("part"))
-    # the first five of each of 256 parts of an hour, then the first five of those
-    for keys in (["hour", "part"], ["hour"]):
-        e = e.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("event_id"))).filter("k <= 5")
-    return e.select("event_id")
+    """Three hundred rows, an equal quota per hour bucket, in which the weeks take turns (the events span a month)."""
+    e = raw(spark, d).select("event_id", sampling.hour_bucket(F.floor(F.col("t") / 3600) % 24).alias("bucket"), F.floor(F.col("t") / 604800).cast("long").alias("week"))
+    return sampling.stratified(e, 300, "bucket", "week", "event_id", 7).select("event_id", F.col("bucket").cast("long").alias("bucket"), "week", F.col("turn").cast("long").alias("turn"))
 
 
 @register("s13_json_explode", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
