@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, narrow_batches, parts, whole
+from .common import discard, durable, narrow_batches, parts, whole
 
 #: What may not stand in a text as it is: the template's own marks, those of other templates, and special tokens.
 CONTROL = r"([<\[])(\\*)(\||/?s>|/?INST\])"
@@ -204,7 +204,9 @@ def format_tree(conversations: DataFrame, tokenizer_path: str) -> tuple[DataFram
     position = F.aggregate(F.slice("counts", F.lit(1), F.col("depth")), F.lit(0).cast("long"), lambda a, n: a + n)
     joined = turns.join(own, turns.conv_id.eqNullSafe(own.owner) & (turns.depth >= own.shared))
     nodes = joined.select("tree", start.alias("start"), "tokens", position.alias("position"), grown.alias("spans"), "ids", "loss_first", "loss_last", "part", "row", "depth")
-    return durable(nodes, "chat-nodes"), members, spine_rows
+    nodes = durable(nodes, "chat-nodes")
+    discard(turns, walk)
+    return nodes, members, spine_rows
 
 
 READ = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

@@ -29,7 +29,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/binweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing will read any more: what was made of them is written itself."""
+    for df in tables:
+        if path := getattr(df, "_durable_path", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def whole(text: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, before = durable(edges.select("u", "v").filter("u <> v").distinct(), "edges"), None
     while True:
-        now = durable(_small_star(_large_star(now)), "edges")
+        last, now = now, durable(_small_star(_large_star(now)), "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select("u", F.col("v").alias("root"))

@@ -24,6 +24,7 @@ Signatures travel packed: a task sends one block to each bucket of signatures. S
 that share a signature are candidates. First each group's most popular member is
 compared with the others; then only pairs whose sets aren't yet connected, and
 whose parity bitmaps differ in at most H bits, a lower bound of their difference.
+Large groups are cut into blocks by size band, and each two blocks meet in a task.
 All candidates are verified on the whole sets; links become components.
 
 Sets are told apart by 128 bits: 64 name them; where two sets of different other 64 bits
@@ -46,7 +47,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lean, narrow_batches, parts
+from .common import discard, durable, lean, narrow_batches, parts
 from .components import components
 
 WORDS = 5
@@ -61,6 +62,8 @@ BUCKET_BYTES, HELD = 8 << 20, 1 << 20
 BITS = 1024
 #: Pairs looked at in one step, and rows gathered before whole groups are looked at.
 AT_ONCE, GATHERED = 1 << 16, 20_000
+#: Groups of more sets than this are cut into blocks of about as many, and two blocks meet in a task of their own.
+BLOCK = 2048
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -469,6 +472,45 @@ def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _unlike_roots(pd.concat(held))
 
 
+def _facing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Two blocks of one group (side 0 and 1) -> the pairs across them that _unlike_roots would find; bitmaps meet as a matrix product."""
+    lean()
+    x, y = (pdf[pdf["side"] == side] for side in (0, 1))
+    if not len(x) or not len(y):  # a block may be empty
+        return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+    odd = lambda own: np.unpackbits(np.frombuffer(b"".join(own["bits"]), np.uint8).reshape(len(own), -1), axis=1).astype(np.float32)
+    bits = odd(y).T
+    sets, roots, n, ask = (y[c].to_numpy() for c in ("set", "root", "n", "ask"))
+    ones, found = bits.sum(axis=0), [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(x), 512):
+        own = x.iloc[at : at + 512]
+        left = odd(own)
+        m = own["n"].to_numpy()[:, None]
+        apart = left.sum(axis=1)[:, None] + ones - 2 * (left @ bits)  # whole numbers up to BITS, exact
+        ok = (apart <= (m + n) // 7) & (own["root"].to_numpy()[:, None] != roots) & (own["ask"].to_numpy()[:, None] | ask) & (np.minimum(m, n) * UNDER >= np.maximum(m, n) * OVER)
+        i, j = np.nonzero(ok)
+        u, v = own["set"].to_numpy()[i], sets[j]
+        found.append(np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def _blocked(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (sig, set, ask, root, n, bits) of large groups -> pairs. Blocks are dealt by size band and asking, so that only bands that can be linked meet, and no two blocks of which neither asks."""
+    cell = ["sig", "band", "ask"]
+    banded = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.34))).cast("int"))  # linked sizes are at most 4 / 3 apart: one band
+    blocks = banded.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = banded.join(blocks, cell).withColumn("k", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).drop("blocks")
+    every = blocks.select(*cell, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    one, other = every.alias("a"), every.alias("b")
+    step = F.col("b.band") - F.col("a.band")
+    later = (step == 1) | ((step == 0) & (F.struct("a.ask", "a.k") <= F.struct("b.ask", "b.k")))
+    pairs = one.join(other, (F.col("a.sig") == F.col("b.sig")) & later & (F.col("a.ask") | F.col("b.ask")))
+    pairs = pairs.withColumn("pair", F.xxhash64("a.sig", "a.band", "a.ask", "a.k", "b.band", "b.ask", "b.k"))
+    side = lambda name, i: placed.join(pairs.select(*(F.col(f"{name}.{c}").alias(c) for c in (*cell, "k")), "pair"), [*cell, "k"]).select("pair", F.lit(i).alias("side"), "set", "root", "n", "ask", "bits")
+    return side("a", 0).unionAll(side("b", 1)).groupBy("pair").applyInPandas(_facing, "u long, v long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets are alike enough."""
     a, b = sets.select(F.col("set").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("set").alias("v"), F.col("shingles").alias("b"))
@@ -512,6 +554,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not clash:
             break
         renamed |= {r["set"] for r in clash}
+        discard(met)
     sized = sized.drop("other")
     probes = durable(met.filter("kind in (1, 3)").groupBy("bucket").applyInPandas(_probes(buckets), _BLOCKS), "jaccard-probes")
     stars = durable(probes.groupBy("bucket").applyInPandas(_stars, "u long, v long").distinct(), "jaccard-stars")
@@ -525,10 +568,17 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = probes.groupBy("bucket").applyInPandas(_members, "sig long, set long, ask boolean").join(named.select("set", "root"), "set")
     # groups of one component are settled
     members = durable(members, "jaccard-members")
-    mixed = members.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("sig")
-    apart = members.join(mixed, "sig", "left_semi").join(named.select("set", "n", "bits"), "set").repartition(buckets, "sig").sortWithinPartitions("sig", F.desc("ask")).mapInPandas(_apart, "u long, v long").distinct()
-    more = durable(_verified(durable(apart, "jaccard-apart"), sets), "jaccard-links")
-    return sized, components(near.unionAll(more))
+    mixed = members.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).filter("a <> b").select("sig", "c")
+    unlike = members.join(mixed, "sig").join(named.select("set", "n", "bits"), "set")
+    small = unlike.filter(F.col("c") <= BLOCK).drop("c").repartition(buckets, "sig").sortWithinPartitions("sig", F.desc("ask")).mapInPandas(_apart, "u long, v long")
+    large = None
+    if (mixed.agg(F.max("c")).first()[0] or 0) > BLOCK:
+        large = durable(unlike.filter(F.col("c") > BLOCK).drop("c"), "jaccard-large")
+    apart = durable((small.unionAll(_blocked(large, BLOCK)) if large else small).distinct(), "jaccard-apart")
+    more = durable(_verified(apart, sets), "jaccard-links")
+    found = components(near.unionAll(more))
+    discard(probes, stars, sets, members, apart, near, more, *([large] if large else []))
+    return sized, found
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
