@@ -29,4 +29,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from . import combiner_queries, model_queries, row_queries, score_queries, series_queries, serving_queries, table_queries  # noqa: E402, F401
+from . import combiner_queries, model_queries, row_queries, score_queries, series_queries, serving_queries, sink_queries, stream_queries, table_queries  # noqa: E402, F401

@@ -27,6 +27,11 @@ def instant(text: Column, zone: str = "UTC") -> Column:
     return F.when(F.year(out).between(2000, 2100), out)
 
 
+def file_order() -> Column:
+    """Where a row stood: by file name, then by place in the file, whatever splits and tasks read it."""
+    return F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+
+
 def observations(spark: SparkSession, path: str, route: str | None = None) -> DataFrame:
     """Travel-time rows with a parsed instant; carried rows keep their message."""
     out = csv(spark, path, OBSERVATION).withColumn("ts", instant(F.col("observed_at"))).filter("ts is not null")
@@ -35,7 +40,7 @@ def observations(spark: SparkSession, path: str, route: str | None = None) -> Da
 
 def readings(spark: SparkSession, path: str) -> DataFrame:
     """Rain: (ts, value_mm), one per instant, the first in file order."""
-    raw = csv(spark, path, "timestamp string, station_id string, value_mm double").withColumn("_pos", F.monotonically_increasing_id())
+    raw = csv(spark, path, "timestamp string, station_id string, value_mm double").withColumn("_pos", file_order())
     rows = raw.select(instant(F.col("timestamp")).alias("ts"), "value_mm", "_pos").na.drop()
     return rows.groupBy("ts").agg(F.min_by("value_mm", "_pos").alias("value_mm"))
 
@@ -53,7 +58,7 @@ def forecasts(spark: SparkSession, path: str) -> DataFrame:
 
 def frames(spark: SparkSession, path: str, zone: str = "Asia/Singapore") -> DataFrame:
     """Camera counts with status ok; local times become UTC; of equal instants the last in file order."""
-    raw = csv(spark, path, "frame_ts string, status string, a double, b double").withColumn("_pos", F.monotonically_increasing_id()).filter("status = 'ok'")
+    raw = csv(spark, path, "frame_ts string, status string, a double, b double").withColumn("_pos", file_order()).filter("status = 'ok'")
     rows = raw.withColumn("ts", instant(F.col("frame_ts"), zone))
     return rows.groupBy("ts").agg(F.max_by(F.struct("a", "b"), "_pos").alias("_r")).select("ts", "_r.*")
 
@@ -63,7 +68,7 @@ PAGE = "items array<struct<timestamp:string,readings:array<struct<station_id:str
 
 def pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON pages -> (ts, station_id, value), and stations, of one id the last by page order."""
-    raw = spark.read.schema(PAGE).option("multiLine", True).json(path).withColumn("_pos", F.monotonically_increasing_id())
+    raw = spark.read.schema(PAGE).option("multiLine", True).json(path).withColumn("_pos", file_order())
     values = raw.select(F.explode("items").alias("i")).select(instant(F.col("i.timestamp")).alias("ts"), F.explode("i.readings").alias("r")).select("ts", "r.station_id", "r.value")
     stations = raw.select("_pos", F.posexplode("stations").alias("_i", "s")).groupBy("s.id").agg(F.max_by("s.name", F.struct("_pos", "_i")).alias("name"))
     return values, stations
@@ -96,10 +101,10 @@ def frame_files(spark: SparkSession, root: str, cameras: list[str] | None = None
 def coco(spark: SparkSession, path: str) -> DataFrame:
     """Ground-truth boxes of a COCO file: (frame, cls, x, y, w, h), centres."""
     raw = spark.read.schema("images array<struct<id:long,file_name:string>>, annotations array<struct<image_id:long,category_id:long,bbox:array<double>>>, categories array<struct<id:long,name:string>>").option("multiLine", True).json(path)
-    a = raw.select(F.explode("annotations").alias("a")).select("a.*")
-    c = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("cls"))
+    names = F.map_from_entries(F.transform("categories", lambda c: F.struct(c["id"], c["name"])))  # a file's categories are its own
+    a = raw.select(names.alias("names"), F.explode("annotations").alias("a")).select("names", "a.*")
     b = F.col("bbox")
-    return a.join(F.broadcast(c), "category_id").select(F.col("image_id").alias("frame"), "cls", (b[0] + b[2] / 2).alias("x"), (b[1] + b[3] / 2).alias("y"), b[2].alias("w"), b[3].alias("h"))
+    return a.withColumn("cls", F.try_element_at("names", F.col("category_id"))).filter("cls is not null").select(F.col("image_id").alias("frame"), "cls", (b[0] + b[2] / 2).alias("x"), (b[1] + b[3] / 2).alias("y"), b[2].alias("w"), b[3].alias("h"))
 
 
 def yolo(spark: SparkSession, path: str, width: float, height: float) -> DataFrame:

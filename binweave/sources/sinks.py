@@ -18,6 +18,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and authority, as readers outside Spark's file systems need it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p))
+
+
 def guarded_append(df: DataFrame, path: str, time: str) -> None:
     """Append, unless rows of the same time range are there already."""
     spark = df.sparkSession
