@@ -31,18 +31,30 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str,
     return found.select("_row.*", *(F.when(ok, F.col(f"_f.{c}")).alias(c) for c in columns), F.when(ok, age).alias("asof_age"))
 
 
-def asof_valid(left: DataFrame, right: DataFrame, key: str, asof_t: str, target_t: str, back: int = 24) -> DataFrame:
+def ranked(rows: DataFrame, key: str, t: str, *ties: str, bucket: int = 86400) -> DataFrame:
+    """rows with `rank`, their number from 1 by time and ties within their key: counts of the time buckets run within a key, numbers within a bucket."""
+    cut = rows.withColumn("_b", F.floor(F.col(t) / bucket))
+    run = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per key and bucket
+    before = cut.groupBy(key, "_b").agg(F.count("*").alias("_n")).select(F.col(key).alias("_k"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_o"))
+    own = F.row_number().over(Window.partitionBy(key, "_b").orderBy(t, *ties))
+    return cut.withColumn("_r", own).join(before, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c"))).withColumn("rank", F.col("_o") + F.col("_r")).drop("_b", "_r", "_k", "_c", "_o")
+
+
+def asof_valid(left: DataFrame, right: DataFrame, key: str, asof_t: str, target_t: str, back: int = 24, bucket: int = 86400) -> DataFrame:
     """left with `flag` of the newest right row (available, start, stop, flag) available by asof_t whose [start, stop) holds target_t, among the last `back` available.
 
-    Ranks are row numbers by availability over the right table, so the look-back is a
-    range of ranks after one as-of join, and each left row meets `back` rows at most.
+    Ranks are numbers by availability over the right table, so the look-back is a range of ranks after one as-of join. Equal questions
+    (key, rank, target) are asked once and meet `back` rows at most; a busy key is many tasks throughout.
     """
-    ranked = right.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("available", "start", "stop")))
-    newest = asof(left, ranked, key, asof_t, "available", ["rank"])
-    near = newest.withColumn("rank", F.explode_outer(F.sequence(F.greatest(F.col("rank") - back + 1, F.lit(1)), "rank")))
-    met = near.join(ranked.select(key, "rank", "start", "stop", "flag"), [key, "rank"], "left")
-    hit = (F.col("start") <= F.col(target_t)) & (F.col(target_t) < F.col("stop"))
-    return met.groupBy(*left.columns).agg(F.max_by("flag", F.when(hit, F.col("rank"))).alias("flag"))
+    numbered = ranked(right, key, "available", "start", "stop", bucket=bucket)
+    newest = asof(left, numbered, key, asof_t, "available", ["rank"], bucket=bucket)
+    asked = newest.filter("rank is not null").select(F.col(key).alias("_k"), F.col("rank").alias("_newest"), F.col(target_t).alias("_target")).distinct()
+    near = asked.withColumn("rank", F.explode(F.sequence(F.greatest(F.col("_newest") - back + 1, F.lit(1)), "_newest")))
+    met = near.join(numbered.select(F.col(key).alias("_k"), "rank", "start", "stop", "flag"), ["_k", "rank"])
+    hit = met.filter((F.col("start") <= F.col("_target")) & (F.col("_target") < F.col("stop")))
+    best = hit.groupBy("_k", "_newest", "_target").agg(F.max_by("flag", "rank").alias("flag"))
+    both = newest.join(best, (F.col(key) == F.col("_k")) & (F.col("rank") == F.col("_newest")) & (F.col(target_t) == F.col("_target")), "left")
+    return both.select(*left.columns, "flag")
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

@@ -91,3 +91,27 @@ def test_empty(table):
     df = table[1].limit(0)
     assert ranks.kendall(df, ["k"], "x", "y").collect() == [] and ranks.quantiles(df, ["k"], {"m": ("x", 0.5)}).collect() == []
     assert metrics.correlations(df, "k", "x", "y").collect() == []
+
+
+def test_validity_as_of_with_a_busy_key(spark):
+    """One key over many time buckets, equal times, equal left rows, null keys: as a plain search, on any bucket width."""
+    from binweave.operators import asof
+
+    rng = np.random.default_rng(6)
+    left = [(i, k, int(t), int(t + rng.integers(-900, 900))) for i, (k, t) in enumerate(zip(rng.choice(["hot", "b"], 120, p=[0.9, 0.1]), rng.integers(0, 5000, 120), strict=True))]
+    left += [left[0], left[0], (500, "none", 100, 100), (501, None, 100, 100)]
+    right = sorted({("hot" if rng.random() < 0.9 else "b", int(a), int(a - 300), int(a + rng.integers(0, 1200))) for a in rng.integers(0, 5000, 150)})
+    right = [(*r, float(i)) for i, r in enumerate(right)]
+    l = spark.createDataFrame(left, "id long, k string, t long, target long").repartition(5)
+    r = spark.createDataFrame(right, "k string, available long, start long, stop long, flag double").repartition(5)
+    want = []
+    for i, k, t, target in left:
+        own = sorted((x for x in right if x[0] == k and x[1] <= t), key=lambda x: x[1:4])[-6:]
+        valid = [x[4] for x in own if x[2] <= target < x[3]]
+        want.append((i, valid[-1] if valid else None))
+    for bucket in (50, 700, 10**6):
+        got = asof.asof_valid(l, r, "k", "t", "target", 6, bucket).collect()
+        assert sorted(((x.id, x.flag) for x in got), key=str) == sorted(want, key=str)
+    numbers = asof.ranked(r, "k", "available", "start", "stop", bucket=50).collect()
+    for k in ("hot", "b"):
+        assert sorted(x["rank"] for x in numbers if x.k == k) == list(range(1, sum(y[0] == k for y in right) + 1))
