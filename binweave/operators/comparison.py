@@ -127,3 +127,9 @@ def substitution(results: DataFrame, bar: float = 0.5) -> DataFrame:
     """verdict of a substitute: improvement or regression if the interval lies on one side of zero, substitute if it lies within the bar, else inconclusive."""
     low, high = F.col("low"), F.col("high")
     return results.withColumn("verdict", F.when(high < 0, "improvement").when(low > bar, "regression").when((low >= -bar) & (high <= bar), "substitute").otherwise("inconclusive"))
+
+
+def equivalent(rows: DataFrame, keys: list[str], day: str, actual: str, a: str, b: str, margin: float = 0.5, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """Per key: n, days, the mean difference of absolute errors of a and b with its interval over days, and whether that lies inside the margin on both sides."""
+    out = compare(rows, keys, day, actual, a, b, 0, draws, seed).drop("decision")
+    return out.withColumn("equivalent", (F.col("low") > -margin) & (F.col("high") < margin))

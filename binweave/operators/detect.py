@@ -32,8 +32,8 @@ def _pair(p: tuple, q: tuple) -> float:
     return inter
 
 
-def _frames(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
-    """Rows dealt and sorted by keys, then by confidence; each(list of one key's rows as tuples) -> list of result tuples."""
+def _frames(rows: DataFrame, keys: list[str], each, schema: str, order: tuple[Column, ...] = ()) -> DataFrame:
+    """Rows dealt and sorted by keys, then by the order (confidence if none is given) and id; each(list of one key's rows as tuples) -> list of result tuples."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in schema.split(", ")]
@@ -50,22 +50,34 @@ def _frames(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
         if own and (out := each(own)):
             yield pd.DataFrame(out, columns=names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc_nulls_first("confidence"), "id").mapInPandas(walk, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *(order or (F.desc_nulls_first("confidence"),)), "id").mapInPandas(walk, schema)
 
 
-def suppressed(boxes: DataFrame, limit: float = 0.7, by_class: bool = True, smaller: bool = False, size_ratio: float = 3.0, most: int = 300) -> DataFrame:
-    """Greedy suppression by confidence (of equal ones the smaller id first).
+def suppressed(boxes: DataFrame, limit: float = 0.7, by_class: bool = True, smaller: bool = False, size_ratio: float = 3.0, most: int | None = 300, order_by: str = "confidence") -> DataFrame:
+    """Greedy suppression by confidence, or by size (the largest box first); ties by the other, then by id.
 
-    By IoU within a class; or (smaller) by the share of the smaller box, of boxes whose sizes differ by less than size_ratio.
+    By IoU within a class, `most` boxes a frame; or (smaller) by the share of the smaller box, of boxes whose sizes differ by less than size_ratio,
+    any number: boxes without geometry stay then, and suppress none.
     """
+    if order_by not in ("confidence", "size"):
+        raise ValueError(order_by)
+    area = F.col("w") * F.col("h")
+    by = (F.desc_nulls_first("confidence"), *((area.desc(),) if smaller else ()))
+    order = by if order_by == "confidence" else (area.desc(), F.desc_nulls_first("confidence"))
+    most = None if smaller else most
 
     def keep(rows: list[tuple]) -> list[tuple]:
         kept: list[tuple] = []
         for row in rows:
             if len(kept) == most:
                 break
+            if smaller and any(v is None or v != v for v in row[4:8]):
+                kept.append(row)
+                continue
             r, a = row[4:8], row[6] * row[7]
             for k in kept:
+                if smaller and any(v is None or v != v for v in k[4:8]):
+                    continue
                 if by_class and k[3] != row[3]:
                     continue
                 inter, b = _pair(r, k[4:8]), k[6] * k[7]
@@ -76,7 +88,7 @@ def suppressed(boxes: DataFrame, limit: float = 0.7, by_class: bool = True, smal
                 kept.append(row)
         return kept
 
-    return _frames(boxes.select("frame", "id", "confidence", "cls", "x", "y", "w", "h"), ["frame"], keep, "frame long, id long, confidence double, cls string, x double, y double, w double, h double")
+    return _frames(boxes.select("frame", "id", "confidence", "cls", "x", "y", "w", "h"), ["frame"], keep, "frame long, id long, confidence double, cls string, x double, y double, w double, h double", order)
 
 
 def directed(boxes: DataFrame, line: list[tuple[float, float]]) -> DataFrame:

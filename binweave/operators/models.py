@@ -222,101 +222,6 @@ def memberships(x: list[Column], centres: np.ndarray, m: float = 2.0) -> list[Co
     return [v / total for v in inverse]
 
 
-def _unpacked_net(flat: np.ndarray, d: int, hidden: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, float, float, list[np.ndarray]]:
-    """means, deviations, level and floor of a stored network, and its matrices and offsets in turn."""
-    mean, sd, level, floor, at, w = flat[:d], flat[d : 2 * d], flat[2 * d], flat[2 * d + 1], 2 * d + 2, []
-    for m, n in zip((d, *hidden), (*hidden, 1), strict=True):
-        w += [flat[at : at + m * n].reshape(m, n), flat[at + m * n : at + m * n + n]]
-        at += m * n + n
-    return mean, sd, level, floor, w
-
-
-def _forward(z: np.ndarray, w: list[np.ndarray]) -> list[np.ndarray]:
-    """The layers' outputs of a ReLU network, the last one linear."""
-    out = [z]
-    for i in range(0, len(w), 2):
-        a = out[-1] @ w[i] + w[i + 1]
-        out.append(np.maximum(a, 0) if i + 2 < len(w) else a)
-    return out
-
-
-def _trained(z: np.ndarray, y: np.ndarray, held: np.ndarray, hidden: tuple[int, ...], l2: float, epochs: int, seed: int) -> tuple[float, list[np.ndarray]]:
-    """A network fitted by Adam to the rows that aren't held, and the weights of the epoch of least held-out error (all rows', if none are)."""
-    rng = np.random.default_rng(seed)
-    w = []
-    for m, n in zip((z.shape[1], *hidden), (*hidden, 1), strict=True):
-        w += [rng.normal(0, (2 / m) ** 0.5, (m, n)), np.zeros(n)]
-    first, second, t = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w], 0
-    own, test = np.flatnonzero(~held), held if held.any() else np.ones(len(z), bool)
-    best, kept = math.inf, w
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(own), max(1, len(own) // 64)):
-            layers = _forward(z[part], w)
-            e = 2 * (layers[-1] - y[part, None]) / len(part)
-            grads = [None] * len(w)
-            for i in range(len(w) - 2, -1, -2):
-                grads[i], grads[i + 1] = layers[i // 2].T @ e + l2 * w[i], e.sum(axis=0)
-                e = (e @ w[i].T) * (layers[i // 2] > 0)
-            t += 1
-            w = list(w)
-            for i, g in enumerate(grads):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                w[i] = w[i] - 0.01 * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-        error = float(np.abs(_forward(z[test], w)[-1][:, 0] - y[test]).mean())
-        if error < best:
-            best, kept = error, w
-    return best, kept
-
-
-def fit_mlp(train: DataFrame, features: list[str], label: str, key: str, seeds: int = 5, hidden: tuple[int, ...] = (32, 16), epochs: int = 40, l2: tuple[float, ...] = (1e-4, 1e-2), day: str = "local_day") -> DataFrame:
-    """ReLU networks, one per key and seed, trained by Adam in a task each; rows (key, seed, weights array<double>).
-
-    The last fifth of a key's days (of its rows, without a day column) is held back to choose the penalty and the epoch.
-    A key's rows go to a task per seed, so this is for series whose rows fit a task.
-    """
-    kind, by_day = train.schema[key].dataType.simpleString(), day in train.columns
-    rows = train.select(key, label, *features, *([F.col(day).cast("long").alias("_day")] if by_day else [])).na.drop().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[features].to_numpy(float), pdf[label].to_numpy(float)
-        days = pdf["_day"].to_numpy() if by_day else np.zeros(len(pdf), np.int64)
-        order = np.lexsort((*x.T, y, days))
-        x, y, days = x[order], y[order], days[order]
-        place = np.searchsorted(np.unique(days), days) if by_day else np.arange(len(y))
-        held = place >= (place[-1] + 1) * 4 // 5 if place[-1] else np.zeros(len(y), bool)
-        mean, sd, level = x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-9, y[~held].mean()
-        seed = int(pdf["seed"].iloc[0])
-        _, w = min((_trained((x - mean) / sd, y - level, held, hidden, p, epochs, seed) for p in l2), key=lambda r: r[0])
-        flat = np.concatenate([mean, sd, [level, y.min()], *(v.ravel() for v in w)])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "seed": [seed], "weights": [flat.tolist()]})
-
-    return rows.groupBy(key, "seed").applyInPandas(fit, f"{key} {kind}, seed int, weights array<double>")
-
-
-def mlp_predict(rows: DataFrame, models: DataFrame, features: list[str], key: str, hidden: tuple[int, ...] = (32, 16)) -> DataFrame:
-    """rows with the mean prediction of their key's networks, none below the least training label; null where a feature is. A batch's rows of a key go through each network at once."""
-    grouped = models.groupBy(key).agg(F.collect_list("weights").alias("_w"))  # one row per key
-    d = len(features)
-
-    @F.pandas_udf("double")
-    def forward(k: pd.Series, x: pd.Series, w: pd.Series) -> pd.Series:
-        out = pd.Series(np.nan, index=x.index)
-        for _, at in k.groupby(k, sort=False).groups.items():
-            nets = w.loc[at[0]]
-            if nets is None:
-                continue
-            v = np.array([[np.nan if q is None else q for q in r] for r in x.loc[at]], float)
-            total = np.zeros(len(v))
-            for n in map(np.asarray, nets):
-                mean, sd, level, floor, own = _unpacked_net(n, d, hidden)
-                total += np.maximum(_forward((v - mean) / sd, own)[-1][:, 0] + level, floor)
-            out.loc[at] = total / len(nets)
-        return out
-
-    return rows.join(grouped, key, "left").withColumn("mlp", forward(F.col(key), F.array(*features), "_w")).drop("_w")
-
-
 def residual_ridge(rows: DataFrame, forecast: str, persistence: str, label: str, keys: str, alpha: float = 1.0) -> Column:
     """forecast corrected by a ridge of its residual on forecast less persistence, per key."""
     x = [F.col(forecast) - F.col(persistence)]

@@ -147,6 +147,20 @@ def islands(rows: DataFrame, key: str, at: str, member: Column) -> DataFrame:
     return own.groupBy(key, "_i").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("_i")
 
 
+def flagged_runs(days: DataFrame, key: str, at: str, member: Column, within: int = 21) -> DataFrame:
+    """Every day (key, at) with the run of flagged days it lies in (first, last), or else the next flagged day of the key within so many days (next, in_days); nulls where there is none.
+
+    days: one row per key and day. A run ends where a day isn't flagged or isn't there.
+    """
+    w = Window.partitionBy(key).orderBy(at)
+    flagged = days.select(key, at, F.coalesce(member, F.lit(False)).alias("_on")).withColumn("_new", (F.col("_on") & ~F.coalesce((F.lag(at).over(w) == F.col(at) - 1) & F.lag("_on").over(w), F.lit(False))).cast("int"))
+    runs = flagged.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))  # days of a calendar
+    spans = runs.filter("_on").groupBy(key, "_run").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    ahead = runs.withColumn("next", F.min(F.when(F.col("_on"), F.col(at))).over(w.rangeBetween(1, within)))
+    both = ahead.alias("a").join(spans.alias("s"), F.col(f"a.{key}").eqNullSafe(F.col(f"s.{key}")) & (F.col("a._run") == F.col("s._run")) & F.col("a._on"), "left")
+    return both.select(f"a.{key}", f"a.{at}", "first", "last", F.when(~F.col("_on"), F.col("next")).alias("next"), F.when(~F.col("_on"), F.col("next") - F.col(at)).alias("in_days"))
+
+
 def best_window(slots: DataFrame, key: str, at: str = "slot", y: str = "y", least: int = 2) -> DataFrame:
     """Per key the first run of at least `least` slots in the fastest quartile; else the slots of lowest mean."""
     q = slots.groupBy(key).agg(F.percentile(y, 0.25).alias("_q"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import boosting, detect, horizons, lags, models, sampling, seasonal, shaping, stacks
+from ..operators import boosting, calendar, detect, horizons, lags, models, network, sampling, seasonal, shaping, stacks
 from .catalog import register
 from .series_queries import _HGRID, TIMED, hourly_grid, raw, rounded, timed
 from .table_queries import SCORED, scored
@@ -84,6 +84,13 @@ def w27(spark, d):
     return shaping.islands(o, "k", "day", F.col("c") >= 4)
 
 
+@register("w27_calendar_facts", "with d as (select o_orderstatus as k, cast(epoch(o_orderdate)/86400 as bigint) as day, count(*) as c from orders group by 1, 2), m as (select k, day, day - row_number() over (partition by k order by day) as i from d where c >= 4), r as (select k, min(day) as first, max(day) as last from m group by k, i), x as (select d.k, d.day, c >= 4 as flag, (select min(m.day) from m where m.k = d.k and m.day between d.day + 1 and d.day + 21) as nxt from d) select x.k, x.day, r.first, r.last, case when not flag then nxt end as next, case when not flag then nxt - x.day end as in_days from x left join r on r.k = x.k and x.day between r.first and r.last")
+def w27_facts(spark, d):
+    """Every day with the run of flagged days around it, or the next flagged day within three weeks."""
+    o = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_orderstatus").alias("k"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day")).agg(F.count("*").alias("c"))
+    return shaping.flagged_runs(o, "k", "day", F.col("c") >= 4)
+
+
 @register("m1_baselines", f"with {_HGRID}, t as (select a.route, a.bin, avg(b.y) as tod from grid a left join grid b on b.route = a.route and b.bin % 24 = a.bin % 24 and b.bin between a.bin - 168 and a.bin - 1 group by 1, 2) select g.route, cast(g.bin as bigint) as bin, round(g.y,6) as persistence, round(d1.y,6) as d1, round(d7.y,6) as d7, round(t.tod,6) as tod from grid g join t on t.route = g.route and t.bin = g.bin left join grid d1 on d1.route = g.route and d1.bin = g.bin - 24 left join grid d7 on d7.route = g.route and d7.bin = g.bin - 168")
 def m1(spark, d):
     g = seasonal.same_time_mean(hourly_grid(spark, d), 24).withColumns({"d1": lags.at_offset("y", -24), "d7": lags.at_offset("y", -168)})
@@ -231,11 +238,29 @@ def ax15(spark, d):
     return horizons.day_backtest(member_rows(spark, d), ["y_persistence", "ridge", "trees", "ensemble"], "y_30", "route", "local_day")
 
 
+STEPS = [10, 20, 30, 40, 50, 60]
+
+
+def step_rows(spark, d) -> DataFrame:
+    """Bins with labels at six steps, their day's part, and labels of a later part left out."""
+    t = calendar.with_calendar(timed(spark, d)).filter("y_persistence is not null").withColumns({f"l{m}": lags.at_offset("y", m // 10) for m in STEPS})
+    t = horizons.split_days(t)
+    for m in STEPS:
+        t = horizons.boundary_masked(t, f"l{m}", m // 10)
+    return t.withColumns({f"f_{c}": F.coalesce(F.col(c), F.lit(0.0) if c == "slope_30" else F.col("y_persistence")) for c in ("lag_10", "lag_20", "lag_30", "lag_60", "roll_mean_60", "slope_30")})
+
+
+NET_FEATURES = ["y_persistence", "f_lag_10", "f_lag_20", "f_lag_30", "f_lag_60", "f_roll_mean_60", "f_slope_30", "tod_sin", "tod_cos", "is_weekend"]
+
+
 @register("m20_mlp")
 def m20(spark, d):
-    s = scored(spark, d)
-    features = ["y_persistence", "tod_sin", "tod_cos"]
-    return models.mlp_predict(s, models.fit_mlp(s, features, "y_30", "route"), features, "route").select("route", "bin", "mlp")
+    """Five seeds of a network for six steps ahead as differences from the present, penalty and epoch chosen on inner days; forecasts of the validation and test days."""
+    s = step_rows(spark, d).withColumn("held", F.when(F.col("part") == "fit", False).when(F.col("part") == "inner", True))
+    model = network.fit(s, NET_FEATURES, [f"l{m}" for m in STEPS], "y_persistence", ["route", "bin"], "held")
+    names = [f"mlp_{m}" for m in STEPS]
+    out = network.predict(s.filter(F.col("part").isin("validation", "test")), model, NET_FEATURES, "y_persistence", names)
+    return out.select("route", "bin", "part", *names)
 
 
 @register("m25_residual", f"with {SCORED}, r as (select route, bin, p1, p1 - y_persistence as x, y_30 - p1 as e from sl), m as (select route, count(*) as n, avg(x) as mx, stddev_pop(x) as sx, avg(e) as me, covar_pop(x, e) as c from r group by 1), w as (select route, mx, me, case when sx > 0 then (n*c/sx)/(n + 1.0)/sx else 0 end as w from m) select r.route, bin, round(p1 + me + w*(x - mx),6) as calibrated from r join w on w.route = r.route")

@@ -133,9 +133,9 @@ def unique_boxes(spark, d) -> DataFrame:
     return n.select("frame", "cls", "id", (F.col("l_partkey") % 40).cast("double").alias("x"), (F.col("l_suppkey") % 30).cast("double").alias("y"), (k + 10.0).cast("double").alias("w"), (k + 8.0).cast("double").alias("h"), F.col("l_discount").cast("double").alias("confidence")).groupBy("frame", "cls", "id", "x", "y", "w", "h").agg(F.max("confidence").alias("confidence"))
 
 
-def greedy(hit: str, least: float = 0.0) -> str:
-    """SQL of a walk through each frame's boxes by confidence that keeps those without a hit among the kept: CTEs up to r."""
-    ranked = f"o as (select *, row_number() over (partition by frame order by confidence desc, id) as k from b where confidence >= {least})"
+def greedy(hit: str, least: float = 0.0, order: str = "confidence desc, id") -> str:
+    """SQL of a walk through each frame's boxes in an order that keeps those without a hit among the kept: CTEs up to r."""
+    ranked = f"o as (select *, row_number() over (partition by frame order by {order}) as k from b where confidence >= {least})"
     return f"with recursive {UBOX}, {ranked}, r as (select frame, k, [{_ONE}] as kept from o where k = 1 union all select o.frame, o.k, case when len(list_filter(r.kept, lambda q: {hit})) = 0 then list_append(r.kept, {_ONE}) else r.kept end from r join o on o.frame = r.frame and o.k = r.k + 1)"
 
 
@@ -147,7 +147,13 @@ def v3_boxes(spark, d):
     return detect.suppressed(unique_boxes(spark, d), 0.3).select("frame", "id")
 
 
-@register("v4_dedupe_boxes", f"{greedy(OVERLAP)} {_KEPT}")
+@register("v4_dedupe_by_size", f"{greedy(OVERLAP, order='w*h desc, confidence desc, id')} {_KEPT}")
+def v4_by_size(spark, d):
+    """The largest boxes first."""
+    return detect.suppressed(unique_boxes(spark, d), 0.6, by_class=False, smaller=True, order_by="size").select("frame", "id")
+
+
+@register("v4_dedupe_boxes", f"{greedy(OVERLAP, order='confidence desc, w*h desc, id')} {_KEPT}")
 def v4_boxes(spark, d):
     return detect.suppressed(unique_boxes(spark, d), 0.6, by_class=False, smaller=True).select("frame", "id")
 
@@ -304,3 +310,9 @@ def m31(spark, d):
 @register("m32_agreement", f"with {SCORED} select route, count(*) as n, round(avg(abs(p1-y_persistence)),6) as mean_abs, round(quantile_cont(abs(p1-y_persistence), 0.95),6) as p95_abs, round(avg(p1-y_persistence),6) as signed, round(corr(p1, y_persistence),6) as correlation from sl group by 1")
 def m32(spark, d):
     return rounded(comparison.agreement(scored(spark, d), ["route"], "p1", "y_persistence"), "mean_abs", "p95_abs", "signed", "correlation")
+
+
+@register("m32_equivalence", f"with {_D}, {_days(['route'])} select route, n, days, round(mean,6) as mean, round(low,6) as low, round(high,6) as high, low > -0.5 and high < 0.5 as equivalent from res")
+def m32_equivalence(spark, d):
+    """Whether two models' errors differ by less than half a minute, by the interval over days."""
+    return rounded(comparison.equivalent(scored(spark, d), ["route"], "local_day", "y_30", "p1", "y_persistence"), "mean", "low", "high")

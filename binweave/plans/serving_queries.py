@@ -479,7 +479,7 @@ def v8(spark, d):
 _KEPT_DIR = "u as (select frame, unnest(kept) as q from (select frame, arg_max(kept, k) as kept from r group by 1)), k as (select frame, q.y as y, q.h as h, case when q.x < 5 or q.x > 35 then 'Unknown' when q.y + q.h/2 < case when q.x <= 20 then 10 + (q.x-5)*10.0/15 else 20 - (q.x-20)*5.0/15 end then 'A' else 'B' end as dir from u)"
 
 
-@register("ax18_frame_pipeline", f"{greedy(OVERLAP, 0.02)}, {_KEPT_DIR} select frame, count(*) as total, count(*) filter (dir='A') as a, count(*) filter (dir='B') as b, count(*) filter (dir='Unknown') as unknown, round(max(y+h/2) - min(y-h/2),4) as extent, case when count(*) < 20 then 'low' when count(*) < 40 then 'moderate' when count(*) < 71 then 'high' else 'severe' end as level from k group by 1")
+@register("ax18_frame_pipeline", f"{greedy(OVERLAP, 0.02, 'confidence desc, w*h desc, id')}, {_KEPT_DIR} select frame, count(*) as total, count(*) filter (dir='A') as a, count(*) filter (dir='B') as b, count(*) filter (dir='Unknown') as unknown, round(max(y+h/2) - min(y-h/2),4) as extent, case when count(*) < 20 then 'low' when count(*) < 40 then 'moderate' when count(*) < 71 then 'high' else 'severe' end as level from k group by 1")
 def ax18(spark, d):
     """Confidence floor, overlap suppression, dividing line and summary of each frame, one after another."""
     from ..operators import detect

@@ -155,22 +155,6 @@ def test_coco_precision_against_a_plain_walk(spark):
     assert math.isclose(got.ap_50, aps[0], abs_tol=1e-9) and math.isclose(got.ap, np.mean(aps), abs_tol=1e-9)
 
 
-def test_mlp_predictions_by_hand(spark):
-    """The vectorised forward pass is each network's, and a missing feature gives no prediction."""
-    df = spark.createDataFrame([("a", float(i), float(i % 5), float(2 * i)) for i in range(40)] + [("a", None, 1.0, None), ("b", 1.0, 1.0, None)], "route string, p double, q double, y double")
-    nets = models.fit_mlp(df, ["p", "q"], "y", "route", seeds=2, hidden=(3, 2), epochs=3)
-    got = {(r.route, r.p): r.mlp for r in models.mlp_predict(df, nets, ["p", "q"], "route", hidden=(3, 2)).collect()}
-    own = [np.array(r.weights) for r in nets.collect()]
-    for i in (0, 7, 39):
-        v, each = np.array([float(i), float(i % 5)]), []
-        for n in own:
-            a = np.maximum(((v - n[:2]) / n[2:4]) @ n[6:12].reshape(2, 3) + n[12:15], 0)
-            b = np.maximum(a @ n[15:21].reshape(3, 2) + n[21:23], 0)
-            each.append(max(b @ n[23:25] + n[25] + n[4], n[5]))
-        assert math.isclose(got[("a", float(i))], np.mean(each), rel_tol=1e-9) and n[5] == 0.0
-    assert got[("a", None)] is None and got[("b", 1.0)] is None
-
-
 def test_registry_drift(spark):
     now = F.lit(5)
     row = spark.range(1).select(*serving.registry_row(now, "mix", {"weight": F.lit(0.5)}, {"depth": 4}))

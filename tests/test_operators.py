@@ -247,11 +247,3 @@ def test_dense_fill_and_segment(spark):
     assert [r.y_filled for r in bins.filled(g, 0).orderBy("bin").collect()] == [1, None, None, None, 5, None, 7]
     assert bins.filled(g, None).filter("y_filled is null").count() == 0
     assert bins.last_segment(bins.filled(g, 2), least=9).count() == 0
-
-
-def test_mlp_learns(spark):
-    rng = random.Random(0)
-    rows = [("a", x, 3 * x + 1 + rng.gauss(0, 0.05)) for x in (rng.uniform(-2, 2) for _ in range(300))]
-    df = spark.createDataFrame(rows, "route string, x double, y double")
-    out = models.mlp_predict(df, models.fit_mlp(df, ["x"], "y", "route", seeds=2, epochs=40), ["x"], "route")
-    assert out.agg(F.avg(F.abs(F.col("mlp") - F.col("y")))).first()[0] < 0.3

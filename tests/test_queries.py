@@ -41,7 +41,7 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_model_queries_run_their_operators_defaults(spark, monkeypatch):
     """m4_boosted and m20_mlp pass no smaller job than the operators' own parameters."""
-    from binweave.operators import boosting, models
+    from binweave.operators import boosting, network
 
     class Seen(Exception):
         pass
@@ -49,7 +49,7 @@ def test_model_queries_run_their_operators_defaults(spark, monkeypatch):
     def settings(*args, **named):
         raise Seen(named)
 
-    for name, module, operator in (("m4_boosted", boosting, "rolling_trees"), ("m20_mlp", models, "fit_mlp")):
+    for name, module, operator in (("m4_boosted", boosting, "rolling_trees"), ("m20_mlp", network, "fit")):
         monkeypatch.setattr(module, operator, settings)
         with pytest.raises(Seen) as seen:
             QUERIES[name](spark, SF)
