@@ -49,12 +49,12 @@ def block_bootstrap(rows: DataFrame, group: str, order: str, block: int, d: str
 
 def day_bootstrap(rows: DataFrame, keys: list[str], day: str, d: str = "d", draws: int = DRAWS, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Per key: n, days, mean, low and high of the mean of d over whole days drawn with replacement; the sums of a day are all that is resampled."""
-    per = rows.filter(F.col(d).isNotNull()).groupBy(*keys, day).agg(F.sum(d).alias("s"), F.count(d).alias("c"))
-    numbered = per.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(day)).cast("long") - 1)
-    sizes = per.groupBy(*keys).agg(F.count("*").alias("days"), F.sum("c").alias("n"), (F.sum("s") / F.sum("c")).alias("mean"))
-    picks = sizes.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("days").cast("int")))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    picks = picks.withColumn("i", drawn(F.col("days"), seed, *keys, "draw", "k"))
-    means = picks.join(numbered.select(*keys, "i", "s", "c"), [*keys, "i"]).groupBy(*keys, "draw").agg((F.sum("s") / F.sum("c")).alias("m"))
+    per = rows.filter(F.col(d).isNotNull()).groupBy(*keys, day).agg(F.sum(d).alias("_s"), F.count(d).alias("_c"))
+    numbered = per.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(day)).cast("long") - 1)
+    sizes = per.groupBy(*keys).agg(F.count("*").alias("days"), F.sum("_c").alias("n"), (F.sum("_s") / F.sum("_c")).alias("mean"))
+    picks = sizes.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("days").cast("int")))).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    picks = picks.withColumn("_i", drawn(F.col("days"), seed, *keys, "_draw", "_k"))
+    means = picks.join(numbered.select(*keys, "_i", "_s", "_c"), [*keys, "_i"]).groupBy(*keys, "_draw").agg((F.sum("_s") / F.sum("_c")).alias("m"))
     return sizes.join(interval(means, keys, level), keys).select(*keys, "n", "days", "mean", "low", "high")
 
 
