@@ -114,11 +114,13 @@ def day_backtest(rows: DataFrame, methods: list[str], actual: str, key: str, day
 
 def ablation(rows: DataFrame, sets: dict[str, list[str]], label: str, key: str, part: str = "part", alpha: float = 1.0) -> DataFrame:
     """Test error of a ridge on each set of features, fitted on the training part, all on the rows that have every feature."""
-    from .models import fit_ridge
+    from .models import with_ridge
 
     every = sorted({c for own in sets.values() for c in own})
     both = rows.filter(F.col(label).isNotNull())
     for c in every:
         both = both.filter(F.col(c).isNotNull())
-    predicted = both.filter(F.col(part) == "test").select(label, *(fit_ridge(both.filter(F.col(part) == "train"), own, label, key, alpha).alias(name) for name, own in sets.items()))
-    return predicted.unpivot([label], list(sets), "features", "_p").groupBy("features").agg(F.count("_p").alias("n"), F.avg(F.abs(F.col("_p") - F.col(label))).alias("mae"))
+    train, predicted = both.filter(F.col(part) == "train"), both.filter(F.col(part) == "test")
+    for name, own in sets.items():
+        predicted = with_ridge(predicted, own, label, key, alpha, train, name)
+    return predicted.select(label, *sets).unpivot([label], list(sets), "features", "_p").groupBy("features").agg(F.count("_p").alias("n"), F.avg(F.abs(F.col("_p") - F.col(label))).alias("mae"))

@@ -16,19 +16,21 @@ from pyspark.sql import functions as F
 from .ranks import quantiles
 
 
-def normal_equations(rows: DataFrame, features: list[Column], label: str, keys: list[str]) -> dict[tuple, tuple[int, np.ndarray, np.ndarray]]:
-    """Per key: n, the matrix of sums of feature products (with a constant last), and with the label."""
-    x = [*features, F.lit(1.0)]
-    k = len(x)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*(F.sum(x[i] * x[j]) for i, j in pairs)).alias("p"), F.array(*(F.sum(v * F.col(label)) for v in x)).alias("q")).collect()
-    out = {}
-    for r in sums:
-        a = np.zeros((k, k))
-        for (i, j), v in zip(pairs, r.p, strict=True):
-            a[i, j] = a[j, i] = v
-        out[tuple(r[c] for c in keys)] = (r.n, a, np.array(r.q))
-    return out
+def moments(rows: DataFrame, features: list[Column], label: str, keys: list[str]) -> DataFrame:
+    """(keys, n, p, q): rows, the upper half of the sums of feature products (with a constant last) and their products with the label; one aggregation with map-side sums."""
+    x = [*(v.cast("double") for v in features), F.lit(1.0)]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    ready = rows.filter(F.col(label).isNotNull())
+    for v in features:
+        ready = ready.filter(v.isNotNull())
+    return ready.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*(F.sum(x[i] * x[j]) for i, j in pairs)).alias("p"), F.array(*(F.sum(v * F.col(label)) for v in x)).alias("q"))
+
+
+def square(p: np.ndarray, k: int) -> np.ndarray:
+    """The symmetric matrix of which p is the upper half, row by row."""
+    a = np.zeros((k, k))
+    a[np.triu_indices(k)] = p
+    return a + np.triu(a, 1).T
 
 
 def ridge(n: int, a: np.ndarray, q: np.ndarray, alpha: float) -> np.ndarray:
@@ -42,21 +44,30 @@ def ridge(n: int, a: np.ndarray, q: np.ndarray, alpha: float) -> np.ndarray:
     return np.append(w, y - w @ mean)
 
 
-def linear(features: list[Column], w: np.ndarray) -> Column:
-    return sum((v * float(c) for v, c in zip(features, w[:-1], strict=True)), F.lit(float(w[-1])))
+def ridge_table(rows: DataFrame, features: list[Column], label: str, key: str, alpha: float = 1.0, least: int = 1) -> DataFrame:
+    """(key, weights): coefficients and intercept of one ridge per key, as a table; a key with fewer than `least` rows has its mean alone."""
+    k = len(features) + 1
+
+    @F.pandas_udf("array<double>")
+    def solve(n: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
+        mean = lambda m, v: np.append(np.zeros(k - 1), v[-1] / m)
+        return pd.Series([(ridge(m, square(a, k), np.asarray(v), alpha) if m >= least else mean(m, v)).tolist() for m, a, v in zip(n, p, q, strict=True)])
 
+    return moments(rows, features, label, [key]).select(key, solve("n", "p", "q").alias("weights"))
 
-def by_key(models: dict[tuple, Column], key: str) -> Column:
-    """The model of each row's key, as one CASE."""
-    out = None
-    for (k,), v in sorted(models.items()):
-        out = F.when(F.col(key) == k, v) if out is None else out.when(F.col(key) == k, v)
-    return out if out is not None else F.lit(None).cast("double")
 
+def weighed(rows: DataFrame, table: DataFrame, features: list[Column], keys: list[str], out: str) -> DataFrame:
+    """rows with `out`, the linear model of their keys' weights; null without one."""
+    w = F.col("_w")
+    value = sum((v * w[i] for i, v in enumerate(features)), w[len(features)])
+    named = table.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("weights").alias("_w"))
+    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    return rows.join(named, on, "left").withColumn(out, value).drop("_w", *(f"_k{i}" for i in range(len(keys))))
 
-def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls replaced by the column's median, with missing_<column> flags."""
-    medians = quantiles(rows, [], {c: (c, 0.5) for c in columns}).first()
+
+def imputed(rows: DataFrame, columns: list[str], train: DataFrame | None = None) -> DataFrame:
+    """Nulls replaced by the column's median (of the training rows, if given), with missing_<column> flags."""
+    medians = quantiles(rows if train is None else train, [], {c: (c, 0.5) for c in columns}).first()
     return rows.withColumns({f"missing_{c}": F.col(c).isNull().cast("double") for c in columns} | {c: F.coalesce(F.col(c), F.lit(medians[c])) for c in columns})
 
 
@@ -66,10 +77,10 @@ def mean_imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(means[c] if means[c] is not None else 0.0)) for c in columns})
 
 
-def fit_ridge(rows: DataFrame, features: list[str], label: str, key: str, alpha: float = 1.0) -> Column:
-    """A prediction column: one ridge per key."""
+def with_ridge(rows: DataFrame, features: list[str], label: str, key: str, alpha: float = 1.0, train: DataFrame | None = None, out: str = "ridge") -> DataFrame:
+    """rows with the prediction of one ridge per key, fitted on the training rows (all, if none are given)."""
     x = [F.col(c) for c in features]
-    return by_key({k: linear(x, ridge(n, a, q, alpha)) for k, (n, a, q) in normal_equations(rows.filter(F.col(label).isNotNull()), x, label, [key]).items()}, key)
+    return weighed(rows, ridge_table(rows if train is None else train, x, label, key, alpha), x, [key], out)
 
 
 def fourier(minute: Column, weekend: Column, order: int) -> list[Column]:
@@ -79,37 +90,40 @@ def fourier(minute: Column, weekend: Column, order: int) -> list[Column]:
     return [weekend.cast("double"), *waves, *(w * weekend for w in waves)]
 
 
-def fit_fourier(rows: DataFrame, label: str, key: str, order: int = 4, alpha: float = 1.0, least: int = 10) -> Column:
-    """A daily profile per key; the mean where a key has under `least` rows."""
+def with_fourier(rows: DataFrame, label: str, key: str, order: int = 4, alpha: float = 1.0, least: int = 10, train: DataFrame | None = None, out: str = "profile") -> DataFrame:
+    """rows with a daily profile per key; the mean where a key has under `least` training rows."""
     x = fourier(F.col("tod_min"), F.col("is_weekend"), order)
-    models = {}
-    for k, (n, a, q) in normal_equations(rows.filter(F.col(label).isNotNull()), x, label, [key]).items():
-        models[k] = linear(x, ridge(n, a, q, alpha)) if n >= least else F.lit(float(q[-1] / n))
-    return by_key(models, key)
+    return weighed(rows, ridge_table(rows if train is None else train, x, label, key, alpha, least), x, [key], out)
 
 
 def profile_errors(rows: DataFrame, label: str, key: str, orders: tuple[int, ...], alpha: float = 1.0) -> DataFrame:
     """(harmonics, mae, n): each fold's error under profiles of the other folds.
 
     One aggregation serves all orders and folds: lower orders use a part of the largest
-    one's sums, and leaving a fold out is a subtraction.
+    one's sums, and leaving a fold out is a subtraction. A key's task sees a row per fold.
     """
     most = max(orders)
     x = fourier(F.col("tod_min"), F.col("is_weekend"), most)
-    sums = normal_equations(rows.filter(F.col(label).isNotNull()), x, label, [key, "fold"])
-    errors = {}
-    for k in orders:
-        own = [0, *range(1, 1 + 2 * k), *range(1 + 2 * most, 1 + 2 * most + 2 * k), len(x)]
-        p = F.lit(None).cast("double")
-        for name, fold in sums:
-            rest = [v for (n, f), v in sums.items() if n == name and f != fold]
-            if rest:
-                n, a, q = (sum(v[i] for v in rest) for i in range(3))
-                w = ridge(n, a[np.ix_(own, own)], q[own], alpha)
-                p = F.when((F.col(key) == name) & (F.col("fold") == fold), linear([x[i] for i in own[:-1]], w)).otherwise(p)
-        errors[f"o{k}"] = F.abs(p - F.col(label))
-    long = rows.select(*(v.alias(c) for c, v in errors.items())).unpivot([], list(errors), "harmonics", "e").filter("e is not null")
-    return long.groupBy(F.substring("harmonics", 2, 9).cast("int").alias("harmonics")).agg(F.avg("e").alias("mae"), F.count("*").alias("n"))
+    k = len(x) + 1
+    own = {o: [0, *range(1, 1 + 2 * o), *range(1 + 2 * most, 1 + 2 * most + 2 * o), k - 1] for o in orders}
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, "fold")}
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, p, q = pdf["n"].to_numpy(float), np.stack(pdf["p"].to_numpy()), np.stack(pdf["q"].to_numpy())
+        out = []
+        for i in range(len(pdf)):
+            rest = n.sum() - n[i]
+            for o in orders if rest else ():
+                w, a, v = np.zeros(k), square(p.sum(axis=0) - p[i], k), q.sum(axis=0) - q[i]
+                w[own[o]] = ridge(int(rest), a[np.ix_(own[o], own[o])], v[own[o]], alpha)
+                out.append((pdf[key].iloc[i], pdf["fold"].iloc[i], o, w.tolist()))
+        return pd.DataFrame(out, columns=[key, "fold", "harmonics", "weights"])
+
+    table = moments(rows, x, label, [key, "fold"]).groupBy(key).applyInPandas(fit, f"{key} {kinds[key]}, fold {kinds['fold']}, harmonics int, weights array<double>")
+    long = rows.join(table, [key, "fold"])
+    w = F.col("weights")
+    e = F.abs(sum((v * w[i] for i, v in enumerate(x)), w[k - 1]) - F.col(label))
+    return long.select("harmonics", e.alias("e")).filter("e is not null").groupBy("harmonics").agg(F.avg("e").alias("mae"), F.count("*").alias("n"))
 
 
 def hour_profile(train: DataFrame, rows: DataFrame, key: str, label: str) -> DataFrame:
@@ -222,14 +236,6 @@ def memberships(x: list[Column], centres: np.ndarray, m: float = 2.0) -> list[Co
     return [v / total for v in inverse]
 
 
-def residual_ridge(rows: DataFrame, forecast: str, persistence: str, label: str, keys: str, alpha: float = 1.0) -> Column:
-    """forecast corrected by a ridge of its residual on forecast less persistence, per key."""
-    x = [F.col(forecast) - F.col(persistence)]
-    own = rows.withColumn("_r", F.col(label) - F.col(forecast)).filter("_r is not null")
-    models = {k: linear(x, ridge(n, a, q, alpha)) for k, (n, a, q) in normal_equations(own, x, "_r", [keys]).items()}
-    return F.col(forecast) + F.coalesce(by_key(models, keys), F.lit(0.0))
-
-
 def fallback_chain(rows: DataFrame, chain: list[str]) -> DataFrame:
     """served and served_by: the first candidate of the chain that isn't null."""
     return rows.withColumns({"served": F.coalesce(*chain), "served_by": F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in chain))})
@@ -237,10 +243,8 @@ def fallback_chain(rows: DataFrame, chain: list[str]) -> DataFrame:
 
 def residual_table(rows: DataFrame, forecast: str, persistence: str, label: str, key: str, alpha: float = 1.0) -> DataFrame:
     """(key, weights): slope and intercept of each key's residual on forecast less persistence."""
-    x = [F.col(forecast) - F.col(persistence)]
-    own = rows.withColumn("_r", F.col(label) - F.col(forecast)).filter("_r is not null")
-    fits = [(k, [float(v) for v in ridge(n, a, q, alpha)]) for (k,), (n, a, q) in normal_equations(own, x, "_r", [key]).items()]
-    return rows.sparkSession.createDataFrame(fits, f"{key} {rows.schema[key].dataType.simpleString()}, weights array<double>")
+    own = rows.withColumn("_r", F.col(label) - F.col(forecast))
+    return ridge_table(own, [F.col(forecast) - F.col(persistence)], "_r", key, alpha)
 
 
 def with_residuals(rows: DataFrame, table: DataFrame, forecast: str, persistence: str, key: str) -> DataFrame:

@@ -147,7 +147,7 @@ def m19_restarts(spark, d):
 def m2_two(spark, d):
     """Ridge of two features, missing values by the mean, alpha 0.1, per series."""
     t = models.mean_imputed(timed(spark, d).filter("y_30 is not null"), ["roll_mean_60"])
-    return rounded(t.select("route", "bin", models.fit_ridge(t, ["y_persistence", "roll_mean_60"], "y_30", "route", 0.1).alias("ridge")), "ridge", digits=5)
+    return rounded(models.with_ridge(t, ["y_persistence", "roll_mean_60"], "y_30", "route", 0.1).select("route", "bin", "ridge"), "ridge", digits=5)
 
 
 def _filtered(x: str, size: int, taps: list[str]) -> str:

@@ -534,4 +534,4 @@ def m30(spark, d):
 
     cars = raw(spark, d).filter("event_type = 'error'").groupBy(F.floor(F.col("t") / 3600).cast("long").alias("bin")).agg(F.count("*").cast("double").alias("cars"))
     x = joins.attached(hourly_grid(spark, d).filter("y is not null and route <> 'error'"), cars, ["bin"]).withColumn("cars", F.coalesce("cars", F.lit(0.0)))
-    return rounded(x.select("route", "bin", models.fit_ridge(x, ["cars"], "y", "route").alias("nowcast")), "nowcast")
+    return rounded(models.with_ridge(x, ["cars"], "y", "route", out="nowcast").select("route", "bin", "nowcast"), "nowcast")

@@ -130,7 +130,8 @@ def test_ridge_is_the_closed_form(spark):
     x = rng.normal(3, 2, (60, 3))
     y = x @ [1, -2, 0.5] + rng.normal(0, 1, 60)
     df = spark.createDataFrame([("k", *map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "k string, a double, b double, c double, y double")
-    got = np.array([r.p for r in df.select(models.fit_ridge(df, ["a", "b", "c"], "y", "k", 2.0).alias("p")).collect()])
+    by = {r.a: r.p for r in models.with_ridge(df, ["a", "b", "c"], "y", "k", 2.0, out="p").collect()}
+    got = np.array([by[float(r[0])] for r in x])
     z = (x - x.mean(0)) / x.std(0)
     w = np.linalg.solve(z.T @ z + 2 * np.eye(3), z.T @ (y - y.mean()))
     assert np.allclose(got, z @ w + y.mean())
@@ -170,8 +171,8 @@ def test_profile_errors_equal_refits(spark):
     for k in (1, 2):
         e = []
         for f in range(5):
-            p = models.fit_fourier(df.filter(F.col("fold") != f), "y", "route", k)
-            e += [r.e for r in df.filter(F.col("fold") == f).select(F.abs(p - F.col("y")).alias("e")).collect()]
+            out = models.with_fourier(df.filter(F.col("fold") == f), "y", "route", k, train=df.filter(F.col("fold") != f))
+            e += [abs(r.profile - r.y) for r in out.collect()]
         assert math.isclose(got[k], np.mean(e), rel_tol=1e-9)
 
 
