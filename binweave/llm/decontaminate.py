@@ -449,9 +449,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     groups = build_indexes(docs, benchmark)
     narrow_batches(docs.sparkSession)
     found = lambda indexes: docs.select("doc_id", F.explode(leaks_of(F.col("text"), indexes)).alias("x")).select("doc_id", "x.*")
-    out = found(next(groups, []))
+    first, second = next(groups, []), next(groups, None)
+    if second is None:
+        return found(first)
+    # a pass for each group; what it found is written once, the corpus never
+    out = durable(found(first), "leaks").unionAll(durable(found(second), "leaks"))
+    del first, second
     for indexes in groups:
-        out = durable(out, "leaks").unionAll(found(indexes))
+        out = out.unionAll(durable(found(indexes), "leaks"))
     return out
 
 
@@ -459,8 +464,14 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all columns."""
     groups = build_indexes(docs, benchmark)
     narrow_batches(docs.sparkSession)
-    clean = lambda rows, indexes: rows.filter(F.size(leaks_of(F.col("text"), indexes)) <= 0)
-    out = clean(docs, next(groups, []))
+    first, second = next(groups, []), next(groups, None)
+    if second is None:
+        return docs.filter(F.size(leaks_of(F.col("text"), first)) <= 0)
+    digest = F.sha2(F.col("text"), 256)
+    leaky = lambda indexes: durable(docs.filter(F.size(leaks_of(F.col("text"), indexes)) > 0).select(digest.alias("_digest")).distinct(), "leaky")
+    marks = leaky(first).unionAll(leaky(second))
+    del first, second
     for indexes in groups:
-        out = clean(durable(out, "clean"), indexes)
-    return out
+        marks = marks.unionAll(leaky(indexes))
+    # texts are judged by what they are, so that equal ones share their fate, whatever their ids
+    return docs.withColumn("_digest_of_text", digest).join(marks.distinct(), F.col("_digest_of_text") == F.col("_digest"), "left_anti").drop("_digest_of_text")
