@@ -35,14 +35,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _pieces(text: Column | str) -> Column:
+    return F.split(F.translate(whole(text), UPPER, LOWER), BETWEEN)
+
+
 def words(text: Column | str) -> Column:
     """The words of a whole text, A to Z lowered; none for null."""
-    return F.filter(F.split(F.translate(whole(text), UPPER, LOWER), BETWEEN), lambda w: w != "")
+    return F.filter(_pieces(text), lambda w: w != "")
+
+
+def _bucket(w: Column, buckets: int) -> Column:
+    return (F.crc32(w.cast("binary")) % buckets).cast("int")
+
+
+def word_buckets(text: Column | str, buckets: int) -> Column:
+    """The bucket of every word of a whole text, in one expression: a long text's words are never a column of their own."""
+    return F.array_compact(F.transform(_pieces(text), lambda w: F.when(w != "", _bucket(w, buckets))))
 
 
 def bucket_array(found: Column, grams: int, buckets: int) -> Column:
     """The bucket of every run of 1 to `grams` of the words, as one array."""
-    bucket = lambda w: (F.crc32(w.cast("binary")) % buckets).cast("int")
+    bucket = lambda w: _bucket(w, buckets)
 
     def runs(n: int) -> Column:
         starts = F.when(F.size(found) >= n, F.sequence(F.lit(1), F.size(found) - (n - 1))).otherwise(F.array().cast("array<int>"))
@@ -51,11 +64,19 @@ def bucket_array(found: Column, grams: int, buckets: int) -> Column:
     return F.concat(F.transform(found, bucket), *map(runs, range(2, grams + 1)))
 
 
+def _own(texts: DataFrame, grams: int, buckets: int, text_col: str, *keep: Column) -> DataFrame:
+    """n_words and own, the array of buckets, of every text, beside the columns kept."""
+    if grams == 1:
+        return texts.select(*keep, word_buckets(text_col, buckets).alias("own")).withColumn("n_words", F.size("own"))
+    # the words are a column first: inside a lambda they would be split anew for every element
+    found = texts.select(*keep, words(text_col).alias("words"))
+    return found.withColumns({"n_words": F.size("words"), "own": bucket_array(F.col("words"), grams, buckets)}).drop("words")
+
+
 def bucket_totals(texts: DataFrame, grams: int = 1, buckets: int = 10_000, text_col: str = "text") -> dict[int, int]:
     """Features in each bucket over a whole table; buckets without any are left out."""
-    # the words are a column first: inside a lambda they would be split anew for every element
-    found = texts.select(words(text_col).alias("words"))
-    rows = found.select(F.explode(bucket_array(F.col("words"), grams, buckets)).alias("bucket")).groupBy("bucket").count().collect()
+    own = _own(texts, grams, buckets, text_col)
+    rows = own.select(F.explode("own").alias("bucket")).groupBy("bucket").count().collect()
     return {r["bucket"]: r["count"] for r in rows}
 
 
@@ -72,9 +93,9 @@ def noise(doc_id: Column, seed: int) -> Column:
 
 
 def scored(docs: DataFrame, gain: list[int], grams: int = 1, seed: int = 2024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, words_long, n_features, weight and score of every document, without a shuffle."""
+    """doc_id, n_words, n_features, weight and score of every document, without a shuffle."""
     table = F.array(*map(F.lit, gain))
-    base = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("words")).select("doc_id", F.size("words").alias("n_words"), bucket_array(F.col("words"), grams, len(gain)).alias("own"))
+    base = _own(docs, grams, len(gain), text_col, F.col(id_col).alias("doc_id"))
     total = F.aggregate("own", F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(table, b + 1))
     n = F.size("own").cast("long")
     # whole numbers throughout: the mean is rounded down without a detour over doubles
