@@ -76,7 +76,8 @@ def _own(texts: DataFrame, grams: int, buckets: int, text_col: str, *keep: Colum
 def bucket_totals(texts: DataFrame, grams: int = 1, buckets: int = 10_000, text_col: str = "text") -> dict[int, int]:
     """Features in each bucket over a whole table; buckets without any are left out."""
     own = _own(texts, grams, buckets, text_col)
-    rows = own.select(F.explode("own").alias("bucket")).groupBy("bucket").count().collect()
+    # an outer explode: for a plain one Spark would first filter by the array's size, and work the array out twice
+    rows = own.select(F.explode_outer("own").alias("bucket")).filter("bucket is not null").groupBy("bucket").count().collect()
     return {r["bucket"]: r["count"] for r in rows}
 
 
