@@ -94,7 +94,7 @@ def known_day(bin_column: Column) -> Column:
 
 
 def fitted_days(rows: DataFrame, members: list[str], label: str, key: str, day: str, known: str, gates: list[str] | None = None, least_days: int = 2, back: int | None = None) -> DataFrame:
-    """One row per key, day and gate: fit_days, weights, loss and bound (see convex_weights).
+    """One row per key, day and gate: fit_days, n (rows), weights, loss and bound (see convex_weights).
 
     Of a day, the rows whose `known` lies before it are fitted, those of the last `back` days only if given; with fewer than
     least_days of them the weights are equal. Rows with a null label or member are no part of a fit.
@@ -116,11 +116,11 @@ def fitted_days(rows: DataFrame, members: list[str], label: str, key: str, day:
             n = len(np.unique(days[at]))
             for g, s in zip(own, degrees, strict=True):
                 w, loss, bound = convex_weights(p[at], y[at], s[at]) if n >= least_days else (np.full(len(members), 1 / len(members)), *blank)
-                out.append((pdf[key].iloc[0], today, g, n, w.tolist(), loss, bound))
-        return pd.DataFrame(out, columns=[key, day, "gate", "fit_days", "weights", "loss", "bound"])
+                out.append((pdf[key].iloc[0], today, g, n, len(y[at]), w.tolist(), loss, bound))
+        return pd.DataFrame(out, columns=[key, day, "gate", "fit_days", "n", "weights", "loss", "bound"])
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes for much work: adaptive execution must not join the partitions
-    return slim.repartition(tasks, key).groupBy(key).applyInPandas(fit, f"{key} {kind}, {day} long, gate string, fit_days long, weights array<double>, loss double, bound double")
+    return slim.repartition(tasks, key).groupBy(key).applyInPandas(fit, f"{key} {kind}, {day} long, gate string, fit_days long, n long, weights array<double>, loss double, bound double")
 
 
 def stacked(rows: DataFrame, members: list[str], label: str, key: str, day: str, known: str, gates: list[str] | None = None, least_days: int = 2, back: int | None = None) -> DataFrame:

@@ -77,7 +77,7 @@ def m13_gated(spark, d):
 
 
 def four_members(spark, d) -> tuple[DataFrame, list[str]]:
-    """Labelled bins with four causal members: persistence, its mean with the value an hour before, the last hour's mean, and the mean of all labels known."""
+    """Labelled bins with four causal members: persistence, its mean with the value before, the last hour's mean, and the mean of all labels known."""
     s = scored(spark, d).withColumns({"known": stacks.known_day(F.col("bin")), "hour_mean": F.coalesce("roll_mean_60", "y_persistence")})
     s = models.fold_means(s, "route", "y_30").withColumn("train_mean", F.coalesce("train_mean", "y_persistence"))
     return s, ["y_persistence", "p1", "hour_mean", "train_mean"]
@@ -90,13 +90,13 @@ _KNOWN = "cast(floor((bin*600+2400+28799)/86400) as bigint)"
     "m13_stack_losses",
     f"with {SCORED}, x as (select route, y_30 as y, y_persistence as a, p1 as b, cast(floor((bin*600+28800)/86400) as bigint) as day, {_KNOWN} as known from sl), f as (select distinct route, day from x), n as (select f.route, f.day, x.day as own, y, a, b from f join x on x.route = f.route and x.known < f.day), c as (select route, day, count(distinct own) as fit_days from n group by 1, 2 having count(distinct own) >= 2), "
     "pt as (select route, day, (y - b)/(a - b) as r, abs(a - b) as v from n where a <> b), run as (select *, sum(v) over (partition by route, day order by r) as c, sum(v) over (partition by route, day) as t from pt), w as (select route, day, greatest(0.0, least(1.0, min(r))) as w from run where c >= t/2 group by 1, 2) "
-    "select n.route, n.day, fit_days, round(sum(abs(y - a*coalesce(w, 0.5) - b*(1 - coalesce(w, 0.5)))),4) as loss from n join c on c.route = n.route and c.day = n.day left join w on w.route = n.route and w.day = n.day group by 1, 2, 3",
+    "select n.route, n.day, fit_days, count(*) as n, round(avg(abs(y - a*coalesce(w, 0.5) - b*(1 - coalesce(w, 0.5)))),7) as loss from n join c on c.route = n.route and c.day = n.day left join w on w.route = n.route and w.day = n.day group by 1, 2, 3",
 )
 def m13_losses(spark, d):
-    """The least absolute error that any convex mix of two members reaches on all that was known before each day; SQL has it as a weighted median."""
+    """The least mean absolute error that any convex mix of two members reaches on all that was known before each day; SQL has it as a weighted median."""
     s = scored(spark, d).withColumn("known", stacks.known_day(F.col("bin")))
     fits = stacks.fitted_days(s, ["y_persistence", "p1"], "y_30", "route", "local_day", "known")
-    return rounded(fits.filter("fit_days >= 2").select("route", F.col("local_day").alias("day"), "fit_days", "loss"), "loss", digits=4)
+    return rounded(fits.filter("fit_days >= 2").select("route", F.col("local_day").alias("day"), "fit_days", "n", (F.col("loss") / F.col("n")).alias("loss")), "loss", digits=7)
 
 
 @register("m13_stack")

@@ -197,7 +197,7 @@ def e3(spark, d):
 
 @register(
     "e4_statistic",
-    f"with {SCORED}, x as (select route, row_number() over (partition by route order by bin) as i, abs(y_30 - p1) - abs(y_30 - y_persistence) as d from sl), m as (select avg(d) as m, count(*) as n from x), c as (select route, i, d - m as e from x, m), k as (select unnest(range(0, 8)) as k), g as (select k, sum(a.e * b.e) as s from k, c a join c b on a.route = b.route where b.i = a.i + k group by 1), v as (select sum(s * case when k = 0 then 1 else 2 * (1 - k / 8.0) end) as v from g) select n, round(sqrt((n + 1 - 6 + 6.0/n)/n) * m / sqrt(v/(n::double*n)),5) as statistic from m, v",
+    f"with {SCORED}, x as (select route, row_number() over (partition by route order by bin) as i, abs(y_30 - p1) - abs(y_30 - y_persistence) as d from sl), m as (select avg(d) as m, count(*) as n from x), c as (select route, i, d - m as e from x, m), k as (select unnest(range(0, 8)) as k), g as (select k, sum(a.e * b.e) as s from k, c a join c b on a.route = b.route where b.i = a.i + k group by 1), v as (select sum(s * case when k = 0 then 1 else 2 * (1 - k / 8.0) end) as v from g) select n, round(case when v <= 0 then 0.0 else sqrt((n + 1 - 6 + 6.0/n)/n) * m / sqrt(v/(n::double*n)) end,5) as statistic from m, v",
 )
 def e4_statistic(spark, d):
     """Diebold-Mariano's statistic with the small-sample factor, horizon 3."""

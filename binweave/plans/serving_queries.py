@@ -54,10 +54,10 @@ def hourly_profile(spark, d) -> DataFrame:
     return s.groupBy("route", F.floor(F.col("tod_min") / 60).cast("long").alias("slot")).agg(F.avg("y_30").alias("profile"))
 
 
-@register("m11_profile_deltas", f"with {_HP} select sl.route, sl.bin, round(a.p,6) as profile_now, round(b.p,6) as profile_ahead, round(b.p - a.p,6) as profile_delta from sl left join pf a on a.route = sl.route and a.slot = cast(floor(((sl.bin*600+28800) % 86400)/3600) as bigint) left join pf b on b.route = sl.route and b.slot = cast(floor(((sl.bin*600+1800+28800) % 86400)/3600) as bigint)")
+@register("m11_profile_deltas", f"with {_HP} select sl.route, sl.bin, round(a.p,9) as profile_now, round(b.p,9) as profile_ahead, round(b.p - a.p,9) as profile_delta from sl left join pf a on a.route = sl.route and a.slot = cast(floor(((sl.bin*600+28800) % 86400)/3600) as bigint) left join pf b on b.route = sl.route and b.slot = cast(floor(((sl.bin*600+1800+28800) % 86400)/3600) as bigint)")
 def m11(spark, d):
     out = serving.with_profile_deltas(scored(spark, d).select("route", "bin"), hourly_profile(spark, d))
-    return rounded(out, "profile_now", "profile_ahead", "profile_delta")
+    return rounded(out, "profile_now", "profile_ahead", "profile_delta", digits=9)
 
 
 @register("m16_served_model", f"with {SCORED}, r(route, model) as (values ('click','p1'),('view','y_persistence'),('error','p1')) select sl.route, sl.bin, r.model, round(case r.model when 'p1' then p1 else y_persistence end,6) as served from sl join r on r.route = sl.route")
@@ -153,13 +153,13 @@ def r3(spark, d):
 _CURVE = f"{_HP}, o as (select route, max(bin)*600 as origin_s, arg_max(y_persistence, bin) as model from timed group by 1), c as (select o.*, a.ahead, case when o.route = 'view' then null else model end as m from o, (select unnest(range(1800, 86401, 1800)) as ahead) a), pp as (select route, slot*2 + k as slot, p from pf, (select unnest([0, 1]) as k))"
 
 
-@register("r4_forecast_curve", f"with {_CURVE} select c.route, cast(ahead as bigint) as ahead_s, cast(origin_s + ahead as bigint) as target_s, round(case when ahead <= 19800 and m is not null then m else p end,6) as value, case when ahead <= 19800 and m is not null then 'model' when p is not null then 'profile' end as source from c left join pp on pp.route = c.route and pp.slot = cast(floor(((origin_s + ahead + 28800) % 86400)/1800) as bigint)")
+@register("r4_forecast_curve", f"with {_CURVE} select c.route, cast(ahead as bigint) as ahead_s, cast(origin_s + ahead as bigint) as target_s, round(case when ahead <= 19800 and m is not null then m else p end,9) as value, case when ahead <= 19800 and m is not null then 'model' when p is not null then 'profile' end as source from c left join pp on pp.route = c.route and pp.slot = cast(floor(((origin_s + ahead + 28800) % 86400)/1800) as bigint)")
 def r4(spark, d):
     """A day's curve from each series' newest origin: the model to 330 minutes, the profile after, the profile alone where the origin has no value."""
     origins = timed(spark, d).groupBy("route").agg((F.max("bin") * 600).alias("origin_s"), F.max_by("y_persistence", "bin").alias("model")).withColumn("model", F.when(F.col("route") != "view", F.col("model")))
     profile = hourly_profile(spark, d).select("route", F.explode(F.array(F.col("slot") * 2, F.col("slot") * 2 + 1)).alias("slot"), "profile")
     out = serving.forecast_curve(origins, profile)
-    return rounded(out.select("route", F.col("ahead_s").cast("long").alias("ahead_s"), F.col("target_s").cast("long").alias("target_s"), "value", "source"), "value")
+    return rounded(out.select("route", F.col("ahead_s").cast("long").alias("ahead_s"), F.col("target_s").cast("long").alias("target_s"), "value", "source"), "value", digits=9)
 
 
 @register("r5_profile_curve", "with k as (select distinct event_type as route from events) select route, cast(w as bigint) as is_weekend, cast(m as bigint) as tod_min, round(20 + 5*sin((m+5)*2*pi()/1440) + w*cos((m+5)*2*pi()/1440),6) as profile from k, (select unnest([0, 1]) as w), (select unnest(range(0, 1440, 10)) as m)")

@@ -10,14 +10,16 @@ from .catalog import register
 from .series_queries import _CALS, B10, TIMED, hourly, raw, rounded, ten_minutes, timed
 
 _CAL = "select *, cast(floor((bin*600+28800)/86400) as bigint) as local_day, cast(floor(((bin*600+28800) % 86400)/60) as bigint) as tod_min from timed"
-_SL = f"sl as (select b.*, case when is_morning_peak = 1 then 'morning' when is_evening_peak = 1 then 'evening' else 'other' end as period, case when is_weekend = 1 then 'weekend' else 'weekday' end as day_type from (select route, bin, y_30, y_persistence, p1, {_CALS} from (select c.*, (y_persistence + coalesce(lag_60, y_persistence))/2 as p1 from ({_CAL}) c)) b where y_30 is not null)"
+_SL = f"sl as (select b.*, case when is_morning_peak = 1 then 'morning' when is_evening_peak = 1 then 'evening' else 'other' end as period, case when is_weekend = 1 then 'weekend' else 'weekday' end as day_type from (select route, bin, y_30, y_persistence, p1, {_CALS} from (select c.*, (y_persistence + coalesce(lag(y_persistence) over (partition by route order by bin), y_persistence))/2 as p1 from ({_CAL}) c)) b where y_30 is not null)"
 SCORED = f"{TIMED}, {_SL}"
 
 
 def scored(spark, d) -> DataFrame:
-    """Labelled bins with two causal candidates: persistence, and its mean with the value an hour before."""
-    t = calendar.with_slices(calendar.with_calendar(timed(spark, d))).filter("y_30 is not null")
-    return t.withColumn("p1", (F.col("y_persistence") + F.coalesce("lag_60", "y_persistence")) / 2).withColumns({"actual": F.col("y_30"), "predicted": F.col("y_persistence")})
+    """Labelled bins with two causal candidates: persistence, and its mean with the value of the bin seen before."""
+    t = calendar.with_slices(calendar.with_calendar(timed(spark, d)))
+    before = F.lag("y_persistence").over(bins.ordered("route"))
+    t = t.withColumn("p1", (F.col("y_persistence") + F.coalesce(before, "y_persistence")) / 2).filter("y_30 is not null")
+    return t.withColumns({"actual": F.col("y_30"), "predicted": F.col("y_persistence")})
 
 
 def _two(spark, d) -> tuple[DataFrame, DataFrame]:
