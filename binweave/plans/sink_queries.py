@@ -215,10 +215,12 @@ def s7(spark, d):
     return rounded(readers.frames(spark, path).select(F.unix_seconds("ts").alias("t"), "a", "b"), "a")
 
 
-@register("s11_day_pages", f"with {_SLIM}, p as (select strftime(to_timestamp(t) at time zone 'UTC', '%Y-%m-%d') as day, case when event_id % 3 = 0 then 1 when event_id % 3 = 1 then 2 else 3 end as page, count(*) as n from e group by 1, 2) select day, cast(page as bigint) as page, 'ok' as state, n from p")
-def s11(spark, d):
-    """A day feed in three pages a day, followed by their tokens; one task a day."""
-    folder = sinks.qualified(spark, fresh(spark, "s11"))
+_PAGES = f"with {_SLIM}, p as (select strftime(to_timestamp(t) at time zone 'UTC', '%Y-%m-%d') as day, case when event_id % 3 = 0 then 1 when event_id % 3 = 1 then 2 else 3 end as page, count(*) as n from e group by 1, 2) select day, cast(page as bigint) as page, 'ok' as state, n from p"
+
+
+def day_feed(spark, d, name: str) -> tuple[str, str, str]:
+    """A day feed in three pages a day, followed by their tokens: (address, first day, last day)."""
+    folder = sinks.qualified(spark, fresh(spark, name))
     token = F.element_at(F.array(F.lit("first"), F.lit("b"), F.lit("c")), (F.col("event_id") % 3 + 1).cast("int"))
     day = _text(F.col("t"), "yyyy-MM-dd")
     counts = slim(spark, d).groupBy(day.alias("day"), token.alias("token")).agg(F.count("*").alias("n"))
@@ -230,10 +232,35 @@ def s11(spark, d):
     names = {(r.day, r.token): r.path for r in found.select(F.regexp_extract("path", "day=([^/]+)", 1).alias("day"), F.regexp_extract("path", "token=([^/]+)", 1).alias("token"), "path").collect()}
     for (day_, token_), path in names.items():  # a page's address is its day and token; one per day of the feed
         sinks.replace(spark, path, f"{folder}/pages/{day_}-{token_}.json")
-    pages = rest.days(spark, f"{folder}/pages/{{day}}-{{token}}.json", span.a, span.b)
+    return f"{folder}/pages/{{day}}-{{token}}.json", span.a, span.b
+
+
+def _read_pages(pages: DataFrame) -> DataFrame:
     return pages.select("day", F.col("page").cast("long").alias("page"), "state", F.get_json_object("body", "$.data.n").cast("long").alias("n"))
 
 
+@register("s11_day_pages", _PAGES)
+def s11(spark, d):
+    """A span of days, one task a day, each following its tokens."""
+    return _read_pages(rest.days(spark, *day_feed(spark, d, "s11")))
+
+
+@register("st1_polled_days", _PAGES)
+def st1(spark, d):
+    """The same feed polled as a stream: it stops when the days that are complete are read, and goes on from its checkpoint when more are."""
+    from ..streaming.closed_bins import run_available
+
+    url, first, last = day_feed(spark, d, "st1")
+    at = fresh(spark, "st1-out")
+    from datetime import date, timedelta
+
+    span = (date.fromisoformat(last) - date.fromisoformat(first)).days
+    for part in (3, 2, 1, 1):
+        until = (date.fromisoformat(first) + timedelta(days=span // part)).isoformat()
+        run_available(rest.polled_days(spark, url, first, until), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return _read_pages(spark.read.schema(rest.SCHEMA).parquet(f"{at}/out"))
+
+
 @register("s15_frame_files", f"with {_SLIM}, f as (select distinct route, strftime(to_timestamp(t) at time zone 'UTC', '%Y%m') as month, strftime(to_timestamp(t) at time zone 'UTC', '%d') as day from e) select route as camera_id, month, count(*) as files from f where route in ('view', 'click') group by 1, 2")
 def s15(spark, d):
     """A store of files under camera and month folders, of which two cameras' are listed."""

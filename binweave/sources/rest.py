@@ -13,7 +13,7 @@ from datetime import date, datetime, timedelta, timezone
 from email.utils import parsedate_to_datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "day string, page int, state string, body string"
 RETRIED = (429, 500, 502, 503, 504)
@@ -120,8 +120,33 @@ class _Reader(DataSourceReader):
         yield from day_pages(partition.day, lambda day, token: template.format(day=day, token=token or "first"))
 
 
+class _Poll(DataSourceStreamReader):
+    """Whole days as they become complete: an offset is the first day not read yet, a batch the days between two offsets, one task each.
+
+    `last` is the newest complete day (yesterday, if not given), asked anew by every poll. The checkpoint keeps the offsets, so that a query
+    that stops goes on with the next day; a batch that is tried again reads the same days.
+    """
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {"day": self.options["first"]}
+
+    def latestOffset(self) -> dict:
+        last = self.options.get("last") or (datetime.now(timezone.utc).date() - timedelta(days=1)).isoformat()
+        return {"day": max(self.options["first"], (date.fromisoformat(last) + timedelta(days=1)).isoformat())}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        a, b = date.fromisoformat(start["day"]), date.fromisoformat(end["day"])
+        return [_Day((a + timedelta(days=k)).isoformat()) for k in range((b - a).days)]
+
+    def read(self, partition: _Day) -> Iterator[tuple]:
+        return _Reader(self.options).read(partition)
+
+
 class DayPages(DataSource):
-    """format("day_pages"): options url (with {day} and {token}), first and last (dates)."""
+    """format("day_pages"): options url (with {day} and {token}), first and last (dates); as a stream last may be left out."""
 
     @classmethod
     def name(cls) -> str:
@@ -133,8 +158,18 @@ class DayPages(DataSource):
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema: object) -> DataSourceStreamReader:
+        return _Poll(dict(self.options))
+
 
 def days(spark: SparkSession, url: str, first: str, last: str):
     """The pages of a span of days, one task a day."""
     spark.dataSource.register(DayPages)
     return spark.read.format("day_pages").option("url", url).option("first", first).option("last", last).load()
+
+
+def polled_days(spark: SparkSession, url: str, first: str, last: str | None = None):
+    """The pages of complete days as a stream that can stop and go on."""
+    spark.dataSource.register(DayPages)
+    stream = spark.readStream.format("day_pages").option("url", url).option("first", first)
+    return (stream.option("last", last) if last else stream).load()
