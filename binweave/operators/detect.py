@@ -114,31 +114,47 @@ def count_errors(boxes: DataFrame, directions: list[str]) -> DataFrame:
     return boxes.groupBy("frame").agg(*(diff(d) for d in directions))
 
 
-def matched(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """predictions with hit: greedy one-to-one matching within frame and class, by confidence, each to its best free box."""
-    box = ["x", "y", "w", "h"]
-    t = truth.select("frame", "cls", F.lit(None).cast("double").alias("confidence"), F.lit(-1).cast("long").alias("id"), *box)
-    p = predictions.select("frame", "cls", F.col("confidence").cast("double"), F.col("id").cast("long"), *box)
+def _matches(truth: DataFrame, predictions: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """(frame, cls, id, confidence, hits): bit i of hits tells whether the prediction is matched at threshold i. One walk serves all thresholds; each keeps its own free boxes."""
+    if len(thresholds) > 63:
+        raise ValueError("at most 63 thresholds")
+    box, least = ["x", "y", "w", "h"], min(thresholds)
+    key = F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))) if "id" in truth.columns else F.lit(0).cast("long")
+    t = truth.select("frame", "cls", F.lit(True).alias("truth"), F.lit(None).cast("double").alias("confidence"), key.alias("id"), *box)
+    p = predictions.select("frame", "cls", F.lit(False).alias("truth"), F.col("confidence").cast("double"), F.col("id").cast("long"), *box)
 
     def match(rows: list[tuple]) -> list[tuple]:
-        free = [r[4:8] for r in rows if r[3] < 0]
+        truths = sorted((r[4:] for r in rows if r[2]), key=lambda g: (g[0], *(v if v == v else 0.0 for v in g[1:])))
+        free = [[True] * len(truths) for _ in thresholds]
         out = []
-        for frame, cls, confidence, id_, *r in (r for r in rows if r[3] >= 0):
-            best = max(((_pair(r, g) / max(1e-12, r[2] * r[3] + g[2] * g[3] - _pair(r, g)), -i) for i, g in enumerate(free)), default=(0.0, 0))
-            out.append((frame, cls, id_, confidence, best[0] >= threshold))
-            if out[-1][-1]:
-                free.pop(-best[1])
+        for frame, cls, _, confidence, id_, *r in (r for r in rows if not r[2]):
+            hits = 0
+            if truths:
+                shares = ((_pair(r, g) / max(1e-12, r[2] * r[3] + g[2] * g[3] - _pair(r, g)), i) for i, (_, *g) in enumerate(truths))
+                near = sorted((s for s in shares if s[0] >= least), reverse=True)
+                for k, threshold in enumerate(thresholds) if near else ():
+                    best = next((s for s in near if free[k][s[1]]), None)
+                    if best and best[0] >= threshold:
+                        free[k][best[1]] = False
+                        hits |= 1 << k
+            out.append((frame, cls, id_, confidence, hits))
         return out
 
-    return _frames(t.unionAll(p), ["frame", "cls"], match, "frame long, cls string, id long, confidence double, hit boolean")
+    return _frames(t.unionAll(p), ["frame", "cls"], match, "frame long, cls string, id long, confidence double, hits long")
+
+
+def matched(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """predictions with hit: greedy one-to-one matching within frame and class, by confidence, each to its best free box, of equally good ones to that of the largest id."""
+    return _matches(truth, predictions, (threshold,)).select("frame", "cls", "id", "confidence", (F.col("hits") == 1).alias("hit"))
 
 
 def coco_precision(truth: DataFrame, predictions: DataFrame, overlaps: tuple[float, ...] = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)) -> DataFrame:
-    """Per class the average precision at overlap 0.5 and the mean over all overlaps; matching is done anew for each."""
-    out = None
-    for t in overlaps:
-        own = average_precision(matched(truth, predictions, t).select("cls", "confidence", "hit"), truth).withColumn("overlap", F.lit(t))
-        out = own if out is None else out.unionByName(own)
+    """Per class the average precision at overlap 0.5 and the mean over all overlaps; each overlap has a matching of its own, all in one walk."""
+    hit = lambda i: F.count_if(F.col("hits").bitwiseAND(1 << i) != 0)
+    sums = _matches(truth, predictions, overlaps).groupBy("cls", "confidence").agg(F.count("*").alias("n"), F.array(*(F.struct(F.lit(t).alias("overlap"), hit(i).alias("t")) for i, t in enumerate(overlaps))).alias("_o"))
+    steps = sums.select("cls", "confidence", "n", F.inline("_o"))
+    total = truth.groupBy("cls").agg(F.count("*").alias("total")).withColumn("overlap", F.explode(F.array(*map(F.lit, overlaps))))
+    out = _precision(steps, total, ["cls", "overlap"])
     return out.groupBy("cls").agg(F.max(F.when(F.col("overlap") == 0.5, F.col("ap"))).alias("ap_50"), F.avg("ap").alias("ap"))
 
 
@@ -148,11 +164,15 @@ def average_precision(matches: DataFrame, truths: DataFrame) -> DataFrame:
     The running counts need each class in order of confidence; rows are (class, confidence) sums first, so ties share a step.
     """
     steps = matches.groupBy("cls", "confidence").agg(F.count_if("hit").alias("t"), F.count("*").alias("n"))
-    w = Window.partitionBy("cls").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    total = truths.groupBy("cls").agg(F.count("*").alias("total"))
-    curve = steps.withColumns({"tp": F.sum("t").over(w), "k": F.sum("n").over(w)}).join(total, "cls").select("cls", (F.col("tp") / F.col("total")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
-    at = curve.withColumn("r", F.explode(F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int")))).groupBy("cls", "r").agg(F.max("precision").alias("p"))
-    return total.select("cls").join(at.groupBy("cls").agg(F.sum("p").alias("s")), "cls", "left").select("cls", (F.coalesce("s", F.lit(0.0)) / 101).alias("ap"))
+    return _precision(steps, truths.groupBy("cls").agg(F.count("*").alias("total")), ["cls"])
+
+
+def _precision(steps: DataFrame, total: DataFrame, keys: list[str]) -> DataFrame:
+    """Average precision per keys of steps(keys, confidence, t hits of n) and total(keys, total)."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = steps.withColumns({"tp": F.sum("t").over(w), "k": F.sum("n").over(w)}).join(total, keys).select(*keys, (F.col("tp") / F.col("total")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
+    at = curve.withColumn("r", F.explode(F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int")))).groupBy(*keys, "r").agg(F.max("precision").alias("p"))
+    return total.select(*keys).join(at.groupBy(*keys).agg(F.sum("p").alias("s")), keys, "left").select(*keys, (F.coalesce("s", F.lit(0.0)) / 101).alias("ap"))
 
 
 def rescaled(line: list[tuple[float, float]], own: tuple[float, float], to: tuple[float, float]) -> list[tuple[float, float]]:

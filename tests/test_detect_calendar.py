@@ -67,3 +67,17 @@ def test_equivalence(spark):
     df = spark.createDataFrame(rows, "k string, day long, y double, a double, b double")
     got = {r.k: r for r in comparison.equivalent(df, ["k"], "day", "y", "a", "b", draws=300).collect()}
     assert got["near"].equivalent and not got["far"].equivalent and got["far"].low > 0.5
+
+
+def test_equally_good_boxes_are_taken_by_id(spark):
+    """A prediction between two boxes takes that of the larger id, whatever the order of rows; what the next one finds depends on it."""
+    from binweave.operators import detect
+
+    schema = "id long, frame long, cls string, x double, y double, w double, h double, confidence double"
+    left, right = (0.0, 0.0, 10.0, 10.0, 0.0), (4.0, 0.0, 10.0, 10.0, 0.0)
+    found = spark.createDataFrame([(-7, 1, "car", 2.0, 0.0, 10.0, 10.0, 0.9), (8, 1, "car", 0.5, 0.0, 10.0, 10.0, 0.5)], schema)
+    for a, b, second in ((2, 4, True), (4, 2, False)):
+        rows = [(a, 1, "car", *left), (b, 1, "car", *right)]
+        for truth in (rows, rows[::-1]):
+            got = {r.id: r.hit for r in detect.matched(spark.createDataFrame(truth, schema).coalesce(1), found, 0.5).collect()}
+            assert got == {-7: True, 8: second}
