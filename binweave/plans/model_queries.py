@@ -393,7 +393,8 @@ def p17(spark, d):
 
 @register("p19_scalar_subquery", "select event_id from events where ts >= (select min(ts) + interval 10 days from events where event_type = 'error')")
 def p19(spark, d):
-    return spark.sql("select event_id from {e} where t >= (select min(t) + 864000 from {e} where event_type = 'error')", e=raw(spark, d))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return spark.sql("select event_id from {e} where us >= (select min(us) + 864000000000 from {e} where event_type = 'error')", e=e)
 
 
 @register("s4_parameters", "select event_id from events where event_type in ('click','view') and value > 50 and epoch(ts) >= 1705000000")

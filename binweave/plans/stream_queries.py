@@ -20,10 +20,10 @@ _KEPT = f"{_ARRIVED}, wm as (select arrival, max(epoch(ts)) as top from ar where
 
 def arriving(spark, d) -> DataFrame:
     """Events with their slice of arrival."""
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("route"), "ts", "value").withColumn("t", bins.seconds("ts"))
-    lim = e.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("route"), "ts", "value").withColumns({"t": bins.seconds("ts"), "at": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6})
+    lim = e.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     late = (F.col("event_id") % 97 == 0).cast("long")
-    own = F.floor((F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * SLICES) + late
+    own = F.floor((F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * SLICES) + late
     return e.join(F.broadcast(lim)).withColumn("arrival", F.least(F.lit(SLICES - 1), own)).select("event_id", "route", F.timestamp_seconds("t").alias("ts"), "value", "arrival")
 
 

@@ -180,7 +180,7 @@ def k4(spark, d):
 
 @register("o2_latest_row", "select event_id, user_id from events order by ts desc, event_id desc limit 1")
 def o2(spark, d):
-    return raw(spark, d).orderBy(F.desc("t"), F.desc("event_id")).limit(1).select("event_id", "user_id")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts").orderBy(F.desc_nulls_last("ts"), F.desc_nulls_last("event_id")).limit(1).select("event_id", "user_id")
 
 
 @register("o4_argmin", f"with {B10} select route, arg_min(bin, y * 1e6 + bin / 1e6) as bin from bins group by 1")

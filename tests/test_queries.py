@@ -54,3 +54,16 @@ def test_model_queries_run_their_operators_defaults(spark, monkeypatch):
         with pytest.raises(Seen) as seen:
             QUERIES[name](spark, SF)
         assert seen.value.args == ({},)
+
+
+def test_scalar_subquery_compares_parts_of_a_second(spark, con, tmp_path):
+    """The limit has microseconds: a row just below it, in the same second, stays out."""
+    import datetime as dt
+
+    first = dt.datetime(2024, 1, 1, 0, 0, 11, 172425)
+    us = dt.timedelta(microseconds=1)
+    rows = [(0, first, "error"), (1, first + dt.timedelta(days=10) - us, "view"), (2, first + dt.timedelta(days=10), "view"), (3, first + dt.timedelta(days=10) + us, "click"), (4, None, "view")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    sql = ORACLES["p19_scalar_subquery"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(r.event_id for r in QUERIES["p19_scalar_subquery"](spark, str(tmp_path)).collect())
+    assert got == sorted(r[0] for r in con.sql(sql).fetchall()) == [2, 3]
