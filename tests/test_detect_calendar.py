@@ -81,3 +81,21 @@ def test_equally_good_boxes_are_taken_by_id(spark):
         for truth in (rows, rows[::-1]):
             got = {r.id: r.hit for r in detect.matched(spark.createDataFrame(truth, schema).coalesce(1), found, 0.5).collect()}
             assert got == {-7: True, 8: second}
+
+
+def test_exported_files_are_several_and_in_order(spark):
+    """An export is written by several tasks; its files, by name, go on in order."""
+    from binweave.plans.sink_queries import _csv
+    from binweave.sources.readers import file_order
+    from pyspark.sql import functions as F
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        path = _csv(spark.range(999, -1, -1).select("id", F.col("id").alias("k")), "k", "t")
+    finally:
+        spark.conf.set(key, before)
+    got = spark.read.schema("id long").option("header", True).csv(path).select("id", file_order().alias("at"))
+    assert got.select("at.file").distinct().count() > 1
+    assert [r.id for r in got.orderBy("at").collect()] == list(range(1000))
