@@ -83,6 +83,15 @@ def test_equally_good_boxes_are_taken_by_id(spark):
             assert got == {-7: True, 8: second}
 
 
+def test_all_overlaps_are_matched_in_one_walk(spark):
+    """coco_precision reads and deals the boxes once for all ten overlaps."""
+    from binweave.operators import detect
+
+    b = spark.createDataFrame([(i, i % 3, "car", float(i), 0.0, 10.0, 10.0, i / 9) for i in range(9)], "id long, frame long, cls string, x double, y double, w double, h double, confidence double")
+    plan = detect.coco_precision(b, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
 def test_exported_files_are_several_and_in_order(spark):
     """An export is written by several tasks; its files, by name, go on in order."""
     from binweave.plans.sink_queries import _csv
