@@ -20,6 +20,15 @@ def test_one_file_a_frame_without_listing_them(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_coco_files_without_listing_them(spark, tmp_path):
+    """Before, each file had a directory of its own that the driver moved and listed: 300 input files here."""
+    rows = spark.range(600).selectExpr("cast(floor(id / 2) * 1000 as bigint) as l_orderkey", "'R' as l_returnflag", "id as l_partkey", "id as l_suppkey", "1 as l_linenumber")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = catalog.queries()["s16_coco"](spark, str(tmp_path))
+    assert len(out.inputFiles()) < 100
+    assert sorted(map(tuple, out.collect())) == sorted((k // 2 * 1000, "R", k % 40 * 1.0, k % 30 * 1.0, 11.0, 9.0) for k in range(600))
+
+
 def test_text_files_in_folders(spark, tmp_path):
     texts = {f"{k}.txt": "2 0.5 0.25 0.1 0.2\r\n\n" * k + "é x" * (k % 2) for k in range(23)}
     root = f"file://{tmp_path}/files"
