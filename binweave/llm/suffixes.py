@@ -18,6 +18,9 @@ least - WINDOW + 1 bytes from the anchor that all of them hold.
 3. Common prefixes of the sorted suffixes, and common suffixes of what stands before
    the anchors, tell for each string of a run whether another one equals it.
 
+Passages of WORDS words are found in the same search, by words in place of bytes
+(passages.py); where a core has several runs, hashes of all their passages are exchanged.
+
 Defined results: null and empty texts, and texts under `least` bytes, keep all;
 repeated rows repeat each other; documents are told apart by their id together with a
 64-bit hash of the text, so null or clashing ids do no harm; an empty table gives no
@@ -29,32 +32,35 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import passages
 from .common import durable, lean, narrow_batches, parts, whole
 from .jaccard import mix
+from .passages import WORDS
 
 LEAST = 400
 WINDOW = 256
 GRAM = 8
-#: Words of a repeated passage (over 50), and the bytes that stand for one word.
-WORDS, CODE = 51, 8
 #: Anchors that a task holds before it sends them on; suffixes of one sorted run; anchors per bucket and suffixes per range.
 HELD, RUN, BUCKET, RANGE = 1 << 20, 30_000, 400_000, 40_000
 #: Groups up to this size are compared as a matrix, larger ones by one pass for each offset of the anchor.
 MATRIX = 256
 
 _ANCHOR = np.dtype([("core", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("low", "<u2"), ("high", "<u2"), ("known", "u1")])
+_OWN = np.dtype([(n, _ANCHOR[n]) for n in ("core", "at", "low", "high", "known")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("first", "<u4"), ("last", "<u4")])
 _BLOCKS = "bucket long, kind int, block binary"
 _SPANS = "doc long, tag long, first long, last long"
+#: Kinds of blocks: of byte strings, and of passages of words.
+_BYTES, _WORDED = {"anchors": 0, "spans": 1, "several": 2}, {"anchors": 3, "spans": 4, "several": 5}
 #: Columns beside those of the input, whatever names that has.
-_KEY, _SPANNED = ["_binweave_doc", "_binweave_tag"], "_binweave_spans"
+_KEY, _SPANNED = ["_binweave_doc", "_binweave_tag"], ["_binweave_spans", "_binweave_worded"]
 _WORD = re.compile(r"\S+")
 
 
@@ -62,27 +68,6 @@ def _raw(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-class _Codes(dict):
-    """CODE bytes for each word, without the punctuation at its ends (all of it, if it has nothing else)."""
-
-    def __missing__(self, word: str) -> bytes:
-        from xxhash import xxh3_64_digest as digest
-
-        inner = re.sub(r"^[\W_]+|[\W_]+$", "", word)
-        if len(self) > 1 << 18:
-            self.clear()
-        self[word] = out = digest((inner or word).encode("utf-8", "surrogatepass"))
-        return out
-
-
-def _encoder(worded: bool) -> Callable[[str], bytes]:
-    """Texts as their UTF-8 bytes, or as the codes of their words, one after another."""
-    if not worded:
-        return _raw
-    codes = _Codes()
-    return lambda text: b"".join([codes[w] for w in _WORD.findall(text)])
-
-
 def anchors(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every run of strings: text number, anchor, first and last string start (in the text)."""
     data = np.frombuffer(b"".join(texts) + bytes(GRAM + WINDOW), np.uint8)
@@ -136,40 +121,73 @@ def _joined(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _split_known(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors in order of (core, run) -> those to pass on, of repeated runs only the first, marked known; spans of the repeated ones."""
+def _in_order(x: np.ndarray) -> np.ndarray:
+    """Anchors in order of core, run, doc, tag and place."""
+    x = x[np.argsort(x["core"], kind="stable")]
+    same = x["core"][1:] == x["core"][:-1]
+    tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    y = x[tied]
+    x[tied] = y[np.lexsort((y["at"], y["tag"], y["doc"], y["run"], y["core"]))]
+    return x
+
+
+def _split_known(x: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors in order -> those to pass on, of repeated runs only the first, marked known; spans of the repeated ones.
+
+    across: repeated are runs of several documents, or of a row that stands twice.
+    """
     same = _same_run(x)
     again = np.concatenate([[False], same])
-    repeated = again | np.concatenate([same, [False]])
     new = np.flatnonzero(~again)
-    known = np.maximum.reduceat(x["known"] | repeated, new)
     size = np.diff(np.concatenate([new, [len(x)]]))
-    out = x[new].copy()
+    if across:
+        same &= (x["doc"][1:] != x["doc"][:-1]) | (x["tag"][1:] != x["tag"][:-1]) | (x["at"][1:] == x["at"][:-1])
+    known = np.repeat(np.maximum.reduceat(x["known"] | np.concatenate([[False], same]), new), size)
     # a run that is known from elsewhere holds for its members here as well
-    covered = x[np.repeat(known, size).astype(bool) & (x["known"] == 0)]
-    out["known"] = known
+    covered = x[known.astype(bool) & (x["known"] == 0)]
+    kept = ~again | (known == 0)
+    out = x[kept]
+    out["known"] = known[kept]
     return out, _spans(covered)
 
 
-def _emit(docs: DataFrame, buckets: int, least: int, worded: bool) -> DataFrame:
-    """Blocks: kind 0 of anchors, by core; kind 1 of spans whose repetition shows within the task."""
+def _word_anchors(texts: list[str], raws: list[bytes], ids: np.ndarray, tags: np.ndarray, words: int) -> np.ndarray:
+    text, at, first, last, core, run = passages.anchors(*passages.codes(texts, raws), words)
+    x = np.zeros(len(text), _ANCHOR)
+    x["doc"], x["tag"], x["at"], x["low"], x["high"], x["core"], x["run"] = ids[text], tags[text], at, at - last, at - first, core, run
+    return x
+
+
+def _byte_anchors(raws: list[bytes], ids: np.ndarray, tags: np.ndarray, least: int) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest as digest
+
     core = least - WINDOW + 1
+    text, at, first, last = anchors(raws, least)
+    x = np.zeros(len(text), _ANCHOR)
+    x["doc"], x["tag"], x["at"], x["low"], x["high"] = ids[text], tags[text], at, at - last, at - first
+    views = [memoryview(t) for t in raws]
+    x["core"] = [digest(views[t][a : a + core]) for t, a in zip(text.tolist(), at.tolist(), strict=True)]
+    x["run"] = [digest(views[t][f : e + least]) for t, f, e in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
+    return x
+
+
+def _emit(docs: DataFrame, buckets: int, least: int | None, words: int | None, across: bool) -> DataFrame:
+    """Blocks of anchors, by core, and of spans whose repetition shows within the task."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean()
-        from xxhash import xxh3_64_intdigest as digest
-
-        held: list[np.ndarray] = []
-        encode = _encoder(worded)
+        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
 
         def send() -> Iterator[pd.DataFrame]:
-            nonlocal held
-            x = np.sort(np.concatenate(held), order=["core", "run", "doc", "tag", "at"])
-            held = []
-            x, spans = _split_known(x)
-            yield _dealt(x, x["core"] % np.uint64(buckets), 0)
-            if len(spans):
-                yield _dealt(_joined(spans), np.zeros(1, np.int64).repeat(len(_joined(spans))) + int(x["doc"][0]) % buckets, 1)
+            for worded, kinds in ((False, _BYTES), (True, _WORDED)):
+                if not held[worded]:
+                    continue
+                x = _in_order(np.concatenate(held[worded]))
+                held[worded] = []
+                x, spans = _split_known(x, worded and across)
+                yield _dealt(x, x["core"] % np.uint64(buckets), kinds["anchors"])
+                if len(spans := _joined(spans)):
+                    yield _dealt(spans, np.full(len(spans), int(x["doc"][0]) % buckets), kinds["spans"])
 
         for b in batches:
             ids, tags, rows = b["doc"].to_numpy(), b["tag"].to_numpy(), b["text"].to_list()
@@ -177,42 +195,38 @@ def _emit(docs: DataFrame, buckets: int, least: int, worded: bool) -> DataFrame:
             while i < len(rows):
                 j, size, texts = i, 0, []
                 while j < len(rows) and size < 1 << 20:
-                    texts.append(encode(rows[j]))
+                    texts.append(_raw(rows[j]))
                     size += len(texts[-1])
                     j += 1
-                text, at, first, last = anchors(texts, least)
-                x = np.zeros(len(text), _ANCHOR)
-                x["doc"], x["tag"], x["at"], x["low"], x["high"] = ids[i:j][text], tags[i:j][text], at, at - last, at - first
-                views = [memoryview(t) for t in texts]
-                x["core"] = [digest(views[t][a : a + core]) for t, a in zip(text.tolist(), at.tolist(), strict=True)]
-                x["run"] = [digest(views[t][f : e + least]) for t, f, e in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
-                if len(x):
-                    held.append(x)
+                if least and len(x := _byte_anchors(texts, ids[i:j], tags[i:j], least)):
+                    held[False].append(x)
+                if words and len(x := _word_anchors(rows[i:j], texts, ids[i:j], tags[i:j], words)):
+                    held[True].append(x)
                 i = j
-                if sum(map(len, held)) > HELD:
+                if sum(len(x) for own in held.values() for x in own) > HELD:
                     yield from send()
-        if held:
-            yield from send()
+        yield from send()
 
     return docs.mapInPandas(emit, _BLOCKS)
 
 
-def _met(buckets: int):
-    """By bucket of cores: kind 1, spans of runs that are repeated as a whole; kind 2, anchors whose core has several runs. Spans pass."""
+def _met(across: bool):
+    """By bucket of cores: spans of runs that are repeated as a whole, and several: anchors whose core has several runs. Spans pass."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         lean()
-        rest = pdf[pdf["kind"] == 1]
-        blocks = pdf.loc[pdf["kind"] == 0, "block"]
-        if not len(blocks):
-            return rest
-        x = np.concatenate([np.frombuffer(b, _ANCHOR) for b in blocks])
-        x = np.sort(x, order=["core", "run", "doc", "tag", "at"])
-        x, spans = _split_known(x)
-        same = x["core"][1:] == x["core"][:-1]
-        several = x[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         own = int(pdf["bucket"].iloc[0])
-        return pd.concat([rest, *(_dealt(y, np.full(len(y), own), kind) for y, kind in ((_joined(spans), 1), (several, 2)) if len(y))])
+        out = [pdf[pdf["kind"].isin([_BYTES["spans"], _WORDED["spans"]])]]
+        for worded, kinds in ((False, _BYTES), (True, _WORDED)):
+            blocks = pdf.loc[pdf["kind"] == kinds["anchors"], "block"]
+            if not len(blocks):
+                continue
+            x = _in_order(np.concatenate([np.frombuffer(b, _ANCHOR) for b in blocks]))
+            x, spans = _split_known(x, worded and across)
+            same = x["core"][1:] == x["core"][:-1]
+            several = x[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            out += [_dealt(y, np.full(len(y), own), kinds[k]) for y, k in ((_joined(spans), "spans"), (several, "several")) if len(y)]
+        return pd.concat(out)
 
     return meet
 
@@ -311,7 +325,7 @@ def _sorted_run(entries: list[tuple], ranges: int) -> Iterator[pd.DataFrame]:
             meta[name] = [e[k] for e in own]
         meta["lcp"], meta["rest"], meta["left"] = lcp, [len(x) for x in rest], [len(e[1]) for e in own]
         rows.append((r, len(own).to_bytes(4, "little") + meta.tobytes() + b"".join(rest) + b"".join(e[1] for e in own)))
-    yield pd.DataFrame(rows, columns=["range", "block"])
+    yield pd.DataFrame(rows, columns=["range", "block"]).assign(worded=False)
 
 
 def _decoded(b: bytes) -> tuple[np.ndarray, list[int], list[bytes], list[bytes]]:
@@ -369,12 +383,11 @@ def repeated_offsets(right: list[int], lefts: list[bytes], low: list[int], high:
     return out
 
 
-def _resolved(least: int):
-    """By range of cores: merge the sorted runs, and find the repeated strings of each anchor."""
+def _resolver(least: int):
+    """Merge the sorted runs of a range of cores, and find the repeated strings of each anchor."""
 
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        lean()
-        runs = [_decoded(b) for b in pdf["block"]]
+    def resolve(blocks: list[bytes]) -> pd.DataFrame:
+        runs = [_decoded(b) for b in blocks]
         found: list[tuple] = []
         group: list[tuple] = []
 
@@ -397,49 +410,110 @@ def _resolved(least: int):
     return resolve
 
 
-def _unpack(kind: int, dtype: np.dtype, schema: str, met: DataFrame) -> DataFrame:
+def _resolved(least: int | None, across: bool):
+    """By range of cores: the repeated strings of bytes, and the repeated passages of words."""
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean()
+        out = []
+        if len(blocks := pdf.loc[~pdf["worded"], "block"].to_list()):
+            out.append(_resolver(least)(blocks).assign(worded=False))
+        if len(blocks := pdf.loc[pdf["worded"], "block"].to_list()):
+            doc, tag, first, last = passages.repeated(blocks, across)
+            out.append(pd.DataFrame({"doc": doc, "tag": tag, "first": first, "last": last}).assign(worded=True))
+        return pd.concat(out)
+
+    return resolve
+
+
+def _unpacked_spans(met: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean()
         for b in batches:
-            for block in b["block"]:
-                x = np.frombuffer(block, dtype)
-                yield pd.DataFrame({n: x[n].astype(np.int64) if x[n].dtype != np.uint64 else x[n].view(np.int64) for n in dtype.names})
+            for kind, block in zip(b["kind"], b["block"], strict=True):
+                x = np.frombuffer(block, _SPAN)
+                yield pd.DataFrame({n: x[n].astype(np.int64) for n in x.dtype.names}).assign(worded=kind == _WORDED["spans"])
 
-    return met.filter(F.col("kind") == kind).select("block").mapInPandas(rows, schema)
+    return met.filter(F.col("kind").isin(_BYTES["spans"], _WORDED["spans"])).select("kind", "block").mapInPandas(rows, f"{_SPANS}, worded boolean")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, worded: bool = False) -> DataFrame:
-    """docs(doc, tag, text) -> (doc, tag, first, last): ranges of starts of strings that start elsewhere too; worded: in the codes of the texts' words."""
-    core = least - WINDOW + 1
+def _unpacked_anchors(met: DataFrame) -> DataFrame:
+    """(doc, tag, worded, anchor): each an _OWN record."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
+        for b in batches:
+            for kind, block in zip(b["kind"], b["block"], strict=True):
+                x = np.frombuffer(block, _ANCHOR)
+                own = np.zeros(len(x), _OWN)
+                for n in _OWN.names:
+                    own[n] = x[n]
+                raw, size = own.tobytes(), _OWN.itemsize
+                yield pd.DataFrame({"doc": x["doc"], "tag": x["tag"], "worded": kind == _WORDED["several"], "anchor": [raw[k : k + size] for k in range(0, len(raw), size)]})
+
+    return met.filter(F.col("kind").isin(_BYTES["several"], _WORDED["several"])).select("kind", "block").mapInPandas(rows, "doc long, tag long, worded boolean, anchor binary")
+
+
+def _passage_blocks(texts: list[str], raws: list[bytes], ids: list[int], tags: list[int], owns: list[np.ndarray], words: int, ranges: int) -> pd.DataFrame:
+    """The hashes of the passages of the anchors, by range of cores."""
+    code, count = passages.codes(texts, raws)
+    size = np.array([len(x) for x in owns])
+    text, x = np.repeat(np.arange(len(texts)), size), np.concatenate(owns)
+    known, first = x["known"], x["at"].astype(np.int64) - x["high"]
+    runs = x["high"].astype(np.int64) - x["low"] + 1
+    (hashed,) = passages.hashes(code, words)
+    head = passages.told(np.array(ids, np.int64)[text], np.array(tags, np.int64)[text], first, runs, known)
+    begin = first + (np.cumsum(count) - count)[text]
+    place = (x["core"] >> np.uint64(32)).astype(np.int64) * ranges >> 32
+    order = np.argsort(place, kind="stable")
+    edge = np.flatnonzero(np.diff(place[order])) + 1
+    rows = [(int(place[k[0]]), True, passages.block(head[k], hashed[passages.spread(begin[k], runs[k])])) for k in np.split(order, edge)]
+    return pd.DataFrame(rows, columns=["range", "worded", "block"])
+
+
+def repeated_spans(docs: DataFrame, least: int | None = LEAST, words: int | None = None, across: bool = False) -> DataFrame:
+    """docs(doc, tag, text) -> (doc, tag, first, last, worded): ranges of starts of strings of `least` bytes that start elsewhere too.
+
+    worded: ranges of numbers of words at which passages of `words` words start that stand elsewhere too, or (across) in another row.
+    """
+    assert least is None or least - WINDOW + 1 > GRAM
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(parts(docs.sparkSession), total * 2 // WINDOW // BUCKET + 1)
-    met = durable(_emit(docs, buckets, least, worded).groupBy("bucket").applyInPandas(_met(buckets), _BLOCKS), "suffix-anchors")
-    spans = _unpack(1, _SPAN, _SPANS, met)
-    several = _unpack(2, _ANCHOR, "core long, run long, doc long, tag long, at long, low long, high long, known long", met)
-    wanted = several.groupBy("doc", "tag").agg(F.collect_list(F.struct("core", "at", "low", "high", "known")).alias("anchors"))
-    n = met.filter("kind = 2").agg(F.sum(F.octet_length("block"))).first()[0] or 0
+    found = total * 2 // WINDOW * bool(least) + total // 100 * bool(words)
+    buckets = max(parts(docs.sparkSession), found // BUCKET + 1)
+    met = durable(_emit(docs, buckets, least, words, across).groupBy("bucket").applyInPandas(_met(across), _BLOCKS), "suffix-anchors")
+    chosen = lambda worded: F.collect_list(F.when(F.col("worded") == worded, F.col("anchor")))
+    wanted = _unpacked_anchors(met).groupBy("doc", "tag").agg(chosen(False).alias("anchors"), chosen(True).alias("worded"))
+    n = met.filter(F.col("kind").isin(_BYTES["several"], _WORDED["several"])).agg(F.sum(F.octet_length("block"))).first()[0] or 0
     ranges = max(parts(docs.sparkSession), n // _ANCHOR.itemsize // RANGE + 1)
+    own = lambda records: np.frombuffer(b"".join(records), _OWN)
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean()
         held: list[tuple] = []
-        encode = _encoder(worded)
+        taken: list[tuple] = []
+        size = 0
         for b in batches:
-            for doc, tag, text, own in zip(b["doc"], b["tag"], b["text"], b["anchors"], strict=True):
-                raw = encode(text)
-                for x in own:
-                    at, low, high = x["at"], x["low"], x["high"]
-                    held.append(((x["core"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + raw[at : at - low + least], raw[at - high : at], doc, tag, at, low, high, x["known"]))
+            for doc, tag, text, byte, worded in zip(b["doc"], b["tag"], b["text"], b["anchors"], b["worded"], strict=True):
+                raw = _raw(text)
+                for core, at, low, high, known in own(byte).tolist():
+                    held.append((core.to_bytes(8, "big") + raw[at : at - low + least], raw[at - high : at], doc, tag, at, low, high, known))
                 if len(held) > RUN:
                     yield from _sorted_run(held, ranges)
                     held = []
+                if len(worded):
+                    taken.append((text, raw, doc, tag, own(worded)))
+                    size += len(raw)
+                if size > 1 << 20:
+                    yield _passage_blocks(*map(list, zip(*taken, strict=True)), words, ranges)
+                    taken, size = [], 0
         if held:
             yield from _sorted_run(held, ranges)
+        if taken:
+            yield _passage_blocks(*map(list, zip(*taken, strict=True)), words, ranges)
 
-    assert core > GRAM
     # a row that stands twice comes twice; its runs are known to be repeated, and only serve others
-    runs = docs.join(wanted, ["doc", "tag"]).mapInPandas(fetch, "range long, block binary")
-    return spans.unionAll(runs.groupBy("range").applyInPandas(_resolved(least), _SPANS))
+    runs = docs.join(wanted, ["doc", "tag"]).mapInPandas(fetch, "range long, worded boolean, block binary")
+    return _unpacked_spans(met).unionByName(runs.groupBy("range").applyInPandas(_resolved(least, across), f"{_SPANS}, worded boolean"))
 
 
 def _kept(raw: bytes, spans: list, least: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -466,45 +540,53 @@ def _texts(keyed: DataFrame) -> DataFrame:
     return keyed.select(F.col(_KEY[0]).alias("doc"), F.col(_KEY[1]).alias("tag"), whole("text").alias("text"))
 
 
-def _collected(spans: DataFrame, to: str) -> DataFrame:
-    return spans.groupBy(F.col("doc").alias(_KEY[0]), F.col("tag").alias(_KEY[1])).agg(F.collect_list(F.struct("first", "last")).alias(to))
+def _collected(worded: bool) -> Column:
+    return F.collect_list(F.when(F.col("worded") == worded, F.struct("first", "last")))
 
 
-def _with_spans(docs: DataFrame, least: int) -> DataFrame:
-    """docs with the columns _KEY and the spans of each text (array, may be null) in column _SPANNED."""
+def _with_spans(docs: DataFrame, least: int | None, words: int | None, across: bool = False) -> DataFrame:
+    """docs with the columns _KEY and _SPANNED (arrays of the spans of bytes and of words, may be null)."""
     narrow_batches(docs.sparkSession, 500)
     keyed = _keyed(docs)
-    spans = _collected(repeated_spans(_texts(keyed).filter(F.octet_length("text") >= least), least), _SPANNED)
-    return keyed.join(spans, _KEY, "left")
+    # a text of n words has 2 n - 1 bytes at least
+    enough = min(x for x in (least, words and 2 * words - 1) if x)
+    spans = repeated_spans(_texts(keyed).filter(F.octet_length("text") >= enough), least, words, across)
+    own = spans.groupBy(F.col("doc").alias(_KEY[0]), F.col("tag").alias(_KEY[1])).agg(_collected(False).alias(_SPANNED[0]), _collected(True).alias(_SPANNED[1]))
+    return keyed.join(own, _KEY, "left")
 
 
-def dedup_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what remains."""
+def _covered(spans: list, words: int) -> tuple[int, int]:
+    """The number of words in passages that start at the words of the spans, and of their unbroken stretches."""
+    total, stretches, end = 0, 0, -1
+    for a, b in sorted((x["first"], x["last"] + words) for x in spans):
+        stretches += a > end
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    return total, stretches
+
+
+def dedup_documents(docs: DataFrame, least: int = LEAST, words: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of what remains.
+
+    With words also shared_words and shared_passages: the words in passages of that many words that stand in another
+    document too, and their unbroken stretches; nothing is removed for them.
+    """
+    further = ["shared_words", "shared_passages"] if words else []
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lean()
         for b in batches:
             rows = []
-            for doc_id, text, spans in zip(b["doc_id"], b["text"], b["spans"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+            for doc_id, text, spans, worded in zip(b["doc_id"], b["text"], b["spans"], b["worded"], strict=True):
+                raw = _raw(text)
                 removed, kept = _kept(raw, [] if spans is None else spans, least)
-                rows.append((doc_id, len(raw), len(raw) - len(kept), len(removed), hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    spanned = _with_spans(docs.select("doc_id", "text"), least).select(F.col("doc_id").cast("string").alias("doc_id"), whole("text").alias("text"), F.col(_SPANNED).alias("spans"))
-    return spanned.mapInPandas(digests, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
+                rows.append((doc_id, len(raw), len(raw) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), *(_covered([] if worded is None else worded, words) if words else ())))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *further])
 
-
-def repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs(doc, tag, text) -> (doc, tag, first, last): ranges of numbers of words at which a passage of that many words starts that stands elsewhere too.
-
-    The same search over the codes of the words, of which whole ones count.
-    """
-    # a text of n words has 2 n - 1 bytes at least
-    long = docs.filter(F.octet_length("text") >= 2 * words - 1)
-    spans = repeated_spans(long, words * CODE, worded=True)
-    whole_words = spans.select("doc", "tag", F.ceil(F.col("first") / CODE).alias("first"), F.floor(F.col("last") / CODE).alias("last"))
-    return whole_words.filter("first <= last")
+    spanned = _with_spans(docs.select("doc_id", "text"), least, words, across=True)
+    spanned = spanned.select(F.col("doc_id").cast("string").alias("doc_id"), whole("text").alias("text"), F.col(_SPANNED[0]).alias("spans"), F.col(_SPANNED[1]).alias("worded"))
+    schema = ", ".join(["doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(f"{c} long" for c in further)])
+    return spanned.mapInPandas(digests, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _bytes_of_words(text: str, spans: list, words: int) -> list[tuple[int, int]]:
@@ -518,7 +600,6 @@ def _bytes_of_words(text: str, spans: list, words: int) -> list[tuple[int, int]]
 
 def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents with every passage of that many words that stands elsewhere too, here or there, cut out of their texts; all copies go."""
-    narrow_batches(docs.sparkSession, 500)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -528,6 +609,4 @@ def remove_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
             out.append(_kept(_raw(t), ranges, 0)[1].decode("utf-8", "surrogatepass") if ranges else t)
         return pd.Series(out, index=texts.index, dtype=object)
 
-    keyed = _keyed(docs)
-    passages = _collected(repeated_words(_texts(keyed), words), _SPANNED)
-    return keyed.join(passages, _KEY, "left").withColumn("text", cut("text", _SPANNED)).select(*docs.columns)
+    return _with_spans(docs, None, words).withColumn("text", cut("text", _SPANNED[1])).select(*docs.columns)

@@ -217,6 +217,55 @@ def test_pipeline_cuts_repeats_of_51_words(spark):
     assert got == {k: (t, len(t)) for k, t in enumerate(want)}
 
 
+def brute_shared(rows, least):
+    """By row, its words in passages of that many words that stand in another row too, and their stretches."""
+    inner = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w) or w
+    words = [[inner(w) for w in (t or "").split()] for _, t in rows]
+    held = collections.defaultdict(set)
+    for k, w in enumerate(words):
+        for p in range(len(w) - least + 1):
+            held[tuple(w[p : p + least])].add(k)
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
+        shared = np.zeros(len(w), bool)
+        starts = [p for p in range(len(w) - least + 1) if len(held[tuple(w[p : p + least])]) > 1]
+        for p in starts:
+            shared[p : p + least] = True
+        stretches, end = 0, -1
+        for p in starts:
+            stretches, end = stretches + (p > end), p + least
+        out.append((i, int(shared.sum()), stretches))
+    return sorted(out, key=str)
+
+
+def test_suffixes_tell_of_shared_passages_of_51_words(spark, docs, plain, tmp_path):
+    """Passages of 51 words across documents, under 400 bytes: told, not removed; those of 50 words or within one document: not told."""
+    from binweave.llm.queries import op2_suffixes
+    from binweave.llm.suffixes import dedup_documents
+
+    rng = random.Random(13)
+    short = lambda n: " ".join("".join(rng.choice("abcdéß") for _ in range(rng.randrange(1, 6))) + rng.choice(["", ",", ".", "’"]) for _ in range(n))
+    rows = []
+    for k in range(40):
+        passage, twice = short((50, 51, 51, 60)[k % 4]), short(55)
+        for a, b in (("", ""), ("\u201c", "\u2026") if k % 2 else ("", "")):
+            rows.append((len(rows), f"{short(rng.randrange(90))} {a}{passage}{b} {short(rng.randrange(90))}".strip()))
+        rows.append((len(rows), f"{twice} {short(k)} {twice}"))
+    common = short(70)
+    rows += [(1000 + k, f"{short(30)}\u2003{' '.join(common.split()[k % 7 : 60 + k % 9])}\xa0{short(3)} {short(k)}") for k in range(60)]
+    rows += [(2000, "na " * 70), (2001, "x " * 60 + "y"), (2002, None), (2003, ""), (2004, short(80)), (2004, "_ " * 51), (None, "- " * 51), (2005, "_ " * 52), (2006, "A" * 90 + " " + short(60))]
+    rows += [rows[-1], (2007, rows[-1][1].replace("A", "B", 1)), rows[-5]]
+    got = dedup_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), words=51).collect()
+    want = brute_shared(rows, 51)
+    assert sum(w > 0 for _, w, _ in want) >= 120 and sum(w == 0 for _, w, _ in want) >= 60
+    assert sorted(((r.doc_id, r.shared_words, r.shared_passages) for r in got), key=str) == want
+    assert sum(r.shared_words > 0 and r.n_removed == 0 for r in got) >= 60
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    of_query = op2_suffixes(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.shared_words, r.shared_passages) for r in of_query), key=str) == brute_shared(plain, 51)
+    assert {tuple(r)[:5] for r in of_query} == {tuple(r) for r in dedup_documents(docs).collect()}
+
+
 # 3: licences
 
 
